@@ -2,10 +2,12 @@
 
 A caller supplies candidate nodes (node, item) and 256-byte minwise signatures.
 Nodes with equal members are compared once. Inside a node, signatures estimate
-all similarities; links that are certain (estimate SURE, more than four standard
-deviations above 0.8) are thinned to a spanning forest, since only components
-are wanted; uncertain ones are kept unless both ends end up in one component
-anyway. Every pair that is used is confirmed on the full sets.
+all similarities; pairs estimated below LEAST are out, the others are candidates.
+Only components are wanted, so each member's best partners are confirmed first, on
+the full sets. Where a candidate still crosses two components, the member of the smaller one
+is held against all members of the other, in blocks of BLOCK sets. No candidate
+that could join two components is left out; the first step costs a group of n copies
+about n confirmations, and the second only the members not linked to it.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from .core import combine, mix, prepare, signed, stored
 
 #: Minwise values of a signature; one byte of each is kept for estimates.
 WIDTH = 256
-SURE = 0.93
-#: Five standard deviations of an estimate below the threshold of 0.8.
-LEAST = 0.66
+#: Four standard deviations of an estimate below the threshold of 0.8.
+LEAST = 0.70
 #: Members of a node that one task compares; larger ones branch further, or are compared block by block.
 NODE_LIMIT = 4096
 PAIR_CHUNK = 256
@@ -51,70 +52,93 @@ def minwise(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarities of a signature to others, corrected for equal bytes by chance."""
-    equal = (many == one).sum(axis=1) / WIDTH
+    equal = np.count_nonzero(many == one, axis=1) / WIDTH
     return (equal - 1 / 256) * (256 / 255)
 
 
-def node_pairs(items: np.ndarray, sigs: np.ndarray, side: np.ndarray | None = None) -> tuple[list, list, list]:
-    """Pairs of a node: kind 0 certain (spanning forest), 1 the best of a member towards a cluster, 2 the others."""
-    n = len(items)
-    cluster, left, a, b, kind = np.full(n, -1), np.arange(n), [], [], []
-    at = 0
-    while len(left):
-        queue, left, first = [left[0]], left[1:], True
-        cluster[queue[0]] = at
-        while queue and len(left):
-            x = queue.pop()
-            near = estimates(sigs[x], sigs[left]) >= SURE
-            for y in left[near]:
-                cluster[y] = at
-                queue.append(y)
-                a.append(items[x]), b.append(items[y]), kind.append(0)
-            left = left[~near]
-        at += 1
-    if at == 1:
-        return a, b, kind
-    size = np.bincount(cluster, minlength=at)
-    # A pair across clusters is emitted by the member of the smaller one (ties: of the earlier one).
-    order = np.lexsort((np.arange(at), size))
-    place = np.empty(at, int)
-    place[order] = np.arange(at)
+BEST, ACROSS = range(2)
+#: Sets of a component that one task compares with.
+BLOCK = 256
+GOOD = 0.9
+
+
+def node_pairs(sigs: np.ndarray, labels: np.ndarray, mode: int) -> tuple[list, list, bool]:
+    """Candidate pairs (places) of a node between different labels, and whether there are more.
+
+    BEST: each member's best so far; one that has a partner of GOOD needs no search of its own. ACROSS: for two labels,
+    the best of each member of the smaller one.
+    """
+    n = len(sigs)
+    names, labels = np.unique(labels, return_inverse=True)
+    size = np.bincount(labels)
+    rank = np.empty(len(names), int)
+    rank[np.lexsort((np.arange(len(names)), size))] = np.arange(len(names))
+    found, pairs, alone = 0, set(), len(names) == n
+    best, partner = np.zeros(n), np.full(n, -1)
     for x in range(n):
-        others = np.flatnonzero(place[cluster] > place[cluster[x]])
+        if mode == BEST and best[x] >= GOOD:
+            found += n
+            continue
+        if mode == BEST and alone:
+            others = np.arange(x + 1, n)
+            est = estimates(sigs[x], sigs[x + 1 :])
+        else:
+            others = np.flatnonzero(rank[labels] > rank[labels[x]])
+            est = estimates(sigs[x], sigs[others])
+        near = est >= LEAST
+        others, est = others[near], est[near]
         if not len(others):
             continue
-        est = estimates(sigs[x], sigs[others])
-        keep = est >= LEAST
-        others, est = others[keep], est[keep]
-        for c in np.unique(cluster[others]):
-            these = np.flatnonzero(cluster[others] == c)
-            best = these[np.argmax(est[these])]
-            for y in these:
-                a.append(items[x]), b.append(items[others[y]]), kind.append(1 if y == best else 2)
-    return a, b, kind
-
-
-def _compare(batches):
-    """Rows (node, item, sig) sorted by node -> pairs."""
-    node, items, sigs = None, [], []
-
-    def done():
-        if len(items) < 2:
-            return None
-        a, b, kind = node_pairs(np.array(items, np.int64), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(items), WIDTH))
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.array(kind, np.int32))], ["a", "b", "kind"]) if len(a) else None
+        found += len(others)
+        if mode == ACROSS:
+            order = np.lexsort((-est, labels[others]))
+            firsts = order[np.concatenate([[True], np.diff(labels[others][order]) != 0])]
+            pairs.update((x, int(y)) for y in others[firsts])
+        else:
+            top = int(np.argmax(est))
+            if est[top] > best[x]:
+                best[x], partner[x] = est[top], others[top]
+            gain = est > best[others]
+            best[others[gain]], partner[others[gain]] = est[gain], x
+    if mode == BEST:
+        pairs = {(min(x, int(y)), max(x, int(y))) for x, y in enumerate(partner) if y >= 0}
+    return [p[0] for p in pairs], [p[1] for p in pairs], found > len(pairs)
+
+
+def _compare(mode: int):
+    """Rows (node, item, sig, label) sorted by node.
+
+    BEST: pairs (a, b), and (node, null) where candidates are left. ACROSS: (a, label) of members with a candidate in another component.
+    """
 
-    for batch in batches:
-        for k, i, s in zip(batch.column("node").to_pylist(), batch.column("item").to_pylist(), batch.column("sig").to_pylist()):
-            if k != node:
-                if (out := done()) is not None:
-                    yield out
-                node, items, sigs = k, [], []
-            items.append(i)
-            sigs.append(s)
-    if (out := done()) is not None:
-        yield out
+    def run(batches):
+        node, items, sigs, labels = None, [], [], []
+
+        def done():
+            if len(items) < 2:
+                return None
+            x, y, more = node_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(items), WIDTH), np.array(labels, np.int64), mode)
+            i = np.array(items, np.int64)
+            a, b = i[x], i[y]
+            if mode == ACROSS:
+                return a.tolist(), np.array(labels, np.int64)[y].tolist()
+            return np.minimum(a, b).tolist() + [node] * more, np.maximum(a, b).tolist() + [None] * more
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[0]], pa.int64()), pa.array([v for o in out for v in o[1]], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            out = []
+            for k, i, s, label in zip(*(batch.column(c).to_pylist() for c in ("node", "item", "sig", "label"))):
+                if k != node:
+                    out.append(done())
+                    node, items, sigs, labels = k, [], [], []
+                items.append(i), sigs.append(s), labels.append(label)
+            yield batch_of([o for o in out if o])
+        if last := done():
+            yield batch_of([last])
+
+    return run
 
 
 def branch_keys(node: np.ndarray, values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +174,10 @@ def sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(one, "node")
 
 
-def node_links(nodes: DataFrame, sigs: DataFrame, max_levels: int = 12, limit: int = NODE_LIMIT) -> DataFrame:
-    """Distinct candidate pairs (a, b, kind) of nodes(node, item), given sigs(item, sig)."""
+def node_members(nodes: DataFrame, sigs: DataFrame, max_levels: int = 12, limit: int = NODE_LIMIT) -> DataFrame:
+    """nodes(node, item) -> the nodes to compare, of `limit` members at most: larger ones branch on."""
     small, level = [], stored(sized(nodes), "nodes")
-    for depth in range(max_levels):
+    for _ in range(max_levels):
         small.append(level.where(F.col("n") <= limit).select("node", "item"))
         large = level.where(F.col("n") > limit)
         if large.isEmpty():
@@ -170,8 +194,13 @@ def node_links(nodes: DataFrame, sigs: DataFrame, max_levels: int = 12, limit: i
     members = small[0]
     for more in small[1:]:
         members = members.union(more)
-    pairs = members.join(sigs, "item").select("node", "item", "sig").repartition("node").sortWithinPartitions("node", "item").mapInArrow(_compare, "a long, b long, kind int")
-    return stored(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")), "pairs")
+    return members
+
+
+def candidates(members: DataFrame, sigs: DataFrame, mode: int) -> DataFrame:
+    """members(node, item, label) -> stored distinct rows of _compare."""
+    rows = members.join(sigs, "item").select("node", "item", "sig", "label").repartition("node").sortWithinPartitions("node", "item")
+    return stored(rows.mapInArrow(_compare(mode), "a long, b long").distinct(), "pairs")
 
 
 def _confirm(batches):
@@ -205,17 +234,62 @@ def confirm(pairs: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> Da
     return hubs.union(rest).repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_confirm, "a long, b long")
 
 
+def _hold(batches):
+    """Rows (label, block, role, item, content) sorted: a block's sets, then the sets held against it -> a link for each that has one."""
+    key, sets, names, built = None, [], [], None
+    for batch in batches:
+        a_out, b_out = [], []
+        for label, block, role, item, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (label, block) != key:
+                key, sets, names, built = (label, block), [], [], None
+            if role == 0:
+                sets.append(np.frombuffer(content, np.uint64)), names.append(item)
+                continue
+            if not sets:
+                continue
+            if built is None:
+                sizes = np.array([len(x) for x in sets])
+                flat = np.concatenate(sets)
+                order = np.argsort(flat)
+                built = flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+            values, owner, sizes = built
+            own = np.frombuffer(content, np.uint64)
+            low, high = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            shared = np.bincount(owner[at], minlength=len(sizes))
+            hit = np.flatnonzero(100 * shared >= 80 * (sizes + len(own) - shared))
+            if len(hit):
+                a_out.append(item), b_out.append(names[hit[0]])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+
+def held_against(queries: DataFrame, members: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of queries(a, label), each held against all members(item, label) of that label, in blocks."""
+    sizes = members.join(queries.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = stored(sizes, "sizes")
+    sets = stored(full_sets(members.join(sizes, "label").select("item").union(queries.select("a")).distinct()), "sets")
+    one = members.join(sizes, "label").select("label", F.pmod(F.xxhash64("item"), "blocks").alias("block"), F.lit(0).alias("role"), "item").join(sets, "item").select("label", "block", "role", "item", "content")
+    two = queries.join(sizes, "label").select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), F.col("a").alias("item")).join(sets, "item").select("label", "block", "role", "item", "content")
+    return one.union(two).repartition("label", "block").sortWithinPartitions("label", "block", "role", "item").mapInArrow(_hold, "a long, b long")
+
+
 def clusters(nodes: DataFrame, sigs: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of items linked, directly or through others, by confirmed similarities."""
     prepare(nodes.sparkSession)
-    pairs = node_links(nodes, sigs)
-    sure = stored(confirm(pairs.where("kind < 2").select("a", "b"), full_sets), "links")
-    found = components(sure)
-    rest = pairs.where("kind = 2").select("a", "b")
-    if not rest.isEmpty():
-        roots = stored(found, "roots")
-        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        rest = stored(rest.join(ra, "a", "left").join(rb, "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b"), "rest")
-        if not rest.isEmpty():
-            found = components(sure.union(confirm(rest, full_sets)))
-    return found
+    members = node_members(nodes, sigs)
+    rows = candidates(members.withColumn("label", F.col("item")), sigs, BEST)
+    links = stored(confirm(rows.where("b is not null"), full_sets), "links")
+    found = components(links)
+    more = rows.where("b is null").select(F.col("a").alias("node"))
+    if more.isEmpty():
+        return found
+    roots = stored(found, "roots").select(F.col("node").alias("item"), F.col("root").alias("label"))
+    left = members.join(more, "node", "left_semi").join(roots, "item", "left").select("node", "item", F.coalesce("label", "item").alias("label"))
+    left = stored(left, "left")
+    mixed = left.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
+    queries = candidates(left.join(mixed, "node"), sigs, ACROSS).where("b is not null").select("a", F.col("b").alias("label"))
+    if queries.isEmpty():
+        return found
+    everyone = roots.union(left.select("item", "label")).distinct()
+    return components(links.union(stored(held_against(queries, everyone, full_sets), "links")))
