@@ -1,4 +1,581 @@
 """All queries of the graph engine by name, and the SQL they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborlens.functions import enrich, text
+from arborlens.operators import crossview, density, diff, graph, lint, relational, resolve
+from arborlens.plans import projection as P
+from arborlens.streaming import changes
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(oracle: str | None = None, more: str = "", recursive: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = P.sql(oracle, more, recursive)
+        return f
+
+    return add
+
+
+def _signals(s: SparkSession, d: str) -> DataFrame:
+    return density.signals(P.decisions(s, d), P.links(s, d))
+
+
+SIGNALS = "sig AS (SELECT coalesce(a.element_id, b.element_id) AS element_id, filter_score, tier, confidence FROM (SELECT element_id, max(score) AS filter_score, min(tier) AS tier FROM decisions GROUP BY 1) a FULL JOIN (SELECT element_id, max(confidence) AS confidence FROM links GROUP BY 1) b ON a.element_id = b.element_id)"
+SCORED = SIGNALS + """,
+deg AS (SELECT view_id, e AS element_id, count(*) AS degree FROM (SELECT view_id, source_element_id AS e FROM connectors UNION ALL SELECT view_id, target_element_id FROM connectors) GROUP BY ALL),
+scored AS (
+  SELECT p.view_id, p.element_id, e.name, coalesce(o.delta, 0) AS delta,
+    round(12 * coalesce(degree, 0) + 30 * coalesce(filter_score, 0.0::DOUBLE) + CASE WHEN tier IS NOT NULL THEN 5 * greatest(0, 10 - tier) ELSE 0 END + 20 * coalesce(confidence, 0.0::DOUBLE)
+      + CASE WHEN p.element_id IN (SELECT owner_element_id FROM views WHERE owner_element_id IS NOT NULL) THEN 20 ELSE 0 END + CASE WHEN description IS NOT NULL THEN 4 ELSE 0 END
+      - 0.001::DOUBLE * ln(1 + p.element_id::DOUBLE) + 100 * coalesce(o.delta, 0), 6) AS score
+  FROM placements p JOIN elements e ON e.id = p.element_id LEFT JOIN deg USING (view_id, element_id) LEFT JOIN sig ON sig.element_id = p.element_id LEFT JOIN overrides o ON o.view_id = p.view_id AND o.element_id = p.element_id)"""
+
+
+def _content(s, d, level):
+    return density.view_elements(P.placements(s, d), P.elements(s, d), P.views(s, d), P.connectors(s, d), _signals(s, d), P.overrides(s, d), level)
+
+
+@query("SELECT view_id, element_id, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, element_id) AS rank FROM scored WHERE delta > -4) WHERE rank <= 8 OR delta > 0", SCORED)
+def view_content_projected(s, d):
+    return _content(s, d, -1)
+
+
+@query("SELECT view_id, element_id, name, score, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, element_id) AS rank FROM scored WHERE delta >= 0", SCORED)
+def view_content_full(s, d):
+    return _content(s, d, 2)
+
+
+@query("""SELECT view_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT c.view_id, c.id, round(CASE WHEN relationship IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN label IS NOT NULL THEN 6 ELSE 0 END - 0.001::DOUBLE * ln(1 + c.id::DOUBLE), 6) AS score
+  FROM connectors c SEMI JOIN scored a ON a.view_id = c.view_id AND a.element_id = c.source_element_id AND a.delta >= 0 SEMI JOIN scored b ON b.view_id = c.view_id AND b.element_id = c.target_element_id AND b.delta >= 0)) WHERE rank <= 24""", SCORED)
+def connector_projection(s, d):
+    return density.view_connectors(P.connectors(s, d), _content(s, d, 2), 0)
+
+
+@query()
+def connector_admission(s, d):
+    c = P.connectors(s, d).withColumn("score", F.col("id").cast("double")).withColumn("delta", F.when(F.col("id") % 53 == 0, 1).otherwise(0))
+    shown = _content(s, d, -1).groupBy("view_id").agg(F.collect_list("element_id").alias("shown"))
+    return c.join(shown, "view_id").select("view_id", "id", "source_element_id", "target_element_id", "score", "delta", "shown").groupBy("view_id").applyInPandas(lambda pdf: density.admit(pdf, 24), "view_id long, id long")
+
+
+@query("""SELECT e.id, kind, e.name, v.owner_element_id IS NOT NULL AS has_view, v.view_label, (SELECT count(*) FROM elements WHERE contains(lower(name), '1')) AS total
+FROM (SELECT * FROM elements WHERE contains(lower(name), '1') ORDER BY id DESC LIMIT 20 OFFSET 2) e LEFT JOIN (SELECT owner_element_id, min_by(name, id) AS view_label FROM views WHERE owner_element_id IS NOT NULL GROUP BY 1) v ON v.owner_element_id = e.id""")
+def element_search_page(s, d):
+    return relational.element_search(P.elements(s, d), P.views(s, d), " 1 ", 2, 20)
+
+
+@query("SELECT id, name FROM views WHERE contains(lower(name), 'a') ORDER BY id LIMIT 10 OFFSET 3")
+def view_listing(s, d):
+    return relational.page(P.views(s, d).where(F.lower("name").contains("a")).select("id", "name"), ["id"], 3, 10)
+
+
+@query("SELECT id, kind, name FROM elements WHERE kind = 'customer' AND name ILIKE '%1%' ORDER BY name, id LIMIT 100")
+def symbol_query(s, d):
+    return relational.page(P.elements(s, d).where((F.col("kind") == "customer") & F.col("name").ilike("%1%")).select("id", "kind", "name"), ["name", "id"], 0, 0)
+
+
+@query("SELECT id, source_element_id, target_element_id, line FROM connectors WHERE source_element_id = 4000007 OR target_element_id = 3000005 ORDER BY line, id LIMIT 100")
+def reference_query(s, d):
+    touch = (F.col("source_element_id") == 4000007) | (F.col("target_element_id") == 3000005)
+    return relational.page(P.connectors(s, d).where(touch).select("id", "source_element_id", "target_element_id", "line"), ["line", "id"], 0, 0)
+
+
+@query("SELECT c.id, c.target_element_id FROM connectors c SEMI JOIN (SELECT id FROM elements WHERE kind = 'customer' AND id % 50 = 0) k ON k.id = c.source_element_id")
+def batch_lookup(s, d):
+    keys = P.elements(s, d).where("kind = 'customer' and id % 50 = 0").select(F.col("id").alias("source_element_id"))
+    return P.connectors(s, d).join(keys, "source_element_id", "left_semi").select("id", "target_element_id")
+
+
+@query("SELECT element_id, round(score, 6) AS score, tier FROM decisions WHERE score >= 0.5 ORDER BY score DESC, element_id LIMIT 50")
+def decision_query(s, d):
+    return relational.page(P.decisions(s, d).where("score >= 0.5").select("element_id", F.round("score", 6).alias("score"), "tier"), [F.col("score").desc(), "element_id"], 0, 50)
+
+
+@query("SELECT v.id, v.name FROM views v WHERE NOT EXISTS (SELECT 1 FROM placements p WHERE p.element_id = v.owner_element_id AND p.view_id <> v.id)")
+def root_views_anti(s, d):
+    return relational.root_views(P.views(s, d), P.placements(s, d))
+
+
+@query("SELECT DISTINCT v.id, v.name FROM views v JOIN placements p ON p.element_id = v.owner_element_id WHERE p.view_id = 101 AND v.id <> 101")
+def child_views_semi(s, d):
+    return relational.child_views(P.views(s, d), P.placements(s, d), 101)
+
+
+@query("SELECT p.view_id, p.element_id, e.name, v.name AS child_view FROM placements p JOIN elements e ON e.id = p.element_id LEFT JOIN views v ON v.owner_element_id = e.id")
+def placed_elements(s, d):
+    v = P.views(s, d).select(F.col("owner_element_id"), F.col("name").alias("child_view"))
+    return P.placements(s, d).join(P.elements(s, d), F.col("element_id") == F.col("id")).join(v, F.col("element_id") == F.col("owner_element_id"), "left").select("view_id", "element_id", "name", "child_view")
+
+
+@query("SELECT e AS element_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source_element_id AS e, 0 AS i, 1 AS o FROM connectors UNION ALL SELECT target_element_id, 1, 0 FROM connectors) GROUP BY 1")
+def degree_maps(s, d):
+    return relational.degrees(P.connectors(s, d))
+
+
+@query("SELECT e AS element_id, count(DISTINCT x) AS neighbours FROM (SELECT source_element_id AS e, target_element_id AS x FROM connectors UNION ALL SELECT target_element_id, source_element_id FROM connectors) GROUP BY 1")
+def distinct_neighbours(s, d):
+    return relational.neighbours(P.connectors(s, d))
+
+
+@query("SELECT e AS element_id, x AS other, count(*) AS n, CASE WHEN bool_or(o) AND bool_or(NOT o) THEN 'top' WHEN bool_or(NOT o) THEN 'left' ELSE 'right' END AS position FROM (SELECT source_element_id AS e, target_element_id AS x, true AS o FROM connectors UNION ALL SELECT target_element_id, source_element_id, false FROM connectors) GROUP BY 1, 2")
+def neighbour_position(s, d):
+    return relational.neighbour_positions(P.connectors(s, d))
+
+
+@query("SELECT view_id, source_element_id, target_element_id, count(*) AS n, min(id) AS survivor FROM connectors GROUP BY ALL HAVING count(*) > 1")
+def duplicate_connectors(s, d):
+    return relational.duplicate_connectors(P.connectors(s, d))
+
+
+@query("""SELECT view_id, source_element_id, target_element_id, min(id) AS id, string_agg(r, ' / ' ORDER BY id) AS relationship, min_by(label, lid) FILTER (WHERE label IS NOT NULL) AS label
+FROM (SELECT view_id, source_element_id, target_element_id, relationship AS r, min(id) AS id, min_by(label, id) FILTER (WHERE label IS NOT NULL) AS label, min(id) FILTER (WHERE label IS NOT NULL) AS lid FROM connectors GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
+def merged_connectors(s, d):
+    return relational.merged_connectors(P.connectors(s, d))
+
+
+@query("SELECT element_id, round(filter_score, 6) AS filter_score, tier, round(confidence, 6) AS confidence FROM sig", SIGNALS)
+def filter_signal_rollup(s, d):
+    return _signals(s, d).select("element_id", F.round("filter_score", 6).alias("filter_score"), "tier", F.round("confidence", 6).alias("confidence"))
+
+
+VIEW_SCORES = SIGNALS + """, each AS (SELECT element_id, list_avg(list_filter([filter_score, CASE WHEN tier IS NOT NULL THEN greatest(0, 10 - tier) / 10.0::DOUBLE END, confidence], lambda x: x IS NOT NULL)) AS s FROM sig),
+vs AS (SELECT view_id, round(avg(s), 6) AS score FROM placements JOIN each USING (element_id) WHERE s IS NOT NULL GROUP BY 1)"""
+
+
+@query("SELECT view_id, score FROM vs", VIEW_SCORES)
+def view_signal_score(s, d):
+    return density.view_scores(P.placements(s, d), _signals(s, d))
+
+
+@query("SELECT v.id AS view_id, coalesce(level, 0)::INT AS level FROM views v LEFT JOIN (SELECT view_id, CASE WHEN count(*) OVER () = 1 THEN 0 ELSE (row_number() OVER (ORDER BY score, view_id) - 1) * 5 // count(*) OVER () - 2 END AS level FROM vs) r ON r.view_id = v.id", VIEW_SCORES)
+def density_bucket(s, d):
+    return density.density_levels(P.views(s, d), density.view_scores(P.placements(s, d), _signals(s, d)))
+
+
+@query("SELECT view_id, element_id, ((row_number() OVER (PARTITION BY view_id ORDER BY element_id) - 1) // 50)::BIGINT AS chunk FROM placements")
+def chunk_members(s, d):
+    return relational.chunk_members(P.placements(s, d), "view_id", ["element_id"], 50)
+
+
+@query("SELECT owner_element_id, min(id) AS id FROM views WHERE owner_element_id IS NOT NULL GROUP BY 1")
+def first_view_per_owner(s, d):
+    return relational.first_per_group(P.views(s, d).where("owner_element_id is not null").select("owner_element_id", "id"), "owner_element_id", ["id"])
+
+
+@query("SELECT repository_id, event_id, change_type FROM ev QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_run(s, d):
+    return P.events(s, d).groupBy("repository_id").agg(F.max_by(F.struct("event_id", "change_type"), F.struct("ts", "event_id")).alias("r")).select("repository_id", "r.event_id", "r.change_type")
+
+
+@query("SELECT repository_id, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY ts DESC, event_id DESC) <= 5")
+def retain_last_n(s, d):
+    return relational.keep_latest(P.events(s, d).select("repository_id", "event_id", "ts"), ["repository_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("repository_id", "event_id")
+
+
+@query("SELECT id, CASE WHEN count(*) OVER w > 1 THEN row_number() OVER (PARTITION BY source_element_id, target_element_id ORDER BY id) END::INT AS ordinal FROM connectors WINDOW w AS (PARTITION BY source_element_id, target_element_id)")
+def duplicate_ordinals(s, d):
+    return relational.duplicate_ordinals(P.connectors(s, d), ["source_element_id", "target_element_id"], ["id"]).select("id", F.col("ordinal").cast("int").alias("ordinal"))
+
+
+@query("SELECT source_element_id % 100 AS source_file, target_element_id % 100 AS target_file, count(*) AS n FROM connectors WHERE source_element_id % 100 <> target_element_id % 100 GROUP BY 1, 2")
+def file_pair_rollup(s, d):
+    c = P.connectors(s, d).select((F.col("source_element_id") % 100).alias("source_file"), (F.col("target_element_id") % 100).alias("target_file"))
+    return c.where("source_file <> target_file").groupBy("source_file", "target_file").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT source_folder, target_folder, n, CASE WHEN n > 24 THEN n || ' references' END AS label FROM (
+  SELECT source_element_id % 10 AS source_folder, target_element_id % 10 AS target_folder, count(*) AS n FROM connectors WHERE source_element_id % 10 <> target_element_id % 10 GROUP BY 1, 2) ORDER BY n DESC, 1, 2 LIMIT 100""")
+def folder_pair_collapse(s, d):
+    c = P.connectors(s, d).select((F.col("source_element_id") % 10).alias("source_folder"), (F.col("target_element_id") % 10).alias("target_folder"))
+    g = c.where("source_folder <> target_folder").groupBy("source_folder", "target_folder").agg(F.count("*").alias("n"))
+    return g.withColumn("label", F.when(F.col("n") > 24, F.concat(F.col("n").cast("string"), F.lit(" references")))).orderBy(F.col("n").desc(), "source_folder", "target_folder").limit(100)
+
+
+TAGS = "tg AS (SELECT DISTINCT source_element_id AS owner, 's' || (target_element_id % 100) AS tag FROM connectors), df AS (SELECT tag, count(*) AS df FROM tg GROUP BY 1), nn AS (SELECT count(DISTINCT owner) AS n FROM tg)"
+
+
+@query("SELECT owner, tag FROM (SELECT owner, tag, row_number() OVER (PARTITION BY owner ORDER BY df, tag) AS r FROM tg JOIN df USING (tag) WHERE df >= 2 AND df <= floor(0.70 * (SELECT n FROM nn))) WHERE r <= 5", TAGS)
+def tag_coverage(s, d):
+    tags = P.connectors(s, d).select(F.col("source_element_id").alias("owner"), F.concat(F.lit("s"), (F.col("target_element_id") % 100).cast("string")).alias("tag"))
+    return relational.covered_tags(tags, tags.select("owner").distinct().count()).select("owner", "tag")
+
+
+@query("SELECT type, enricher FROM (SELECT type, enricher, count(*) AS n FROM facts GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY type ORDER BY n DESC, enricher) = 1")
+def dominant_language(s, d):
+    n = P.facts(s, d).groupBy("type", "enricher").agg(F.count("*").alias("n"))
+    return relational.first_per_group(n, "type", [F.col("n").desc(), "enricher"]).select("type", "enricher")
+
+
+@query("SELECT type, enricher, count(*) AS n, count(*) || ' ' || type AS label FROM facts GROUP BY 1, 2")
+def fact_summary(s, d):
+    return P.facts(s, d).groupBy("type", "enricher").agg(F.count("*").alias("n")).withColumn("label", F.concat_ws(" ", F.col("n").cast("string"), "type"))
+
+
+@query("SELECT view_id, sha256(string_agg('r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id, chr(10) ORDER BY id)) AS hash FROM connectors GROUP BY 1")
+def raw_graph_hash(s, d):
+    line = F.concat_ws(":", F.lit("r"), "source_element_id", "target_element_id", "relationship", "id")
+    g = P.connectors(s, d).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("r"))
+    return g.select("view_id", F.sha2(F.array_join(F.transform("r", lambda x: x["l"]), "\n"), 256).alias("hash"))
+
+
+def _snapshots(s, d):
+    o = P.table(s, d, "orders")
+    h = lambda c: F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", c), 256)
+    before = o.where("o_orderkey % 7 <> 0").select("o_orderkey", h(F.lit("a")).alias("hash"))
+    after = o.where("o_orderkey % 5 <> 0").select("o_orderkey", h(F.when(F.col("o_orderkey") % 11 == 0, "b").otherwise("a")).alias("hash"))
+    return before, after
+
+
+SNAP = """b AS (SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderstatus || '|a') AS hash FROM orders WHERE o_orderkey % 7 <> 0),
+a AS (SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderstatus || '|' || CASE WHEN o_orderkey % 11 = 0 THEN 'b' ELSE 'a' END) AS hash FROM orders WHERE o_orderkey % 5 <> 0)"""
+
+
+@query("SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, b.hash AS before_hash, a.hash AS after_hash, CASE WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN 'deleted' ELSE 'updated' END AS change_type FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey WHERE b.hash IS DISTINCT FROM a.hash", SNAP)
+def snapshot_diff(s, d):
+    return diff.snapshot_diff(*_snapshots(s, d), "o_orderkey")
+
+
+@query("SELECT a.o_orderkey FROM a LEFT JOIN b USING (o_orderkey) WHERE b.hash IS DISTINCT FROM a.hash", SNAP)
+def changed_resources(s, d):
+    before, after = _snapshots(s, d)
+    return after.join(before, ["o_orderkey", "hash"], "left_anti").select("o_orderkey")
+
+
+@query("SELECT b.o_orderkey FROM b ANTI JOIN a USING (o_orderkey)", SNAP)
+def prune_missing(s, d):
+    before, after = _snapshots(s, d)
+    return diff.missing(before, after, "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT event_type AS resource_type, CASE WHEN value > 50 THEN 'added' ELSE 'updated' END AS change_type, count(*) AS n, sum(greatest(event_id % 7 - 2, 0))::BIGINT AS added, sum(greatest(event_id % 5 - 2, 0))::BIGINT AS removed FROM events GROUP BY 1, 2")
+def diff_summary(s, d):
+    e = P.table(s, d, "events").select(F.col("event_type").alias("resource_type"), F.when(F.col("value") > 50, "added").otherwise("updated").alias("change_type"), (F.col("event_id") % 7 - 2).alias("added_lines"), (F.col("event_id") % 5 - 2).alias("removed_lines"))
+    return diff.diff_summary(e)
+
+
+@query("SELECT path, CASE WHEN bool_or(change_type = 'error') THEN 'deleted' ELSE min_by(change_type, event_id) END AS change_type FROM ev GROUP BY 1")
+def merged_changes(s, d):
+    e = P.events(s, d).select(F.col("event_id").alias("grp"), "path", F.when(F.col("change_type") == "error", "deleted").otherwise(F.col("change_type")).alias("change_type"), F.lit("x").alias("language"))
+    return diff.merged_changes(e).select("path", "change_type")
+
+
+@query("""SELECT k AS key, name, x, action, conflicts FROM (
+  SELECT coalesce(b.k, l.k, s.k) AS k,
+    CASE WHEN b.k IS NOT NULL AND l.k IS NOT NULL AND s.k IS NULL THEN 'deleted' WHEN b.k IS NOT NULL AND l.k IS NULL THEN CASE WHEN s.t > b.t THEN 'server' ELSE 'removed' END
+      WHEN l.k IS NULL THEN 'added' WHEN s.k IS NULL THEN 'kept' WHEN (b.k IS NULL OR l.t > b.t) AND (b.k IS NULL OR s.t > b.t) THEN 'merged' WHEN b.k IS NULL OR s.t > b.t THEN 'server' ELSE 'kept' END AS action,
+    CASE WHEN action = 'merged' THEN CASE WHEN l.n IS NOT DISTINCT FROM b.n THEN s.n ELSE l.n END WHEN action IN ('server', 'added') THEN s.n ELSE l.n END AS name,
+    CASE WHEN action = 'merged' THEN CASE WHEN l.x IS NOT DISTINCT FROM b.x THEN s.x WHEN s.x IS NOT DISTINCT FROM b.x THEN l.x ELSE s.x END WHEN action IN ('server', 'added') THEN s.x ELSE l.x END AS x,
+    CASE WHEN action = 'merged' AND l.n IS DISTINCT FROM s.n AND l.n IS DISTINCT FROM b.n AND s.n IS DISTINCT FROM b.n THEN 1 ELSE 0 END AS conflicts
+  FROM (SELECT p_partkey AS k, p_name AS n, p_size AS x, 0 AS t FROM part WHERE p_partkey % 10 <> 0) b
+  FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'L' ELSE p_name END AS n, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE p_size END AS x, CASE WHEN p_partkey % 12 = 0 OR p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 1 ELSE 0 END AS t FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 20 <> 0) l ON l.k = b.k
+  FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 6 = 0 THEN 'S' ELSE p_name END AS n, CASE WHEN p_partkey % 8 = 0 THEN 2 ELSE p_size END AS x, CASE WHEN p_partkey % 6 = 0 OR p_partkey % 8 = 0 THEN 1 ELSE 0 END AS t FROM part WHERE p_partkey % 17 <> 0) s ON s.k = coalesce(b.k, l.k)) WHERE action NOT IN ('deleted', 'removed')""")
+def three_way_merge(s, d):
+    p, k = P.table(s, d, "part"), F.col("p_partkey")
+    side = lambda df, n, x, t: df.select(k.alias("key"), n.alias("name"), x.cast("int").alias("x"), t.cast("int").alias("updated_at"))
+    base = side(p.where("p_partkey % 10 <> 0"), F.col("p_name"), F.col("p_size"), F.lit(0))
+    local = side(p.where("p_partkey % 13 <> 0 and p_partkey % 20 <> 0"), F.when(k % 3 == 0, "L").otherwise(F.col("p_name")), F.when(k % 4 == 0, 1).otherwise(F.col("p_size")), ((k % 3 == 0) | (k % 4 == 0)))
+    server = side(p.where("p_partkey % 17 <> 0"), F.when(k % 6 == 0, "S").otherwise(F.col("p_name")), F.when(k % 8 == 0, 2).otherwise(F.col("p_size")), ((k % 6 == 0) | (k % 8 == 0)))
+    return diff.three_way(base, local, server, "key", ["x"], ["name", "x"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'Z' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT o_orderkey + 100000000, 'N' FROM orders WHERE o_orderkey % 100 = 0")
+def upserted(s, d):
+    o = P.table(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    new = o.where("o_orderkey % 9 = 0").withColumn("status", F.lit("Z")).union(o.where("o_orderkey % 100 = 0").select(F.col("o_orderkey") + 100000000, F.lit("N")))
+    return diff.upsert(o, new, ["o_orderkey"])
+
+
+@query("SELECT view_id, CASE WHEN source_element_id = 4000002 THEN 4000001 ELSE source_element_id END AS s, count(*) AS n FROM connectors GROUP BY ALL HAVING s = 4000001")
+def merged_entities(s, d):
+    m = diff.merge_entities(P.connectors(s, d), 4000001, 4000002)
+    return m.where("source_element_id = 4000001").groupBy("view_id", F.col("source_element_id").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT view_id, element_id, delta FROM overrides WHERE delta <> 0 AND element_id % 2 = 1 UNION ALL SELECT view_id, element_id, 4 FROM placements WHERE element_id % 1000 = 500 AND element_id >= 4000000")
+def override_set(s, d):
+    o = P.overrides(s, d)
+    ch = o.where("element_id % 2 = 0").withColumn("delta", F.lit(0)).unionByName(P.placements(s, d).where("element_id % 1000 = 500 and element_id >= 4000000").withColumn("delta", F.lit(99)))
+    latest = ch.groupBy("view_id", "element_id").agg(F.max("delta").alias("delta"))
+    return diff.set_override(o, latest)
+
+
+G1 = """e AS (SELECT DISTINCT c_nationkey::BIGINT AS source, s_nationkey::BIGINT AS target FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 97 = 0)"""
+
+
+def _nation_edges(s, d):
+    n = P.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("source"))
+    t = P.table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("target"))
+    o = P.table(s, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", "o_custkey")
+    return P.table(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(n, F.col("o_custkey") == F.col("c_custkey")).join(t, F.col("l_suppkey") == F.col("s_suppkey")).select("source", "target").distinct()
+
+
+@query()
+def visibility_fixpoint(s, d):
+    seeds = P.elements(s, d).where("kind in ('customer', 'supplier')").select("id", ((F.col("id") % 11) / 10).alias("base"), (F.col("id") % 101 == 0).alias("forced"))
+    refs = P.connectors(s, d).select(F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target"))
+    return graph.visibility(seeds, refs)
+
+
+@query("SELECT view_id, parent_id FROM (SELECT v.id AS view_id, min(p.view_id) AS parent_id FROM views v LEFT JOIN placements p ON p.element_id = v.owner_element_id AND p.view_id <> v.id GROUP BY 1)")
+def view_parents(s, d):
+    return graph.view_parents(P.views(s, d), P.placements(s, d))
+
+
+LINEAGE = """par AS (SELECT v.id AS view_id, min(p.view_id) AS parent_id FROM views v LEFT JOIN placements p ON p.element_id = v.owner_element_id AND p.view_id <> v.id GROUP BY 1),
+cl AS (SELECT view_id, view_id AS ancestor_id, 0 AS depth FROM par UNION ALL SELECT cl.view_id, par.parent_id, depth + 1 FROM cl JOIN par ON par.view_id = cl.ancestor_id WHERE par.parent_id IS NOT NULL)"""
+
+
+@query("SELECT view_id, ancestor_id, depth::INT AS depth FROM cl", LINEAGE, True)
+def lineage(s, d):
+    return graph.lineage(view_parents(s, d))
+
+
+@query("SELECT view_id, max(depth)::INT AS depth FROM cl GROUP BY 1", LINEAGE, True)
+def view_depths(s, d):
+    return graph.lineage(view_parents(s, d)).groupBy("view_id").agg(F.max("depth").alias("depth"))
+
+
+@query("SELECT a, b, min_by(ancestor_id, (da + db) * 1000000 + ancestor_id) AS lca, min(da + db)::BIGINT AS distance FROM (SELECT x.view_id AS a, y.view_id AS b, x.ancestor_id, x.depth AS da, y.depth AS db FROM cl x JOIN cl y ON x.ancestor_id = y.ancestor_id WHERE x.view_id < y.view_id AND x.view_id % 2 = 0) GROUP BY 1, 2", LINEAGE, True)
+def lca_distance(s, d):
+    v = P.views(s, d).select("id")
+    pairs = v.where("id % 2 = 0").select(F.col("id").alias("a")).join(v.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    return graph.lca(graph.lineage(view_parents(s, d)), pairs)
+
+
+@query("SELECT n AS id, min(m) AS component FROM (SELECT r.n, r.m FROM reach r) GROUP BY 1", """sel AS (SELECT c_custkey AS a, c_custkey // 3 + 1 AS b FROM customer WHERE c_custkey % 4 <> 0),
+reach AS (SELECT c_custkey AS n, c_custkey AS m FROM customer UNION SELECT x.a, r.m FROM (SELECT a, b FROM sel UNION SELECT b, a FROM sel) x JOIN reach r ON r.n = x.b)""", True)
+def connected_components(s, d):
+    c = P.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    return graph.components(c.where("id % 4 <> 0").select(F.col("id").alias("a"), (F.floor(F.col("id") / 3) + 1).cast("long").alias("b")), c)
+
+
+@query()
+def layout_levels(s, d):
+    return P.connectors(s, d).where("id % 20 = 1").select("view_id", "source_element_id", "target_element_id").groupBy("view_id").applyInPandas(graph.levels, "view_id long, element_id long, level long")
+
+
+@query("SELECT DISTINCT folder, len(string_split(folder, '/'))::BIGINT AS depth FROM (SELECT type AS folder FROM facts UNION ALL SELECT type || '/' || enricher FROM facts)")
+def folder_closure(s, d):
+    return graph.folders(P.facts(s, d).select(F.col("file_path").alias("path")))
+
+
+INTERVALS = "iv AS (SELECT l_suppkey AS file, l_orderkey || ':' || l_linenumber AS name, (l_orderkey % 1000)::BIGINT AS s, CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_orderkey % 1000 + l_quantity)::BIGINT END AS e FROM lineitem), pt AS (SELECT DISTINCT ps AS file, ln AS line FROM (SELECT l_suppkey AS ps, (l_partkey % 1100)::BIGINT AS ln FROM lineitem WHERE l_linenumber = 1))"
+
+
+@query("SELECT file, line, min_by(name, (100000 - s)::VARCHAR || name) AS name, max(s) AS start FROM pt JOIN iv USING (file) WHERE s <= line AND line <= coalesce(e, line) GROUP BY 1, 2", INTERVALS)
+def enclosing_interval(s, d):
+    li = P.table(s, d, "lineitem")
+    iv = li.select(F.col("l_suppkey").alias("file"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("name"), (F.col("l_orderkey") % 1000).alias("start"), F.when(F.col("l_linenumber") != 3, (F.col("l_orderkey") % 1000 + F.col("l_quantity")).cast("long")).alias("end"))
+    pt = li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 1100).alias("line")).distinct()
+    return resolve.enclosing(pt, iv)
+
+
+@query("""SELECT file_path AS path, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'show' END, CASE WHEN enricher IN ('en', 'de') THEN 'hide' END, 'show') AS action,
+  greatest(CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END, CASE WHEN enricher IN ('en', 'de') THEN 3 ELSE 0 END, 2)::INT AS tier FROM facts""")
+def ancestor_policy_lookup(s, d):
+    f = P.facts(s, d)
+    p = f.where("doc_id % 10 = 0").select(F.col("file_path").alias("prefix"), F.lit("show").alias("action"), F.lit(1).alias("tier"))
+    p = p.union(f.where(F.col("enricher").isin("en", "de")).select(F.concat_ws("/", "type", "enricher"), F.lit("hide"), F.lit(3)).distinct()).union(f.select("type", F.lit("show"), F.lit(2)).distinct())
+    return resolve.prefix_lookup(f.select(F.col("file_path").alias("path")), p)
+
+
+@query("""SELECT file_path AS path, CASE WHEN type = 'src7' AND enricher = 'en' THEN 'team-e' WHEN file_path LIKE 'src1/%' THEN 'team-d' WHEN enricher = 'fr' THEN 'team-c' WHEN regexp_matches(file_path, '^src[0-9]/de/') THEN 'team-b' ELSE 'all' END AS owner FROM facts""")
+def pattern_owner_last_match(s, d):
+    rules = [("*", "all"), ("/src?/de/", "team-b"), ("fr", "team-c"), ("/src1/**", "team-d"), ("src7/en", "team-e")]
+    return resolve.last_match(P.facts(s, d).select(F.col("file_path").alias("path")), rules)
+
+
+@query("SELECT file_path AS path, type = 'src3' OR (enricher = 'es' AND type <> 'src4') AS ignored FROM facts")
+def ignore_rules(s, d):
+    return resolve.ignored(P.facts(s, d).select(F.col("file_path").alias("path")), ["src3"], ["es", "!src4/es", "!src3"])
+
+
+IDENT = """sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS file, l_returnflag AS kind, (l_orderkey % 500)::BIGINT AS line, (l_partkey % 50)::BIGINT AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem WHERE l_orderkey % 10 = 0),
+idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + 1)::BIGINT AS line, (l_partkey % 50)::BIGINT AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem WHERE l_orderkey % 30 = 1)"""
+
+
+def _identities(s, d):
+    li = P.table(s, d, "lineitem")
+    tok = F.array("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string")).alias("tokens")
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber")
+    sy = li.where("l_orderkey % 10 = 0").select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
+    idn = li.where("l_orderkey % 30 = 1").select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
+    return resolve.identity_scores(sy, idn)
+
+
+@query("""SELECT key, identity, round(max(score), 6) AS score FROM (
+  SELECT key, identity, 0.35::DOUBLE + CASE WHEN s.hash = i.hash THEN 0.35::DOUBLE ELSE 0 END + 0.2::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) + 0.1::DOUBLE AS score FROM sy s JOIN idn i ON s.file = i.file AND s.kind = i.kind AND abs(s.line - i.line) <= 3
+  UNION ALL SELECT key, identity, 0.8::DOUBLE + 0.1::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) FROM sy s JOIN idn i ON s.kind = i.kind AND s.hash = i.hash WHERE i.file NOT IN (SELECT file FROM sy)) GROUP BY 1, 2 HAVING round(max(score), 6) >= 0.70""", IDENT)
+def identity_candidates(s, d):
+    return _identities(s, d)
+
+
+@query()
+def identity_matches(s, d):
+    c = _identities(s, d)
+    return c.withColumn("file", F.split_part("identity", F.lit(":"), F.lit(1))).groupBy("file").applyInPandas(lambda pdf: resolve.greedy_matches(pdf), "key string, identity string, score double")
+
+
+@query("""SELECT key, id, score, rank FROM (SELECT *, min(CASE WHEN rank = 1 AND score - nxt <= 0.02 THEN 1 ELSE 2 END) OVER (PARTITION BY key) AS amb FROM (
+  SELECT key, id, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, id) AS rank, lead(score) OVER (PARTITION BY key ORDER BY score DESC, id) AS nxt FROM (
+    SELECT a.p_partkey AS key, b.p_partkey AS id, round(CASE WHEN a.p_brand = b.p_brand THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN lower(a.p_name) = lower(b.p_name) THEN 0.42::DOUBLE ELSE 0 END + CASE WHEN sh >= 1 THEN 0.30::DOUBLE ELSE 0 END + CASE WHEN sh >= 2 THEN 0.16::DOUBLE ELSE 0 END, 6) AS score
+    FROM (SELECT a, b, len(list_intersect(list_distinct(string_split(a.p_type || ' ' || a.p_name, ' ')), list_distinct(string_split(b.p_type || ' ' || b.p_name, ' ')))) AS sh FROM part a JOIN part b ON a.p_partkey % 20 = 0)) WHERE score >= 0.72)) WHERE rank <= 12 AND amb = 2""")
+def entity_link_scores(s, d):
+    p = P.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("repo"), F.col("p_name").alias("name"), F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).alias("tokens"))
+    return resolve.linked_entities(p.where("id % 20 = 0").withColumnRenamed("id", "key"), p)
+
+
+@query("""SELECT query, id, similarity, rank FROM (SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id AND q.vec_id % 50 = 0)) WHERE rank <= 10""")
+def knn_cosine(s, d):
+    v = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return resolve.knn(v, v.where("id % 50 = 0"), 10)
+
+
+@query("""SELECT word, name, distance::INT AS distance FROM (SELECT word, name, levenshtein(lower(word), lower(name)) AS distance, row_number() OVER (PARTITION BY word ORDER BY levenshtein(lower(word), lower(name)), length(name), name) AS r FROM (SELECT DISTINCT p_type AS name FROM part) CROSS JOIN (SELECT DISTINCT replace(p_type, 'E', 'I') || 'x' AS word FROM part) WHERE levenshtein(lower(word), lower(name)) <= 3) WHERE r <= 3""")
+def catalog_suggest(s, d):
+    t = P.table(s, d, "part").select(F.col("p_type").alias("name")).distinct()
+    return relational.suggestions(t, t.select(F.concat(F.regexp_replace("name", "E", "I"), F.lit("x")).alias("word")).distinct()).select("word", "name", F.col("distance").cast("int").alias("distance"))
+
+
+@query(r"""SELECT token, count(*) AS n FROM (SELECT CASE WHEN t[1] IN ('"', '''') THEN 'string_lit' WHEN regexp_matches(t, '^[0-9]') THEN 'number_lit' ELSE lower(t) END AS token FROM (SELECT unnest(regexp_extract_all(text, '("[^"]*"|''[^'']*''|[A-Za-z_][A-Za-z0-9_]*|[0-9]+)', 1)) AS t FROM documents)) GROUP BY 1""")
+def lexical_token_counts(s, d):
+    return P.table(s, d, "documents").select(F.explode(text.lexical_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(p_name) - 1), lambda i: p_name[i:i + 2])) AS g FROM part) GROUP BY 1")
+def char_ngrams(s, d):
+    return P.table(s, d, "part").select(F.explode(text.char_ngrams(F.col("p_name"), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::BIGINT % 512)::BIGINT AS idx, CASE WHEN ('0x' || h[9:10])::INT % 2 = 1 THEN -1 ELSE 1 END::INT AS sign FROM (SELECT p_partkey, sha256('tok:' || p_name) AS h FROM part)")
+def feature_hash(s, d):
+    t = F.concat(F.lit("tok:"), F.col("p_name"))
+    return P.table(s, d, "part").select("p_partkey", text.feature_index(t, 512).alias("idx"), text.feature_sign(t).alias("sign"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugs(s, d):
+    return P.table(s, d, "part").select("p_partkey", text.slug(F.concat_ws(" ", "p_type", "p_brand")).alias("slug"))
+
+
+@query("SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[:/?#].*$', '')) AS host FROM pages")
+def endpoint_hosts(s, d):
+    return P.table(s, d, "pages").select("page_id", text.endpoint_host(F.col("url")).alias("host"))
+
+
+@query("""SELECT page_id, count(*) AS n, min('GET ' || m) AS first_name FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS m FROM pages) GROUP BY 1""")
+def route_facts(s, d):
+    f = P.table(s, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
+    return enrich.route_facts(f, 'href="([^"]*)"', None, 1, "GET").groupBy(F.col("path").alias("page_id")).agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+
+
+@query("SELECT page_id, CASE WHEN contains(html, '<table') THEN '<table' WHEN contains(html, '<ul') THEN '<ul' ELSE '<p' END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '/\\*.*?\\*/', '', 'gs'), '//[^\\n]*', '', 'g'), '#[^\\n]*', '', 'g') AS html FROM pages) WHERE contains(html, '<table') OR contains(html, '<ul') OR contains(html, '<p')")
+def pattern_facts(s, d):
+    f = P.table(s, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
+    return enrich.pattern_facts(f, [{"id": "markup", "type": "ui.block", "tokens": ["<table", "<ul", "<p"]}]).select(F.col("path").alias("page_id"), "name")
+
+
+@query("""SELECT doc_id, score, (hs OR dp) AND score >= 1.0 AS visible FROM (SELECT doc_id, type IN ('src0', 'src1') AS hs, enricher = 'de' AS dp, round(CASE WHEN type IN ('src0', 'src1') THEN 1.5::DOUBLE * confidence WHEN enricher = 'de' THEN 0.2::DOUBLE * confidence ELSE 0 END + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END, 6) AS score FROM facts)""")
+def fact_scores(s, d):
+    f = P.facts(s, d).withColumn("file_visible", F.col("n_chars") % 2 == 0)
+    return enrich.fact_scores(f, F.col("type").isin("src0", "src1"), F.col("enricher") == "de").select("doc_id", "score", "visible")
+
+
+@query("""SELECT type, id, name, rank::INT AS rank FROM (
+  SELECT * FROM (SELECT 'view' AS type, id, name, CASE WHEN lower(name) = 'ira' THEN 0 WHEN lower(name) LIKE 'ira%' THEN 1 WHEN lower(name) LIKE '%ira%' THEN 2 ELSE 3 END AS rank FROM views WHERE lower(name) LIKE '%ira%' ORDER BY rank, name, id LIMIT 4)
+  UNION ALL SELECT * FROM (SELECT 'element', id, name, CASE WHEN lower(name) = 'ira' THEN 0 WHEN lower(name) LIKE 'ira%' THEN 1 WHEN lower(name) LIKE '%ira%' THEN 2 ELSE 3 END AS rank FROM elements WHERE lower(name) LIKE '%ira%' OR lower(kind) LIKE '%ira%' OR lower(coalesce(technology, '')) LIKE '%ira%' ORDER BY rank, name, id LIMIT 6)) ORDER BY type DESC, rank, name, id LIMIT 8""")
+def jump_search(s, d):
+    return relational.jump_search(P.views(s, d), P.elements(s, d), " Ira ")
+
+
+def _lint(s, d, code):
+    args = P.elements(s, d), P.views(s, d), P.placements(s, d), P.connectors(s, d)
+    return lint.RULES[code][1](*args).select(F.col("location").cast("long").alias("location"))
+
+
+@query("SELECT view_id AS location FROM placements GROUP BY 1 HAVING count(*) > 20")
+def lint_density(s, d):
+    return _lint(s, d, "density")
+
+
+@query("SELECT id AS location FROM elements WHERE id NOT IN (SELECT source_element_id FROM connectors) AND id NOT IN (SELECT target_element_id FROM connectors)")
+def lint_isolated(s, d):
+    return _lint(s, d, "isolated")
+
+
+@query("SELECT view_id AS location FROM (SELECT view_id, count(*) AS n FROM placements GROUP BY 1) LEFT JOIN (SELECT view_id, count(*) AS m FROM connectors GROUP BY 1) USING (view_id) WHERE 2 * coalesce(m, 0) < n")
+def lint_low_insight(s, d):
+    return _lint(s, d, "low_insight")
+
+
+@query("SELECT min(id) AS location FROM elements GROUP BY lower(name) HAVING count(*) > 1")
+def lint_duplicate_name(s, d):
+    return _lint(s, d, "duplicate_name")
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT 'dangling_connector' AS rule, id FROM connectors WHERE source_element_id NOT IN (SELECT id FROM elements) OR target_element_id NOT IN (SELECT id FROM elements)
+  UNION ALL SELECT 'dead_end', t FROM (SELECT DISTINCT target_element_id AS t FROM connectors) WHERE t NOT IN (SELECT source_element_id FROM connectors)
+  UNION ALL SELECT 'density', view_id FROM placements GROUP BY view_id HAVING count(*) > 20
+  UNION ALL SELECT 'duplicate_name', min(id) FROM elements GROUP BY lower(name) HAVING count(*) > 1
+  UNION ALL SELECT 'isolated', id FROM elements WHERE id NOT IN (SELECT source_element_id FROM connectors) AND id NOT IN (SELECT target_element_id FROM connectors)
+  UNION ALL SELECT 'low_insight', view_id FROM (SELECT view_id, count(*) AS n FROM placements GROUP BY 1) LEFT JOIN (SELECT view_id, count(*) AS m FROM connectors GROUP BY 1) USING (view_id) WHERE 2 * coalesce(m, 0) < n
+  UNION ALL SELECT 'missing_description', id FROM elements WHERE coalesce(trim(description), '') = ''
+  UNION ALL SELECT 'missing_label', id FROM connectors WHERE coalesce(trim(label), '') = ''
+  UNION ALL SELECT 'shared_context', element_id FROM placements GROUP BY element_id HAVING count(DISTINCT view_id) > 1) GROUP BY 1""")
+def lint_summary(s, d):
+    out = lint.lint(P.elements(s, d), P.views(s, d), P.placements(s, d), P.connectors(s, d))
+    return out.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+ISLANDS = "g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY repository_id ORDER BY ts, event_id) AS island FROM (SELECT *, lag(ts) OVER (PARTITION BY repository_id ORDER BY ts, event_id) AS p FROM ev))"
+
+
+@query("SELECT repository_id, min(ts) AS started, count(*) AS events, count(DISTINCT path) AS paths FROM g GROUP BY repository_id, island", ISLANDS)
+def debounced_batches(s, d):
+    return changes.debounced(P.events(s, d), "6 hours")
+
+
+@query("SELECT event_id, repository_id, change_type FROM (SELECT *, lag(change_type) OVER (PARTITION BY repository_id, path ORDER BY ts, event_id) AS b FROM ev) WHERE b IS NULL OR b <> change_type")
+def change_suppression(s, d):
+    return changes.changed_only(P.events(s, d)).select("event_id", "repository_id", "change_type")
+
+
+@query("SELECT started, n, sum(n) OVER (ORDER BY started)::BIGINT AS total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, count(*) AS n FROM ev GROUP BY 1)")
+def interval_counter(s, d):
+    return changes.running_totals(changes.interval_counts(P.events(s, d), "1 hour"))
+
+
+@query("SELECT repository_id, count(*) AS stale, max(gap) AS longest_us FROM (SELECT repository_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY repository_id ORDER BY ts, event_id)) AS gap FROM ev) WHERE gap > 21600 * 1000000::BIGINT GROUP BY 1")
+def stale_heartbeat(s, d):
+    return changes.stale_beats(P.events(s, d), 21600)
+
+
+@query()
+def proxy_connectors(s, d):
+    closure = graph.lineage(view_parents(s, d))
+    return crossview.proxy_connectors(P.connectors(s, d), P.placements(s, d), closure, P.views(s, d))
+
+
+@query("SELECT v.id AS view_id, coalesce(e, 0)::BIGINT AS elements, coalesce(k, 0)::BIGINT AS children, coalesce(c, 0)::BIGINT AS connectors FROM views v LEFT JOIN (SELECT view_id, count(*) AS e, count(w.id) AS k FROM placements p LEFT JOIN views w ON w.owner_element_id = p.element_id GROUP BY 1) a ON a.view_id = v.id LEFT JOIN (SELECT view_id, count(*) AS c FROM connectors GROUP BY 1) b ON b.view_id = v.id")
+def view_summary(s, d):
+    v = P.views(s, d)
+    kids = v.select(F.col("owner_element_id"), F.col("id").alias("child")).where("owner_element_id is not null")
+    p = P.placements(s, d).join(kids, F.col("element_id") == F.col("owner_element_id"), "left").groupBy("view_id").agg(F.count("*").alias("elements"), F.count("child").alias("children"))
+    c = P.connectors(s, d).groupBy("view_id").agg(F.count("*").alias("connectors"))
+    out = v.select(F.col("id").alias("view_id")).join(p, "view_id", "left").join(c, "view_id", "left")
+    return out.select("view_id", *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("elements", "children", "connectors")])
+
+
+@query("SELECT kind, count(*) AS elements, count(description) AS described, count(technology) AS with_technology FROM elements GROUP BY 1")
+def resource_counts(s, d):
+    return P.elements(s, d).groupBy("kind").agg(F.count("*").alias("elements"), F.count("description").alias("described"), F.count("technology").alias("with_technology"))
