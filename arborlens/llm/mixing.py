@@ -50,9 +50,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 def pivot(sizes, fractions, rng: random.Random):
     """Round fractions dependently, keeping sum(size x fraction): (0, 1 or -1 for the one left open, its fraction).
 
-    sizes descend. Each document is paired with the pool of all smaller ones: mass goes up to it or down
-    to the pool until it, or the whole pool, is integral. So what stays open at the end is small.
+    sizes descend. With equal fractions (a source's documents) each document is paired with the pool of all
+    smaller ones: mass goes up to it or down to the pool until it, or the whole pool, is integral. So
+    what stays open at the end is small. Unequal fractions (what the tree passes up) are paired two by two.
     """
+    live = [b for b in fractions if EPS < b < 1 - EPS]
+    if live and max(live) - min(live) > EPS:
+        return _two_by_two(sizes, fractions, rng)
     taken = np.zeros(len(sizes), np.int64)
     todo = [j for j, b in enumerate(fractions) if EPS < b < 1 - EPS]
     for j, b in enumerate(fractions):
@@ -89,6 +93,33 @@ def pivot(sizes, fractions, rng: random.Random):
     return taken, 0.0
 
 
+def _two_by_two(sizes, fractions, rng: random.Random):
+    taken = np.zeros(len(sizes), np.int64)
+    i, a = -1, 0.0
+    for j, b in enumerate(fractions):
+        if b <= EPS or b >= 1 - EPS:
+            taken[j] = b > 0.5
+            continue
+        if i < 0:
+            i, a = j, b
+            continue
+        s, t = sizes[i], sizes[j]
+        up, down = min((1 - a) * s, b * t), min(a * s, (1 - b) * t)
+        move = up if rng.random() * (up + down) < down else -down
+        a, b = a + move / s, b - move / t
+        if EPS < a < 1 - EPS:
+            taken[j] = b > 0.5
+            continue
+        taken[i] = a > 0.5
+        i, a = j, b
+        if b <= EPS or b >= 1 - EPS:
+            taken[j] = b > 0.5
+            i = -1
+    if i >= 0:
+        taken[i] = -1
+    return taken, a
+
+
 def _level(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf["weight"] = pdf["size"] * pdf["m"]
