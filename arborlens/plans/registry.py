@@ -136,7 +136,7 @@ def duplicate_connectors(s, d):
     return relational.duplicate_connectors(P.connectors(s, d))
 
 
-@query("""SELECT view_id, source_element_id, target_element_id, min(id) AS id, string_agg(r, ' / ' ORDER BY id) AS relationship, min_by(label, lid) FILTER (WHERE label IS NOT NULL) AS label
+@query("""SELECT view_id, source_element_id, target_element_id, min(id) AS id, string_agg(r, ' / ' ORDER BY id, r) AS relationship, min_by(label, lid) FILTER (WHERE label IS NOT NULL) AS label
 FROM (SELECT view_id, source_element_id, target_element_id, relationship AS r, min(id) AS id, min_by(label, id) FILTER (WHERE label IS NOT NULL) AS label, min(id) FILTER (WHERE label IS NOT NULL) AS lid FROM connectors GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
 def merged_connectors(s, d):
     return relational.merged_connectors(P.connectors(s, d))
@@ -220,7 +220,7 @@ def fact_summary(s, d):
     return P.facts(s, d).groupBy("type", "enricher").agg(F.count("*").alias("n")).withColumn("label", F.concat_ws(" ", F.col("n").cast("string"), "type"))
 
 
-@query("SELECT view_id, sha256(string_agg('r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id, chr(10) ORDER BY id)) AS hash FROM connectors GROUP BY 1")
+@query("SELECT view_id, sha256(string_agg(l, chr(10) ORDER BY id, l)) AS hash FROM (SELECT view_id, id, 'r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id AS l FROM connectors) GROUP BY 1")
 def raw_graph_hash(s, d):
     line = F.concat_ws(":", F.lit("r"), "source_element_id", "target_element_id", "relationship", "id")
     g = P.connectors(s, d).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("r"))
@@ -371,7 +371,7 @@ def folder_closure(s, d):
 INTERVALS = "iv AS (SELECT l_suppkey AS file, l_orderkey || ':' || l_linenumber AS name, (l_orderkey % 1000)::BIGINT AS s, CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_orderkey % 1000 + l_quantity)::BIGINT END AS e FROM lineitem), pt AS (SELECT DISTINCT ps AS file, ln AS line FROM (SELECT l_suppkey AS ps, (l_partkey % 1100)::BIGINT AS ln FROM lineitem WHERE l_linenumber = 1))"
 
 
-@query("SELECT file, line, min_by(name, (100000 - s)::VARCHAR || name) AS name, max(s) AS start FROM pt JOIN iv USING (file) WHERE s <= line AND line <= coalesce(e, line) GROUP BY 1, 2", INTERVALS)
+@query("SELECT file, line, min_by(name, (200000 - s)::VARCHAR || name) AS name, max(s) AS start FROM pt JOIN iv USING (file) WHERE s <= line AND line <= coalesce(e, line) GROUP BY 1, 2", INTERVALS)
 def enclosing_interval(s, d):
     li = P.table(s, d, "lineitem")
     iv = li.select(F.col("l_suppkey").alias("file"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("name"), (F.col("l_orderkey") % 1000).alias("start"), F.when(F.col("l_linenumber") != 3, (F.col("l_orderkey") % 1000 + F.col("l_quantity")).cast("long")).alias("end"))
@@ -492,10 +492,10 @@ def fact_scores(s, d):
 
 
 @query("""SELECT type, id, name, rank::INT AS rank FROM (
-  SELECT * FROM (SELECT 'view' AS type, id, name, CASE WHEN lower(name) = 'ira' THEN 0 WHEN lower(name) LIKE 'ira%' THEN 1 WHEN lower(name) LIKE '%ira%' THEN 2 ELSE 3 END AS rank FROM views WHERE lower(name) LIKE '%ira%' ORDER BY rank, name, id LIMIT 4)
-  UNION ALL SELECT * FROM (SELECT 'element', id, name, CASE WHEN lower(name) = 'ira' THEN 0 WHEN lower(name) LIKE 'ira%' THEN 1 WHEN lower(name) LIKE '%ira%' THEN 2 ELSE 3 END AS rank FROM elements WHERE lower(name) LIKE '%ira%' OR lower(kind) LIKE '%ira%' OR lower(coalesce(technology, '')) LIKE '%ira%' ORDER BY rank, name, id LIMIT 6)) ORDER BY type DESC, rank, name, id LIMIT 8""")
+  SELECT * FROM (SELECT 'view' AS type, id, name, CASE WHEN lower(name) = 'nat' THEN 0 WHEN lower(name) LIKE 'nat%' THEN 1 WHEN lower(name) LIKE '%nat%' THEN 2 ELSE 3 END AS rank FROM views WHERE lower(name) LIKE '%nat%' ORDER BY rank, name, id LIMIT 4)
+  UNION ALL SELECT * FROM (SELECT 'element', id, name, CASE WHEN lower(name) = 'nat' THEN 0 WHEN lower(name) LIKE 'nat%' THEN 1 WHEN lower(name) LIKE '%nat%' THEN 2 ELSE 3 END AS rank FROM elements WHERE lower(name) LIKE '%nat%' OR lower(kind) LIKE '%nat%' OR lower(coalesce(technology, '')) LIKE '%nat%' ORDER BY rank, name, id LIMIT 6)) ORDER BY type DESC, rank, name, id LIMIT 8""")
 def jump_search(s, d):
-    return relational.jump_search(P.views(s, d), P.elements(s, d), " Ira ")
+    return relational.jump_search(P.views(s, d), P.elements(s, d), " Nat ")
 
 
 def _lint(s, d, code):
