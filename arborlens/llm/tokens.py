@@ -13,9 +13,9 @@ so that one document is read from one segment, by its index, without the others.
 are stored as rows of Parquet files in a shared folder, so any file system that
 Spark writes to will do.
 
-The pre-tokenizer cuts before every single space that precedes a visible character,
-so a text is encoded piece by piece through a bounded cache of whole pieces;
-texts with other white space next to spaces are encoded whole.
+The pre-tokenizer cuts before every single space that precedes a visible character, and where an ASCII
+letter is followed by an ASCII character that is none, so a text is encoded piece by piece through a bounded cache of whole pieces, named by 64-bit
+hashes; texts with other white space after a space, or with the strings of special ids, are encoded whole.
 
 Defined results: null text is empty and holds the end id alone. Rows come in
 ascending doc_id order, null doc_ids first, equal ones by their text's hash.
@@ -34,15 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import blobs, exact_key, prepare, stored
+from .core import blobs, chunks, combine, exact_key, powers, prepare, stored, text_buffers
 
 SAMPLE = 256
 SAMPLE_BYTES = 1 << 16
 DICT_BYTES = 1 << 16
 SEGMENT_BYTES = 4 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 MAGIC = b"IDSEG1"
 _HEAD = struct.Struct("<6sH32sI")
+#: Bytes of ASCII white space, as the pre-tokenizer sees it.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
+_SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "u1"), ("ids", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 
 
@@ -62,8 +67,12 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         state = self.tokenizer.pre_tokenizer.__class__.__name__
         self.by_piece = state == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.first = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -71,43 +80,80 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """The text cut before each single space; None if it must be encoded whole."""
-        if not self.by_piece or "  " in text or any(t in text for t in self.special):
-            return None
-        if not text or text[0] == " " or text[-1] == " ":
-            return None if text else []
-        parts = text.split(" ")
-        if any(p[0].isspace() for p in parts):
-            return None
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, cut = [], []
-        for i, text in enumerate(texts):
-            parts = self.pieces(text)
-            if parts is None:
-                whole.append(i)
-            elif not parts:
-                out[i] = b""
-            else:
-                cut.append((i, parts))
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache = self.cache
-        new = {p for _, parts in cut for p in parts[1:]}.difference(cache)
-        if new:
-            listed = list(new)
-            cache.update(zip(listed, self._whole([" " + p for p in listed])))
-        firsts = self._whole([parts[0] for _, parts in cut])
-        for (i, parts), first in zip(cut, firsts):
-            out[i] = first + b"".join([cache[p] for p in parts[1:]])
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        # A few at a time: the library's results take about a thousand bytes each.
+        return [np.array(e.ids, self.kind) for i in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte of each piece, whether each row may be cut): a piece starts with a row, at each space and at other sure edges."""
+        n = len(data)
+        size = np.diff(offsets)
+        may = np.full(len(size), self.by_piece)
+        begin = np.zeros(n, bool)
+        begin[offsets[:-1][size > 0]] = True
+        space = np.flatnonzero(data == 32)
+        after = np.zeros(n + 3, np.uint8)
+        after[:n] = data
+        one, two = after[space + 1], after[space + 2]
+        odd = _BLANK[one] | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & (two == 0x9A)) | ((one == 0xE2) & (two <= 0x81)) | ((one == 0xE3) & (two == 0x80))
+        odd |= begin[space] | np.isin(space + 1, offsets)
+        may[np.searchsorted(offsets, space[odd], "right") - 1] = False
+        body = data.tobytes()
+        for token in self.special:
+            at = body.find(token)
+            while at >= 0:
+                may[np.searchsorted(offsets, at, "right") - 1] = False
+                at = body.find(token, at + 1)
+        begin[space] = True
+        # Also sure edges of the pre-tokenizer: an ASCII letter and then no letter; after a single line end between visible ASCII.
+        begin[1:] |= _LETTER[data[:-1]] & ~_LETTER[data[1:]] & (data[1:] < 128)
+        begin[2:] |= _SEEN[data[:-2]] & (data[1:-1] == 10) & _SEEN[data[2:]]
+        return np.flatnonzero(begin), may
+
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids in each)."""
+        p, q = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
+        names = combine((total[end] - total[start]) * q[start], (end - start).astype(np.uint64))
+        values, at, back = np.unique(names, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.names, values)
+        place = np.full(len(values), -1)
+        known = np.flatnonzero(slot < len(self.names))
+        known = known[self.names[slot[known]] == values[known]]
+        place[known] = self.place[slot[known]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            body = data.tobytes()
+            made = self._whole([body[start[i] : end[i]].decode() for i in at[new].tolist()])
+            place[new] = len(self.first) - 1 + np.arange(len(new))
+            self.names, self.place = np.insert(self.names, slot[new], values[new]), np.insert(self.place, slot[new], place[new])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in made])])
+            self.flat = np.concatenate([self.flat, *made])
+        place = place[back]
+        n = self.first[place + 1] - self.first[place]
+        take = np.repeat(self.first[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.flat[take], n
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Serialised ids of each text of a column."""
+        out: list[bytes] = []
+        for _, data, offsets in chunks(*text_buffers(column)):
+            start, may = self._cut(data, offsets)
+            row = np.searchsorted(offsets, start, "right") - 1
+            end = np.append(start[1:], len(data))
+            cut = may[row]
+            if len(self.place) > CACHE_PIECES:
+                self.forget()
+            ids, n = self._pieces(data, start[cut], end[cut])
+            edge = self.width * np.concatenate([[0], np.cumsum(np.bincount(row[cut], n, len(may)).astype(np.int64))])
+            body = ids.tobytes()
+            got = [body[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            rest = np.flatnonzero(~may)
+            text = data.tobytes()
+            for i, x in zip(rest.tolist(), self._whole([text[offsets[i] : offsets[i + 1]].decode() for i in rest])):
+                got[i] = x.tobytes()
+            out += got
         return out
 
 
@@ -156,7 +202,7 @@ def _sample_ids(path: str):
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([blobs(encoder.encode([t or "" for t in batch.column("text").to_pylist()]))], ["ids"])
+            yield pa.RecordBatch.from_arrays([blobs(encoder.encode(batch.column("text")))], ["ids"])
 
     return run
 
@@ -166,7 +212,9 @@ def _write(path: str, end: int, dictionary: bytes):
         encoder = Encoder.of(path)
         stop = np.array([end], encoder.kind).tobytes()
         digest = hashlib.sha256(dictionary).digest()
-        writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_checksum=False)
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=3)
+        writer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True, write_checksum=False)
         part, rows, held, number = TaskContext.get().partitionId(), [], 0, 0
 
         def flush():
@@ -174,7 +222,7 @@ def _write(path: str, end: int, dictionary: bytes):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(docs, encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for doc_id, ids in zip(docs, encoder.encode(batch.column("text"))):
                 ids += stop
                 frame = writer.compress(ids)
                 rows.append((doc_id, len(ids) // encoder.width, frame))
