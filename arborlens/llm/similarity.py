@@ -35,13 +35,13 @@ _A = (_rng.integers(1, 1 << 32, WIDTH, dtype=np.uint64) | 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32)
 
 
-def minwise(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """WIDTH minwise values (uint32) of each set of 64-bit hashes; an empty set has the largest ones."""
-    low = np.full((len(counts), WIDTH), 0xFFFFFFFF, np.uint32)
+def minwise(values: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The first `width` of WIDTH minwise values (uint32) of each set of 64-bit hashes; an empty set has the largest ones."""
+    low = np.full((len(counts), width), 0xFFFFFFFF, np.uint32)
     x = (values ^ (values >> np.uint64(32))).astype(np.uint32)
     group = np.repeat(np.arange(len(counts)), counts)
     for i in range(0, len(x), 1024):
-        y = x[i : i + 1024, None] * _A + _B
+        y = x[i : i + 1024, None] * _A[:width] + _B[:width]
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
         g = group[i : i + 1024]
