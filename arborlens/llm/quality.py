@@ -86,16 +86,23 @@ def _featurise(batches):
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> dict:
     """A logistic model under the non-negative risk, by full-batch Adam from a fixed start."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1) for x in (positive, unlabelled))
+    # One single-precision array, standardised in place: the driver holds no second copy.
+    both = np.ones((len(positive) + len(unlabelled), positive.shape[1] + 1), np.float32)
+    both[: len(positive), :-1], both[len(positive) :, :-1] = positive, unlabelled
+    x = both[:, :-1]
+    mean = x.mean(axis=0, dtype=np.float64)
+    x -= mean
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)) + 1e-3
+    x /= scale
+    p, u = both[: len(positive)], both[len(positive) :]
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
+        single = w.astype(np.float32)
+        sp, su = sigmoid((p @ single).astype(np.float64)), sigmoid((u @ single).astype(np.float64))
         # logistic loss: as 1, -log s with gradient s - 1; as 0, -log(1 - s) with gradient s
-        as_one = p.T @ (sp - 1) / len(p)
-        p_zero, u_zero = p.T @ sp / len(p), u.T @ su / len(u)
+        as_one = p.T @ (sp - 1).astype(np.float32) / len(p)
+        p_zero, u_zero = p.T @ sp.astype(np.float32) / len(p), u.T @ su.astype(np.float32) / len(u)
         negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
         # below zero the negative part is driven back up instead (the non-negative correction)
         g = prior * as_one + (u_zero - prior * p_zero) if negative >= 0 else -(u_zero - prior * p_zero)
@@ -117,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # At most positives + unlabelled ids and a role: some hundred KB.
     picked = rows.join(F.broadcast(p.union(u)), "doc_id").select("text", "role")
     got = picked.mapInArrow(_featurise, "role int, f binary").collect()
-    x = [np.frombuffer(b"".join(bytes(r["f"]) for r in got if r["role"] == k), np.float32).reshape(-1, WIDTH) for k in (1, 0)]
+    x = [np.frombuffer(b"".join(r["f"] for r in got if r["role"] == k), np.float32).reshape(-1, WIDTH) for k in (1, 0)]
+    del got
     if not len(x[0]) or not len(x[1]):
         return {"constant": prior}
     return fit(x[0], x[1], prior) | {"prior": prior}
