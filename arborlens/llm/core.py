@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Rows of text in an Arrow batch: bounds a Python worker's memory with long texts.
 BATCH_ROWS = 1000
+#: And bytes: packed blocks are large rows, of which a batch of BATCH_ROWS would be held by Spark and Python at once.
+BATCH_BYTES = "4m"
 #: Bytes of text that the vectorised routines take at once.
 CHUNK_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> str:
-    """Set the Arrow batch size and return the folder that all executors share.
+    """Set the Arrow batch sizes and return the folder that all executors share.
 
     The folder is spark.checkpoint.dir; only where that is unset (tests, one
     machine) a folder under /tmp is used.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
