@@ -31,6 +31,8 @@ ALPHA = 0.4
 START = np.uint64(0x57A27)
 #: Text that a map task explodes into one set of blocks.
 GROUP_BYTES = 8 << 20
+#: Requests for unigrams that a task answers at once.
+ASKED = 1 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -197,6 +199,11 @@ def _sums(kind, chunk, bucket, doc, value) -> tuple:
     return kind, bucket, chunk, _pack(some.astype("<u2"), total[some].astype("<f8"))
 
 
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)) if len(x) else np.zeros(1, int)
+
+
 def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), blobs([r[3] for r in rows])], ["kind", "bucket", "chunk", "body"])
 
@@ -233,35 +240,55 @@ def _join_bigrams(buckets: int, hot: dict[int, int]):
                 a, end = end, end + len(p[3])
                 s = seen[a:end]
                 yield _rows([_sums(0, chunk, -1, p[3][s].astype(np.int64), value[a:end][s])])
-                if s.all():
-                    continue
-                w, d, t = word[a:end][~s], p[3][~s], p[4][~s]
-                bucket = w % np.uint64(buckets)
-                order = np.lexsort((w, bucket))
-                w, d, t, bucket = w[order], d[order], t[order], bucket[order]
-                at2 = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                yield _rows([(1, int(bucket[i]), chunk, _pack(_five(w[i:j]), d[i:j], t[i:j])) for i, j in zip(at2, np.append(at2[1:], len(w)))])
+            # One row for each unigram bucket asked, whatever the number of chunks.
+            ask = np.flatnonzero(~seen)
+            place = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])[ask]
+            chunk_of = np.array([chunk for chunk, _ in blocks], "<i8")
+            w, d, t = word[ask], np.concatenate([p[3] for p in parts])[ask], tf[ask].astype("<u4")
+            target = (w % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(target, kind="stable")
+            cuts = _cuts(target[order])
+            out = []
+            for i, j in zip(cuts, cuts[1:]):
+                o = order[i:j]
+                runs = _cuts(place[o])
+                out.append((1, int(target[o[0]]), bucket, _pack(chunk_of[place[o[runs[:-1]]]], np.diff(runs).astype("<u4"), _five(w[o]), d[o], t[o])))
+            if out:
+                yield _rows(out)
 
     return run
 
 
 def _join_unigrams(total: int, alpha: float):
-    """Count blocks (chunk -1, first) and requests of a bucket -> sums per chunk."""
+    """Count blocks (chunk -1, first) and requests of a bucket -> sums per chunk, of ASKED requests at a time."""
+
+    def answered(values, n, asked):
+        chunk, w, d, t = (np.concatenate(x) for x in zip(*asked))
+        value = t * np.log(alpha * n[np.searchsorted(values, w)] / total)
+        order = np.argsort(chunk, kind="stable")
+        cuts = _cuts(chunk[order])
+        return _rows([_sums(0, int(chunk[order[i]]), -1, d[order[i:j]].astype(np.int64), value[order[i:j]]) for i, j in zip(cuts, cuts[1:])])
 
     def run(batches):
-        for _, blocks in _by_bucket(batches):
-            tables = [_unpack(body, "u1", "<u4") for c, body in blocks if c < 0]
-            words_ = np.concatenate([_eight(t[0]) for t in tables])
-            values, at = np.unique(words_, return_inverse=True)
-            n = np.bincount(at, np.concatenate([t[1] for t in tables]))
-            out = []
-            for c, body in blocks:
-                if c >= 0:
-                    w, d, t = _unpack(body, "u1", "<u2", "<u4")
-                    count = n[np.searchsorted(values, _eight(w))]
-                    out.append(_sums(0, c, -1, d.astype(np.int64), t * np.log(alpha * count / total)))
-            if out:
-                yield _rows(out)
+        bucket, tables, table, asked, held = None, [], None, [], 0
+        for batch in batches:
+            for b, c, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if asked and (b != bucket or held >= ASKED):
+                    yield answered(*table, asked)
+                    asked, held = [], 0
+                if b != bucket:
+                    bucket, tables, table = b, [], None
+                if c < 0:
+                    tables.append(_unpack(body, "u1", "<u4"))
+                    continue
+                if table is None:
+                    values, at = np.unique(np.concatenate([_eight(t[0]) for t in tables]), return_inverse=True)
+                    table, tables = (values, np.bincount(at, np.concatenate([t[1] for t in tables]))), []
+                ids, runs, w, d, t = _unpack(body, "<i8", "<u4", "u1", "<u2", "<u4")
+                asked.append((np.repeat(ids, runs), _eight(w), d, t))
+                held += len(d)
+        if asked:
+            yield answered(*table, asked)
 
     return run
 
