@@ -30,7 +30,7 @@ from .core import blobs, combine, prepare, stored, text_buffers, words
 ALPHA = 0.4
 START = np.uint64(0x57A27)
 #: Text that a map task explodes into one set of blocks.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Requests for unigrams that a task answers at once.
 ASKED = 1 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -43,8 +43,8 @@ def _groups(batches):
         held.append(batch)
         size, rows = size + batch.nbytes, rows + batch.num_rows
         if size >= GROUP_BYTES or rows >= 50_000:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size, rows = [], 0, 0
+            table, held, size, rows = pa.Table.from_batches(held).combine_chunks(), [], 0, 0
+            yield table
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -138,25 +138,28 @@ def _previous(hot: np.ndarray):
 def _explode(buckets: int, hot: np.ndarray):
     """Texts -> bigram blocks (bucket, chunk, body), and the list of a chunk's documents under a bucket of its own below 0."""
 
+    def exploded(table, chunk):
+        doc, prev, word, tf, own, counts = _bigrams(table)
+        key = np.where(np.isin(prev, hot), combine(prev, word), prev)
+        bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+        order = np.lexsort((word, prev, bucket))
+        doc, prev, word, tf, own, bucket = (x[order] for x in (doc, prev, word, tf, own, bucket))
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        ids = table.column("doc_id").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        out = [(-1 - chunk, _pack(ids.fill_null(0).to_numpy().astype("<i8"), null, counts.astype("<i8")))]
+        for a, b in zip(at, np.append(at[1:], len(bucket))):
+            p = prev[a:b]
+            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            out.append((int(bucket[a]), _pack(p[starts], np.diff(np.append(starts, b - a)).astype("<u4"), _five(word[a:b]), doc[a:b].astype("<u2"), tf[a:b].astype("<u4"), own[a:b].astype("<u4"))))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([chunk] * len(out), pa.int64()), blobs([x[1] for x in out])], ["bucket", "chunk", "body"])
+
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, table in enumerate(_groups(batches)):
-            doc, prev, word, tf, own, counts = _bigrams(table)
-            chunk = (part << 24) + number
-            key = np.where(np.isin(prev, hot), combine(prev, word), prev)
-            bucket = (key >> np.uint64(20)) % np.uint64(buckets)
-            order = np.lexsort((word, prev, bucket))
-            doc, prev, word, tf, own, bucket = (x[order] for x in (doc, prev, word, tf, own, bucket))
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-            ids = table.column("doc_id").combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            out = [(-1 - chunk, _pack(ids.fill_null(0).to_numpy().astype("<i8"), null, counts.astype("<i8")))]
-            for a, b in zip(at, np.append(at[1:], len(bucket))):
-                p = prev[a:b]
-                starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                out.append((int(bucket[a]), _pack(p[starts], np.diff(np.append(starts, b - a)).astype("<u4"), _five(word[a:b]), doc[a:b].astype("<u2"), tf[a:b].astype("<u4"), own[a:b].astype("<u4"))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([chunk] * len(out), pa.int64()), blobs([x[1] for x in out])], ["bucket", "chunk", "body"])
+            # The arrays of one group are gone before the next is read.
+            yield exploded(table, (part << 24) + number)
 
     return run
 
