@@ -8,6 +8,12 @@ are compared, confirmed by exact Jaccard similarity of five-word shingles (0.8
 or more), and clustered by components. Each cluster keeps its first occurrence
 (smallest doc_id, then position) and the other occurrences are removed.
 
+A passage that repeats inside running text need not hold a whole paragraph. So all
+runs of UNIT words that have the smallest hash among WINDOW successive ones are units
+too (winnowing): of a passage of UNIT + WINDOW - 1 words that repeats, wherever it
+starts, all but WINDOW - 1 words at each end lie in units that are the same in
+each copy. Of equal units the first outside removed paragraphs stays.
+
 Defined results: null and empty texts have no paragraphs and stay as they are.
 Repeated rows and equal doc_ids count as documents of their own (told apart by
 their text's hash; of wholly equal rows all keep or lose the same paragraphs).
@@ -20,17 +26,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similarity as sim
-from .core import blobs, chunks, combine, drop_stored, exact_key, lists, mix, prepare, set_names, shingled, signed, stored, text_buffers, words
+from .core import blobs, chunks, combine, drop_stored, exact_key, lists, mix, powers, prepare, set_names, shingled, signed, stored, text_buffers, words
 
 SHINGLE = 5
 MIN_WORDS = 8
 CUT = 4
 ROWS_PER_BAND = 2
 RECALL = 0.9995
+UNIT = 16
+WINDOW = 8
 
 
 def tune_bands(rows: int = ROWS_PER_BAND, similarity: float = 0.8, recall: float = RECALL) -> int:
@@ -63,6 +71,36 @@ def _sets(data: np.ndarray, offsets: np.ndarray, min_words: int):
     return parts, start, end, *shingled(hashes, parts[:, 1], parts[:, 2], SHINGLE)
 
 
+def units(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the runs of UNIT words that are the smallest of a window of WINDOW runs; none crosses rows."""
+    n = len(hashes) - UNIT + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    p, q = powers(len(hashes) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * p[: len(hashes)], dtype=np.uint64)])
+    run = mix((total[UNIT:] - total[:n]) * q[:n])
+    left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
+    run[left < UNIT] = np.iinfo(np.uint64).max
+    wide = np.concatenate([np.full(WINDOW - 1, run.max()), run, np.full(WINDOW - 1, run.max())])
+    low = np.lib.stride_tricks.sliding_window_view(wide, WINDOW).min(axis=1)
+    chosen = np.zeros(n, bool)
+    for k in range(WINDOW):
+        chosen |= low[k : k + n] == run
+    at = np.flatnonzero(chosen & (left >= UNIT))
+    return at, run[at]
+
+
+def _units(batches):
+    """(doc_id, k1, k2, text) -> a row for each unit: its hash and place (bytes)."""
+    for batch in batches:
+        for at, data, offsets in chunks(*text_buffers(batch.column("text"))):
+            hashes, start, end, first = words(data, offsets)
+            word, run = units(hashes, first)
+            row = np.searchsorted(first, word, "right") - 1
+            base, take = offsets[row], pa.array(row + at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("doc_id", "k1", "k2")), pa.array(signed(run)), pa.array((start[word] - base).astype(np.int32)), pa.array((end[word + UNIT - 1] - base).astype(np.int32))], ["doc_id", "k1", "k2", "unit", "lo", "hi"])
+
+
 def _split(min_words: int):
     """(doc_id, k1, k2, text) -> a row for each paragraph: its set's name and place (bytes)."""
 
@@ -117,12 +155,14 @@ def _rewrite(batches):
     for batch in batches:
         out = {k: [] for k in ("n_removed", "removed_bytes", "kept", "kept_sha256")}
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            raw, at, kept, gone = (text or "").encode(), 0, [], 0
+            raw, at, kept, gone, n = (text or "").encode(), 0, [], 0, 0
             for s in sorted(spans or [], key=lambda s: s["lo"]):
-                kept.append(raw[at : s["lo"]])
-                at, gone = s["hi"], gone + s["hi"] - s["lo"]
+                if s["lo"] >= at:
+                    kept.append(raw[at : s["lo"]])
+                    at, n = s["lo"], n + 1
+                gone, at = gone + max(0, s["hi"] - at), max(at, s["hi"])
             rest = b"".join([*kept, raw[at:]])
-            out["n_removed"].append(len(spans or [])), out["removed_bytes"].append(gone)
+            out["n_removed"].append(n), out["removed_bytes"].append(gone)
             out["kept"].append(rest.decode()), out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out["n_removed"], pa.int64()), pa.array(out["removed_bytes"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["kept_sha256"], pa.string())], ["doc_id", "n_removed", "removed_bytes", "kept", "kept_sha256"])
 
@@ -157,12 +197,35 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     return named.join(first, "cluster").where(place != F.col("first")).select("doc_id", "k1", "k2", "lo", "hi", "n_words", "cluster")
 
 
+def _same():
+    return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+
+
+def _by_text(gone: DataFrame) -> DataFrame:
+    """Places (doc_id, k1, k2, lo, hi) -> d, h1, h2, spans: the places of each text."""
+    return gone.groupBy(F.col("doc_id").alias("d"), F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
+def duplicate_units(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...), the paragraphs to remove -> each unit to remove besides: doc_id, k1, k2, lo, hi (bytes)."""
+    k1, k2 = exact_key("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = texts.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")).mapInArrow(_units, "doc_id long, k1 long, k2 long, unit long, lo int, hi int")
+    again = stored(every.withColumn("n", F.count("*").over(Window.partitionBy("unit"))).where("n > 1").drop("n"), "units")
+    # A unit that a removed paragraph touches is no first occurrence: what it holds may be kept nowhere else.
+    cut = F.exists("spans", lambda s: (s["lo"] < F.col("hi")) & (s["hi"] > F.col("lo")))
+    again = again.join(_by_text(gone), _same(), "left").select("doc_id", "k1", "k2", "unit", "lo", "hi", F.coalesce(cut, F.lit(False)).alias("cut"))
+    order = Window.partitionBy("unit").orderBy("cut", F.col("doc_id").isNull(), "doc_id", "k1", "k2", "lo")
+    ranked = again.withColumn("rank", F.rank().over(order)).withColumn("lost", F.first("cut").over(order))
+    return ranked.where("rank > 1 and not lost").select("doc_id", "k1", "k2", "lo", "hi")
+
+
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) -> one row per row: doc_id, n_removed (paragraphs), removed_bytes, kept (the text left), kept_sha256."""
-    gone = duplicate_paragraphs(docs, min_words).dropDuplicates(["doc_id", "k1", "k2", "lo"])
-    spans = gone.groupBy("doc_id", "k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("k1").alias("h1"), F.col("k2").alias("h2"), "spans")
+    """docs(doc_id, text, ...) -> one row per row: doc_id, n_removed (stretches), removed_bytes, kept (the text left), kept_sha256."""
+    prepare(docs.sparkSession)
+    gone = stored(duplicate_paragraphs(docs, min_words).select("doc_id", "k1", "k2", "lo", "hi"), "gone")
+    spans = _by_text(gone.union(duplicate_units(docs, gone)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     k1, k2 = exact_key("text")
-    joined = texts.withColumn("k1", k1).withColumn("k2", k2).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    joined = texts.withColumn("k1", k1).withColumn("k2", k2).join(spans, _same(), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_rewrite, "doc_id long, n_removed long, removed_bytes long, kept string, kept_sha256 string")

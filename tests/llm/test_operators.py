@@ -290,6 +290,19 @@ def test_substring_dedup(odd, none, docs):
     assert 1 - (1 - 0.8**substring_dedup.ROWS_PER_BAND) ** substring_dedup.tune_bands() >= substring_dedup.RECALL
 
 
+def test_substring_dedup_inside_prose(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join("w%d" % rng.randrange(4000) for _ in range(n))
+    passages = [say(50) for _ in range(20)]
+    made = [(2 * i + k, say(rng.randint(20, 60)) + " " + p + " " + say(rng.randint(20, 60))) for i, p in enumerate(passages) for k in range(2)]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for k, text in made:
+        gone = len(words(text)) - len(words(got[k]["kept"]))
+        assert gone == 0 if k % 2 == 0 else 36 <= gone <= 50
+        if k % 2:
+            assert set(words(text)) - set(words(passages[k // 2])) <= set(words(got[k]["kept"]))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
