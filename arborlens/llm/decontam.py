@@ -4,12 +4,14 @@ Benchmark items are cut into passages of up to PASSAGE words. Their TF-IDF
 matrix (document frequencies from all passages of the corpus) gets a randomised
 SVD, computed by two distributed passes of subspace iteration. Corpus windows
 of two passages' length, half overlapping, so that each holds any passage whole, are folded into the latent
-space; pairs of cosine COSINE or more are candidates. A candidate is confirmed by
+space; pairs of cosine COSINE or more are candidates, and those whose window holds HELD of
+the passage's weight, however much else it holds. A candidate is confirmed by
 the longest common subsequence of words: at least STRONG of the item's words in
 order, or WEAK of them if WEAK of its answer is there too (column `answer`, else
 the last third of the item), so paraphrases with words changed or left out are found.
 
-The benchmark is the query set: it is read in blocks of BLOCK_BYTES of text, each
+The benchmark is the query set: it is read in blocks of BLOCK_PASSAGES at most, and the
+rank is that of a block's passages if these are more than RANK, so that the SVD loses nothing of them; each
 block's model (vocabulary x RANK floats: some MB) goes to all executors, and
 all rows are compared in one pass without a shuffle.
 
@@ -30,10 +32,11 @@ from .core import blobs, chunks, prepare, text_buffers, words
 PASSAGE = 48
 RANK = 208
 COSINE = 0.35
+HELD = 0.4
 STRONG = 0.8
 WEAK = 0.6
 MIN_WORDS = 6
-BLOCK_BYTES = 1 << 18
+BLOCK_PASSAGES = 256
 
 
 def item_words(texts: list[str]) -> list[np.ndarray]:
@@ -142,22 +145,23 @@ def build(docs: DataFrame, items: list[tuple], rank: int = RANK) -> dict | None:
     counts = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(_frequencies(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     n = counts.get(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + counts.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    rows, owner, bodies = [], [], []
+    rows, owner, bodies, norms = [], [], [], []
     for i in kept:
         for piece in pieces(all_words[i]):
             at, tf = np.unique(np.searchsorted(vocabulary, piece), return_counts=True)
             x = tf * idf[at]
-            rows.append((at.tolist(), (x / np.linalg.norm(x)).tolist()))
+            norms.append(np.linalg.norm(x))
+            rows.append((at.tolist(), (x / norms[-1]).tolist()))
             owner.append(i)
             bodies.append(piece)
     matrix = spark.createDataFrame(rows, "words array<int>, weights array<double>").repartition(max(1, len(rows) // 64))
-    latent = randomised_svd(matrix, len(vocabulary), rank)
+    latent = randomised_svd(matrix, len(vocabulary), max(rank, len(rows)))
     folded = np.zeros((len(rows), latent.shape[1]), np.float32)
     for k, (at, x) in enumerate(rows):
         folded[k] = np.array(x, np.float32) @ latent[at]
     folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
     tail = [answers[i] if len(answers[i]) else w[len(w) - -(-len(w) // 3) :] for i, w in enumerate(all_words)]
-    return {"vocabulary": vocabulary, "weighted": (latent * idf[:, None]).astype(np.float32), "folded": folded, "owner": owner, "ids": [t[0] for t in items], "sizes": [len(w) for w in all_words], "pieces": [(_masks(b), len(b)) for b in bodies], "tails": [(_masks(t), len(t)) for t in tail]}
+    return {"vocabulary": vocabulary, "weighted": (latent * idf[:, None]).astype(np.float32), "folded": folded, "least": HELD * np.array(norms, np.float32), "owner": owner, "ids": [t[0] for t in items], "sizes": [len(w) for w in all_words], "pieces": [(_masks(b), len(b)) for b in bodies], "tails": [(_masks(t), len(t)) for t in tail]}
 
 
 def matches(model: dict, data: np.ndarray, offsets: np.ndarray):
@@ -185,8 +189,9 @@ def matches(model: dict, data: np.ndarray, offsets: np.ndarray):
     best: dict[tuple[int, int], dict] = {}
     for i in range(0, len(live), 8192):
         some = live[i : i + 8192]
-        cosine = (both[some] / norm[some, None]) @ model["folded"].T
-        for a, p in zip(*np.nonzero(cosine >= COSINE)):
+        dot = both[some] @ model["folded"].T
+        cosine = dot / norm[some, None]
+        for a, p in zip(*np.nonzero((cosine >= COSINE) | (dot >= model["least"]))):
             half_no = int(some[a])
             row = int(row_of[half_no])
             start = int(first[row]) + (half_no - int(base[row])) * PASSAGE
@@ -230,15 +235,16 @@ def _clean(model: dict):
 
 
 def _blocks(benchmark: DataFrame):
-    """Items in blocks of BLOCK_BYTES of text, one block on the driver at a time."""
+    """Items in blocks of BLOCK_PASSAGES at most (or one longer item), one block on the driver at a time."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text", answer).orderBy("item_id", "text").toLocalIterator():
-        block.append(tuple(r))
-        size += len(r[1] or "")
-        if size >= BLOCK_BYTES:
+        more = len(pieces(item_words([r[1] or ""])[0]))
+        if block and size + more > BLOCK_PASSAGES:
             yield block
             block, size = [], 0
+        block.append(tuple(r))
+        size += more
     if block:
         yield block
 

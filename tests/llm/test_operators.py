@@ -171,6 +171,22 @@ def test_decontamination(spark, docs, odd):
     assert decontam.leaks(odd, empty).count() == 0
 
 
+def test_decontamination_by_a_large_benchmark(spark, docs):
+    rng = random.Random(1)
+    hosts = [w for w in (r["text"].split() for r in docs.collect()) if len(w) > 200]
+    pool = [w for h in hosts for w in h]
+    items = [(k, " ".join(rng.sample(pool, rng.randint(15, 59)))) for k in range(1000)]
+    made = []
+    for k, text in items:
+        host, w, at = rng.choice(hosts), text.split(), rng.randrange(150)
+        for i in rng.sample(range(len(w)), len(w) // 5 if k % 2 else 0):
+            w[i] = rng.choice(pool)
+        made.append((k, " ".join([*host[:at], *w, *host[at:200]])))
+    planted = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = decontam.leaks(planted, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {k for k, _ in items} == {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]}
+
+
 def test_longest_common_by_hand():
     rng = random.Random(2)
     for _ in range(200):
