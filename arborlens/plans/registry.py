@@ -360,7 +360,7 @@ def connected_components(s, d):
 
 @query()
 def layout_levels(s, d):
-    return P.connectors(s, d).where("id % 20 = 1").select("view_id", "source_element_id", "target_element_id").groupBy("view_id").applyInPandas(graph.levels, "view_id long, element_id long, level long")
+    return P.connectors(s, d).select("view_id", "source_element_id", "target_element_id").distinct().groupBy("view_id").applyInPandas(graph.levels, "view_id long, element_id long, level long")
 
 
 @query("SELECT DISTINCT folder, len(string_split(folder, '/'))::BIGINT AS depth FROM (SELECT type AS folder FROM facts UNION ALL SELECT type || '/' || enricher FROM facts)")

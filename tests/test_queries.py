@@ -61,6 +61,16 @@ def test_visibility_is_the_least_fixpoint(spark):
     assert got == {1: (True, 1.2), 2: (True, 1.0), 3: (True, 1.5), 4: (True, 0.0), 5: (True, 1.0)}
 
 
+def test_layout_levels_by_hand(spark, duck):
+    edges = duck.execute(registry.P.sql("SELECT DISTINCT view_id, source_element_id, target_element_id FROM connectors")).fetchall()
+    into, nodes = {}, set()
+    for v, a, b in edges:
+        into.setdefault((v, b), []).append((v, a))
+        nodes |= {(v, a), (v, b)}
+    level = lambda x: max((level(y) + 1 for y in into.get(x, [])), default=0)
+    assert sorted(tuple(r) for r in registry.layout_levels(spark, D).collect()) == sorted((*x, level(x)) for x in nodes)
+
+
 def test_lineage_cuts_cycles(spark):
     parents = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3)], "view_id long, parent_id long")
     got = {(r[0], r[1]) for r in graph.lineage(parents).select("view_id", "ancestor_id").collect()}
