@@ -4,7 +4,7 @@ Every document is a set of word shingles. Independent trees start with all
 distinct sets in one node; a node picks minwise tokens and its members branch to
 one child for each picked token's value, so similar sets meet again and others
 part. After START_LEVELS the nodes are nearly all empty; nodes of up to
-NODE_LIMIT members are compared exhaustively, larger ones branch on. TREES trees
+NODE_LIMIT members are compared exhaustively, larger ones in pairs of blocks. TREES trees
 bring the chance that a pair at a similarity of 0.8 never meets below 1e-6
 (miss(TREES, START_LEVELS)). Pairs are confirmed on the full sets.
 

@@ -190,9 +190,11 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
         return sets.select("item", "content").join(items, "item", "left_semi")
 
     roots = stored(sim.clusters(nodes, sets.select("item", "sig"), full), "roots")
+    drop_stored(nodes), drop_stored(sets)
     named = parts.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("cluster", F.coalesce("root", "item"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "lo")
     named = stored(named.select("cluster", "doc_id", "k1", "k2", "lo", "hi", "n_words"), "named")
+    drop_stored(parts), drop_stored(roots)
     first = named.groupBy("cluster").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("cluster", "first")
     return named.join(first, "cluster").where(place != F.col("first")).select("doc_id", "k1", "k2", "lo", "hi", "n_words", "cluster")
 

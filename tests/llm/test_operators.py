@@ -287,6 +287,18 @@ def test_near_duplicates(docs, odd, none, monkeypatch, limit):
     assert near_dedup.miss(near_dedup.TREES, near_dedup.START_LEVELS) < 1e-6
 
 
+def test_all_pairs_of_a_large_node_meet(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, similarity.WIDTH)
+    sigs = [np.where(rng.random(similarity.WIDTH) < 0.1, rng.integers(0, 256, similarity.WIDTH), base).astype(np.uint8).tobytes() for _ in range(40)]
+    nodes = spark.createDataFrame([(1, i) for i in range(40)], "node long, item long")
+    met = similarity.node_members(nodes, spark.createDataFrame(list(enumerate(sigs)), "item long, sig binary"), limit=8)
+    inside = collections.defaultdict(set)
+    for r in met.collect():
+        inside[r["node"]].add(r["item"])
+    assert {(a, b) for m in inside.values() for a in m for b in m if a < b} == {(a, b) for b in range(40) for a in range(b)}
+
+
 def test_held_against_blocks(spark):
     sets = {1: range(0, 100), 2: range(10, 105), 3: range(500, 600), 4: range(0, 99)}
     full = lambda items: items.join(spark.createDataFrame([(k, np.array(list(v), np.uint64).tobytes()) for k, v in sets.items()], "item long, content binary"), "item")
