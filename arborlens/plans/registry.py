@@ -403,12 +403,12 @@ IDENT = """sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS
 idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + 1)::BIGINT AS line, (l_partkey % 50)::BIGINT AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem WHERE l_orderkey % 30 = 1)"""
 
 
-def _identities(s, d):
+def _identities(s, d, symbols="true", identities="true"):
     li = P.table(s, d, "lineitem")
     tok = F.array("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string")).alias("tokens")
     key = F.concat_ws(":", "l_orderkey", "l_linenumber")
-    sy = li.where("l_orderkey % 10 = 0").select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
-    idn = li.where("l_orderkey % 30 = 1").select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
+    sy = li.where(symbols).select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
+    idn = li.where(identities).select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
     return resolve.identity_scores(sy, idn)
 
 
@@ -416,7 +416,7 @@ def _identities(s, d):
   SELECT key, identity, 0.35::DOUBLE + CASE WHEN s.hash = i.hash THEN 0.35::DOUBLE ELSE 0 END + 0.2::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) + 0.1::DOUBLE AS score FROM sy s JOIN idn i ON s.file = i.file AND s.kind = i.kind AND abs(s.line - i.line) <= 3
   UNION ALL SELECT key, identity, 0.8::DOUBLE + 0.1::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) FROM sy s JOIN idn i ON s.kind = i.kind AND s.hash = i.hash WHERE i.file NOT IN (SELECT file FROM sy)) GROUP BY 1, 2 HAVING round(max(score), 6) >= 0.70""", IDENT)
 def identity_candidates(s, d):
-    return _identities(s, d)
+    return _identities(s, d, "l_orderkey % 10 = 0", "l_orderkey % 30 = 1")
 
 
 @query()

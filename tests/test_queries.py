@@ -82,6 +82,15 @@ def test_greedy_matches_use_an_identity_once():
     assert resolve.greedy_matches(pdf)[["key", "identity"]].values.tolist() == [["a", "x"], ["b", "y"]]
 
 
+def test_identity_matches_take_all_rows(spark, duck):
+    whole = registry.IDENT.replace(" WHERE l_orderkey % 10 = 0", "").replace(" WHERE l_orderkey % 30 = 1", "")
+    body = registry.ORACLE_SQL["identity_candidates"]
+    pdf = duck.execute(body.replace(registry.IDENT, whole)).df()
+    want = pd.concat([resolve.greedy_matches(rows) for _, rows in pdf.groupby(pdf["identity"].str.split(":").str[0])])
+    got = registry.identity_matches(spark, D).collect()
+    assert len(got) > 0 and canon(got) == canon(want[["key", "identity", "score"]].values.tolist())
+
+
 def test_dirty_rows_survive(spark):
     made = spark.createDataFrame([(1, "new"), (2, "new")], "k long, value string")
     kept = spark.createDataFrame([(1, "mine", "h1", "h0"), (2, "old", "h", "h"), (3, "gone", "h", "h")], "k long, value string, hash string, last_hash string")
