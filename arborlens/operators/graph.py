@@ -22,12 +22,12 @@ def view_parents(views: DataFrame, placements: DataFrame) -> DataFrame:
     return j.groupBy(F.col("id").alias("view_id")).agg(F.min("parent").alias("parent_id"))
 
 
-def lineage(parents: DataFrame, most: int = 64) -> DataFrame:
+def lineage(parents: DataFrame) -> DataFrame:
     """view_id, ancestor_id, depth (0: itself): the closure of a forest; a cycle is cut where it would repeat."""
     p = parents.select(F.col("view_id").alias("c"), F.col("parent_id").alias("p")).where("p is not null")
     front = parents.select("view_id", F.col("view_id").alias("ancestor_id"), F.lit(0).alias("depth"), F.array("view_id").alias("path"))
     out = front.drop("path")
-    for _ in range(most):
+    while True:
         front = checkpointed(front.join(p, F.col("ancestor_id") == F.col("c")).where(~F.array_contains("path", F.col("p"))).select("view_id", F.col("p").alias("ancestor_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("p")).alias("path")))
         if front.isEmpty():
             break
@@ -43,12 +43,12 @@ def lca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.groupBy("a", "b").agg(F.min_by("ancestor_id", F.struct(F.col("da") + F.col("db"), F.col("ancestor_id"))).alias("lca"), F.min(F.col("da") + F.col("db")).cast("long").alias("distance"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes(id), edges(a, b) -> id, component (smallest id): minima of neighbours, then of the label's label."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = checkpointed(nodes.select("id", F.col("id").alias("component")))
     before = None
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("m"))
         label = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = label.select(F.col("id").alias("j"), F.col("component").alias("k"))
@@ -60,7 +60,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFra
     return label
 
 
-def visibility(seeds: DataFrame, references: DataFrame, threshold: float = 1.0, weight: float = 1.0, rounds: int = 200) -> DataFrame:
+def visibility(seeds: DataFrame, references: DataFrame, threshold: float = 1.0, weight: float = 1.0) -> DataFrame:
     """Visible set as a least fixpoint.
 
     seeds(id, base, forced); references(source, target), parallel ones count. An
@@ -69,7 +69,7 @@ def visibility(seeds: DataFrame, references: DataFrame, threshold: float = 1.0,
     """
     edges = checkpointed(references.groupBy("source", "target").agg(F.count("*").alias("n")))
     state = checkpointed(seeds.select("id", "base", "forced", F.lit(0).cast("long").alias("got"), (F.col("forced") | (F.col("base") >= threshold)).alias("visible"), (F.col("forced") | (F.col("base") >= threshold)).alias("new")))
-    for _ in range(rounds):
+    while True:
         front = state.where("new").select(F.col("id").alias("source"))
         if front.isEmpty():
             break

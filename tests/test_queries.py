@@ -77,6 +77,11 @@ def test_lineage_cuts_cycles(spark):
     assert got == {(1, 1), (2, 2), (2, 1), (3, 3), (3, 4), (4, 4), (4, 3)}
 
 
+def test_lineage_of_a_deep_chain(spark):
+    parents = spark.createDataFrame([(i, i - 1 if i else None) for i in range(67)], "view_id long, parent_id long")
+    assert graph.lineage(parents).groupBy().max("depth").first()[0] == 66
+
+
 def test_greedy_matches_use_an_identity_once():
     pdf = pd.DataFrame([("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.95), ("b", "y", 0.7)], columns=["key", "identity", "score"])
     assert resolve.greedy_matches(pdf)[["key", "identity"]].values.tolist() == [["a", "x"], ["b", "y"]]
