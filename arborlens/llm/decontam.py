@@ -161,7 +161,7 @@ def build(docs: DataFrame, items: list[tuple], rank: int = RANK) -> dict | None:
         folded[k] = np.array(x, np.float32) @ latent[at]
     folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
     tail = [answers[i] if len(answers[i]) else w[len(w) - -(-len(w) // 3) :] for i, w in enumerate(all_words)]
-    return {"vocabulary": vocabulary, "weighted": (latent * idf[:, None]).astype(np.float32), "folded": folded, "least": HELD * np.array(norms, np.float32), "owner": owner, "ids": [t[0] for t in items], "sizes": [len(w) for w in all_words], "pieces": [(_masks(b), len(b)) for b in bodies], "tails": [(_masks(t), len(t)) for t in tail]}
+    return {"vocabulary": vocabulary, "weighted": (latent * idf[:, None]).astype(np.float32), "folded": folded, "least": HELD * np.array(norms, np.float32), "owner": owner, "ids": [t[0] for t in items], "sizes": [len(w) for w in all_words], "pieces": [(_masks(b), len(b)) for b in bodies], "tails": [([(_masks(x), len(x)) for x in pieces(t)], len(t)) for t in tail]}
 
 
 def matches(model: dict, data: np.ndarray, offsets: np.ndarray):
@@ -198,14 +198,14 @@ def matches(model: dict, data: np.ndarray, offsets: np.ndarray):
             window = hashes[start : min(start + 2 * PASSAGE, int(first[row + 1]))].tolist()
             item = owner[p]
             masks, n = model["pieces"][p]
-            got = best.setdefault((row, item), {"cosine": 0.0, "pieces": {}, "tail": 0})
+            got = best.setdefault((row, item), {"cosine": 0.0, "pieces": {}, "tail": [0] * len(model["tails"][item][0])})
             got["cosine"] = max(got["cosine"], float(cosine[a, p]))
             got["pieces"][int(p)] = max(got["pieces"].get(int(p), 0), longest_common(masks, n, window))
-            masks, n = model["tails"][item]
-            got["tail"] = max(got["tail"], longest_common(masks, n, window))
+            for k, (masks, n) in enumerate(model["tails"][item][0]):
+                got["tail"][k] = max(got["tail"][k], longest_common(masks, n, window))
     out = []
     for (row, item), got in sorted(best.items()):
-        share, tail = sum(got["pieces"].values()) / model["sizes"][item], got["tail"] / model["tails"][item][1]
+        share, tail = sum(got["pieces"].values()) / model["sizes"][item], sum(got["tail"]) / model["tails"][item][1]
         if share == 1 if model["sizes"][item] < MIN_WORDS else share >= STRONG or (share >= WEAK and tail >= WEAK):
             out.append((row, item, got["cosine"], share, tail))
     return out

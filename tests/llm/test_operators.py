@@ -187,6 +187,15 @@ def test_decontamination_by_a_large_benchmark(spark, docs):
     assert {k for k, _ in items} == {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]}
 
 
+def test_decontamination_of_a_long_item(spark, docs):
+    rng = random.Random(2)
+    item = ["w%d" % rng.randrange(5000) for _ in range(600)]
+    told = " ".join(w if i % 10 < 7 else "x%d" % rng.randrange(5000) for i, w in enumerate(item))
+    planted = spark.createDataFrame([(1, told), (2, docs.first()["text"])], "doc_id long, text string")
+    got = decontam.leaks(planted, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 5)]
+
+
 def test_longest_common_by_hand():
     rng = random.Random(2)
     for _ in range(200):
