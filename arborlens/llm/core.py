@@ -6,6 +6,7 @@ Text rules used by every operator here: a word is a run of bytes other than
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -18,6 +19,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 #: And bytes: packed blocks are large rows, of which a batch of BATCH_ROWS would be held by Spark and Python at once.
 BATCH_BYTES = "4m"
+#: Tasks that the rows of one hot key are dealt over in a join.
+SALTS = 16
 #: Bytes of text that the vectorised routines take at once.
 CHUNK_BYTES = 1 << 20
 
@@ -25,8 +28,8 @@ CHUNK_BYTES = 1 << 20
 def prepare(spark: SparkSession) -> str:
     """Set the Arrow batch sizes and return the folder that all executors share.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, one
-    machine) a folder under /tmp is used.
+    The folder is spark.checkpoint.dir; where that is unset, a folder under /tmp
+    on one machine (a local master), and an error on a cluster.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -34,6 +37,8 @@ def prepare(spark: SparkSession) -> str:
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
         got = sc._jsc.sc().getCheckpointDir()
+        if not got.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = got.get() if got.isDefined() else f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared)
@@ -57,6 +62,21 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of counts(keys..., copies), the keys of 1 / (8 x partitions) of all rows or more: 8 x partitions of them at most, fit to be broadcast."""
+    least = 8 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    return counts.where((F.col("copies") > SALTS) & (F.col("copies") * least >= total)).select(*keys)
+
+
+def join_copies(rows: DataFrame, about: DataFrame, keys: list[str], spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with about, which has one row for each value of keys; rows of hot keys (a bounded table) are dealt over SALTS tasks by `spread`."""
+    is_hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    one = rows.join(is_hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    two = about.join(is_hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+    return one.withColumn("_salt", F.col("_salt").cast("long")).join(two, [*keys, "_salt"], how).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -67,6 +87,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a run that are hashed block by block; what is longer goes through a library hash.
+LONG = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 _MULT = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -101,6 +126,28 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + (b ^ np.uint64(0xA0761D6478BD642F)))
 
 
+def blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as a number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run [start, end) of bytes: its length, then block after block of eight bytes, scrambled in between."""
+    size, eight = end - start, blocks_of(data)
+    out = mix(size.astype(np.uint64) + np.uint64(0x1D))
+    live = np.flatnonzero(size > 0)
+    for k in range(0, LONG, 8):
+        if not len(live):
+            return out
+        block = eight[start[live] + k] & MASKS[np.minimum(size[live] - k, 8)]
+        out[live] = combine(out[live], block)
+        live = live[size[live] > k + 8]
+    body = memoryview(np.ascontiguousarray(data))
+    rest = b"".join(hashlib.blake2b(body[a + LONG : b], digest_size=8).digest() for a, b in zip(start[live].tolist(), end[live].tolist()))
+    out[live] = combine(out[live], np.frombuffer(rest, "<u8"))
+    return out
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of length n + 1) of an Arrow string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,10 +187,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True):
     last[:-1] = ~ink[1:]
     last[(offsets[1:] - 1)[offsets[1:] > 0]] = True
     end = np.flatnonzero(ink & last) + 1
-    p, q = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-    return mix((total[end] - total[start]) * q[start]), start, end, np.searchsorted(start, offsets)
+    return run_hashes(_LOWER[data] if lower else data, start, end), start, end, np.searchsorted(start, offsets)
 
 
 def shingled(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
