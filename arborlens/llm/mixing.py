@@ -19,7 +19,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,20 +121,37 @@ def _two_by_two(sizes, fractions, rng: random.Random):
 
 
 def _level(seed: int, level: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["weight"] = pdf["size"] * pdf["m"]
-        pdf = pdf.sort_values(["weight", "doc_id", "k1", "k2"], ascending=[False, True, True, True], na_position="last").reset_index(drop=True)
-        weight = pdf.pop("weight").to_numpy(dtype=float)
-        rng = random.Random(f"{seed} {level} {pdf['s1'][0]} {pdf['s2'][0]} {pdf['chunk'][0]}")
-        taken, left = pivot(weight.tolist(), pdf["fraction"].tolist(), rng)
+    """Rows sorted by chunk, heaviest first -> the same rows with fraction, up and open of this level; one chunk in memory at a time."""
+
+    def rounded(parts):
+        table = pa.Table.from_batches(parts)
+        size, m, fraction, s1, s2, chunk = (table.column(c).to_numpy() for c in ("size", "m", "fraction", "s1", "s2", "chunk"))
+        rng = random.Random(f"{seed} {level} {s1[0]} {s2[0]} {chunk[0]}")
+        taken, left = pivot((size * m).astype(float).tolist(), fraction.tolist(), rng)
         is_open = taken < 0
-        pdf.loc[is_open, "fraction"] = left
+        fraction = np.where(is_open, left, fraction)
         if last and is_open.any():
             taken[is_open] = int(rng.random() < left)
             is_open[:] = False
-        pdf["up"] = np.maximum(taken, 0)
-        pdf["open"] = is_open
-        return pdf
+        for name, values in (("fraction", fraction), ("up", np.maximum(taken, 0)), ("open", is_open)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array(values))
+        return table.to_batches()
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in ("s1", "s2", "chunk")]
+            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cuts = [0, *edge.tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(cuts, cuts[1:]):
+                mine = tuple(int(k[a]) for k in keys)
+                if parts and mine != key:
+                    yield from rounded(parts)
+                    parts = []
+                key = mine
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from rounded(parts)
 
     return run
 
@@ -164,7 +181,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 17, chun
     level, parts = 0, []
     while True:
         last = most <= 1
-        done = stored(todo.groupBy("s1", "s2", "chunk").applyInPandas(_level(seed, level, last), todo.schema), f"round{level}")
+        ordered = todo.repartition("s1", "s2", "chunk").sortWithinPartitions("s1", "s2", "chunk", (F.col("size") * F.col("m")).desc(), F.col("doc_id").asc_nulls_last(), "k1", "k2")
+        done = stored(ordered.mapInArrow(_level(seed, level, last), todo.schema), f"round{level}")
         parts.append(done.where("not open"))
         if last:
             break
