@@ -92,28 +92,6 @@ LONG = 64
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _geometric(first: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0], done, step = 1, 1, first
-    while done < n:
-        m = min(done, n - done)
-        out[done : done + m] = out[:m] * np.uint64(step)
-        done, step = done + m, step * step % (1 << 64)
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, at least n of each."""
-    if not _POWERS or len(_POWERS["p"]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        _POWERS["p"], _POWERS["q"] = _geometric(_MULT, n), _geometric(pow(_MULT, -1, 1 << 64), n)
-    return _POWERS["p"], _POWERS["q"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    segments, dictionary = tokens.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2)
-    return tokens.read_tokens(segments, dictionary)
+    folder = f"{prepare(spark)}/token_ids-{uuid.uuid4().hex}"
+    tokens.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, folder=folder)
+    return tokens.read_tokens(*tokens.open_tokens(spark, folder))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

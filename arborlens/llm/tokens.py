@@ -10,12 +10,13 @@ driver). Rows are range-partitioned by doc_id; each partition writes segments:
     index: doc_id, valid, ids, offset, length of each | frames
 
 so that one document is read from one segment, by its index, without the others. Segments
-are stored as rows of Parquet files in a shared folder, so any file system that
-Spark writes to will do.
+are rows of Parquet files with the smallest and largest doc_id as columns, so a
+lookup by id reads the segments whose range holds it. A folder holds them and
+the dictionary, and is read without anything kept from its writing (open_tokens).
 
 The pre-tokenizer cuts before every single space that precedes a visible character, and where an ASCII
-letter is followed by an ASCII character that is none, so a text is encoded piece by piece through a bounded cache of whole pieces, named by 64-bit
-hashes; texts with other white space after a space, or with the strings of special ids, are encoded whole.
+letter is followed by an ASCII character that is none, so a text is encoded piece by piece through a bounded cache of whole pieces, found by 64-bit
+hashes and compared byte by byte; texts with other white space after a space, or with the strings of special ids, are encoded whole.
 
 Defined results: null text is empty and holds the end id alone. Rows come in
 ascending doc_id order, null doc_ids first, equal ones by their text's hash.
@@ -25,16 +26,17 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import blobs, chunks, combine, exact_key, powers, prepare, stored, text_buffers
+from .core import LONG, MASKS, blobs, blocks_of, chunks, exact_key, prepare, run_hashes, text_buffers
 
 SAMPLE = 256
 SAMPLE_BYTES = 1 << 16
@@ -51,6 +53,10 @@ _SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "u1"), ("ids", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 
 
+SEGMENT_SCHEMA = "part int, number int, ids long, first_id long, last_id long, body binary"
+SEGMENT_COLUMNS = ["part", "number", "ids", "first_id", "last_id", "body"]
+
+
 class Encoder:
     """Texts to serialised ids, with a cache of pieces. Each Python worker has its own."""
 
@@ -73,6 +79,7 @@ class Encoder:
     def forget(self) -> None:
         self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.first = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.body, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -110,12 +117,9 @@ class Encoder:
         begin[2:] |= _SEEN[data[:-2]] & (data[1:-1] == 10) & _SEEN[data[2:]]
         return np.flatnonzero(begin), may
 
-    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces one after another, ids in each)."""
-        p, q = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-        names = combine((total[end] - total[start]) * q[start], (end - start).astype(np.uint64))
+    def _pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids in each, whether its bytes are those that were encoded)."""
+        names = run_hashes(data, start, end)
         values, at, back = np.unique(names, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.names, values)
         place = np.full(len(values), -1)
@@ -125,15 +129,35 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             body = data.tobytes()
-            made = self._whole([body[start[i] : end[i]].decode() for i in at[new].tolist()])
+            raw = [body[start[i] : end[i]] for i in at[new].tolist()]
+            made = self._whole([x.decode() for x in raw])
             place[new] = len(self.first) - 1 + np.arange(len(new))
             self.names, self.place = np.insert(self.names, slot[new], values[new]), np.insert(self.place, slot[new], place[new])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in made])])
             self.flat = np.concatenate([self.flat, *made])
+            size = np.array([len(x) for x in raw])
+            self.at, self.size = np.concatenate([self.at, len(self.body) + np.cumsum(size) - size]), np.concatenate([self.size, size])
+            self.body = np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
         place = place[back]
+        same = self._equal(data, start, end, place)
         n = self.first[place + 1] - self.first[place]
         take = np.repeat(self.first[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return self.flat[take], n
+        return self.flat[take], n, same
+
+    def _equal(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each piece has the very bytes of the cached one at its place."""
+        same = self.size[place] == end - start
+        mine, theirs = blocks_of(data), blocks_of(self.body)
+        live = np.flatnonzero(same)
+        for k in range(0, LONG, 8):
+            left = np.minimum(end[live] - start[live] - k, 8)
+            differ = (mine[start[live] + k] ^ theirs[self.at[place[live]] + k]) & MASKS[left]
+            same[live[differ != 0]] = False
+            live = live[(differ == 0) & (end[live] - start[live] > k + 8)]
+        for i in live.tolist():
+            at = self.at[place[i]]
+            same[i] = np.array_equal(data[start[i] + LONG : end[i]], self.body[at + LONG : at + end[i] - start[i]])
+        return same
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Serialised ids of each text of a column."""
@@ -145,10 +169,12 @@ class Encoder:
             cut = may[row]
             if len(self.place) > CACHE_PIECES:
                 self.forget()
-            ids, n = self._pieces(data, start[cut], end[cut])
+            ids, n, same = self._pieces(data, start[cut], end[cut])
             edge = self.width * np.concatenate([[0], np.cumsum(np.bincount(row[cut], n, len(may)).astype(np.int64))])
             body = ids.tobytes()
             got = [body[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            # Two different pieces of one hash: their rows are encoded whole.
+            may[row[cut][~same]] = False
             rest = np.flatnonzero(~may)
             text = data.tobytes()
             for i, x in zip(rest.tolist(), self._whole([text[offsets[i] : offsets[i + 1]].decode() for i in rest])):
@@ -218,7 +244,8 @@ def _write(path: str, end: int, dictionary: bytes):
         part, rows, held, number = TaskContext.get().partitionId(), [], 0, 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(r[1] for r in rows)], pa.int64()), blobs([segment(rows, digest, encoder.width)])], ["part", "number", "ids", "body"])
+            held = [r[0] for r in rows if r[0] is not None]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([min(held, default=None)], pa.int64()), pa.array([max(held, default=None)], pa.int64()), blobs([segment(rows, digest, encoder.width)])], SEGMENT_COLUMNS)
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
@@ -236,17 +263,36 @@ def _write(path: str, end: int, dictionary: bytes):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> tuple[DataFrame, bytes]:
-    """Encode docs(doc_id, text, ...) into stored segments (part, number, ids, body); returns them and the dictionary."""
+def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | None = None) -> tuple[DataFrame, bytes]:
+    """Encode docs(doc_id, text, ...) into a folder (a new shared one by default): its segments and its dictionary; returns open_tokens of it."""
     spark = docs.sparkSession
-    prepare(spark)
+    folder = folder or f"{prepare(spark)}/token_ids-{uuid.uuid4().hex}"
     k1, k2 = exact_key("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     few = rows.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE)
     dictionary = train([bytes(r[0]) for r in few.mapInArrow(_sample_ids(tokenizer), "ids binary").collect()])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.withColumn("k1", F.xxhash64("text")).repartitionByRange(n, "doc_id", "k1").sortWithinPartitions("doc_id", "k1").select("doc_id", "text")
-    return stored(ordered.mapInArrow(_write(tokenizer, end, dictionary), "part int, number int, ids long, body binary"), "token_ids"), dictionary
+    spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{folder}/dictionary")
+    ordered.mapInArrow(_write(tokenizer, end, dictionary), SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
+    return open_tokens(spark, folder)
+
+
+def open_tokens(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
+    """The segments (part, number, ids, first_id, last_id, body) and the dictionary of a written folder."""
+    dictionary, sha256 = spark.read.parquet(f"{folder}/dictionary").first()
+    if hashlib.sha256(dictionary).hexdigest() != sha256:
+        raise ValueError("the dictionary is damaged")
+    return spark.read.schema(SEGMENT_SCHEMA).parquet(f"{folder}/segments"), bytes(dictionary)
+
+
+def find_document(segments: DataFrame, dictionary: bytes, doc_id: int) -> np.ndarray | None:
+    """The ids of the first document of this id; only segments whose range of ids holds it are read."""
+    near = segments.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).select("part", "number", "body").orderBy("part", "number")
+    for row in near.toLocalIterator():
+        if (found := read_document(bytes(row["body"]), dictionary, doc_id)) is not None:
+            return found
+    return None
 
 
 def _read(dictionary: bytes):
