@@ -9,9 +9,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from arborlens.llm import decontam, fingerprint, lm_scores, mixing, near_dedup, quality, queries, sharding, similarity, substring_dedup, suffix_dedup, tokens
+from arborlens.llm import core, decontam, fingerprint, lm_scores, mixing, near_dedup, quality, queries, sharding, similarity, substring_dedup, suffix_dedup, tokens
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item string, k1 int, bucket string"
@@ -90,15 +91,31 @@ def spans_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_suffix_dedup(odd, none, hot):
+@pytest.mark.parametrize("hot,limit", [(512, 8 << 20), (2, 8 << 20), (512, 300), (2, 300)])
+def test_suffix_dedup(odd, none, hot, limit):
     rows = [(r[0], (r[1] or "").encode()) for r in odd_rows()]
     want = sorted((str(k), *v) for (k, _), v in zip(rows, spans_by_hand([b for _, b in rows], 200)))
-    got = suffix_dedup.remove_repeats(odd, hot=hot).collect()
+    got = suffix_dedup.remove_repeats(odd, hot=hot, limit=limit).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot,limit", [(512, 8 << 20), (512, 300), (2, 300)])
+def test_suffix_dedup_of_equal_lines_in_another_order(spark, hot, limit):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    made = []
+    for i in range(12):
+        r, a, b = say(60), say(61), say(61)
+        made += [(2 * i, r + a + r + b + r), (2 * i + 1, r + b + r + a + r)]
+    passage = say(260)
+    made += [(100 + i, say(rng.randint(0, 150)) + passage + say(rng.randint(0, 150))) for i in range(9)]
+    want = [(k, *v) for (k, _), v in zip(made, spans_by_hand([t.encode() for _, t in made], 200))]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(made, "doc_id long, text string").repartition(3), hot=hot, limit=limit).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+    assert all(w[2] == 0 if w[0] < 100 else 260 <= w[2] < 270 for w in want)
+
+
 def test_repeated_windows_by_hand():
     rng = random.Random(1)
     members = [bytes(rng.choice(b"ab") for _ in range(rng.randint(8, 60))) for _ in range(30)]
@@ -340,8 +357,98 @@ def test_substring_dedup_inside_prose(spark):
             assert set(words(text)) - set(words(passages[k // 2])) <= set(words(got[k]["kept"]))
 
 
+def test_substring_dedup_leaves_common_lines(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join("w%d" % rng.randrange(4000) for _ in range(n))
+    line, passage = say(13) + ".", say(55)
+    made = [(i, "\n".join([say(40), line, say(40) + " " + passage + " " + say(20)] if i % 2 else [say(60), line, say(25)])) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+    for i, text in made:
+        gone = len(words(text)) - len(words(got[i]["kept"]))
+        assert 41 <= gone <= 55 if i % 2 and i > 1 else gone == 0
+    # a passage that is most of all text is frequent, and is found all the same
+    docs = spark.createDataFrame([(i, say(20) + " " + passage + " " + say(20)) for i in range(60)], "doc_id long, text string").repartition(2)
+    assert not substring_dedup.frequent_units(substring_dedup.cut_texts(docs)).isEmpty()
+    kept = {r["doc_id"]: len(words(r["kept"])) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert kept.pop(0) == 95 and all(40 <= n <= 54 for n in kept.values())
+
+
+def test_units_by_hand():
+    rng = np.random.default_rng(5)
+    hashes, first = rng.integers(0, 1 << 63, 400).astype(np.uint64), np.array([0, 10, 27, 27, 200, 400])
+    at, run = substring_dedup.units(hashes, first)
+    rows = [hashes[a:b] for a, b in zip(first, first[1:])]
+    want = []
+    for a, row in zip(first, rows):
+        low = []
+        for i in range(len(row) - substring_dedup.UNIT + 1):
+            x = row[i : i + substring_dedup.UNIT]
+            while len(x) > 1:
+                x = core.combine(x[::2], x[1::2])
+            low.append(int(x[0]) >> 32)
+        for w in range(-substring_dedup.WINDOW + 1, len(low)):
+            part = [(v, i) for i, v in enumerate(low) if w <= i < w + substring_dedup.WINDOW]
+            want += [int(a) + min(part)[1]] if part else []
+    assert sorted(set(want)) == at.tolist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, D)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and out.count() > 0
+
+
+def twins(n=2048):
+    """Two different words over a and b with equal polynomial hashes modulo a power of two, for any odd base (Thue and Morse)."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ab"[1 - b] for b in bits)
+
+
+def test_words_and_pieces_that_a_polynomial_would_confuse(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = [(i, t) for n in (64, 512, 2048) for i, t in enumerate(twins(n), n)]
+    data, offsets = core.text_buffers(pa.array([t for _, t in made]))
+    assert len(np.unique(core.words(data, offsets)[0])) == len(made)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    got = tokens.Encoder(path).encode(pa.array([x for _, x in made]))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for _, x in made]
+    found = near_dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), shingle=2).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found)
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "run_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two", "a" * 70 + " b", "a" * 69 + "c b", "", "one two"]
+    got = tokens.Encoder(path).encode(pa.array(texts))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_word_hashes_by_hand():
+    rng = random.Random(6)
+    made = ["".join(rng.choice("ab c\n") for _ in range(rng.randint(0, 300))) + "x" * rng.randint(0, 90) for _ in range(200)]
+    data, offsets = core.text_buffers(pa.array(made))
+    h, start, end, first = core.words(data, offsets)
+    names = [w for t in made for w in words(t)]
+    assert len(names) == len(h) and len({(n, x) for n, x in zip(names, h.tolist())}) == len(set(names)) == len(set(h.tolist()))
+    assert np.diff(first).tolist() == [len(words(t)) for t in made]
+
+
+def test_token_folder_is_read_without_its_writer(spark, odd, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens.write_tokens(odd, path, folder=f"file://{tmp_path}/ids")
+    segments, dictionary = tokens.open_tokens(spark.newSession(), f"file://{tmp_path}/ids")
+    got = tokens.find_document(segments, dictionary, 9)
+    assert got.tolist() == Tokenizer.from_file(path).encode("one", add_special_tokens=False).ids + [2]
+    assert tokens.find_document(segments, dictionary, 77) is None
