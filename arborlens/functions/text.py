@@ -86,3 +86,8 @@ def glob_regex(pattern: str) -> str:
         else:
             out, i = out + re.escape(pattern[i]), i + 1
     return f"^{out}$"
+
+
+def json_field(c: Column, name: str, kind: str, default: Column) -> Column:
+    """A field of a JSON object; the default where the text is no JSON, or the field is missing or no such value."""
+    return F.coalesce(F.get_json_object(c, f"$.{name}").try_cast(kind), default)

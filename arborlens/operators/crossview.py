@@ -30,3 +30,52 @@ def proxy_connectors(connectors: DataFrame, placements: DataFrame, closure: Data
     g = j.groupBy("view_id", F.least("px", "py").alias("source"), F.greatest("px", "py").alias("target")).agg(F.sum("n").alias("n"))
     w = Window.partitionBy("view_id").orderBy(F.col("n").desc(), "source", "target")
     return g.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= budget)
+
+
+def distances(closure: DataFrame, view: int) -> DataFrame:
+    """From one view to every view with a common ancestor: view_id, distance, lca_depth (of the lowest common ancestor below its root)."""
+    own = closure.where(F.col("view_id") == view).select("ancestor_id", F.col("depth").alias("da"))
+    most = own.agg(F.max("da").alias("most"))
+    j = closure.join(F.broadcast(own), "ancestor_id").groupBy("view_id").agg(F.min("da").alias("da"), F.min("depth").alias("db"))
+    return j.crossJoin(F.broadcast(most)).select("view_id", (F.col("da") + F.col("db")).alias("distance"), (F.col("most") - F.col("da")).alias("lca_depth"))
+
+
+def best_placement(placements: DataFrame, closure: DataFrame, focus: int, owner: int) -> DataFrame:
+    """element_id, view_id: the place of each element that is nearest to the focused view.
+
+    The focus costs 0, the owner's view 10, views below the focus 50 and their depth below it, others 200 + 10 x distance to the
+    focus + 2 x distance to the owner's view - depth of the common ancestor; ties go to the smallest view.
+    """
+    below = closure.where((F.col("ancestor_id") == focus) & (F.col("depth") > 0)).select("view_id", F.col("depth").alias("below"))
+    a, b = distances(closure, focus), distances(closure, owner).select("view_id", F.col("distance").alias("to_owner"))
+    j = placements.join(below, "view_id", "left").join(a, "view_id", "left").join(b, "view_id", "left")
+    far = 200 + 10 * F.coalesce("distance", F.lit(1000)) + 2 * F.coalesce("to_owner", F.lit(1000)) - F.coalesce("lca_depth", F.lit(0))
+    cost = F.when(F.col("view_id") == focus, 0).when(F.col("view_id") == owner, 10).when(F.col("below").isNotNull(), 50 + F.col("below")).otherwise(far)
+    return j.groupBy("element_id").agg(F.min_by("view_id", F.struct(cost.alias("cost"), F.col("view_id"))).alias("view_id"))
+
+
+def zoom_proxies(connectors: DataFrame, placements: DataFrame, closure: DataFrame, views: DataFrame, shown: DataFrame, deepest: int = 2) -> DataFrame:
+    """Connectors seen at a zoom where only some elements show: source, target, n, kind.
+
+    Each end stands for the `deepest` lowest shown members of its path (itself, then owners of the views above); all pairs of
+    such members but those on one element and the natively drawn one. Ends are merged before they are paired.
+    """
+    root = closure.groupBy("view_id").agg(F.max("depth").alias("height"))
+    above = placements.join(closure, "view_id").select("element_id", F.col("ancestor_id").alias("id")).join(views.select("id", "owner_element_id"), "id").where("owner_element_id is not null")
+    above = above.join(root.select(F.col("view_id").alias("id"), "height"), "id").select("element_id", F.col("owner_element_id").alias("proxy"), F.col("height").alias("depth"))
+    own = placements.select("element_id", F.col("element_id").alias("proxy"), F.lit(1000).alias("depth"))
+    path = own.union(above).distinct().join(shown.select(F.col("element_id").alias("proxy")), "proxy", "left_semi")
+    low = path.withColumn("r", F.row_number().over(Window.partitionBy("element_id").orderBy(F.col("depth").desc(), "proxy"))).where(F.col("r") <= deepest).select("element_id", "proxy")
+    ends = connectors.groupBy("source_element_id", "target_element_id").agg(F.count("*").alias("c"))
+    a = low.select(F.col("element_id").alias("source_element_id"), F.col("proxy").alias("source"))
+    b = low.select(F.col("element_id").alias("target_element_id"), F.col("proxy").alias("target"))
+    j = ends.join(a, "source_element_id").join(b, "target_element_id").where("source <> target and not (source = source_element_id and target = target_element_id)")
+    g = j.groupBy("source", "target").agg(F.sum("c").alias("n"))
+    return g.withColumn("kind", F.when(F.col("n") == 1, "single").otherwise("group"))
+
+
+def omitted(proxies: DataFrame, budget: int) -> DataFrame:
+    """proxies(view_id, source, target, n) of all pairs -> view_id, shown, omitted: pairs within the budget and connectors beyond it."""
+    w = Window.partitionBy("view_id").orderBy(F.col("n").desc(), "source", "target")
+    r = proxies.withColumn("r", F.row_number().over(w))
+    return r.groupBy("view_id").agg(F.count_if(F.col("r") <= budget).alias("shown"), F.coalesce(F.sum(F.when(F.col("r") > budget, F.col("n"))), F.lit(0)).alias("omitted"))

@@ -58,16 +58,44 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write a table beside the old one and swap the folders: readers see the one or the other."""
+    """Write a new version beside the others, then move a pointer to it in one rename: readers see the old one or the new one, also after a crash. The one before is kept."""
     spark = df.sparkSession
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    name = f"v-{uuid.uuid4().hex}"
+    before = _version(spark, path)
+    df.write.parquet(f"{path}/{name}")
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = hadoop(f"{path}/NEXT-{name}")
+    out = fs.create(fresh)
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop(path).toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, hadoop(f"{path}/CURRENT"), options)
+    for status in fs.listStatus(hadoop(path)):
+        old = status.getPath().getName()
+        if old.startswith("v-") and old not in (name, before):
+            fs.delete(status.getPath(), True)
+
+
+def _version(spark, path: str) -> str | None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(new)
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(new), hadoop(path))
-    fs.delete(hadoop(old), True)
+    if not fs.exists(hadoop(f"{path}/CURRENT")):
+        return None
+    return spark.read.text(f"{path}/CURRENT").first()[0]
+
+
+def read_table(spark, path: str) -> DataFrame:
+    """The current version of a table written by replace_table."""
+    return spark.read.parquet(f"{path}/{_version(spark, path)}")
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite only the partitions that df has rows of; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def preserve_dirty(generated: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -84,6 +112,21 @@ def merge_entities(connectors: DataFrame, survivor: int, gone: int) -> DataFrame
     return connectors.select(*[move(c) if c in ("source_element_id", "target_element_id") else F.col(c) for c in connectors.columns])
 
 
+def merge_placements(placements: DataFrame, survivor: int, gone: int) -> DataFrame:
+    """Places of both elements as the survivor's, one for each view: its own where it has one."""
+    mine = placements.withColumn("_own", F.col("element_id") != gone).withColumn("element_id", F.when(F.col("element_id") == gone, F.lit(survivor).cast("long")).otherwise(F.col("element_id")))
+    w = Window.partitionBy("view_id", "element_id").orderBy(F.col("_own").desc())
+    return mine.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_own")
+
+
+def merge_fields(elements: DataFrame, survivor: int, gone: int, fields: list[str]) -> DataFrame:
+    """The survivor takes the fields it lacks from the other, which goes."""
+    other = elements.where(F.col("id") == gone).select(*[F.col(f).alias(f"_{f}") for f in fields]).limit(1)
+    kept = elements.where(F.col("id") != gone).join(F.broadcast(other), F.col("id") == survivor, "left")
+    fill = lambda f: F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", F.col(f"_{f}")).otherwise(F.col(f)).alias(f)
+    return kept.select(*[fill(c) if c in fields else F.col(c) for c in elements.columns])
+
+
 def set_override(overrides: DataFrame, changes: DataFrame) -> DataFrame:
     """changes(view_id, element_id, delta): clamped to -4..4; 0 takes the row away."""
     c = changes.withColumn("delta", F.greatest(F.least(F.col("delta"), F.lit(4)), F.lit(-4)).cast("int"))

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder; one under /tmp only where none is set."""
+    """Cut the lineage of an iteration in the shared checkpoint folder; one under /tmp only with a local master where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints/graph"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or "file:///tmp/checkpoints/graph")
     return df.checkpoint()
 
 
@@ -43,6 +46,12 @@ def lca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.groupBy("a", "b").agg(F.min_by("ancestor_id", F.struct(F.col("da") + F.col("db"), F.col("ancestor_id"))).alias("lca"), F.min(F.col("da") + F.col("db")).cast("long").alias("distance"))
 
 
+def related_pairs(closure: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of views in one tree, from their common ancestors: views of different trees have none, so they never meet."""
+    x, y = closure.select(F.col("view_id").alias("a"), "ancestor_id"), closure.select(F.col("view_id").alias("b"), "ancestor_id")
+    return x.join(y, "ancestor_id").where("a < b").select("a", "b").distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes(id), edges(a, b) -> id, component (smallest id): minima of neighbours, then of the label's label."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -113,3 +122,35 @@ def folders(paths: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     return paths.where(F.contains(F.col("path"), F.lit("/"))).select(F.explode(up).alias("folder")).distinct().withColumn("depth", F.size(F.split("folder", "/")).cast("long"))
+
+
+def owner_paths(closure: DataFrame, views: DataFrame) -> DataFrame:
+    """For each view and ancestor, the owner elements on the way down from the ancestor to the view: view_id, ancestor_id, path."""
+    owner = views.select(F.col("id").alias("step"), F.col("owner_element_id").alias("owner"))
+    inner = closure.select(F.col("view_id").alias("below"), F.col("ancestor_id").alias("step"), F.col("depth").alias("at")).join(owner, "step").where("owner is not null")
+    j = closure.join(inner, (F.col("view_id") == F.col("below")) & (F.col("at") < F.col("depth")), "left").select("view_id", "ancestor_id", "at", "owner")
+    rows = j.groupBy("view_id", "ancestor_id").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct((-F.col("at")).alias("o"), "owner")))).alias("p"))
+    return rows.select("view_id", "ancestor_id", F.transform("p", lambda x: x["owner"]).alias("path"))
+
+
+def navigations(views: DataFrame, placements: DataFrame) -> DataFrame:
+    """element_id, from_view_id, to_view_id, to_view_name: from the smallest view that shows an element to the first one it owns, which is another."""
+    first = views.where("owner_element_id is not null").groupBy("owner_element_id").agg(F.min("id").alias("to_view_id"), F.min_by("name", "id").alias("to_view_name"))
+    j = placements.join(first, F.col("element_id") == F.col("owner_element_id")).where("view_id <> to_view_id")
+    return j.groupBy("element_id", "to_view_id", "to_view_name").agg(F.min("view_id").alias("from_view_id")).select("element_id", "from_view_id", "to_view_id", "to_view_name")
+
+
+def tree(closure: DataFrame, views: DataFrame) -> DataFrame:
+    """view_id, depth below its root, path of names from the root."""
+    named = closure.join(views.select(F.col("id").alias("ancestor_id"), "name"), "ancestor_id")
+    g = named.groupBy("view_id").agg(F.max("depth").alias("depth"), F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "name"))).alias("p"))
+    return g.select("view_id", "depth", F.array_join(F.transform("p", lambda x: x["name"]), "/").alias("path"))
+
+
+def roots_of_cycles(parents: DataFrame, closure: DataFrame) -> DataFrame:
+    """Views that no root reaches hang from a cycle: the smallest view of each cycle (all its ancestors have it as theirs) becomes a root of its own."""
+    rooted = closure.join(parents.where("parent_id is null").select(F.col("view_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("view_id")
+    lost = closure.join(rooted, "view_id", "left_anti").select("view_id", "ancestor_id")
+    back = lost.select(F.col("ancestor_id").alias("view_id"), F.col("view_id").alias("ancestor_id"), F.lit(1).alias("back"))
+    g = lost.join(back, ["view_id", "ancestor_id"], "left").groupBy("view_id").agg(F.count("*").alias("n"), F.count("back").alias("m"), F.min("ancestor_id").alias("root"))
+    return g.where("n = m and view_id = root").select("view_id")

@@ -77,6 +77,57 @@ def dangling(e, v, p, c, strict=False):
     return a.union(b).distinct().select(F.col("id").alias("location"))
 
 
+@rule("flat_hierarchy")
+def flat(e, v, p, c, strict=False):
+    """More than one element owns a view, and no owner stands in an owned view."""
+    owned = v.where("owner_element_id is not null").select("id", "owner_element_id")
+    nested = p.join(owned.select(F.col("id").alias("view_id")), "view_id", "left_semi").join(owned.select(F.col("owner_element_id").alias("element_id")), "element_id", "left_semi")
+    n = owned.agg(F.count_distinct("owner_element_id").alias("n"), F.min("id").alias("location"))
+    return n.crossJoin(nested.agg(F.count("*").alias("nested"))).where("n > 1 and nested = 0").select("location")
+
+
+@rule("empty_view")
+def empty_view(e, v, p, c, strict=False):
+    return v.where("owner_element_id is not null").join(p.select(F.col("view_id").alias("id")), "id", "left_anti").join(c.select(F.col("view_id").alias("id")), "id", "left_anti").select(F.col("owner_element_id").alias("location"))
+
+
+@rule("abstraction_leak")
+def leak(e, v, p, c, strict=False):
+    """Functions and classes that stand in the root view, or nowhere."""
+    root = v.where("owner_element_id is null").select(F.col("id").alias("view_id"))
+    low = e.where(F.lower("kind").isin("function", "class")).select(F.col("id").alias("element_id"))
+    top = low.join(p.join(root, "view_id", "left_semi"), "element_id", "left_semi")
+    return top.union(low.join(p, "element_id", "left_anti")).distinct().select(F.col("element_id").alias("location"))
+
+
+#: Labels and parts of names that say nothing.
+GENERIC_LABELS, GENERIC_NAMES = ["calls", "uses", "connects", "links"], ["module", "stuff", "thing"]
+
+
+@rule("generic_label", 3)
+def generic_label(e, v, p, c, strict=False):
+    return c.where(F.lower("label").isin(GENERIC_LABELS)).select(F.col("id").alias("location"))
+
+
+@rule("generic_name", 3)
+def generic_name(e, v, p, c, strict=False):
+    return e.where(F.lower("name").rlike("|".join(GENERIC_NAMES))).select(F.col("id").alias("location"))
+
+
+def unknown_technology(elements: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Elements with a part of their technology (cut at , / ; |) that the catalogue(alias, lower case) does not know: location, part."""
+    part = F.explode(F.filter(F.transform(F.split("technology", "[,/;|]"), lambda x: F.lower(F.trim(x))), lambda x: x != "")).alias("part")
+    return elements.where("technology is not null").select(F.col("id").alias("location"), part).join(catalog.select(F.col("alias").alias("part")), "part", "left_anti").select("location", "part")
+
+
+def strict_low_insight(e: DataFrame, p: DataFrame, c: DataFrame, structural: tuple[str, ...] = ("struct", "interface", "type", "file", "folder")) -> DataFrame:
+    """Views with fewer than half a connector for each element, unless more than four in five of them are structure."""
+    kinds = p.join(e.select(F.col("id").alias("element_id"), F.lower("kind").alias("kind")), "element_id", "left")
+    n = kinds.groupBy("view_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind").isin(*structural)).alias("s"))
+    m = c.groupBy("view_id").agg(F.count("*").alias("m"))
+    return n.join(m, "view_id", "left").where((2 * F.coalesce("m", F.lit(0)) < F.col("n")) & (F.col("s") <= F.floor(F.col("n") * 8 / 10))).select(F.col("view_id").alias("location"))
+
+
 def lint(elements, views, placements, connectors, level: int = 2, include=(), exclude=(), strict: bool = False) -> DataFrame:
     """All active rules: those of this level and below or included, but for excluded ones."""
     out = None

@@ -64,10 +64,19 @@ def duplicate_connectors(connectors: DataFrame) -> DataFrame:
 
 
 def merged_connectors(connectors: DataFrame) -> DataFrame:
-    """Each group as one connector: relationships distinct, in id order, joined by ' / '; first label."""
-    rows = F.array_sort(F.collect_list(F.struct("id", "relationship", "label")))
-    g = connectors.groupBy("view_id", "source_element_id", "target_element_id").agg(rows.alias("r"))
-    return g.select("view_id", "source_element_id", "target_element_id", F.col("r")[0]["id"].alias("id"), F.array_join(F.array_distinct(F.transform("r", lambda x: x["relationship"])), " / ").alias("relationship"), F.try_element_at(F.filter(F.transform("r", lambda x: x["label"]), lambda x: x.isNotNull()), F.lit(1)).alias("label"))
+    """Each group as one connector: relationships distinct, in id order, joined by ' / '; first label; direction bits of all.
+
+    Distinct relationships are made before the lists, so a list holds as many entries as a group has relationships.
+    """
+    group = ["view_id", "source_element_id", "target_element_id"]
+    way = F.col("direction") if "direction" in connectors.columns else F.lit("forward")
+    bits = F.when(way == "both", 3).when(way == "backward", 2).when(way == "none", 0).otherwise(1)
+    labelled = F.when(F.col("label").isNotNull(), F.col("id"))
+    each = connectors.groupBy(*group, "relationship").agg(F.min("id").alias("id"), F.min_by("label", labelled).alias("label"), F.min(labelled).alias("lid"), F.bit_or(bits).alias("bits"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "relationship")))
+    g = each.groupBy(*group).agg(rows.alias("r"), F.min_by("label", F.when(F.col("label").isNotNull(), F.col("lid"))).alias("label"), F.bit_or("bits").alias("bits"))
+    direction = F.when(F.col("bits") == 3, "both").when(F.col("bits") == 2, "backward").when(F.col("bits") == 0, "none").otherwise("forward")
+    return g.select(*group, F.col("r")[0]["id"].alias("id"), F.array_join(F.transform("r", lambda x: x["relationship"]), " / ").alias("relationship"), "label", direction.alias("direction"))
 
 
 def first_per_group(df: DataFrame, group: str, order: list) -> DataFrame:
@@ -90,11 +99,24 @@ def duplicate_ordinals(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.withColumn("ordinal", F.when(F.count("*").over(w) > 1, F.row_number().over(w.orderBy(*order))))
 
 
-def covered_tags(tags: DataFrame, owners: int, per_owner: int = 5, share: float = 0.70) -> DataFrame:
+def covered_tags(tags: DataFrame, per_owner: int = 5, share: float = 0.70) -> DataFrame:
     """tags(owner, tag): those on 2 owners at least and `share` of them at most, the rarest `per_owner` of each owner."""
-    most = max(int(share * owners), 0) or owners - 1
-    ok = tags.distinct().groupBy("tag").agg(F.count("*").alias("df")).where(f"df >= 2 and df <= {most}")
-    return keep_latest(tags.distinct().join(ok, "tag"), ["owner"], [F.col("df"), F.col("tag")], per_owner)
+    each = tags.distinct()
+    owners = each.agg(F.count_distinct("owner").alias("owners"))
+    most = F.floor(share * F.col("owners"))
+    ok = each.groupBy("tag").agg(F.count("*").alias("df")).crossJoin(F.broadcast(owners)).where((F.col("df") >= 2) & (F.col("df") <= F.when(most > 0, most).otherwise(F.col("owners") - 1))).select("tag", "df")
+    return keep_latest(each.join(ok, "tag"), ["owner"], [F.col("df"), F.col("tag")], per_owner)
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Row numbers from 0 in this total order, without gathering the rows: ranges of the order, and their offsets from a count of each range."""
+    from arborlens.operators.graph import checkpointed
+
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
 
 
 def jump_rank(name: Column, term: str) -> Column:
@@ -112,6 +134,106 @@ def jump_search(views: DataFrame, elements: DataFrame, term: str) -> DataFrame:
 
 
 def suggestions(catalog: DataFrame, words: DataFrame, most: int = 3, k: int = 3) -> DataFrame:
-    """For each word(word) the k nearest names(name) within an edit distance, shorter names first."""
-    pairs = words.crossJoin(F.broadcast(catalog)).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("name"), most)).where("distance >= 0")
+    """For each word(word) the k nearest names(name) within an edit distance, shorter names first.
+
+    A name within `most` edits holds one of its most + 1 parts unchanged, moved by `most` places at most, so words and names meet
+    on (length of the name, number of the part, the part) instead of all with all.
+    """
+    parts = most + 1
+    cut = lambda n, i: F.floor(n * i / parts).cast("int")
+    piece = lambda text, start, size: F.substring(text, start + 1, size)
+    low = F.lower("name")
+    n = F.length(low)
+    names = catalog.select("name").distinct().select("name", F.explode(F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), piece(low, cut(n, i), cut(n, i + 1) - cut(n, i)).alias("part")) for i in range(parts)])).alias("x"))
+    low = F.lower("word")
+    sizes = F.explode(F.sequence(F.greatest(F.length(low) - most, F.lit(0)), F.length(low) + most)).alias("n")
+    shifts = [(i, d) for i in range(parts) for d in range(-most, most + 1)]
+    m = F.col("n")
+    at = lambda i, d: F.when((cut(m, i) + d >= 0) & (cut(m, i + 1) + d <= F.length(low)), F.struct(m.alias("n"), F.lit(i).alias("i"), piece(low, cut(m, i) + d, cut(m, i + 1) - cut(m, i)).alias("part")))
+    asked = words.select("word").distinct().select("word", sizes).select("word", F.explode(F.array_distinct(F.array_compact(F.array(*[at(i, d) for i, d in shifts])))).alias("x"))
+    pairs = asked.join(names, "x").select("word", "name").distinct().withColumn("distance", F.levenshtein(F.lower("word"), F.lower("name"), most)).where("distance >= 0")
     return keep_latest(pairs, ["word"], [F.col("distance"), F.length("name"), F.col("name")], k)
+
+
+def symbol_page(symbols: DataFrame, files: DataFrame, search: str = "", kind: str | None = None, path: str | None = None, offset: int = 0, limit: int = 0) -> DataFrame:
+    """symbols(id, file_id, name, qualified_name, kind, start_line) with their file's path: by words in either name, by kind, by exact file; in order of path, line and name."""
+    rows = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    if search.strip():
+        rows = rows.where(F.contains(F.lower("name"), F.lit(search.strip().lower())) | F.contains(F.lower("qualified_name"), F.lit(search.strip().lower())))
+    for column, value in (("kind", kind), ("path", path)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return page(rows, ["path", "start_line", "name", "id"], offset, limit)
+
+
+def views_below(views: DataFrame, closure: DataFrame, root: int | None = None, parent: int | None = None, text: str = "") -> DataFrame:
+    """Views under a root at any depth, or directly under a parent, whose name holds a text in any case."""
+    rows = views
+    if root is not None:
+        rows = rows.join(closure.where((F.col("ancestor_id") == root) & (F.col("depth") > 0)).select(F.col("view_id").alias("id")), "id", "left_semi")
+    if parent is not None:
+        rows = rows.join(closure.where((F.col("ancestor_id") == parent) & (F.col("depth") == 1)).select(F.col("view_id").alias("id")), "id", "left_semi")
+    return rows.where(F.contains(F.lower("name"), F.lit(text.strip().lower()))) if text.strip() else rows
+
+
+def latest_decisions(decisions: DataFrame, owner_type: str | None = None, decision: str | None = None) -> DataFrame:
+    """Decisions of the latest run(run_id) only."""
+    last = decisions.agg(F.max("run_id").alias("last"))
+    rows = decisions.join(F.broadcast(last), F.col("run_id") == F.col("last")).drop("last")
+    for column, value in (("owner_type", owner_type), ("decision", decision)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
+def owner_signals(materialised: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Signals of resources through their owners: both owner_type and owner_key must agree; largest score, smallest tier."""
+    j = materialised.join(decisions, ["owner_type", "owner_key"])
+    return j.groupBy("resource_id").agg(F.max("score").alias("filter_score"), F.min("tier").alias("tier"))
+
+
+def directed_neighbours(connectors: DataFrame) -> DataFrame:
+    """element_id, other, n, position: by where connectors point, with their direction: to both top, to none bottom, both in and out top, in left, out right."""
+    way = F.col("direction")
+    one = connectors.select(F.col("source_element_id").alias("element_id"), F.col("target_element_id").alias("other"), way.isin("forward", "both").alias("o"), way.isin("backward", "both").alias("i"))
+    two = connectors.where("source_element_id <> target_element_id").select(F.col("target_element_id").alias("element_id"), F.col("source_element_id").alias("other"), way.isin("backward", "both").alias("o"), way.isin("forward", "both").alias("i"))
+    g = one.union(two).groupBy("element_id", "other").agg(F.count("*").alias("n"), F.bool_or("o").alias("o"), F.bool_or("i").alias("i"))
+    return g.select("element_id", "other", "n", F.when(F.col("o") & F.col("i"), "top").when(F.col("i"), "left").when(F.col("o"), "right").otherwise("bottom").alias("position"))
+
+
+def orphans(identities: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Identities whose current key no symbol has."""
+    return identities.join(symbols.select(F.col("stable_key").alias("current_key")), "current_key", "left_anti")
+
+
+def pruned_tags(tags: DataFrame, forced: tuple[str, ...] = ("owner:",), keep: tuple[str, ...] = ("owner:",), per_owner: int = 5, share: float = 0.70) -> DataFrame:
+    """tags(owner, tag): a tag with a forced prefix counts as approved, others by how many owners have them; then the rarest `per_owner` of each owner, forced ones before; kept prefixes beyond that too."""
+    starts = lambda prefixes: F.lit(False) if not prefixes else F.col("tag").rlike("^(" + "|".join(prefixes) + ")")
+    each = tags.distinct()
+    owners = each.agg(F.count_distinct("owner").alias("owners"))
+    most = F.floor(share * F.col("owners"))
+    df = each.groupBy("tag").agg(F.count("*").alias("df")).crossJoin(F.broadcast(owners))
+    ok = df.where(starts(forced) | ((F.col("df") >= 2) & (F.col("df") <= F.when(most > 0, most).otherwise(F.col("owners") - 1)))).select("tag", "df")
+    w = Window.partitionBy("owner").orderBy((~starts(forced)).cast("int"), "df", "tag")
+    return each.join(ok, "tag").withColumn("r", F.row_number().over(w)).where((F.col("r") <= per_owner) | starts(keep)).select("owner", "tag")
+
+
+def folder_pairs(references: DataFrame, limit: int = 24, most: int = 100) -> DataFrame:
+    """references(source_path, target_path): cross-folder references counted per pair of top folders.
+
+    A pair of more than `limit` is one edge 'N references'; of others each pair of files is an edge. The first `most` by number.
+    """
+    top = lambda c: F.when(F.contains(F.col(c), F.lit("/")), F.split_part(F.col(c), F.lit("/"), F.lit(1))).otherwise(".")
+    files = references.where("source_path <> target_path").groupBy("source_path", "target_path").agg(F.count("*").alias("n"))
+    files = files.withColumn("source_folder", top("source_path")).withColumn("target_folder", top("target_path")).where("source_folder <> target_folder")
+    pairs = files.groupBy("source_folder", "target_folder").agg(F.sum("n").alias("total"))
+    big = pairs.where(F.col("total") > limit).select(F.col("source_folder").alias("source"), F.col("target_folder").alias("target"), F.col("total").alias("n"), F.concat(F.col("total").cast("string"), F.lit(" references")).alias("label"))
+    small = files.join(pairs.where(F.col("total") <= limit), ["source_folder", "target_folder"], "left_semi").select(F.col("source_path").alias("source"), F.col("target_path").alias("target"), "n", F.lit(None).cast("string").alias("label"))
+    return big.union(small).orderBy(F.col("n").desc(), "source", "target").limit(most)
+
+
+def tiered_chunks(df: DataFrame, group: str, order: list, base: int, tier: str) -> DataFrame:
+    """Chunks of a group's rows, larger where its tier is higher (naming.effective_maximum)."""
+    from arborlens.functions.naming import effective_maximum
+
+    size = effective_maximum(base, F.max(tier).over(Window.partitionBy(group)))
+    r = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
+    return df.withColumn("r", r).withColumn("size", size).withColumn("chunk", F.floor(F.col("r") / F.col("size")).cast("long")).drop("r", "size")

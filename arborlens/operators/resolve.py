@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions.text import cosine, glob_regex, token_jaccard
@@ -12,13 +12,20 @@ from arborlens.functions.text import cosine, glob_regex, token_jaccard
 def enclosing(points: DataFrame, intervals: DataFrame, bucket: int = 64) -> DataFrame:
     """points(file, line) x intervals(file, name, start, end or null): the innermost (largest start, then name) that holds the line.
 
-    Intervals are dealt to buckets of lines, so a long file is many join keys; open ends reach the file's last asked line.
+    Closed intervals are dealt to buckets of lines, so a long file is many join keys. Open ones hold every later line, so of them
+    only the last that started counts: one scan of a file's starts and points in order finds it, without a pair.
     """
-    last = points.groupBy("file").agg(F.max("line").alias("last"))
-    spread = intervals.join(last, "file").withColumn("stop", F.least(F.coalesce("end", "last"), "last")).where("start <= stop")
-    spread = spread.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
-    j = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(spread, ["file", "bucket"]).where("start <= line and line <= stop")
-    return j.groupBy("file", "line").agg(F.min_by("name", F.struct(-F.col("start"), F.col("name"))).alias("name"), F.max("start").alias("start"))
+    closed = intervals.where("end is not null and start <= end")
+    spread = closed.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
+    j = points.withColumn("bucket", F.floor(F.col("line") / bucket)).join(spread, ["file", "bucket"]).where("start <= line and line <= end")
+    best = j.groupBy("file", "line").agg(F.max(F.struct("start", F.lit(0).alias("x"), "name")).alias("s"), F.min_by("name", F.struct(-F.col("start"), F.col("name"))).alias("name"))
+    found = best.select("file", "line", "name", F.col("s.start").alias("start"))
+    # Starts before points of the same line.
+    opened = intervals.where("end is null").groupBy("file", "start").agg(F.min("name").alias("name")).select("file", F.col("start").alias("line"), F.lit(0).alias("kind"), F.struct("start", "name").alias("o"))
+    both = opened.unionByName(points.select("file", "line", F.lit(1).alias("kind"), F.lit(None).cast(opened.schema["o"].dataType).alias("o")))
+    seen = F.last("o", ignorenulls=True).over(Window.partitionBy("file").orderBy("line", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("seen", seen).where("kind = 1 and seen is not null").select("file", "line", F.col("seen.name").alias("name"), F.col("seen.start").alias("start"))
+    return found.union(held).groupBy("file", "line").agg(F.min_by("name", F.struct(-F.col("start"), F.col("name"))).alias("name"), F.max("start").alias("start"))
 
 
 def prefix_lookup(paths: DataFrame, policies: DataFrame) -> DataFrame:
@@ -52,12 +59,46 @@ def ignored(paths: DataFrame, implicit: list[str], patterns: list[str]) -> DataF
     return paths.withColumn("ignored", out)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest by cosine: queries are the small side; ties by id."""
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"))
-    pairs = vectors.crossJoin(F.broadcast(q)).where(F.col("id") != F.col("query")).select("query", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("similarity"))
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """Exact nearest by cosine of all vectors to each of the stated queries; ties by id. Both have columns id, vector.
+
+    Queries are packed in blocks of `block` rows, and vectors in blocks of the same size; every block of vectors meets every
+    block of queries once, as one matrix product, and keeps k rows for each query. So the join is over blocks, nothing is
+    broadcast, and what goes on to the final ranking is k rows for each query and block.
+    """
+    import numpy as np
+
+    def packed(df, number, name):
+        each = df.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("b"))
+        return each.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name))
+
+    n_v, n_q = (max(1, -(-df.count() // block)) for df in (vectors, queries))
+
+    def best(batches):
+        for batch in batches:
+            out = []
+            for vs, qs in zip(batch["vs"], batch["qs"]):
+                ids, query = np.array([r["id"] for r in vs]), np.array([r["id"] for r in qs])
+                widths = {len(r["v"]) for r in [*vs, *qs]}
+                for width in widths:
+                    i, j = np.array([len(r["v"]) == width for r in vs]), np.array([len(r["v"]) == width for r in qs])
+                    if not i.any() or not j.any():
+                        continue
+                    x, y = (np.array([r["v"] for r in rows if len(r["v"]) == width], float) for rows in (vs, qs))
+                    norm = np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1))
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        sim = np.where(norm > 0, (y @ x.T) / norm, 0.0).round(6)
+                    for q, row in zip(query[j], sim):
+                        keep = ids[i] != q
+                        order = np.lexsort((ids[i][keep], -row[keep]))[:k]
+                        out += [(int(q), int(a), float(c)) for a, c in zip(ids[i][keep][order], row[keep][order])]
+            yield pd.DataFrame(out, columns=["query", "id", "similarity"])
+
+    v = packed(vectors, n_v, "vs").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    blocks = v.join(packed(queries, n_q, "qs").withColumnRenamed("b", "qb"), "qb").select("vs", "qs")
+    found = blocks.mapInPandas(best, "query long, id long, similarity double")
     w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def identity_scores(symbols: DataFrame, identities: DataFrame) -> DataFrame:
@@ -66,7 +107,10 @@ def identity_scores(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     symbols(key, file, kind, line, hash, tokens), identities(identity, the same columns). Score from .70 on.
     """
     i = identities.select(*[F.col(c).alias(f"i_{c}") for c in identities.columns])
-    near = symbols.join(i, (F.col("file") == F.col("i_file")) & (F.col("kind") == F.col("i_kind"))).where(F.abs(F.col("line") - F.col("i_line")) <= 3)
+    # Lines within 3 stand in the same or the next band of 4: the band is part of the join key.
+    band = lambda c: F.floor(F.col(c) / 4)
+    banded = symbols.withColumn("band", F.explode(F.array(band("line") - 1, band("line"), band("line") + 1)))
+    near = banded.join(i.withColumn("i_band", band("i_line")), (F.col("file") == F.col("i_file")) & (F.col("kind") == F.col("i_kind")) & (F.col("band") == F.col("i_band"))).where(F.abs(F.col("line") - F.col("i_line")) <= 3)
     near = near.withColumn("score", F.lit(0.35) + F.when(F.col("hash") == F.col("i_hash"), 0.35).otherwise(0.0) + 0.2 * token_jaccard(F.col("tokens"), F.col("i_tokens")) + 0.1)
     gone = i.join(symbols.select(F.col("file").alias("i_file")).distinct(), "i_file", "left_anti")
     moved = symbols.join(gone, (F.col("kind") == F.col("i_kind")) & (F.col("hash") == F.col("i_hash"))).withColumn("score", F.lit(0.8) + 0.1 * token_jaccard(F.col("tokens"), F.col("i_tokens")))
@@ -87,17 +131,84 @@ def greedy_matches(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def linked_entities(components: DataFrame, targets: DataFrame, least: float = 0.72) -> DataFrame:
-    """Score components(key, repo, name, tokens) against targets(id, repo, name, tokens), blocked by a shared token.
+    """Score components(key, repo, name, tokens) against targets(id, repo, name, tokens) without evidence (architecture.bindings has it all).
 
     .04 same repository, .42 same name, .30 a shared token, .16 two or more; best 12 of `least` and above;
-    none when the best two are within .02.
+    none when the best two are within .02. Without the name a pair has .50 at most, so above that the name is the join key.
     """
+    if least <= 0.5:
+        raise ValueError("pairs without an equal name are not looked at: least must be above 0.5")
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in targets.columns])
-    block = components.withColumn("token", F.explode("tokens")).join(t.withColumn("token", F.explode("t_tokens")), "token").drop("token").distinct()
+    block = components.join(t, F.lower("name") == F.lower("t_name"))
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
-    score = F.when(F.col("repo") == F.col("t_repo"), 0.04).otherwise(0.0) + F.when(F.lower("name") == F.lower("t_name"), 0.42).otherwise(0.0) + F.when(shared >= 1, 0.30).otherwise(0.0) + F.when(shared >= 2, 0.16).otherwise(0.0)
+    score = F.when(F.col("repo") == F.col("t_repo"), 0.04).otherwise(0.0) + 0.42 + F.when(shared >= 1, 0.30).otherwise(0.0) + F.when(shared >= 2, 0.16).otherwise(0.0)
     rows = block.select("key", F.col("t_id").alias("id"), F.round(F.least(score, F.lit(1.0)), 6).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
     rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w))
-    first = rows.where("rank = 1 and next is not null and score - next <= 0.02").select("key")
-    return rows.where("rank <= 12").join(first, "key", "left_anti").select("key", "id", "score", F.col("rank").cast("long").alias("rank"))
+    unsure = F.max(F.when((F.col("rank") == 1) & (F.col("score") - F.col("next") <= 0.02), 1)).over(Window.partitionBy("key"))
+    return rows.withColumn("unsure", unsure).where("rank <= 12 and unsure is null").select("key", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def in_scope(active: Column, repo: Column, remote: Column, path: Column, root: str) -> Column:
+    """Whether an element belongs to a repository: any where no scope is active; by its remote if known; else by its path below the root."""
+    return F.when(~active, True).when(repo.isNotNull() & (remote != ""), repo == remote).otherwise((path == root) | path.startswith(root.rstrip("/") + "/"))
+
+
+def stale(known: DataFrame, now: DataFrame, changes: DataFrame) -> DataFrame:
+    """known(key, seen), now(key), changes(key, changed) -> key, state: symbols that are gone, and those whose file is newer than what was seen."""
+    j = known.join(now.select("key", F.lit(1).alias("here")), "key", "left").join(changes, "key", "left")
+    return j.select("key", F.when(F.col("here").isNull(), "vanished").when(F.col("changed") > F.col("seen"), "outdated").alias("state")).where("state is not null")
+
+
+def catalog_search(catalog: DataFrame, text: Column, term: str, order: str, limit: int = 12) -> DataFrame:
+    """Rows whose text matches a regular expression, any case; the plain words where it is none."""
+    import re
+
+    try:
+        re.compile(term)
+        hit = text.rlike(f"(?i){term}")
+    except re.error:
+        hit = F.contains(F.lower(text), F.lit(term.lower()))
+    return catalog.where(hit).orderBy(order).limit(limit)
+
+
+#: Words of labels that name no technology.
+STOPWORDS = ["and", "for", "the", "with", "app", "api", "service", "server", "client", "database", "cluster", "system", "platform", "engine"]
+
+
+def catalog_matches(labels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """labels(id, label), catalog(alias, lower case) -> id, alias: the whole label; else, part by part (cut at , / ; |), the part or the first of its tokens that is known."""
+    tokens = lambda p: F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(F.replace(p, F.lit("+"), F.lit("plus")), r"(\p{Ll})(\p{Lu})", "$1 $2"), r"[^\p{L}\p{N}#]+", " ")), " "), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
+    forms = lambda p: F.concat(F.array(F.lower(F.trim(p))), tokens(p))
+    parts = F.filter(F.split("label", "[,/;|]"), lambda p: F.trim(p) != "")
+    every = F.concat(F.array(F.lower(F.trim("label"))), F.flatten(F.transform(parts, forms)))
+    each = labels.select("id", F.posexplode(every).alias("at", "alias"))
+    return each.join(catalog.select("alias").distinct(), "alias").groupBy("id").agg(F.min_by("alias", "at").alias("alias"))
+
+
+def with_both_ends(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References with the columns of their two symbols, as source_... and target_...."""
+    side = lambda p: symbols.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in symbols.columns if c != "id"])
+    return references.join(side("source"), "source").join(side("target"), "target")
+
+
+def owner_keys(symbols: DataFrame, identities: DataFrame) -> DataFrame:
+    """The key that outlives a rename where a symbol has one, else its stable key."""
+    return symbols.join(identities, "id", "left").withColumn("owner_key", F.coalesce("identity_key", "stable_key"))
+
+
+def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """calls(id, file, name, line, anywhere), symbols(id, file, name, start_line, end_line) -> id, source_id, target_id.
+
+    The target has the one name of its kind among all symbols and stands in the same file, or the call's language allows any;
+    the source is the innermost symbol around the call. Calls to the own symbol are none.
+    """
+    only = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target_id"), F.min("file").alias("target_file")).where("n = 1")
+    hit = calls.join(only, "name").where("anywhere or file = target_file").select("id", "file", "line", "target_id")
+    around = enclosing(hit.select("file", "line").distinct(), symbols.select("file", F.col("id").alias("name"), F.col("start_line").alias("start"), F.col("end_line").alias("end")))
+    return hit.join(around.select("file", "line", F.col("name").alias("source_id")), ["file", "line"]).where("source_id <> target_id").select("id", "source_id", "target_id")
+
+
+def identified(symbols: DataFrame, identities: DataFrame) -> DataFrame:
+    """The first step of matching: an identity whose current key a symbol has is that symbol's; others stay open for identity_scores. key, identity."""
+    return symbols.join(identities.select(F.col("current_key").alias("key"), "identity"), "key").select("key", "identity")
