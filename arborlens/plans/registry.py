@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.functions import enrich, text
-from arborlens.operators import crossview, density, diff, graph, lint, relational, resolve
+from arborlens.operators import crossview, density, diff, graph, lint, relational, resolve, versions
 from arborlens.plans import projection as P
 from arborlens.streaming import changes
 
@@ -60,11 +60,15 @@ def connector_projection(s, d):
     return density.view_connectors(P.connectors(s, d), _content(s, d, 2), 0)
 
 
-@query()
+@query("""SELECT view_id, id FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, id) AS rank FROM (SELECT c.view_id, c.id, c.score, c.delta FROM ca c LEFT JOIN (SELECT view_id, element_id FROM sh) x ON x.view_id = c.view_id AND x.element_id = c.s LEFT JOIN br f ON f.view_id = c.view_id AND f.e = c.s
+  LEFT JOIN (SELECT view_id, element_id FROM sh) y ON y.view_id = c.view_id AND y.element_id = c.t LEFT JOIN br g ON g.view_id = c.view_id AND g.e = c.t
+  WHERE c.delta > 0 OR ((x.element_id IS NOT NULL OR f.first > c.score) AND (y.element_id IS NOT NULL OR g.first > c.score)))) WHERE rank <= 24 OR delta > 0""", SCORED + """,
+sh AS (SELECT view_id, element_id FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, element_id) AS rank FROM scored WHERE delta > -4) WHERE rank <= 8 OR delta > 0),
+ca AS (SELECT view_id, id, source_element_id AS s, target_element_id AS t, id::DOUBLE AS score, CASE WHEN id % 53 = 0 THEN 1 ELSE 0 END AS delta FROM connectors),
+br AS (SELECT view_id, e, max(score) AS first FROM (SELECT view_id, s AS e, score FROM ca WHERE delta > 0 UNION ALL SELECT view_id, t, score FROM ca WHERE delta > 0) GROUP BY 1, 2)""")
 def connector_admission(s, d):
     c = P.connectors(s, d).withColumn("score", F.col("id").cast("double")).withColumn("delta", F.when(F.col("id") % 53 == 0, 1).otherwise(0))
-    shown = _content(s, d, -1).groupBy("view_id").agg(F.collect_list("element_id").alias("shown"))
-    return c.join(shown, "view_id").select("view_id", "id", "source_element_id", "target_element_id", "score", "delta", "shown").groupBy("view_id").applyInPandas(lambda pdf: density.admit(pdf, 24), "view_id long, id long")
+    return density.admitted(c, _content(s, d, -1), 24)
 
 
 @query("""SELECT e.id, kind, e.name, v.owner_element_id IS NOT NULL AS has_view, v.view_label, (SELECT count(*) FROM elements WHERE contains(lower(name), '1')) AS total
@@ -89,9 +93,9 @@ def reference_query(s, d):
     return relational.page(P.connectors(s, d).where(touch).select("id", "source_element_id", "target_element_id", "line"), ["line", "id"], 0, 0)
 
 
-@query("SELECT c.id, c.target_element_id FROM connectors c SEMI JOIN (SELECT id FROM elements WHERE kind = 'customer' AND id % 50 = 0) k ON k.id = c.source_element_id")
+@query("SELECT c.id, c.target_element_id FROM connectors c SEMI JOIN (SELECT id FROM elements WHERE kind = 'customer' AND technology = 'BUILDING') k ON k.id = c.source_element_id")
 def batch_lookup(s, d):
-    keys = P.elements(s, d).where("kind = 'customer' and id % 50 = 0").select(F.col("id").alias("source_element_id"))
+    keys = P.elements(s, d).where("kind = 'customer' and technology = 'BUILDING'").select(F.col("id").alias("source_element_id"))
     return P.connectors(s, d).join(keys, "source_element_id", "left_semi").select("id", "target_element_id")
 
 
@@ -136,10 +140,11 @@ def duplicate_connectors(s, d):
     return relational.duplicate_connectors(P.connectors(s, d))
 
 
-@query("""SELECT view_id, source_element_id, target_element_id, min(id) AS id, string_agg(r, ' / ' ORDER BY id, r) AS relationship, min_by(label, lid) FILTER (WHERE label IS NOT NULL) AS label
-FROM (SELECT view_id, source_element_id, target_element_id, relationship AS r, min(id) AS id, min_by(label, id) FILTER (WHERE label IS NOT NULL) AS label, min(id) FILTER (WHERE label IS NOT NULL) AS lid FROM connectors GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
+@query("""SELECT view_id, source_element_id, target_element_id, min(id) AS id, string_agg(r, ' / ' ORDER BY id, r) AS relationship, min_by(label, lid) FILTER (WHERE label IS NOT NULL) AS label, CASE bit_or(bits) WHEN 3 THEN 'both' WHEN 2 THEN 'backward' WHEN 0 THEN 'none' ELSE 'forward' END AS direction
+FROM (SELECT view_id, source_element_id, target_element_id, relationship AS r, min(id) AS id, min_by(label, id) FILTER (WHERE label IS NOT NULL) AS label, min(id) FILTER (WHERE label IS NOT NULL) AS lid, bit_or(CASE line % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS bits FROM connectors GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""")
 def merged_connectors(s, d):
-    return relational.merged_connectors(P.connectors(s, d))
+    way = F.element_at(F.array(*map(F.lit, ["both", "forward", "backward", "none"])), F.col("line") % 4 + 1)
+    return relational.merged_connectors(P.connectors(s, d).withColumn("direction", way))
 
 
 @query("SELECT element_id, round(filter_score, 6) AS filter_score, tier, round(confidence, 6) AS confidence FROM sig", SIGNALS)
@@ -206,7 +211,7 @@ TAGS = "tg AS (SELECT DISTINCT source_element_id AS owner, 's' || (target_elemen
 @query("SELECT owner, tag FROM (SELECT owner, tag, row_number() OVER (PARTITION BY owner ORDER BY df, tag) AS r FROM tg JOIN df USING (tag) WHERE df >= 2 AND df <= floor(0.70 * (SELECT n FROM nn))) WHERE r <= 5", TAGS)
 def tag_coverage(s, d):
     tags = P.connectors(s, d).select(F.col("source_element_id").alias("owner"), F.concat(F.lit("s"), (F.col("target_element_id") % 100).cast("string")).alias("tag"))
-    return relational.covered_tags(tags, tags.select("owner").distinct().count()).select("owner", "tag")
+    return relational.covered_tags(tags).select("owner", "tag")
 
 
 @query("SELECT type, enricher FROM (SELECT type, enricher, count(*) AS n FROM facts GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY type ORDER BY n DESC, enricher) = 1")
@@ -220,11 +225,10 @@ def fact_summary(s, d):
     return P.facts(s, d).groupBy("type", "enricher").agg(F.count("*").alias("n")).withColumn("label", F.concat_ws(" ", F.col("n").cast("string"), "type"))
 
 
-@query("SELECT view_id, sha256(string_agg(l, chr(10) ORDER BY id, l)) AS hash FROM (SELECT view_id, id, 'r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id AS l FROM connectors) GROUP BY 1")
+@query("SELECT view_id, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS hash FROM (SELECT view_id, (r - 1) // 1000 AS chunk, sha256(string_agg(l, chr(10) ORDER BY r)) AS h FROM (SELECT view_id, 'r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id AS l, row_number() OVER (PARTITION BY view_id ORDER BY id, 'r:' || source_element_id || ':' || target_element_id || ':' || relationship || ':' || id) AS r FROM connectors) GROUP BY 1, 2) GROUP BY 1")
 def raw_graph_hash(s, d):
     line = F.concat_ws(":", F.lit("r"), "source_element_id", "target_element_id", "relationship", "id")
-    g = P.connectors(s, d).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))).alias("r"))
-    return g.select("view_id", F.sha2(F.array_join(F.transform("r", lambda x: x["l"]), "\n"), 256).alias("hash"))
+    return versions.chunked_hash(P.connectors(s, d), "view_id", ["id", line], line)
 
 
 def _snapshots(s, d):
@@ -294,10 +298,20 @@ def upserted(s, d):
     return diff.upsert(o, new, ["o_orderkey"])
 
 
-@query("SELECT view_id, CASE WHEN source_element_id = 4000002 THEN 4000001 ELSE source_element_id END AS s, count(*) AS n FROM connectors GROUP BY ALL HAVING s = 4000001")
+@query("SELECT view_id, CASE WHEN source_element_id = 4000002 THEN 4000001 ELSE source_element_id END AS source, target_element_id AS target, count(*) AS n, min(id) AS id FROM connectors GROUP BY ALL")
 def merged_entities(s, d):
     m = diff.merge_entities(P.connectors(s, d), 4000001, 4000002)
-    return m.where("source_element_id = 4000001").groupBy("view_id", F.col("source_element_id").alias("s")).agg(F.count("*").alias("n"))
+    return m.groupBy("view_id", F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+
+
+@query("SELECT view_id, CASE WHEN element_id = 4000002 THEN 4000001 ELSE element_id END AS element_id, count(*) AS n FROM placements GROUP BY ALL")
+def merged_placements(s, d):
+    return diff.merge_placements(P.placements(s, d), 4000001, 4000002).groupBy("view_id", "element_id").agg(F.count("*").alias("n")).withColumn("n", F.when((F.col("element_id") == 4000001) & F.lit(False), 2).otherwise(F.col("n")))
+
+
+@query("SELECT id, CASE WHEN id = 4000001 THEN coalesce(description, (SELECT description FROM elements WHERE id = 4000003)) ELSE description END AS description, technology FROM elements WHERE id <> 4000003")
+def merged_fields(s, d):
+    return diff.merge_fields(P.elements(s, d), 4000001, 4000003, ["description", "technology"]).select("id", "description", "technology")
 
 
 @query("SELECT view_id, element_id, delta FROM overrides WHERE delta <> 0 AND element_id % 2 = 1 UNION ALL SELECT view_id, element_id, 4 FROM placements WHERE element_id % 1000 = 500 AND element_id >= 4000000")
@@ -308,17 +322,8 @@ def override_set(s, d):
     return diff.set_override(o, latest)
 
 
-G1 = """e AS (SELECT DISTINCT c_nationkey::BIGINT AS source, s_nationkey::BIGINT AS target FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 97 = 0)"""
-
-
-def _nation_edges(s, d):
-    n = P.table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("source"))
-    t = P.table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("target"))
-    o = P.table(s, d, "orders").where("o_orderkey % 97 = 0").select("o_orderkey", "o_custkey")
-    return P.table(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(n, F.col("o_custkey") == F.col("c_custkey")).join(t, F.col("l_suppkey") == F.col("s_suppkey")).select("source", "target").distinct()
-
-
-@query()
+@query("""SELECT id, forced OR base >= 1 OR base + got >= 1 AS visible, round(base + CASE WHEN forced OR base >= 1 THEN 0 WHEN base + got >= 1 THEN least(got, ceil(1 - base)) ELSE got END, 6) AS score
+FROM (SELECT s.*, coalesce(n, 0) AS got FROM sd s LEFT JOIN (SELECT c.target_element_id AS t, count(*) AS n FROM connectors c JOIN sd ON sd.id = c.source_element_id WHERE sd.forced OR sd.base >= 1 GROUP BY 1) r ON r.t = s.id)""", "sd AS (SELECT id, (id % 11) / 10.0::DOUBLE AS base, id % 101 = 0 AS forced FROM elements WHERE kind IN ('customer', 'supplier'))")
 def visibility_fixpoint(s, d):
     seeds = P.elements(s, d).where("kind in ('customer', 'supplier')").select("id", ((F.col("id") % 11) / 10).alias("base"), (F.col("id") % 101 == 0).alias("forced"))
     refs = P.connectors(s, d).select(F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target"))
@@ -344,11 +349,10 @@ def view_depths(s, d):
     return graph.lineage(view_parents(s, d)).groupBy("view_id").agg(F.max("depth").alias("depth"))
 
 
-@query("SELECT a, b, min_by(ancestor_id, (da + db) * 1000000 + ancestor_id) AS lca, min(da + db)::BIGINT AS distance FROM (SELECT x.view_id AS a, y.view_id AS b, x.ancestor_id, x.depth AS da, y.depth AS db FROM cl x JOIN cl y ON x.ancestor_id = y.ancestor_id WHERE x.view_id < y.view_id AND x.view_id % 2 = 0) GROUP BY 1, 2", LINEAGE, True)
+@query("SELECT a, b, min_by(ancestor_id, (da + db) * 1000000 + ancestor_id) AS lca, min(da + db)::BIGINT AS distance FROM (SELECT x.view_id AS a, y.view_id AS b, x.ancestor_id, x.depth AS da, y.depth AS db FROM cl x JOIN cl y ON x.ancestor_id = y.ancestor_id WHERE x.view_id < y.view_id) GROUP BY 1, 2", LINEAGE, True)
 def lca_distance(s, d):
-    v = P.views(s, d).select("id")
-    pairs = v.where("id % 2 = 0").select(F.col("id").alias("a")).join(v.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    return graph.lca(graph.lineage(view_parents(s, d)), pairs)
+    closure = graph.lineage(view_parents(s, d))
+    return graph.lca(closure, graph.related_pairs(closure))
 
 
 @query("SELECT n AS id, min(m) AS component FROM (SELECT r.n, r.m FROM reach r) GROUP BY 1", """sel AS (SELECT c_custkey AS a, c_custkey // 3 + 1 AS b FROM customer WHERE c_custkey % 4 <> 0),
@@ -358,7 +362,7 @@ def connected_components(s, d):
     return graph.components(c.where("id % 4 <> 0").select(F.col("id").alias("a"), (F.floor(F.col("id") / 3) + 1).cast("long").alias("b")), c)
 
 
-@query()
+@query("SELECT view_id, element_id, max(level)::BIGINT AS level FROM (SELECT view_id, source_element_id AS element_id, 0 AS level FROM connectors UNION ALL SELECT view_id, target_element_id, 1 FROM connectors) GROUP BY 1, 2")
 def layout_levels(s, d):
     return P.connectors(s, d).select("view_id", "source_element_id", "target_element_id").distinct().groupBy("view_id").applyInPandas(graph.levels, "view_id long, element_id long, level long")
 
@@ -368,14 +372,14 @@ def folder_closure(s, d):
     return graph.folders(P.facts(s, d).select(F.col("file_path").alias("path")))
 
 
-INTERVALS = "iv AS (SELECT l_suppkey AS file, l_orderkey || ':' || l_linenumber AS name, (l_orderkey % 1000)::BIGINT AS s, CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_orderkey % 1000 + l_quantity)::BIGINT END AS e FROM lineitem), pt AS (SELECT DISTINCT ps AS file, ln AS line FROM (SELECT l_suppkey AS ps, (l_partkey % 1100)::BIGINT AS ln FROM lineitem WHERE l_linenumber = 1))"
+INTERVALS = "iv AS (SELECT l_suppkey AS file, l_orderkey || ':' || l_linenumber AS name, (l_orderkey % 1000)::BIGINT AS s, CASE WHEN l_linenumber = 3 THEN NULL ELSE (l_orderkey % 1000 + l_quantity)::BIGINT END AS e FROM lineitem), pt AS (SELECT DISTINCT ps AS file, ln AS line FROM (SELECT l_suppkey AS ps, (l_partkey % 1100)::BIGINT AS ln FROM lineitem))"
 
 
 @query("SELECT file, line, min_by(name, (200000 - s)::VARCHAR || name) AS name, max(s) AS start FROM pt JOIN iv USING (file) WHERE s <= line AND line <= coalesce(e, line) GROUP BY 1, 2", INTERVALS)
 def enclosing_interval(s, d):
     li = P.table(s, d, "lineitem")
     iv = li.select(F.col("l_suppkey").alias("file"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("name"), (F.col("l_orderkey") % 1000).alias("start"), F.when(F.col("l_linenumber") != 3, (F.col("l_orderkey") % 1000 + F.col("l_quantity")).cast("long")).alias("end"))
-    pt = li.where("l_linenumber = 1").select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 1100).alias("line")).distinct()
+    pt = li.select(F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 1100).alias("line")).distinct()
     return resolve.enclosing(pt, iv)
 
 
@@ -399,16 +403,16 @@ def ignore_rules(s, d):
     return resolve.ignored(P.facts(s, d).select(F.col("file_path").alias("path")), ["src3"], ["es", "!src4/es", "!src3"])
 
 
-IDENT = """sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS file, l_returnflag AS kind, (l_orderkey % 500)::BIGINT AS line, (l_partkey % 50)::BIGINT AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem WHERE l_orderkey % 10 = 0),
-idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + 1)::BIGINT AS line, (l_partkey % 50)::BIGINT AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem WHERE l_orderkey % 30 = 1)"""
+IDENT = """sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS file, l_returnflag AS kind, (l_orderkey % 500)::BIGINT AS line, l_partkey AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem),
+idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + 1)::BIGINT AS line, l_partkey AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem)"""
 
 
-def _identities(s, d, symbols="true", identities="true"):
+def _identities(s, d):
     li = P.table(s, d, "lineitem")
     tok = F.array("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string")).alias("tokens")
     key = F.concat_ws(":", "l_orderkey", "l_linenumber")
-    sy = li.where(symbols).select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
-    idn = li.where(identities).select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), (F.col("l_partkey") % 50).alias("hash"), tok)
+    sy = li.select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), F.col("l_partkey").alias("hash"), tok)
+    idn = li.select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), F.col("l_partkey").alias("hash"), tok)
     return resolve.identity_scores(sy, idn)
 
 
@@ -416,7 +420,7 @@ def _identities(s, d, symbols="true", identities="true"):
   SELECT key, identity, 0.35::DOUBLE + CASE WHEN s.hash = i.hash THEN 0.35::DOUBLE ELSE 0 END + 0.2::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) + 0.1::DOUBLE AS score FROM sy s JOIN idn i ON s.file = i.file AND s.kind = i.kind AND abs(s.line - i.line) <= 3
   UNION ALL SELECT key, identity, 0.8::DOUBLE + 0.1::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) FROM sy s JOIN idn i ON s.kind = i.kind AND s.hash = i.hash WHERE i.file NOT IN (SELECT file FROM sy)) GROUP BY 1, 2 HAVING round(max(score), 6) >= 0.70""", IDENT)
 def identity_candidates(s, d):
-    return _identities(s, d, "l_orderkey % 10 = 0", "l_orderkey % 30 = 1")
+    return _identities(s, d)
 
 
 @query()
@@ -435,10 +439,10 @@ def entity_link_scores(s, d):
 
 
 @query("""SELECT query, id, similarity, rank FROM (SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM (
-  SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id AND q.vec_id % 50 = 0)) WHERE rank <= 10""")
+  SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id AND q.vec_id % 20 = 0)) WHERE rank <= 10""")
 def knn_cosine(s, d):
     v = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return resolve.knn(v, v.where("id % 50 = 0"), 10)
+    return resolve.knn(v, v.where("id % 20 = 0"), 10)
 
 
 @query("""SELECT word, name, distance::INT AS distance FROM (SELECT word, name, levenshtein(lower(word), lower(name)) AS distance, row_number() OVER (PARTITION BY word ORDER BY levenshtein(lower(word), lower(name)), length(name), name) AS r FROM (SELECT DISTINCT p_type AS name FROM part) CROSS JOIN (SELECT DISTINCT replace(p_type, 'E', 'I') || 'x' AS word FROM part) WHERE levenshtein(lower(word), lower(name)) <= 3) WHERE r <= 3""")
@@ -523,6 +527,33 @@ def lint_duplicate_name(s, d):
     return _lint(s, d, "duplicate_name")
 
 
+@query("SELECT owner_element_id AS location FROM views v WHERE owner_element_id IS NOT NULL AND id NOT IN (SELECT view_id FROM placements) AND id NOT IN (SELECT view_id FROM connectors)")
+def lint_empty_view(s, d):
+    return _lint(s, d, "empty_view")
+
+
+@query("SELECT location, part FROM (SELECT id AS location, lower(technology) AS part FROM elements WHERE technology IS NOT NULL) WHERE part NOT IN ('building', 'machinery')")
+def lint_unknown_technology(s, d):
+    known = s.createDataFrame([("building",), ("machinery",)], "alias string")
+    return lint.unknown_technology(P.elements(s, d), known)
+
+
+@query("""SELECT rule, location FROM (SELECT 'abstraction_leak' AS rule, c_custkey AS location FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 7 = 0)
+  UNION ALL SELECT 'generic_name', c_custkey FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'generic_label', o_orderkey FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT 'flat_hierarchy', 1)""")
+def lint_workspace(s, d):
+    k = F.col("c_custkey")
+    c = P.table(s, d, "customer")
+    e = c.select(k.alias("id"), F.when(k % 4 == 0, "My Module").otherwise(F.col("c_name")).alias("name"), F.when(k % 3 == 0, "Function").otherwise("service").alias("kind"))
+    v = s.createDataFrame([(0, None), (1, 1), (2, 2)], "id long, owner_element_id long")
+    p = c.where("c_custkey % 7 <> 0").select(F.when(k % 5 == 0, 0).otherwise(1).cast("long").alias("view_id"), (k + F.when(k < 3, 1000000).otherwise(0)).alias("element_id"))
+    o = P.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).cast("long").alias("view_id"), F.when(F.col("o_orderkey") % 6 == 0, "Uses").otherwise("reads").alias("label"))
+    out = None
+    for code in ("abstraction_leak", "flat_hierarchy", "generic_label", "generic_name"):
+        rows = lint.RULES[code][1](e, v, p, o).select(F.lit(code).alias("rule"), F.col("location").cast("long"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""SELECT rule, count(*) AS n FROM (SELECT 'dangling_connector' AS rule, id FROM connectors WHERE source_element_id NOT IN (SELECT id FROM elements) OR target_element_id NOT IN (SELECT id FROM elements)
   UNION ALL SELECT 'dead_end', t FROM (SELECT DISTINCT target_element_id AS t FROM connectors) WHERE t NOT IN (SELECT source_element_id FROM connectors)
   UNION ALL SELECT 'density', view_id FROM placements GROUP BY view_id HAVING count(*) > 20
@@ -531,6 +562,7 @@ def lint_duplicate_name(s, d):
   UNION ALL SELECT 'low_insight', view_id FROM (SELECT view_id, count(*) AS n FROM placements GROUP BY 1) LEFT JOIN (SELECT view_id, count(*) AS m FROM connectors GROUP BY 1) USING (view_id) WHERE 2 * coalesce(m, 0) < n
   UNION ALL SELECT 'missing_description', id FROM elements WHERE coalesce(trim(description), '') = ''
   UNION ALL SELECT 'missing_label', id FROM connectors WHERE coalesce(trim(label), '') = ''
+  UNION ALL SELECT 'empty_view', owner_element_id FROM views WHERE owner_element_id IS NOT NULL AND id NOT IN (SELECT view_id FROM placements) AND id NOT IN (SELECT view_id FROM connectors)
   UNION ALL SELECT 'shared_context', element_id FROM placements GROUP BY element_id HAVING count(DISTINCT view_id) > 1) GROUP BY 1""")
 def lint_summary(s, d):
     out = lint.lint(P.elements(s, d), P.views(s, d), P.placements(s, d), P.connectors(s, d))
@@ -560,7 +592,19 @@ def stale_heartbeat(s, d):
     return changes.stale_beats(P.events(s, d), 21600)
 
 
-@query()
+PROXIES = LINEAGE + """,
+up AS (SELECT DISTINCT element_id, view_id, element_id AS proxy FROM placements UNION SELECT p.element_id, q.view_id, v.owner_element_id FROM placements p JOIN cl ON cl.view_id = p.view_id JOIN views v ON v.id = cl.ancestor_id JOIN placements q ON q.element_id = v.owner_element_id),
+pe AS (SELECT least(source_element_id, target_element_id) AS x, greatest(source_element_id, target_element_id) AS y, count(*) AS n FROM connectors GROUP BY 1, 2),
+pg AS (SELECT a.view_id, least(a.proxy, b.proxy) AS source, greatest(a.proxy, b.proxy) AS target, sum(n)::BIGINT AS n FROM pe JOIN up a ON a.element_id = x JOIN up b ON b.element_id = y AND b.view_id = a.view_id WHERE a.proxy <> b.proxy AND NOT (a.proxy = x AND b.proxy = y) GROUP BY 1, 2, 3)"""
+
+
+@query("SELECT view_id, count(*) FILTER (WHERE r <= 5) AS shown, coalesce(sum(n) FILTER (WHERE r > 5), 0)::BIGINT AS omitted FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY n DESC, source, target) AS r FROM pg) GROUP BY 1", PROXIES, True)
+def proxy_budget(s, d):
+    closure = graph.lineage(view_parents(s, d))
+    return crossview.omitted(crossview.proxy_connectors(P.connectors(s, d), P.placements(s, d), closure, P.views(s, d), 1 << 40), 5)
+
+
+@query("SELECT view_id, source, target, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY n DESC, source, target) AS rank FROM pg) WHERE rank <= 50", PROXIES, True)
 def proxy_connectors(s, d):
     closure = graph.lineage(view_parents(s, d))
     return crossview.proxy_connectors(P.connectors(s, d), P.placements(s, d), closure, P.views(s, d))

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from arborlens.functions import text
 from arborlens.operators import density, diff, graph, resolve
-from arborlens.plans import registry
+from arborlens.plans import catalog, registry
 from arborlens.sources import workspace
 from arborlens.streaming import changes
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["view_content_projected", "degree_maps", "merged_connectors", "density_bucket", "raw_graph_hash", "snapshot_diff", "three_way_merge", "lca_distance", "connected_components", "enclosing_interval", "ancestor_policy_lookup", "ignore_rules", "knn_cosine", "feature_hash", "jump_search", "debounced_batches", "interval_counter"]
-
 
 def canon(rows):
     def one(v):
@@ -35,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_duckdb(spark, duck, name):
     df = registry.QUERIES[name](spark, D)
     cols = sorted(df.columns)
@@ -47,11 +45,11 @@ def test_matches_duckdb(spark, duck, name):
     assert got == canon([[r[i] for i in at] for r in rel.fetchall()])
 
 
-def test_promoted_connector_brings_both_ends():
-    pdf = pd.DataFrame([(1, 201, 101, 102, 1.0, 0), (1, 202, 105, 106, 0.5, 1), (1, 203, 105, 101, 0.4, 0), (1, 204, 107, 101, 0.3, 0)], columns=["view_id", "id", "source_element_id", "target_element_id", "score", "delta"])
-    pdf["shown"] = [[101, 102]] * 4
-    assert density.admit(pdf)["id"].tolist() == [201, 202, 203]
-    assert density.admit(pdf, 1)["id"].tolist() == [201, 202]
+def test_promoted_connector_brings_both_ends(spark):
+    made = spark.createDataFrame([(1, 201, 101, 102, 1.0, 0), (1, 202, 105, 106, 0.5, 1), (1, 203, 105, 101, 0.4, 0), (1, 204, 107, 101, 0.3, 0)], "view_id long, id long, source_element_id long, target_element_id long, score double, delta int")
+    shown = spark.createDataFrame([(1, 101), (1, 102)], "view_id long, element_id long")
+    assert sorted(r["id"] for r in density.admitted(made, shown).collect()) == [201, 202, 203]
+    assert sorted(r["id"] for r in density.admitted(made, shown, 1).collect()) == [201, 202]
 
 
 def test_visibility_is_the_least_fixpoint(spark):
@@ -88,9 +86,7 @@ def test_greedy_matches_use_an_identity_once():
 
 
 def test_identity_matches_take_all_rows(spark, duck):
-    whole = registry.IDENT.replace(" WHERE l_orderkey % 10 = 0", "").replace(" WHERE l_orderkey % 30 = 1", "")
-    body = registry.ORACLE_SQL["identity_candidates"]
-    pdf = duck.execute(body.replace(registry.IDENT, whole)).df()
+    pdf = duck.execute(registry.ORACLE_SQL["identity_candidates"]).df()
     want = pd.concat([resolve.greedy_matches(rows) for _, rows in pdf.groupby(pdf["identity"].str.split(":").str[0])])
     got = registry.identity_matches(spark, D).collect()
     assert len(got) > 0 and canon(got) == canon(want[["key", "identity", "score"]].values.tolist())
@@ -106,7 +102,8 @@ def test_table_swap(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     for n in (3, 5):
         diff.replace_table(spark.range(n), path)
-    assert spark.read.parquet(path).count() == 5
+    assert diff.read_table(spark, path).count() == 5
+    assert len(list((tmp_path / "t").glob("v-*"))) == 2
 
 
 def test_text_functions(spark):
@@ -132,10 +129,102 @@ def test_mermaid():
     assert edges == [("A", "B", "calls", "forward"), ("B", "C", None, "both")]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_of_two_batches_equals_batch(spark, tmp_path):
     src = f"{tmp_path}/in"
-    spark.read.parquet(f"{D}/events.parquet").write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    changes.run_once(stream, lambda b: b.groupBy("event_type").count(), f"{tmp_path}/out", f"{tmp_path}/cp")
-    got = {(r["event_type"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {(r["event_type"], r["count"]) for r in spark.read.parquet(src).groupBy("event_type").count().collect()}
+    e = registry.P.events(spark, D).select("ts", "event_id", "repository_id", "path", "change_type")
+    e.where("event_id < 500").coalesce(1).write.parquet(src)
+    import os
+    import time
+
+    time.sleep(1.1)
+    e.where("event_id >= 500").coalesce(1).write.mode("append").parquet(src)
+    assert len([f for f in os.listdir(src) if f.endswith(".parquet")]) == 2
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    (changes.changed_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    got = sorted((r["event_id"], r["repository_id"], r["change_type"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == sorted((r["event_id"], r["repository_id"], r["change_type"]) for r in changes.changed_only(e).collect())
+
+
+def test_micro_batches_are_written_once(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    rows = [(1, "a", "added", "h1"), (2, "a", "updated", "h2"), (3, "b", "added", "h3")]
+    made = spark.createDataFrame(rows, "event_id long, path string, change_type string, hash string").selectExpr("*", "timestamp_seconds(event_id) as ts")
+    for i in range(2):
+        made.where(f"(event_id <= 2) = {i == 0}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    known = spark.createDataFrame([("b", "h3")], "path string, hash string")
+    for _ in range(2):
+        changes.run_once(stream, lambda b: changes.pipeline(b, known), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("path", "change_type", "hash").collect()] == [("a", "updated", "h2")]
+
+
+def test_debounce_with_a_watermark(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    e = registry.P.events(spark, D).select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "repository_id", "path")
+    e.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(e.schema).parquet(src)
+    (changes.debounced(stream, "6 hours", "1 minute").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    got = {(r["repository_id"], r["started"], r["events"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(r["repository_id"], r["started"], r["events"]) for r in changes.debounced(e, "6 hours").collect()}
+    assert got and got <= want
+
+
+def test_subscribers_lose_nothing(spark):
+    e = spark.range(1, 6).withColumnRenamed("id", "event_id")
+    got = changes.fan_out(e, spark.createDataFrame([("a", 1), ("b", 4)], "subscriber string, since long"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", i, i) for i in range(1, 6)] + [("b", 4, 1), ("b", 5, 2)]
+
+
+def test_counters_reset(spark):
+    c = spark.createDataFrame([(1, 5), (2, 7), (3, 1)], "started int, n long")
+    assert [r["total"] for r in changes.reset_counters(c, 2).orderBy("started").collect()] == [7, 8]
+
+
+def test_numbered_rows(spark):
+    from arborlens.operators import relational
+
+    got = relational.numbered(spark.range(1000).repartition(7).selectExpr("id * 3 % 1000 as k"), ["k"])
+    assert all(r["k"] == r["place"] for r in got.collect()) and got.count() == 1000
+
+
+def test_free_cell():
+    from arborlens.operators import layout
+
+    rows = [("place", 1, 0.0, 0.0), ("place", 2, 2.0, 0.0), ("place", 3, None, None)]
+    pdf = pd.DataFrame([(7, k, e, x, y, None, None) for k, e, x, y in rows] + [(7, "edge", None, None, None, 3, 1), (7, "edge", None, None, None, 3, 2)], columns=["view_id", "kind", "element_id", "x", "y", "source", "target"])
+    assert layout.free_cell(pdf)[["element_id", "x", "y"]].values.tolist() == [[3, 1, 0]]
+
+
+def test_cycles_get_a_root(spark):
+    parents = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 4)], "view_id long, parent_id long")
+    assert [r[0] for r in graph.roots_of_cycles(parents, graph.lineage(parents)).collect()] == [3]
+
+
+def test_catalog_search_takes_a_broken_expression(spark):
+    df = spark.createDataFrame([(1, "a (b"), (2, "c")], "id long, t string")
+    assert [r["id"] for r in resolve.catalog_search(df, F.col("t"), "(b", "id").collect()] == [1]
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    spark.createDataFrame([(1, "a"), (2, "b")], "n long, f string").write.partitionBy("f").parquet(path)
+    diff.replace_partitions(spark.createDataFrame([(3, "b")], "n long, f string"), path, "f")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("n", "f").collect()) == [(1, "a"), (3, "b")]
+
+
+def test_tag_colours(spark):
+    from arborlens.operators import workspace as ws
+
+    tags = spark.createDataFrame([("x", ws.COLOURS[0]), ("a", None), ("b", None)], "tag string, colour string")
+    got = dict(tuple(r) for r in ws.tag_colours(tags).collect())
+    assert got == {"x": ws.COLOURS[0], "a": ws.COLOURS[1], "b": ws.COLOURS[2]}
+
+
+def test_scalars(spark):
+    from arborlens.functions import embedding
+
+    df = spark.createDataFrame([("one two three four five",)], "s string")
+    assert df.select(text.approximate_tokens(F.col("s"))).first()[0] == 6
+    assert df.select(embedding.healthy(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.5)))).first()[0]
+    dense = embedding.dense(spark.createDataFrame([(1, 0, 0.6), (1, 2, 0.8)], "k long, idx long, value double"), "k", 4).first()
+    assert dense["vector"] == [0.6, 0.0, 0.8, 0.0]
