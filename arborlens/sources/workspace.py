@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlens.functions.enrich import language
+from arborlens.functions.enrichers import generated, language_of
+from arborlens.functions.naming import path_score
 from arborlens.operators.resolve import ignored
 
 #: Folders never scanned.
@@ -21,20 +22,105 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), only: list[st
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_BYTES)
     base = re.sub(r"^[a-z]+:/+", "/", root).rstrip("/")
     f = f.withColumn("path", F.regexp_replace("path", rf"^[a-z]+:/*{re.escape(base)}/", ""))
-    f = ignored(f, BUILD_FOLDERS, list(patterns)).where("not ignored").withColumn("language", language(F.col("path"))).where("language is not null")
+    f = ignored(f, BUILD_FOLDERS, list(patterns)).where("not ignored").withColumn("language", language_of(F.col("path"))["language"]).where("language is not null")
+    f = f.where(~generated(F.decode(F.substring(F.col("content"), 1, 8192), "UTF-8")))
     if only is not None:
-        f = f.where(F.col("path").isin([p for p in only if not p.startswith("/") and ".." not in p.split("/")]))
+        f = f.where(F.col("path").isin(sorted({p.removeprefix("./") for p in only if not p.startswith("/") and ".." not in p.split("/")})))
     return f.select("path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))
 
 
-def planned(files: DataFrame, score, total: int, limit: int = 2000, most: int = 20000) -> DataFrame:
-    """All files up to `most`; beyond, the `limit` highest scores, ties by path."""
-    return files if total <= most else files.orderBy(score.desc(), "path").limit(limit)
+def planned(files: DataFrame, strategy: str = "auto", limit: int = 2000, most: int = 20000) -> DataFrame:
+    """The files to read. full: all; limited: the `limit` that tell most by their names, ties by path; abort: an error beyond `most`; auto: all up to `most`, else limited."""
+    if strategy not in ("auto", "full", "limited", "abort"):
+        raise ValueError(f"unknown strategy {strategy}")
+    many = strategy in ("auto", "abort") and files.limit(most + 1).count() > most
+    if many and strategy == "abort":
+        raise ValueError(f"more than {most} files")
+    return files.orderBy(path_score(F.col("path")).desc(), "path").limit(limit) if many or strategy == "limited" else files
 
 
-def changed(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files whose (path, hash) was not read before without an error."""
-    return files.join(known.where("status <> 'error'").select("path", "hash"), ["path", "hash"], "left_anti")
+def changed(files: DataFrame, known: DataFrame, version: str | None = None) -> DataFrame:
+    """Files whose (path, hash) was not read before without an error, and by this version of the enrichers where known has a column enriched."""
+    good = known.where("status <> 'error'")
+    if version is not None and "enriched" in known.columns:
+        good = good.where(F.col("enriched") == version)
+    return files.join(good.select("path", "hash"), ["path", "hash"], "left_anti")
+
+
+#: How languages other than Python open a symbol, and what it is.
+OPENERS = {
+    "go": r"^func\s+(?:\([^)]*\)\s*)?(?P<function>\w+)|^type\s+(?P<type>\w+)",
+    "java": r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(?P<type>\w+)|^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+\s+(?P<function>\w+)\s*\([^;]*$",
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<function>\w+)|^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(?P<type>\w+)",
+    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<function>\w+)|^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+(?P<type>\w+)|^\s*(?:export\s+)?const\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>",
+    "cpp": r"^\s*(?:class|struct)\s+(?P<type>\w+)\s*[:{]|^(?:[\w:<>*&~]+\s+)+(?P<function>[\w:~]+)\s*\([^;]*\)\s*(?:const\s*)?\{",
+}
+OPENERS["javascript"], OPENERS["c"] = OPENERS["typescript"], OPENERS["cpp"]
+
+
+def brace_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of languages with braces, and the calls inside them: path, name, kind, line, end_line, parent, calls.
+
+    A line-based reading: a symbol opens where its language's form begins a line, and ends where its braces close. calls are names
+    before a parenthesis, in order, without the language's own words.
+    """
+    def parse(batches):
+        openers = {k: re.compile(v) for k, v in OPENERS.items()}
+        words = {"if", "for", "while", "switch", "catch", "return", "func", "function", "fn", "sizeof", "match", "new", "super", "defer", "go", "else"}
+        for pdf in batches:
+            out = []
+            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
+                if language not in openers or content is None:
+                    continue
+                plain = re.sub(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', '""', re.sub(r"/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), content, flags=re.S))
+                depth, stack = 0, []
+                for number, line in enumerate(re.sub(r"//[^\n]*", "", plain).splitlines(), 1):
+                    m = openers[language].match(line)
+                    if m:
+                        kind, name = next((k, v) for k, v in m.groupdict().items() if v)
+                        row = [path, name, "function" if kind == "arrow" else kind, number, number, stack[-1][0][1] if stack else None, []]
+                        out.append(row)
+                        stack.append((row, depth, "{" in line))
+                    if stack:
+                        found = [c for c in re.findall(r"\b(\w+)\s*\(", line[m.end() :] if m else line) if c not in words]
+                        stack[-1][0][6].extend(found)
+                    depth += line.count("{") - line.count("}")
+                    while stack:
+                        row, at, opened = stack[-1]
+                        opened = opened or "{" in line
+                        stack[-1] = (row, at, opened)
+                        row[4] = number
+                        if (opened and depth <= at) or (not opened and line.rstrip().endswith(";")):
+                            stack.pop()
+                        else:
+                            break
+            yield pd.DataFrame(out, columns=["path", "name", "kind", "line", "end_line", "parent", "calls"])
+
+    return files.select("path", "language", "content").mapInPandas(parse, "path string, name string, kind string, line long, end_line long, parent string, calls array<string>")
+
+
+def python_references(files: DataFrame) -> DataFrame:
+    """Calls and imports of Python files: path, name, kind, line, column."""
+    import ast
+
+    def parse(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    tree = ast.parse(content)
+                except (SyntaxError, ValueError):
+                    continue
+                for node in ast.walk(tree):
+                    if isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
+                        out.append((path, node.func.id if isinstance(node.func, ast.Name) else node.func.attr, "call", node.lineno, node.col_offset))
+                    elif isinstance(node, ast.Import):
+                        out += [(path, a.name, "import", node.lineno, node.col_offset) for a in node.names]
+                    elif isinstance(node, ast.ImportFrom):
+                        out.append((path, "." * node.level + (node.module or ""), "import", node.lineno, node.col_offset))
+            yield pd.DataFrame(sorted(out), columns=["path", "name", "kind", "line", "column"])
+
+    return files.where("language = 'python'").select("path", "content").mapInPandas(parse, "path string, name string, kind string, line long, column long")
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -62,14 +148,6 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.where("language = 'python'").select("path", "content").mapInPandas(parse, "path string, name string, kind string, line long, end_line long, parent string")
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """Requirement lines of requirements files and module lines of go.mod: path, dependency."""
-    lines = files.select("path", F.explode(F.split("content", r"\r?\n")).alias("line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$|//.*$", "")))
-    req = lines.where(F.col("path").rlike(r"requirements[^/]*\.txt$")).select("path", F.regexp_extract("line", r"^([A-Za-z0-9._-]+)", 1).alias("dependency"))
-    mod = lines.where(F.col("path").rlike(r"(^|/)go\.mod$")).select("path", F.regexp_extract("line", r"^(?:require\s+)?([\w.-]+\.[\w./-]+)\s+v\d", 1).alias("dependency"))
-    return req.union(mod).where("dependency <> ''").distinct()
-
-
 _EDGE = re.compile(r"^\s*(\w+)(?:[\[({]+\"?([^\])}\"]*)\"?[\])}]+)?\s*(<?[-=.]+>?)\s*(?:\|([^|]*)\|)?\s*(\w+)(?:[\[({]+\"?([^\])}\"]*)\"?[\])}]+)?\s*;?\s*$")
 _NODE = re.compile(r"^\s*(\w+)[\[({]+\"?([^\])}\"]*)\"?[\])}]+\s*;?\s*$")
 
@@ -91,10 +169,3 @@ def mermaid(text: str) -> tuple[list[tuple], list[tuple]]:
         elif m := _NODE.match(line):
             names[m[1]] = m[2]
     return sorted(names.items()), edges
-
-
-def export(elements: DataFrame, placements: DataFrame, connectors: DataFrame) -> DataFrame:
-    """One row per view: its placed elements and its number of connectors."""
-    e = placements.join(elements, F.col("element_id") == F.col("id")).groupBy("view_id").agg(F.array_sort(F.collect_list(F.struct(F.col("element_id").alias("id"), "name"))).alias("elements"))
-    c = connectors.groupBy("view_id").agg(F.count("*").alias("connectors"))
-    return e.join(c, "view_id", "left").select("view_id", "elements", F.coalesce("connectors", F.lit(0)).alias("connectors"))
