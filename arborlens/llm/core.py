@@ -6,6 +6,7 @@ Text rules used by every operator here: a word is a run of bytes other than
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 
@@ -55,11 +56,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing reads any more.
+
+    Spark's cleaner removes shuffle files once the driver has collected the plans they belong to, so a
+    collection is asked for here: else they would stay until the driver's memory is short.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similarity as sim
-from .core import blobs, chunks, combine, exact_key, lists, prepare, set_names, shingled, signed, stored, text_buffers, words
+from .core import blobs, chunks, combine, drop_stored, exact_key, lists, prepare, set_names, shingled, signed, stored, text_buffers, words
 
 TREES = 14
 START_LEVELS = 3
@@ -86,6 +86,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, trees: int = TREES, level
     made = stored(docs.mapInArrow(_sketch(shingle, trees, levels), "doc_id long, k1 long, k2 long, item long, n_shingles long, keys array<long>, sig binary"), "sketches")
     sets = made.where("n_shingles > 0").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     sets = stored(sets, "sets")
+    rows = stored(made.select("doc_id", "k1", "k2", "item", "n_shingles"), "rows")
+    drop_stored(made)
     nodes = sets.select(F.explode("keys").alias("node"), "item")
 
     def full(items: DataFrame) -> DataFrame:
@@ -93,11 +95,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, trees: int = TREES, level
         texts = docs.select("doc_id", "text").join(holders, F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
         return texts.mapInArrow(_full(shingle), "item long, content binary").join(items, "item", "left_semi").groupBy("item").agg(F.first("content").alias("content"))
 
-    roots = stored(sim.clusters(nodes, sets.select("item", "sig"), full), "roots")
+    roots = sim.clusters(nodes, sets.select("item", "sig"), full)
     smallest = roots.join(sets.select(F.col("item").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = roots.join(smallest, "root").select(F.col("node").alias("item"), "root", "component_id")
     label = sets.select("item", F.col("doc_id").alias("own")).join(label, "item", "left").select("item", F.coalesce("root", "item").alias("cluster"), F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
-    out = made.select("doc_id", "k1", "k2", "item", "n_shingles").join(label, "item", "left")
+    out = rows.join(label, "item", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component) | (F.col("n_shingles") == 0)).alias("kept"), "k1", "k2", "cluster")
 
@@ -108,10 +110,11 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
     best = found.where("n_shingles > 0").groupBy("cluster").agg(F.min(place).alias("p")).select("p.doc_id", "p.k1", "p.k2", F.lit(False).alias("blank"))
     blank = found.where("n_shingles = 0").select("doc_id", "k1", "k2", F.lit(True).alias("blank")).distinct()
-    keep = best.union(blank).select(F.col("doc_id").alias("_d"), F.col("k1").alias("_h1"), F.col("k2").alias("_h2"), F.col("blank").alias("_blank"))
+    keep = best.union(blank).select(F.col("doc_id").alias("d"), F.col("k1").alias("h1"), F.col("k2").alias("h2"), "blank")
     k1, k2 = exact_key(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    rows = rows.join(keep, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    # The row travels as one column, so its own columns may have any names.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(keep, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & F.col("id").eqNullSafe(F.col("d")))
     # of wholly repeated rows, one
-    again = F.row_number().over(Window.partitionBy("_k1", "_k2", "_d").orderBy(F.lit(1)))
-    return rows.withColumn("_again", again).where("_blank or _again = 1").select(*docs.columns)
+    again = F.row_number().over(Window.partitionBy("k1", "k2", "d").orderBy(F.lit(1)))
+    return rows.withColumn("again", again).where("blank or again = 1").select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import combine, mix, prepare, signed, stored
+from .core import combine, drop_stored, mix, prepare, signed, stored
 
 #: Minwise values of a signature; one byte of each is kept for estimates.
 WIDTH = 256
@@ -174,12 +174,12 @@ def sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(one, "node")
 
 
-def node_members(nodes: DataFrame, sigs: DataFrame, max_levels: int = 0, limit: int = NODE_LIMIT) -> DataFrame:
-    """nodes(node, item) -> the nodes to compare, of about `limit` members at most: larger ones as all pairs of their blocks.
+def node_members(level: DataFrame, sigs: DataFrame, max_levels: int = 0, limit: int = NODE_LIMIT) -> DataFrame:
+    """level(node, n, item), as sized() gives it -> (node, item) of the nodes to compare, of about `limit` members at most: larger ones as all pairs of their blocks.
 
     With max_levels they branch on first, which loses one in six of the pairs at a similarity of 0.8 at each level.
     """
-    small, level = [], stored(sized(nodes), "nodes")
+    small = []
     for _ in range(max_levels):
         small.append(level.where(F.col("n") <= limit).select("node", "item"))
         large = level.where(F.col("n") > limit)
@@ -280,19 +280,27 @@ def held_against(queries: DataFrame, members: DataFrame, full_sets: Callable[[Da
 def clusters(nodes: DataFrame, sigs: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of items linked, directly or through others, by confirmed similarities."""
     prepare(nodes.sparkSession)
-    members = node_members(nodes, sigs)
+    level = stored(sized(nodes), "nodes")
+    members = node_members(level, sigs)
     rows = candidates(members.withColumn("label", F.col("item")), sigs, BEST)
     links = stored(confirm(rows.where("b is not null"), full_sets), "links")
-    found = components(links)
+    roots = stored(components(links), "roots")
     more = rows.where("b is null").select(F.col("a").alias("node"))
     if more.isEmpty():
-        return found
-    roots = stored(found, "roots").select(F.col("node").alias("item"), F.col("root").alias("label"))
-    left = members.join(more, "node", "left_semi").join(roots, "item", "left").select("node", "item", F.coalesce("label", "item").alias("label"))
+        drop_stored(level, rows, links)
+        return roots
+    named = roots.select(F.col("node").alias("item"), F.col("root").alias("label"))
+    left = members.join(more, "node", "left_semi").join(named, "item", "left").select("node", "item", F.coalesce("label", "item").alias("label"))
     left = stored(left, "left")
+    drop_stored(level, rows)
     mixed = left.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-    queries = candidates(left.join(mixed, "node"), sigs, ACROSS).where("b is not null").select("a", F.col("b").alias("label"))
+    across = candidates(left.join(mixed, "node"), sigs, ACROSS)
+    queries = across.where("b is not null").select("a", F.col("b").alias("label"))
     if queries.isEmpty():
-        return found
-    everyone = roots.union(left.select("item", "label")).distinct()
-    return components(links.union(stored(held_against(queries, everyone, full_sets), "links")))
+        drop_stored(left, links, across)
+        return roots
+    everyone = named.union(left.select("item", "label")).distinct()
+    held = stored(held_against(queries, everyone, full_sets), "links")
+    found = stored(components(links.union(held)), "roots")
+    drop_stored(left, links, across, held, roots)
+    return found
