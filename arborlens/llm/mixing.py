@@ -203,8 +203,9 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as it is taken, all its columns kept."""
-    picked = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("copies").alias("_copies"))
+    picked = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("k1").alias("h1"), F.col("k2").alias("h2"), "copies")
     k1, k2 = exact_key("text")
-    same = (F.col("_k1") == k1) & (F.col("_k2") == k2) & F.col("_d").eqNullSafe(F.col("doc_id")) & F.col("_s").eqNullSafe(F.col("source"))
-    joined = docs.join(picked, same)
-    return joined.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    # The row travels as one column, so its own columns may have any names.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(picked, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & F.col("id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
+    return joined.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
