@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of documents. run() writes each stage
-in the shared folder and reads it back.
+in the shared folder, reads it back, and deletes what no later stage reads.
+
+Defined results, besides those of each operator's module: an empty table passes every stage as an empty
+table; extra columns, also of names that a stage uses inside, are kept up to the last stage; rows with
+a null or empty text are scored like others and, where kept, are nobody's duplicate, hold no
+benchmark item and are taken by the mix no time (their size is 0); of wholly repeated
+rows one stays after the second stage.
 """
 
 from __future__ import annotations
@@ -11,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlens.llm import decontam, mixing, near_dedup, quality, sharding
-from arborlens.llm.core import documents, prepare, stored
+from arborlens.llm.core import documents, drop_stored, prepare, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     prepare(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where(F.col("score") >= 0.5).drop("score")
+    name = quality.free_name(docs, "score")
+    return quality.scored(docs, model, name).where(F.col(name) >= 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
