@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import exact_key, prepare, stored
+from .core import exact_key, hot_keys, join_copies, prepare, stored
 
 SHARDS = 24
 DIMS = 3
@@ -70,8 +70,9 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
 
 
 def _ordinal(column: Column) -> Column:
-    """The first seven bytes of a string as a number in the same order."""
-    return F.coalesce(F.conv(F.rpad(F.substring(F.hex(column), 1, 14), 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
+    """A number for a string: its first six bytes in order, then 14 bits of the whole's hash, so strings of one beginning still differ."""
+    head = F.conv(F.rpad(F.substring(F.hex(column), 1, 12), 12, "0"), 16, 10).cast("long")
+    return F.coalesce(head * (1 << 14) + F.xxhash64(column).bitwiseAND(F.lit((1 << 14) - 1)), F.lit(-1).cast("long"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -81,12 +82,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     k1, k2 = exact_key("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), k1.alias("k1"), k2.alias("k2"), _ordinal(F.col("source")).alias("d0"), _ordinal(F.col("lang")).alias("d1"))
     rows = stored(rows, "rows")
-    groups = stored(rows.groupBy("k1", "k2").agg(F.min("d0").alias("d0"), F.min("d1").alias("d1"), F.first("size").alias("d2")), "groups")
+    groups = stored(rows.groupBy("k1", "k2").agg(F.min("d0").alias("d0"), F.min("d1").alias("d1"), F.first("size").alias("d2"), F.count("*").alias("copies")), "groups")
+    hot = stored(hot_keys(groups, ["k1", "k2"]), "hot")
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
     edges = groups.agg(*[F.percentile_approx(f"d{i}", cuts, 2000).alias(f"d{i}") for i in range(DIMS)]).first()
     cell = lambda i: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(set(edges[i]))]), lambda e: e < F.col(f"d{i}"))) if edges[i] else F.lit(0)
     groups = groups.withColumns({f"c{i}": cell(i) for i in range(DIMS)}).withColumn("curve_index", hilbert_index([F.col(f"c{i}") for i in range(DIMS)], bits))
-    keyed = rows.select("doc_id", "size", "text_crc32", "k1", "k2").join(groups.select("k1", "k2", "curve_index"), ["k1", "k2"])
+    # The copies of one text are dealt over tasks, however many there are.
+    keyed = join_copies(rows.select("doc_id", "size", "text_crc32", "k1", "k2"), groups.select("k1", "k2", "curve_index"), ["k1", "k2"], "doc_id", hot)
     order = ["curve_index", "text_crc32", "k1", "k2", "doc_id"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "curve_index", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
