@@ -6,7 +6,9 @@ ratios) minimises the non-negative unbiased risk
     prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0))
 
 over trusted positives (labels.quality = 1) and unlabelled texts. The prior is
-estimated as the share of 1 among the labelled rows that may be learned from.
+estimated as the share of 1 among the labelled rows that may be learned from; beside it
+the model carries an estimate that needs positives and unlabelled texts only
+(unlabelled_prior), to compare.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out: neither their labels nor
 their texts are used to fit. The fit takes POSITIVES and UNLABELLED rows at
 most, picked by hash from all rows; every row is scored, in one pass without a shuffle.
@@ -109,7 +111,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         g = g + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return {"mean": mean, "scale": scale, "w": w}
+    return {"mean": mean, "scale": scale, "w": w, "pu_prior": unlabelled_prior(p @ w.astype(np.float32), u @ w.astype(np.float32))}
+
+
+def unlabelled_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from scores alone: the least ratio of the two shares above a threshold that at least `least` of the positives pass.
+
+    Above a threshold that negatives do not pass, the unlabelled rows are positives only, so the ratio is the prior.
+    """
+    cuts = np.quantile(positive, np.linspace(0, 1 - least, 50))
+    share = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    return float(min(1.0, (share(unlabelled) / share(positive)).min()))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
@@ -131,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit(x[0], x[1], prior) | {"prior": prior}
 
 
-def _score(model: dict):
+def _score(model: dict, name: str):
     def run(batches):
         for batch in batches:
             for at, data, offsets in chunks(*text_buffers(batch.column("text"))):
@@ -141,13 +153,22 @@ def _score(model: dict):
                 else:
                     z = ((features(data, offsets) - model["mean"]) / model["scale"]) @ model["w"][:-1] + model["w"][-1]
                     s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in batch.schema.names), pa.array(s)], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in batch.schema.names), pa.array(s)], [*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of docs and a score from 0 to 1 (docs must not have a column of that name)."""
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of docs has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """All columns of docs and a score from 0 to 1, in a column that docs does not have (see free_name)."""
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs already has a column {name}")
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_score(model), schema)
+    return docs.mapInArrow(_score(model, name), schema)
