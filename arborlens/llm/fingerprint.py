@@ -2,9 +2,9 @@
 
 A document is the multiset of its paragraphs (lines; a text without a line end
 is one, an empty text has none). Each paragraph is hashed to a wide vector: 8 lanes of 64 bits
-from its whole bytes, and LANES lanes of 16 bits that count its distinct
+from its whole bytes, and LANES lanes of 32 bits that count its distinct
 two-word shingles with pseudo-random signs. A fingerprint is the sum over
-paragraphs, modulo 2**64 and 2**16, and the paragraphs' number: order does not matter, and a paragraph is
+paragraphs, modulo 2**64 and 2**32, and the paragraphs' number: order does not matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector (combined). Equal
 multisets have equal fingerprints; others differ but for chance 2**-512.
 
@@ -29,7 +29,7 @@ from .core import chunks, exact_key, mix, prepare, shingled, text_buffers, words
 
 LANES = 128
 WIDE = 8
-BYTES = 8 * WIDE + 2 * LANES + 8
+BYTES = 8 * WIDE + 4 * LANES + 8
 
 
 def sums(texts: list[str]) -> np.ndarray:
@@ -67,12 +67,12 @@ def sums(texts: list[str]) -> np.ndarray:
             edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             total = np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
             signs[at + r[edge]] += 2 * total - np.diff(np.append(edge, len(r)))[:, None]
-    return np.concatenate([wide.astype("<u8").view(np.uint8), (signs & 0xFFFF).astype("<u2").view(np.uint8), count.astype("<u8")[:, None].view(np.uint8)], axis=1)
+    return np.concatenate([wide.astype("<u8").view(np.uint8), (signs & 0xFFFFFFFF).astype("<u4").view(np.uint8), count.astype("<u8")[:, None].view(np.uint8)], axis=1)
 
 
 def _lanes(f: np.ndarray):
     f = np.ascontiguousarray(f)
-    return f[:, : 8 * WIDE].copy().view("<u8"), f[:, 8 * WIDE : 8 * WIDE + 2 * LANES].copy().view("<u2"), f[:, -8:].copy().view("<u8")
+    return f[:, : 8 * WIDE].copy().view("<u8"), f[:, 8 * WIDE : 8 * WIDE + 4 * LANES].copy().view("<u4"), f[:, -8:].copy().view("<u8")
 
 
 def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
@@ -83,7 +83,7 @@ def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated likeness of fingerprints, row by row: 1 if equal, else below."""
-    x, y = (_lanes(f)[1].view("<i2").astype(np.float64) for f in (a, b))
+    x, y = (_lanes(f)[1].view("<i4").astype(np.float64) for f in (a, b))
     apart, whole = ((x - y) ** 2).sum(axis=1), (x * x).sum(axis=1) + (y * y).sum(axis=1)
     equal = (a == b).all(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
