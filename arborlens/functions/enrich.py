@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 LANGUAGES = {".c": "c", ".cc": "cpp", ".cpp": "cpp", ".go": "go", ".h": "c", ".java": "java", ".js": "javascript", ".py": "python", ".rs": "rust", ".ts": "typescript", ".tsx": "typescript"}
 
 
-def language(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
-    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.try_element_at(table, ext)
-
-
 def without_comments(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
     return F.regexp_replace(F.regexp_replace(c, r"(?m)//.*$", ""), r"(?m)#.*$", "")

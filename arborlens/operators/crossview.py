@@ -79,3 +79,24 @@ def omitted(proxies: DataFrame, budget: int) -> DataFrame:
     w = Window.partitionBy("view_id").orderBy(F.col("n").desc(), "source", "target")
     r = proxies.withColumn("r", F.row_number().over(w))
     return r.groupBy("view_id").agg(F.count_if(F.col("r") <= budget).alias("shown"), F.coalesce(F.sum(F.when(F.col("r") > budget, F.col("n"))), F.lit(0)).alias("omitted"))
+
+
+def context_proxies(connectors: DataFrame, placements: DataFrame, closure: DataFrame, views: DataFrame, view: int, max_depth: int = 3) -> DataFrame:
+    """One view with what lies around it: inside, outside, n, collapsed.
+
+    An end inside the view, or lifted to a placed owner, is `inside`; the other end, if neither, is context: the element itself, or
+    the owner of its view where two or more such elements share it. Connectors with no end inside are left out, and so are
+    outside ends more than max_depth below their root.
+    """
+    up = lifted(placements, closure, views).where(F.col("view_id") == view).select("element_id", "proxy").distinct()
+    ends = connectors.groupBy("source_element_id", "target_element_id").agg(F.count("*").alias("c"))
+    both = ends.select(F.col("source_element_id").alias("x"), F.col("target_element_id").alias("y"), "c").union(ends.select("target_element_id", "source_element_id", "c"))
+    a = up.select(F.col("element_id").alias("x"), F.col("proxy").alias("inside"))
+    off = both.join(a, "x").join(up.select(F.col("element_id").alias("y")), "y", "left_anti")
+    height = closure.groupBy("view_id").agg(F.max("depth").alias("d"))
+    home = placements.join(height.where(F.col("d") <= max_depth), "view_id").groupBy(F.col("element_id").alias("y")).agg(F.min("view_id").alias("home"))
+    home = home.join(views.select(F.col("id").alias("home"), F.col("owner_element_id").alias("owner")), "home", "left").select("y", "owner")
+    off = off.join(home, "y")
+    shared = off.select("owner", "y").distinct().groupBy("owner").agg(F.count("*").alias("k")).where("owner is not null and k > 1").select("owner", F.lit(True).alias("collapsed"))
+    rows = off.join(shared, "owner", "left").withColumn("collapsed", F.coalesce("collapsed", F.lit(False)))
+    return rows.groupBy("inside", F.when(F.col("collapsed"), F.col("owner")).otherwise(F.col("y")).alias("outside"), "collapsed").agg(F.sum("c").alias("n")).select("inside", "outside", "n", "collapsed")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,19 +101,28 @@ def rescued(visible: DataFrame, references: DataFrame, vectors: DataFrame, least
     return pairs.join(hidden, "h").join(a, "id").join(b, "h").where(cosine(F.col("x"), F.col("y")) >= least).select(F.col("h").alias("id")).distinct()
 
 
-def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Longest-path levels of one view's connectors, relaxed at most n rounds; cycles end at level 0."""
-    nodes = sorted({*pdf["source_element_id"], *pdf["target_element_id"]})
-    level = dict.fromkeys(nodes, 0)
-    edges = [(s, t) for s, t in sorted(set(zip(pdf["source_element_id"], pdf["target_element_id"]))) if s != t]
-    for _ in range(len(nodes)):
-        moved = False
-        for s, t in edges:
-            if level[t] < level[s] + 1 <= len(nodes):
-                level[t], moved = level[s] + 1, True
-        if not moved:
+def levels(edges: DataFrame) -> DataFrame:
+    """edges(view_id, source, target) -> view_id, element_id, level: the longest path that ends there; 0 for what stands in a cycle or behind one.
+
+    Layer by layer: an element is settled once all its sources are, so there are as many rounds as the longest path has steps, and each
+    round joins only the newly settled elements.
+    """
+    e = checkpointed(edges.where("source <> target").select("view_id", "source", "target").distinct())
+    need = e.groupBy("view_id", F.col("target").alias("element_id")).agg(F.count("*").alias("need"))
+    nodes = edges.select("view_id", F.explode(F.array("source", "target")).alias("element_id")).distinct()
+    zero = F.lit(0).cast("long")
+    state = nodes.join(need, ["view_id", "element_id"], "left").select("view_id", "element_id", F.coalesce("need", zero).alias("need"), zero.alias("got"), zero.alias("level"))
+    state = checkpointed(state.withColumn("new", F.col("need") == 0).withColumn("done", F.col("new")))
+    while True:
+        front = state.where("new").select("view_id", F.col("element_id").alias("source"), F.col("level").alias("from"))
+        if front.isEmpty():
             break
-    return pd.DataFrame({"view_id": [pdf["view_id"].iloc[0]] * len(nodes), "element_id": nodes, "level": [0 if level[x] >= len(nodes) else level[x] for x in nodes]})
+        add = e.join(front, ["view_id", "source"]).groupBy("view_id", F.col("target").alias("element_id")).agg(F.count("*").alias("more"), (F.max("from") + 1).alias("reach"))
+        j = state.join(add, ["view_id", "element_id"], "left")
+        got = F.col("got") + F.coalesce("more", zero)
+        settled = got == F.col("need")
+        state = checkpointed(j.select("view_id", "element_id", "need", got.alias("got"), F.greatest("level", F.coalesce("reach", zero)).alias("level"), (settled & ~F.col("done")).alias("new"), settled.alias("done")))
+    return state.select("view_id", "element_id", F.when(F.col("done"), F.col("level")).otherwise(0).alias("level"))
 
 
 def folders(paths: DataFrame) -> DataFrame:

@@ -137,3 +137,30 @@ def lint(elements, views, placements, connectors, level: int = 2, include=(), ex
         rows = check(elements, views, placements, connectors, strict).select(F.lit(code).alias("rule"), F.col("location").cast("long"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def validate(elements: DataFrame, connectors: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What is wrong with a workspace before it is planned: rule, ref.
+
+    elements(ref, name, kind, symbol, file_path), connectors(ref, source, target), symbols(path, name): required_field (no name or
+    kind), duplicate_name (all but the first ref of a name), dangling_reference (an end that is no element), conflict_marker (in a
+    name or kind), missing_symbol (a named symbol that its file does not have).
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    named = elements.where(~blank("name"))
+    first = named.groupBy(F.lower(F.trim("name")).alias("n")).agg(F.min("ref").alias("first"))
+    refs = elements.select("ref")
+    ends = connectors.select("ref", F.explode(F.array("source", "target")).alias("end"))
+    asked = elements.where(~blank("symbol"))
+    found = {
+        "required_field": elements.where(blank("name") | blank("kind")).select("ref"),
+        "duplicate_name": named.withColumn("n", F.lower(F.trim("name"))).join(first, "n").where("ref <> first").select("ref"),
+        "dangling_reference": ends.join(refs.select(F.col("ref").alias("end")), "end", "left_anti").select("ref").distinct(),
+        "conflict_marker": elements.where(F.concat_ws("\n", "name", "kind").rlike(r"(?m)^(<{7}|={7}|>{7})")).select("ref"),
+        "missing_symbol": asked.join(symbols.select(F.col("path").alias("file_path"), F.col("name").alias("symbol")), ["file_path", "symbol"], "left_anti").select("ref"),
+    }
+    out = None
+    for code, rows in sorted(found.items()):
+        one = rows.select(F.lit(code).alias("rule"), "ref")
+        out = one if out is None else out.union(one)
+    return out

@@ -237,3 +237,16 @@ def tiered_chunks(df: DataFrame, group: str, order: list, base: int, tier: str)
     size = effective_maximum(base, F.max(tier).over(Window.partitionBy(group)))
     r = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
     return df.withColumn("r", r).withColumn("size", size).withColumn("chunk", F.floor(F.col("r") / F.col("size")).cast("long")).drop("r", "size")
+
+
+def jump_targets(views: DataFrame, placed: DataFrame, term: str) -> DataFrame:
+    """jump_search over placed(view_id, element_id, name, kind, technology, path, tags): elements also by path and tags, each view and element once."""
+    term = term.strip().lower()
+    ok = F.lit(len(term) >= 3)
+    has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(term))
+    tagged = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.contains(F.lower(t), F.lit(term)))
+    v = views.where(has("name") & ok).select(F.lit("view").alias("type"), F.col("id").alias("view_id"), F.lit(None).cast("long").alias("element_id"), "name", jump_rank(F.col("name"), term).alias("rank"))
+    hits = placed.where((has("name") | has("kind") | has("technology") | has("path") | tagged) & ok).dropDuplicates(["view_id", "element_id"])
+    e = hits.select(F.lit("element").alias("type"), "view_id", "element_id", "name", jump_rank(F.col("name"), term).alias("rank"))
+    both = v.orderBy("rank", "name", "view_id").limit(4).union(e.orderBy("rank", "name", "element_id", "view_id").limit(6))
+    return both.orderBy(F.col("type").desc(), "rank", "name", "view_id", "element_id").limit(8)

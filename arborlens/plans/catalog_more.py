@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborlens.functions import naming, text
-from arborlens.operators import graph, layout, relational, resolve, versions
+from arborlens.operators import crossview, graph, layout, lint, relational, resolve, versions
 from arborlens.plans import projection as P
 from arborlens.plans.catalog_code import SYMBOLS, _symbols
 from arborlens.plans.registry import LINEAGE, query, view_parents
@@ -174,3 +174,39 @@ def zoom_layout(s, d):
     e = F.col("element_id")
     placed = P.placements(s, d).withColumns({"x": (e % 7 * 260).cast("double"), "y": (e % 11 * 160).cast("double")})
     return layout.zoom_layout(placed, graph.lineage(view_parents(s, d)), P.views(s, d))
+
+
+VALID = """ve AS (SELECT 'e' || c_custkey AS ref, CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN '<<<<<<< ours' ELSE 'n' || (c_custkey % 900) END AS name, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'service' END AS kind, CASE WHEN c_custkey % 3 = 0 THEN 's' || (c_custkey % 50) END AS symbol, 'f' || (c_custkey % 10) AS file_path FROM customer), vc AS (SELECT 'c' || o_orderkey AS ref, 'e' || o_custkey AS source, 'e' || (o_orderkey % 2000) AS target FROM orders), vs AS (SELECT DISTINCT 'f' || (c_custkey % 10) AS path, 's' || (c_custkey % 40) AS name FROM customer)"""
+
+
+@query("""SELECT 'required_field' AS rule, ref FROM ve WHERE trim(name) = '' OR kind IS NULL UNION ALL SELECT 'duplicate_name', ref FROM (SELECT ref, min(ref) OVER (PARTITION BY name) AS first FROM ve WHERE trim(name) <> '') WHERE ref <> first
+UNION ALL SELECT DISTINCT 'dangling_reference', ref FROM vc WHERE source NOT IN (SELECT ref FROM ve) OR target NOT IN (SELECT ref FROM ve) UNION ALL SELECT 'conflict_marker', ref FROM ve WHERE name LIKE '<<<<<<<%'
+UNION ALL SELECT 'missing_symbol', ref FROM ve WHERE symbol IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vs WHERE vs.path = ve.file_path AND vs.name = ve.symbol)""", VALID)
+def workspace_validation(s, d):
+    c = F.col("c_custkey")
+    cust = P.table(s, d, "customer")
+    e = cust.select(_text("e", c).alias("ref"), F.when(c % 11 == 0, "  ").when(c % 13 == 0, "<<<<<<< ours").otherwise(_text("n", c % 900)).alias("name"), F.when(c % 17 != 0, "service").alias("kind"), F.when(c % 3 == 0, _text("s", c % 50)).alias("symbol"), _text("f", c % 10).alias("file_path"))
+    k = P.table(s, d, "orders").select(_text("c", F.col("o_orderkey")).alias("ref"), _text("e", F.col("o_custkey")).alias("source"), _text("e", F.col("o_orderkey") % 2000).alias("target"))
+    return lint.validate(e, k, cust.select(_text("f", c % 10).alias("path"), _text("s", c % 40).alias("name")).distinct())
+
+
+CONTEXT = LINEAGE + """,
+up AS (SELECT DISTINCT element_id, element_id AS proxy FROM placements WHERE view_id = 1003 UNION SELECT p.element_id, v.owner_element_id FROM placements p JOIN cl ON cl.view_id = p.view_id JOIN views v ON v.id = cl.ancestor_id JOIN placements q ON q.element_id = v.owner_element_id WHERE q.view_id = 1003),
+hd AS (SELECT view_id, max(depth) AS d FROM cl GROUP BY 1), hm AS (SELECT h.element_id AS y, v.owner_element_id AS owner FROM (SELECT element_id, min(p.view_id) AS home FROM placements p JOIN hd USING (view_id) WHERE d <= 3 GROUP BY 1) h LEFT JOIN views v ON v.id = h.home),
+bo AS (SELECT source_element_id AS x, target_element_id AS y FROM connectors UNION ALL SELECT target_element_id, source_element_id FROM connectors),
+ff AS (SELECT up.proxy AS inside, bo.y, hm.owner FROM bo JOIN up ON up.element_id = bo.x JOIN hm ON hm.y = bo.y WHERE bo.y NOT IN (SELECT element_id FROM up)),
+sh AS (SELECT owner FROM (SELECT DISTINCT owner, y FROM ff) WHERE owner IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query("SELECT inside, CASE WHEN sh.owner IS NOT NULL THEN ff.owner ELSE y END AS outside, count(*) AS n, sh.owner IS NOT NULL AS collapsed FROM ff LEFT JOIN sh ON sh.owner = ff.owner GROUP BY 1, 2, 4", CONTEXT, True)
+def context_proxies(s, d):
+    return crossview.context_proxies(P.connectors(s, d), P.placements(s, d), graph.lineage(view_parents(s, d)), P.views(s, d), 1003, 3)
+
+
+@query("""SELECT type, view_id, element_id, name, rank::INT AS rank FROM (
+  SELECT * FROM (SELECT 'view' AS type, id AS view_id, NULL::BIGINT AS element_id, name, CASE WHEN lower(name) = 'asia' THEN 0 WHEN lower(name) LIKE 'asia%' THEN 1 ELSE 2 END AS rank FROM views WHERE lower(name) LIKE '%asia%' ORDER BY rank, name, view_id LIMIT 4)
+  UNION ALL SELECT * FROM (SELECT 'element', p.view_id, p.element_id, e.name, CASE WHEN lower(name) = 'asia' THEN 0 WHEN lower(name) LIKE 'asia%' THEN 1 WHEN lower(name) LIKE '%asia%' THEN 2 ELSE 3 END AS rank FROM placements p JOIN elements e ON e.id = p.element_id WHERE lower(name) LIKE '%asia%' OR e.id % 30 = 7 ORDER BY rank, name, element_id, view_id LIMIT 6)) ORDER BY type DESC, rank, name, view_id, element_id LIMIT 8""")
+def jump_targets(s, d):
+    e = P.elements(s, d).select(F.col("id").alias("element_id"), "name", "kind", "technology", F.when(F.col("id") % 30 == 7, "src/Asia.go").alias("path"), F.when(F.col("id") % 60 == 7, F.array(F.lit("x"), F.lit("inASIA"))).alias("tags"))
+    placed = P.placements(s, d).join(e, "element_id")
+    return relational.jump_targets(P.views(s, d), placed.union(placed.where("element_id % 2 = 0")), " Asia ")

@@ -304,9 +304,9 @@ def merged_entities(s, d):
     return m.groupBy("view_id", F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
 
 
-@query("SELECT view_id, CASE WHEN element_id = 4000002 THEN 4000001 ELSE element_id END AS element_id, count(*) AS n FROM placements GROUP BY ALL")
+@query("SELECT DISTINCT view_id, CASE WHEN element_id = 4000002 THEN 4000001 ELSE element_id END AS element_id FROM placements")
 def merged_placements(s, d):
-    return diff.merge_placements(P.placements(s, d), 4000001, 4000002).groupBy("view_id", "element_id").agg(F.count("*").alias("n")).withColumn("n", F.when((F.col("element_id") == 4000001) & F.lit(False), 2).otherwise(F.col("n")))
+    return diff.merge_placements(P.placements(s, d), 4000001, 4000002).select("view_id", "element_id")
 
 
 @query("SELECT id, CASE WHEN id = 4000001 THEN coalesce(description, (SELECT description FROM elements WHERE id = 4000003)) ELSE description END AS description, technology FROM elements WHERE id <> 4000003")
@@ -364,7 +364,7 @@ def connected_components(s, d):
 
 @query("SELECT view_id, element_id, max(level)::BIGINT AS level FROM (SELECT view_id, source_element_id AS element_id, 0 AS level FROM connectors UNION ALL SELECT view_id, target_element_id, 1 FROM connectors) GROUP BY 1, 2")
 def layout_levels(s, d):
-    return P.connectors(s, d).select("view_id", "source_element_id", "target_element_id").distinct().groupBy("view_id").applyInPandas(graph.levels, "view_id long, element_id long, level long")
+    return graph.levels(P.connectors(s, d).select("view_id", F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target")))
 
 
 @query("SELECT DISTINCT folder, len(string_split(folder, '/'))::BIGINT AS depth FROM (SELECT type AS folder FROM facts UNION ALL SELECT type || '/' || enricher FROM facts)")

@@ -27,8 +27,14 @@ def interval_counts(events: DataFrame, interval: str, watermark: str | None = No
 
 
 def running_totals(counts: DataFrame) -> DataFrame:
-    """Cumulative counts over intervals (one row each, few)."""
-    return counts.withColumn("total", F.sum("n").over(Window.orderBy("started").rowsBetween(Window.unboundedPreceding, 0)))
+    """Cumulative counts over intervals: sums within ranges of the order, and before them the sums of the earlier ranges, so no task sees all intervals."""
+    from arborlens.operators.graph import checkpointed
+
+    rows = counts.repartitionByRange("started").withColumn("_part", F.spark_partition_id())
+    rows = checkpointed(rows.withColumn("_own", F.sum("n").over(Window.partitionBy("_part").orderBy("started").rowsBetween(Window.unboundedPreceding, 0))))
+    parts = rows.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn("total", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def changed_only(events: DataFrame) -> DataFrame:

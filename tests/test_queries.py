@@ -69,6 +69,12 @@ def test_layout_levels_by_hand(spark, duck):
     assert sorted(tuple(r) for r in registry.layout_levels(spark, D).collect()) == sorted((*x, level(x)) for x in nodes)
 
 
+def test_levels_of_chains_and_cycles(spark):
+    edges = [(1, 1, 2), (1, 2, 3), (1, 1, 3), (1, 3, 4), (1, 5, 6), (1, 6, 5), (1, 6, 7), (1, 8, 8), (2, 3, 1), (2, 3, 1)]
+    got = {(r[0], r[1]): r[2] for r in graph.levels(spark.createDataFrame(edges, "view_id long, source long, target long")).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (1, 4): 3, (1, 5): 0, (1, 6): 0, (1, 7): 0, (1, 8): 0, (2, 3): 0, (2, 1): 1}
+
+
 def test_lineage_cuts_cycles(spark):
     parents = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3)], "view_id long, parent_id long")
     got = {(r[0], r[1]) for r in graph.lineage(parents).select("view_id", "ancestor_id").collect()}
