@@ -245,7 +245,7 @@ def test_backoff_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
     want = sorted(con.execute(queries.ORACLE_SQL["op6_backoff_scores"]).fetchall())
-    assert sorted((r["doc_id"], r["n_words"], r["log_score"]) for r in queries.op6_backoff_scores(spark, D).collect()) == want
+    assert sorted((r["doc_id"], r["n_words"], r["log_score"], r["mean_log_score"]) for r in queries.op6_backoff_scores(spark, D).collect()) == want
 
 
 def test_fingerprints(odd, docs, none):
@@ -318,7 +318,7 @@ def test_all_pairs_of_a_large_node_meet(spark):
     base = rng.integers(0, 256, similarity.WIDTH)
     sigs = [np.where(rng.random(similarity.WIDTH) < 0.1, rng.integers(0, 256, similarity.WIDTH), base).astype(np.uint8).tobytes() for _ in range(40)]
     nodes = spark.createDataFrame([(1, i) for i in range(40)], "node long, item long")
-    met = similarity.node_members(nodes, spark.createDataFrame(list(enumerate(sigs)), "item long, sig binary"), limit=8)
+    met = similarity.node_members(similarity.sized(nodes), spark.createDataFrame(list(enumerate(sigs)), "item long, sig binary"), limit=8)
     inside = collections.defaultdict(set)
     for r in met.collect():
         inside[r["node"]].add(r["item"])
