@@ -56,18 +56,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_stored(*tables: DataFrame) -> None:
-    """Delete the files of tables made by stored() that nothing reads any more.
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go: Spark's cleaner removes them once the driver has collected the plans they belong to, so a collection is asked for; else they would stay until the driver's memory is short."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    Spark's cleaner removes shuffle files once the driver has collected the plans they belong to, so a
-    collection is asked for here: else they would stay until the driver's memory is short.
-    """
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables made by stored() that nothing reads any more, and release what their making shuffled."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
