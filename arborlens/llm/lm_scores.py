@@ -9,8 +9,9 @@ document's score is the sum of the logarithms.
 Relations are kept as packed blocks: a chunk of rows explodes into one block for each
 hash bucket. Bigram blocks are dealt by the hash of the previous word, so the
 table of a bucket holds both counts; the bigrams of hot previous words (1 / (4 x
-buckets) of all or more: at most 4 x buckets of them) are dealt by the whole bigram and
-their counts are broadcast. Bigrams not seen elsewhere go on, as requests, to
+buckets) of all or more: at most 4 x buckets of them, and 4 x HOT_BUCKETS, 16 bytes each) are dealt by the whole bigram and
+their counts are broadcast. There is a bucket for each BUCKET_BYTES of text, so what a task
+holds does not grow with the corpus; unigrams, of which there are as many as different words, have UNIGRAM_BUCKETS at most. Bigrams not seen elsewhere go on, as requests, to
 the unigram table, dealt by the word's hash. Sums return to their chunk and are added per document.
 
 Defined results: a null, empty or blank text has no words and score 0; repeated
@@ -31,6 +32,11 @@ ALPHA = 0.4
 START = np.uint64(0x57A27)
 #: Text that a map task explodes into one set of blocks.
 GROUP_BYTES = 4 << 20
+#: Text that one bucket of bigrams stands for.
+BUCKET_BYTES = 2 << 20
+UNIGRAM_BUCKETS = 1024
+#: Buckets beyond which more of them make no more words hot.
+HOT_BUCKETS = 1 << 20
 #: Requests for unigrams that a task answers at once.
 ASKED = 1 << 20
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -211,10 +217,8 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), blobs([r[3] for r in rows])], ["kind", "bucket", "chunk", "body"])
 
 
-def _join_bigrams(buckets: int, hot: dict[int, int]):
-    """Blocks of a bucket -> kind 0: sums per chunk; kind 1: requests for unigrams, by their bucket."""
-    hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[int(w)] for w in hot_words], np.int64)
+def _join_bigrams(buckets: int, hot_words: np.ndarray, hot_counts: np.ndarray):
+    """Blocks of a bucket -> kind 0: sums per chunk; kind 1: requests for unigrams, by their bucket (of `buckets`). Hot words come sorted."""
 
     def run(batches):
         for bucket, blocks in _by_bucket(batches):
@@ -311,30 +315,32 @@ def _add(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null == 1), pa.array(counts), pa.array(total[: len(ids)].copy())], ["doc_id", "n_words", "log_score"])
 
 
+def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
+    """Buckets dealt in turn: as many to each task, which hashing them would not give."""
+    return blocks.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int"))
+
+
 def backoff_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_words, log_score (natural logarithm, sum over the words)."""
+    """docs(doc_id, text, ...) -> doc_id, n_words, log_score (natural logarithm, sum over the words), mean_log_score (per word; 0 without words)."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.select("text")
-    seen = texts.mapInArrow(_frequent(buckets), "word long, n long, all boolean").groupBy("all", "word").agg(F.sum("n").alias("n"))
-    seen = seen.where(F.col("all") | (F.col("n") >= F.lit(2))).withColumn("total", F.max(F.when(F.col("all"), F.col("n"))).over(_everything()))
-    # Words of at least 1 / (4 x buckets) of all: 4 x buckets of them at most.
-    top = seen.where(F.col("all") | (F.col("n") * (4 * buckets) >= F.col("total"))).collect()
-    total = next((r["n"] for r in top if r["all"]), 0)
-    hot = np.array(sorted({r["word"] & ((1 << 64) - 1) for r in top if not r["all"]} | {int(START)}), np.uint64)
+    texts, parts = rows.select("text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(parts, -(-size // BUCKET_BYTES))
+    single, tasks, often = min(parts, UNIGRAM_BUCKETS), max(parts, buckets // 8), min(buckets, HOT_BUCKETS)
+    seen = stored(texts.mapInArrow(_frequent(often), "word long, n long, all boolean").groupBy("all", "word").agg(F.sum("n").alias("n")), "frequent")
+    total = seen.where("all").agg(F.sum("n")).first()[0] or 0
+    # Words of at least 1 / (4 x often) of all: 4 x often of them at most.
+    top = seen.where(~F.col("all") & (F.col("n") >= 2) & (F.col("n") * (4 * often) >= F.lit(total))).collect()
+    hot = np.array(sorted({r["word"] & ((1 << 64) - 1) for r in top} | {int(START)}), np.uint64)
     counted = {r["word"] & ((1 << 64) - 1): r["n"] for r in texts.mapInArrow(_previous(hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    words_, counts = np.array(sorted(counted), np.uint64), np.array([counted[w] for w in sorted(counted)], np.int64)
     block = "bucket long, chunk long, body binary"
     blocks = rows.mapInArrow(_explode(buckets, hot), block)
-    joined = stored(blocks.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_join_bigrams(buckets, counted), f"kind int, {block}"), "bigram_sums")
-    requests = joined.where("kind = 1").select("bucket", "chunk", "body").union(texts.mapInArrow(_unigrams(buckets), block))
-    backed = requests.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_join_unigrams(total, alpha), f"kind int, {block}")
-    parts = joined.where("kind <> 1").union(backed)
-    return parts.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_add, "doc_id long, n_words long, log_score double")
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    joined = stored(_dealt(blocks, tasks).sortWithinPartitions("bucket", "chunk").mapInArrow(_join_bigrams(single, words_, counts), f"kind int, {block}"), "bigram_sums")
+    requests = joined.where("kind = 1").select("bucket", "chunk", "body").union(texts.mapInArrow(_unigrams(single), block))
+    backed = _dealt(requests, single).sortWithinPartitions("bucket", "chunk").mapInArrow(_join_unigrams(total, alpha), f"kind int, {block}")
+    sums = joined.where("kind <> 1").union(backed)
+    out = sums.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_add, "doc_id long, n_words long, log_score double")
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))

@@ -37,7 +37,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scores.backoff_scores(documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,6 @@ c1 AS (SELECT w, count(*) AS n FROM t GROUP BY ALL),
 s AS (
   SELECT tf.doc_id, sum(tf.n * CASE WHEN c2.n > tf.n THEN ln((c2.n - tf.n) / (cp.n - own.n)) ELSE ln(0.4 * c1.n / (SELECT count(*) FROM t)) END) AS s
   FROM tf JOIN own USING (doc_id, p) JOIN c2 USING (p, w) JOIN cp USING (p) JOIN c1 USING (w) GROUP BY tf.doc_id)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s.s, 0), 3) AS log_score FROM w LEFT JOIN s USING (doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s.s, 0), 3) AS log_score, round(CASE WHEN len(ws) > 0 THEN coalesce(s.s, 0) / len(ws) ELSE 0 END, 4) AS mean_log_score FROM w LEFT JOIN s USING (doc_id)
 """,
 }
