@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similarity as sim
-from .core import blobs, chunks, combine, drop_stored, hot_keys, join_copies, lists, mix, prepare, set_names, shingled, signed, stored, text_buffers, words
+from .core import blobs, chunks, combine, drop_stored, hot_keys, join_copies, lists, mix, prepare, release, set_names, shingled, signed, stored, text_buffers, words
 
 SHINGLE = 5
 #: Words of a passage that counts as one; a bit more than half of the 50 that a passage worth removing has.
@@ -223,11 +223,14 @@ def duplicate_paragraphs(docs: DataFrame, cut: DataFrame) -> DataFrame:
     places = one.groupBy(F.col("p.doc_id").alias("d"), F.col("p.k1").alias("h1")).agg(F.collect_list(F.struct("item", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))).alias("places"))
     sets = stored(texts.join(places, _same()).select("text", "places").mapInArrow(_spans, "item long, sig binary, content binary").dropDuplicates(["item"]), "sets")
 
+    del one, places
+    release(docs.sparkSession)
+
     def full(items: DataFrame) -> DataFrame:
         return sets.select("item", "content").join(items, "item", "left_semi")
 
-    roots = stored(sim.clusters(nodes, sets.select("item", "sig"), full), "roots")
-    drop_stored(nodes), drop_stored(sets)
+    roots = sim.clusters(nodes, sets.select("item", "sig"), full)
+    drop_stored(nodes, sets)
     named = parts.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("cluster", F.coalesce("root", "item"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "lo")
     named = stored(named.select("cluster", "doc_id", "k1", "lo", "hi"), "named")
@@ -254,13 +257,26 @@ def frequent_units(cut: DataFrame) -> DataFrame:
     return found.where(F.col("item").isNotNull() & (F.col("n") * least >= (total["n"] if total else 0))).select(F.col("item").alias("unit"))
 
 
-def duplicate_units(docs: DataFrame, cut: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...), their cut_texts, the paragraphs to remove -> each unit to remove besides: doc_id, k1, lo, hi (bytes)."""
-    often = F.broadcast(stored(frequent_units(cut), "frequent").withColumn("often", F.lit(True)))
+def repeated_units(docs: DataFrame, often: DataFrame) -> DataFrame:
+    """The stored places of units that occur twice or more, or are among the frequent ones: doc_id, k1, unit, often, lo, hi."""
     every = _texts(docs).select("doc_id", "k1", "text").mapInArrow(_units, "doc_id long, k1 long, unit long, span long")
-    every = every.join(often, "unit", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("doc_id", "k1"), F.lit(64))).otherwise(0))
+    every = every.join(F.broadcast(often.withColumn("often", F.lit(True))), "unit", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("doc_id", "k1"), F.lit(64))).otherwise(0))
     again = every.withColumn("n", F.count("*").over(Window.partitionBy("unit", "salt"))).where("n > 1 or often")
-    again = stored(again.select("doc_id", "k1", "unit", F.col("often").isNotNull().alias("often"), F.shiftright("span", 32).cast("int").alias("lo"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hi")), "units")
+    return stored(again.select("doc_id", "k1", "unit", F.col("often").isNotNull().alias("often"), F.shiftright("span", 32).cast("int").alias("lo"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hi")), "units")
+
+
+def duplicate_units(docs: DataFrame, cut: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...), their cut_texts, the paragraphs to remove -> each unit to remove besides: doc_id, k1, lo, hi (bytes)."""
+    often = stored(frequent_units(cut), "frequent")
+    again = repeated_units(docs, often)
+    drop_stored(often, cut)
+    found = stored(_later_units(again, gone), "gone_units")
+    drop_stored(again)
+    return found
+
+
+def _later_units(again: DataFrame, gone: DataFrame) -> DataFrame:
+    """Of repeated_units, all but the first of each that lies outside the paragraphs to remove: doc_id, k1, lo, hi."""
     # A unit that a removed paragraph touches is no first occurrence: what it holds may be kept nowhere else.
     touched = F.exists("spans", lambda s: (s["lo"] < F.col("hi")) & (s["hi"] > F.col("lo")))
     again = again.join(_by_text(gone), _same(), "left").select("doc_id", "k1", "unit", "often", "lo", "hi", F.coalesce(touched, F.lit(False)).alias("cut"))
@@ -278,6 +294,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) -> one row per row: doc_id, n_removed (stretches), removed_bytes, kept (the text left), kept_sha256."""
     cut = cut_texts(docs, min_words)
     gone = stored(duplicate_paragraphs(docs, cut).withColumn("sure", F.lit(True)), "gone")
+    release(docs.sparkSession)
     spans = _by_text(gone.union(duplicate_units(docs, cut, gone).withColumn("sure", F.lit(False))))
     joined = _texts(docs).join(spans, _same(), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_rewrite(min_words), "doc_id long, n_removed long, removed_bytes long, kept string, kept_sha256 string")
