@@ -4,7 +4,7 @@ Documents are encoded with a tokenizer file (a parameter; it is not stored
 here), an end id is appended, and the ids are serialised little-endian in 2 bytes (vocabularies up to
 65,536) or 4. A dictionary is trained on the serialised ids of SAMPLE documents
 picked by hash (those of up to SAMPLE_BYTES of text: at most 16 MB go to the
-driver). Rows are range-partitioned by doc_id; each partition writes segments:
+driver). Documents are encoded where they lie; their frames are range-partitioned by doc_id, and each partition writes segments:
 
     magic "IDSEG1" and id width (2 bytes) | SHA-256 of the dictionary (32) | documents (4) |
     index: doc_id, valid, ids, offset, length of each | frames
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import LONG, MASKS, blobs, blocks_of, chunks, exact_key, prepare, run_hashes, text_buffers
+from .core import LONG, MASKS, blobs, blocks_of, chunks, drop_stored, prepare, run_hashes, stored, text_buffers
 
 SAMPLE = 256
 SAMPLE_BYTES = 1 << 16
@@ -233,27 +233,37 @@ def _sample_ids(path: str):
     return run
 
 
-def _write(path: str, end: int, dictionary: bytes):
+def _frames(path: str, end: int, dictionary: bytes):
+    """(doc_id, k1, text) -> (doc_id, k1, n, frame): the number of ids with the end id, and their compressed frame."""
+
     def run(batches):
         encoder = Encoder.of(path)
         stop = np.array([end], encoder.kind).tobytes()
-        digest = hashlib.sha256(dictionary).digest()
         shared = zstandard.ZstdCompressionDict(dictionary)
         shared.precompute_compress(level=3)
         writer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True, write_checksum=False)
+        for batch in batches:
+            ids = [x + stop for x in encoder.encode(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), pa.array([len(x) // encoder.width for x in ids], pa.int64()), blobs([writer.compress(x) for x in ids])], ["doc_id", "k1", "n", "frame"])
+
+    return run
+
+
+def _segments(path: str, dictionary: bytes):
+    """(doc_id, n, frame) in order -> segments of about SEGMENT_BYTES."""
+
+    def run(batches):
+        width, digest = Encoder.of(path).width, hashlib.sha256(dictionary).digest()
         part, rows, held, number = TaskContext.get().partitionId(), [], 0, 0
 
         def flush():
-            held = [r[0] for r in rows if r[0] is not None]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([min(held, default=None)], pa.int64()), pa.array([max(held, default=None)], pa.int64()), blobs([segment(rows, digest, encoder.width)])], SEGMENT_COLUMNS)
+            ids = [r[0] for r in rows if r[0] is not None]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), blobs([segment(rows, digest, width)])], SEGMENT_COLUMNS)
 
         for batch in batches:
-            docs = batch.column("doc_id").to_pylist()
-            for doc_id, ids in zip(docs, encoder.encode(batch.column("text"))):
-                ids += stop
-                frame = writer.compress(ids)
-                rows.append((doc_id, len(ids) // encoder.width, frame))
-                held += len(frame)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
+                rows.append(row)
+                held += len(row[2])
                 if held >= SEGMENT_BYTES:
                     yield flush()
                     rows, held, number = [], 0, number + 1
@@ -266,15 +276,18 @@ def _write(path: str, end: int, dictionary: bytes):
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | None = None) -> tuple[DataFrame, bytes]:
     """Encode docs(doc_id, text, ...) into a folder (a new shared one by default): its segments and its dictionary; returns open_tokens of it."""
     spark = docs.sparkSession
-    folder = folder or f"{prepare(spark)}/token_ids-{uuid.uuid4().hex}"
-    k1, k2 = exact_key("text")
+    shared = prepare(spark)
+    folder = folder or f"{shared}/token_ids-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     few = rows.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE)
     dictionary = train([bytes(r[0]) for r in few.mapInArrow(_sample_ids(tokenizer), "ids binary").collect()])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.withColumn("k1", F.xxhash64("text")).repartitionByRange(n, "doc_id", "k1").sortWithinPartitions("doc_id", "k1").select("doc_id", "text")
+    # Frames are made where the texts lie, and only they are sorted: a fraction of the texts' bytes.
+    frames = stored(rows.select("doc_id", F.xxhash64("text").alias("k1"), "text").mapInArrow(_frames(tokenizer, end, dictionary), "doc_id long, k1 long, n long, frame binary"), "frames")
+    ordered = frames.repartitionByRange(n, "doc_id", "k1").sortWithinPartitions("doc_id", "k1").select("doc_id", "n", "frame")
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{folder}/dictionary")
-    ordered.mapInArrow(_write(tokenizer, end, dictionary), SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
+    ordered.mapInArrow(_segments(tokenizer, dictionary), SEGMENT_SCHEMA).write.parquet(f"{folder}/segments")
+    drop_stored(frames)
     return open_tokens(spark, folder)
 
 
