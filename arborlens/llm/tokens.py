@@ -53,8 +53,8 @@ _SEEN = (np.arange(256) > 32) & (np.arange(256) < 127)
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "u1"), ("ids", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 
 
-SEGMENT_SCHEMA = "part int, number int, ids long, first_id long, last_id long, body binary"
-SEGMENT_COLUMNS = ["part", "number", "ids", "first_id", "last_id", "body"]
+SEGMENT_SCHEMA = "part int, number int, before long, ids long, first_id long, last_id long, body binary"
+SEGMENT_COLUMNS = ["part", "number", "before", "ids", "first_id", "last_id", "body"]
 
 
 class Encoder:
@@ -254,11 +254,13 @@ def _segments(path: str, dictionary: bytes):
 
     def run(batches):
         width, digest = Encoder.of(path).width, hashlib.sha256(dictionary).digest()
-        part, rows, held, number = TaskContext.get().partitionId(), [], 0, 0
+        part, rows, held, number, before = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def flush():
-            ids = [r[0] for r in rows if r[0] is not None]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(r[1] for r in rows)], pa.int64()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), blobs([segment(rows, digest, width)])], SEGMENT_COLUMNS)
+            nonlocal before
+            ids, n = [r[0] for r in rows if r[0] is not None], sum(r[1] for r in rows)
+            before += n
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before - n], pa.int64()), pa.array([n], pa.int64()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), blobs([segment(rows, digest, width)])], SEGMENT_COLUMNS)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "frame"))):
@@ -292,7 +294,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | No
 
 
 def open_tokens(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
-    """The segments (part, number, ids, first_id, last_id, body) and the dictionary of a written folder."""
+    """The segments (part, number, before: ids before it in its part, ids, first_id, last_id, body) and the dictionary of a written folder."""
     dictionary, sha256 = spark.read.parquet(f"{folder}/dictionary").first()
     if hashlib.sha256(dictionary).hexdigest() != sha256:
         raise ValueError("the dictionary is damaged")
@@ -322,9 +324,8 @@ def _read(dictionary: bytes):
 
 def read_tokens(segments: DataFrame, dictionary: bytes) -> DataFrame:
     """Segments -> doc_id, start, n_tokens, ids_crc32, decoded from the files."""
+    # One row for each partition of the writing, so fit to be broadcast; places within one were counted while it was written.
     parts = segments.groupBy("part").agg(F.sum("ids").alias("n"))
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    heads = segments.select("part", "number", "ids").join(F.broadcast(offsets), "part")
-    base = F.col("offset") + F.sum("ids").over(Window.partitionBy("part").orderBy("number")) - F.col("ids")
-    heads = heads.select("part", "number", base.alias("base"))
-    return segments.select("part", "number", "body").join(heads, ["part", "number"]).select("base", "body").mapInArrow(_read(dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = segments.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("before")).alias("base"), "body")
+    return placed.mapInArrow(_read(dictionary), "doc_id long, start long, n_tokens long, ids_crc32 long")
