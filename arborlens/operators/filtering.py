@@ -53,7 +53,7 @@ def seeds(symbols: DataFrame, references: DataFrame, facts: DataFrame, forced: D
     base = (F.when(exported(F.col("name")), WEIGHTS["exported"]).otherwise(0.0) + F.when(out > 0, WEIGHTS["outgoing"]).otherwise(0.0) + F.coalesce("told", F.lit(0.0))
             + F.when(F.col("forced"), WEIGHTS["forced"]).otherwise(0.0) + F.when((out > MAX_OUT) | (into > MAX_IN), WEIGHTS["high_degree"]).otherwise(0.0)
             + F.when(utility(F.col("name"), F.col("path")) & (out + into > MAX_UTILITY), WEIGHTS["utility"]).otherwise(0.0))
-    return rows.select("id", F.round(base, 6).alias("base"), F.coalesce("forced", F.lit(False)).alias("forced"))
+    return rows.select("id", F.round(base, 8).alias("base"), F.coalesce("forced", F.lit(False)).alias("forced"))
 
 
 def forced_ends(references: DataFrame, changed: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def symbol_predicates(s, d):
 SEEDS = SYMBOLS + """,
 dg AS (SELECT e, sum(i) AS i, sum(o) AS o FROM (SELECT source_element_id AS e, 0 AS i, 1 AS o FROM connectors UNION ALL SELECT target_element_id, 1, 0 FROM connectors) GROUP BY 1),
 seeds AS (SELECT sym.id, round(CASE WHEN regexp_matches(name, '^\\p{Lu}') THEN 1.2::DOUBLE ELSE 0 END + CASE WHEN coalesce(o, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END + coalesce(told, 0.0::DOUBLE) + CASE WHEN sym.id % 211 = 0 THEN 100 ELSE 0 END
-  + CASE WHEN coalesce(o, 0) > 40 OR coalesce(i, 0) > 25 THEN -1.5::DOUBLE ELSE 0 END + CASE WHEN (regexp_matches(lower(name), 'log|metric|trace|debug|helper|util') OR path = 'pkg/logger.go') AND coalesce(o, 0) + coalesce(i, 0) > 8 THEN -0.8::DOUBLE ELSE 0 END, 6) AS base, sym.id % 211 = 0 AS forced
+  + CASE WHEN coalesce(o, 0) > 40 OR coalesce(i, 0) > 25 THEN -1.5::DOUBLE ELSE 0 END + CASE WHEN (regexp_matches(lower(name), 'log|metric|trace|debug|helper|util') OR path = 'pkg/logger.go') AND coalesce(o, 0) + coalesce(i, 0) > 8 THEN -0.8::DOUBLE ELSE 0 END, 8) AS base, sym.id % 211 = 0 AS forced
   FROM sym LEFT JOIN dg ON dg.e = sym.id LEFT JOIN (SELECT id, sum(CASE WHEN coalesce(hint, 0) > 0 OR type = 'http.route' THEN 1.5::DOUBLE * confidence WHEN type LIKE 'dependency.%' THEN 0.2::DOUBLE * confidence ELSE 0 END) AS told FROM fx GROUP BY 1) t ON t.id = sym.id)"""
 
 

@@ -91,7 +91,7 @@ def folder_pairs(s, d):
     return relational.folder_pairs(refs, 150)
 
 
-@query("SELECT view_id, element_id, ((row_number() OVER (PARTITION BY view_id ORDER BY element_id) - 1) // floor(20 * least(2.0::DOUBLE, 1 + 0.25::DOUBLE * max(element_id % 6) OVER (PARTITION BY view_id))))::BIGINT AS chunk FROM placements")
+@query("SELECT view_id, element_id, floor((row_number() OVER (PARTITION BY view_id ORDER BY element_id) - 1) / floor(20 * least(2.0::DOUBLE, 1 + 0.25::DOUBLE * max(element_id % 6) OVER (PARTITION BY view_id))))::BIGINT AS chunk FROM placements")
 def tiered_chunks(s, d):
     p = P.placements(s, d).withColumn("tier", F.col("element_id") % 6)
     return relational.tiered_chunks(p, "view_id", ["element_id"], 20, "tier").select("view_id", "element_id", "chunk")
