@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 
 import numpy as np
@@ -58,8 +59,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let shuffle files go: Spark's cleaner removes them once the driver has collected the plans they belong to, so a collection is asked for; else they would stay until the driver's memory is short."""
-    gc.collect()
-    spark._jvm.System.gc()
+    # What a just finished query leaves is reachable during the first collection and goes with the second.
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def drop_stored(*tables: DataFrame) -> None:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import blobs, combine, prepare, stored, text_buffers, words
+from .core import blobs, combine, drop_stored, prepare, stored, text_buffers, words
 
 ALPHA = 0.4
 START = np.uint64(0x57A27)
@@ -337,8 +337,8 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     counted = {r["word"] & ((1 << 64) - 1): r["n"] for r in texts.mapInArrow(_previous(hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     words_, counts = np.array(sorted(counted), np.uint64), np.array([counted[w] for w in sorted(counted)], np.int64)
     block = "bucket long, chunk long, body binary"
-    blocks = rows.mapInArrow(_explode(buckets, hot), block)
-    joined = stored(_dealt(blocks, tasks).sortWithinPartitions("bucket", "chunk").mapInArrow(_join_bigrams(single, words_, counts), f"kind int, {block}"), "bigram_sums")
+    joined = stored(_dealt(rows.mapInArrow(_explode(buckets, hot), block), tasks).sortWithinPartitions("bucket", "chunk").mapInArrow(_join_bigrams(single, words_, counts), f"kind int, {block}"), "bigram_sums")
+    drop_stored(seen)
     requests = joined.where("kind = 1").select("bucket", "chunk", "body").union(texts.mapInArrow(_unigrams(single), block))
     backed = _dealt(requests, single).sortWithinPartitions("bucket", "chunk").mapInArrow(_join_unigrams(total, alpha), f"kind int, {block}")
     sums = joined.where("kind <> 1").union(backed)
