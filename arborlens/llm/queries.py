@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, lm_scores, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, tokens
+from . import alignment, decontam, fingerprint, history, lm_scores, mixing, near_dedup, nearest, quality, sharding, substring_dedup, suffix_dedup, tokens
 from .core import documents, prepare
 
 
@@ -61,7 +61,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_removed", "removed_bytes", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_hilbert_shards, op4_token_files, op5_decontaminate, op6_backoff_scores, op7_fingerprints, op8_quality, op9_near_duplicates, op10_substring_dedup)}
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    return nearest.nearest(vectors, vectors.where("id % 100 = 0"), k=10)
+
+
+def op12_dimension_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = history.versions(history.document_changes(documents(spark, sf_dir)))
+    return out.select(F.col("key").alias("doc_id"), "version", "valid_from", "valid_to", "value")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = alignment.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_hilbert_shards, op4_token_files, op5_decontaminate, op6_backoff_scores, op7_fingerprints, op8_quality, op9_near_duplicates, op10_substring_dedup, op11_nearest_vectors, op12_dimension_history, op13_token_alignment)}
 
 ORACLE_SQL = {
     "op6_backoff_scores": r"""
@@ -78,5 +95,27 @@ s AS (
   SELECT tf.doc_id, sum(tf.n * CASE WHEN c2.n > tf.n THEN ln((c2.n - tf.n) / (cp.n - own.n)) ELSE ln(0.4 * c1.n / (SELECT count(*) FROM t)) END) AS s
   FROM tf JOIN own USING (doc_id, p) JOIN c2 USING (p, w) JOIN cp USING (p) JOIN c1 USING (w) GROUP BY tf.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(s.s, 0), 3) AS log_score, round(CASE WHEN len(ws) > 0 THEN coalesce(s.s, 0) / len(ws) ELSE 0 END, 4) AS mean_log_score FROM w LEFT JOIN s USING (doc_id)
+""",
+    # Day by day, and every change held against every day: the query works on boundaries instead.
+    "op12_dimension_history": r"""
+WITH one AS (SELECT doc_id AS d, max(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT d, j, source, CAST('0x' || substr(sha256(d || ':' || j), 1, 12) AS BIGINT) AS h FROM one, (VALUES (0), (1)) AS js(j)),
+c AS (
+  SELECT d - d % 10 AS k, source, h % 60 AS start, (h // 1000) % 10 AS kind,
+         row_number() OVER (ORDER BY h, d, j) AS arrived FROM h),
+days AS (SELECT k, day FROM (SELECT DISTINCT k FROM c), (SELECT unnest(generate_series(0, 70)) AS day)),
+b AS (
+  SELECT k, day, arg_max({'v': source, 'gone': kind < 2}, start * 1000000000000 + arrived) AS x
+  FROM days JOIN c USING (k) WHERE kind NOT BETWEEN 2 AND 4 AND start <= day GROUP BY k, day),
+r AS (
+  SELECT k, day, arg_max({'v': source, 'gone': false}, arrived) AS x
+  FROM days JOIN c USING (k) WHERE kind BETWEEN 2 AND 4 AND start <= day AND day < start + 10 GROUP BY k, day),
+p AS (
+  SELECT k, day, coalesce(r.x, b.x) AS x FROM days LEFT JOIN b USING (k, day) LEFT JOIN r USING (k, day)
+  WHERE NOT coalesce(r.x, b.x)['gone']),
+n AS (SELECT k, day, x['v'] AS value, day - row_number() OVER (PARTITION BY k, x['v'] ORDER BY day) AS run FROM p)
+SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY min(day)) AS INTEGER) AS version, min(day) AS valid_from,
+       CASE WHEN max(day) = 70 THEN NULL ELSE max(day) + 1 END AS valid_to, value
+FROM n GROUP BY k, value, run
 """,
 }
