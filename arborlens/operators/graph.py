@@ -37,20 +37,6 @@ def lineage(parents: DataFrame) -> DataFrame:
     return out
 
 
-def lca(closure: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs(a, b) -> their lowest common ancestor and the distance through it."""
-    x = closure.select(F.col("view_id").alias("a"), "ancestor_id", F.col("depth").alias("da"))
-    y = closure.select(F.col("view_id").alias("b"), "ancestor_id", F.col("depth").alias("db"))
-    common = pairs.join(x, "a").join(y, ["b", "ancestor_id"])
-    return common.groupBy("a", "b").agg(F.min_by("ancestor_id", F.struct(F.col("da") + F.col("db"), F.col("ancestor_id"))).alias("lca"), F.min(F.col("da") + F.col("db")).cast("long").alias("distance"))
-
-
-def related_pairs(closure: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of views in one tree, from their common ancestors: views of different trees have none, so they never meet."""
-    x, y = closure.select(F.col("view_id").alias("a"), "ancestor_id"), closure.select(F.col("view_id").alias("b"), "ancestor_id")
-    return x.join(y, "ancestor_id").where("a < b").select("a", "b").distinct()
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """nodes(id), edges(a, b) -> id, component (smallest id): minima of neighbours, then of the label's label."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -101,15 +87,18 @@ def rescued(visible: DataFrame, references: DataFrame, vectors: DataFrame, least
     return pairs.join(hidden, "h").join(a, "id").join(b, "h").where(cosine(F.col("x"), F.col("y")) >= least).select(F.col("h").alias("id")).distinct()
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """edges(view_id, source, target) -> view_id, element_id, level: the longest path that ends there; 0 for what stands in a cycle or behind one.
+def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """edges(view_id, source, target) -> view_id, element_id, level: the longest path that ends there, and for what stands in a cycle or behind one the largest level of its view, its number of elements less one.
+
+    nodes(view_id, element_id): all elements of the views, the edges' ends where none are given. An edge from an element to itself is a cycle.
 
     Layer by layer: an element is settled once all its sources are, so there are as many rounds as the longest path has steps, and each
     round joins only the newly settled elements.
     """
-    e = checkpointed(edges.where("source <> target").select("view_id", "source", "target").distinct())
+    e = checkpointed(edges.select("view_id", "source", "target").distinct())
     need = e.groupBy("view_id", F.col("target").alias("element_id")).agg(F.count("*").alias("need"))
-    nodes = edges.select("view_id", F.explode(F.array("source", "target")).alias("element_id")).distinct()
+    ends = edges.select("view_id", F.explode(F.array("source", "target")).alias("element_id"))
+    nodes = (ends if nodes is None else ends.unionByName(nodes.select("view_id", "element_id"))).distinct()
     zero = F.lit(0).cast("long")
     state = nodes.join(need, ["view_id", "element_id"], "left").select("view_id", "element_id", F.coalesce("need", zero).alias("need"), zero.alias("got"), zero.alias("level"))
     state = checkpointed(state.withColumn("new", F.col("need") == 0).withColumn("done", F.col("new")))
@@ -122,7 +111,8 @@ def levels(edges: DataFrame) -> DataFrame:
         got = F.col("got") + F.coalesce("more", zero)
         settled = got == F.col("need")
         state = checkpointed(j.select("view_id", "element_id", "need", got.alias("got"), F.greatest("level", F.coalesce("reach", zero)).alias("level"), (settled & ~F.col("done")).alias("new"), settled.alias("done")))
-    return state.select("view_id", "element_id", F.when(F.col("done"), F.col("level")).otherwise(0).alias("level"))
+    size = state.groupBy("view_id").agg((F.count("*") - 1).alias("most"))
+    return state.join(size, "view_id").select("view_id", "element_id", F.when(F.col("done"), F.col("level")).otherwise(F.col("most")).alias("level"))
 
 
 def folders(paths: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.functions.text import cosine, glob_regex, token_jaccard
+from arborlens.functions.text import glob_regex
 
 
 def enclosing(points: DataFrame, intervals: DataFrame, bucket: int = 64) -> DataFrame:
@@ -101,35 +101,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> Dat
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def identity_scores(symbols: DataFrame, identities: DataFrame) -> DataFrame:
-    """Candidates for renamed symbols: same file and kind within 3 lines, or same kind and hash in a file that is gone.
-
-    symbols(key, file, kind, line, hash, tokens), identities(identity, the same columns). Score from .70 on.
-    """
-    i = identities.select(*[F.col(c).alias(f"i_{c}") for c in identities.columns])
-    # Lines within 3 stand in the same or the next band of 4: the band is part of the join key.
-    band = lambda c: F.floor(F.col(c) / 4)
-    banded = symbols.withColumn("band", F.explode(F.array(band("line") - 1, band("line"), band("line") + 1)))
-    near = banded.join(i.withColumn("i_band", band("i_line")), (F.col("file") == F.col("i_file")) & (F.col("kind") == F.col("i_kind")) & (F.col("band") == F.col("i_band"))).where(F.abs(F.col("line") - F.col("i_line")) <= 3)
-    near = near.withColumn("score", F.lit(0.35) + F.when(F.col("hash") == F.col("i_hash"), 0.35).otherwise(0.0) + 0.2 * token_jaccard(F.col("tokens"), F.col("i_tokens")) + 0.1)
-    gone = i.join(symbols.select(F.col("file").alias("i_file")).distinct(), "i_file", "left_anti")
-    moved = symbols.join(gone, (F.col("kind") == F.col("i_kind")) & (F.col("hash") == F.col("i_hash"))).withColumn("score", F.lit(0.8) + 0.1 * token_jaccard(F.col("tokens"), F.col("i_tokens")))
-    out = near.select("key", "i_identity", "score").union(moved.select("key", "i_identity", "score"))
-    return out.groupBy("key", F.col("i_identity").alias("identity")).agg(F.round(F.max("score"), 6).alias("score")).where("score >= 0.70")
-
-
-def greedy_matches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one matches of a file, symbols in key order, each taking its best identity that is free."""
-    used, out = set(), []
-    for key, rows in pdf.sort_values(["key", "score", "identity"], ascending=[True, False, True]).groupby("key", sort=True):
-        for r in rows.itertuples():
-            if r.identity not in used:
-                used.add(r.identity)
-                out.append((key, r.identity, r.score))
-                break
-    return pd.DataFrame(out, columns=["key", "identity", "score"])
-
-
 def linked_entities(components: DataFrame, targets: DataFrame, least: float = 0.72) -> DataFrame:
     """Score components(key, repo, name, tokens) against targets(id, repo, name, tokens) without evidence (architecture.bindings has it all).
 
@@ -210,5 +181,5 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def identified(symbols: DataFrame, identities: DataFrame) -> DataFrame:
-    """The first step of matching: an identity whose current key a symbol has is that symbol's; others stay open for identity_scores. key, identity."""
+    """The first step of matching: an identity whose current key a symbol has is that symbol's; others stay open for identity.candidates. key, identity."""
     return symbols.join(identities.select(F.col("current_key").alias("key"), "identity"), "key").select("key", "identity")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import enrich, text
-from arborlens.operators import crossview, density, diff, graph, lint, relational, resolve, versions
+from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, versions
 from arborlens.plans import projection as P
 from arborlens.streaming import changes
 
@@ -346,13 +346,47 @@ def lineage(s, d):
 
 @query("SELECT view_id, max(depth)::INT AS depth FROM cl GROUP BY 1", LINEAGE, True)
 def view_depths(s, d):
-    return graph.lineage(view_parents(s, d)).groupBy("view_id").agg(F.max("depth").alias("depth"))
+    lift = ancestry.lifting(view_parents(s, d).select(F.col("view_id").alias("id"), F.col("parent_id").alias("parent")))
+    return lift.nodes.select(F.col("id").alias("view_id"), F.col("depth").cast("int").alias("depth"))
 
 
-@query("SELECT a, b, min_by(ancestor_id, (da + db) * 1000000 + ancestor_id) AS lca, min(da + db)::BIGINT AS distance FROM (SELECT x.view_id AS a, y.view_id AS b, x.ancestor_id, x.depth AS da, y.depth AS db FROM cl x JOIN cl y ON x.ancestor_id = y.ancestor_id WHERE x.view_id < y.view_id) GROUP BY 1, 2", LINEAGE, True)
+@query("SELECT a, b, min_by(ancestor_id, (da + db) * 1000000 + ancestor_id) AS lca, min(da + db)::BIGINT AS distance FROM (SELECT a, b, x.ancestor_id, x.depth AS da, y.depth AS db FROM pr JOIN cl x ON x.view_id = a JOIN cl y ON y.view_id = b AND x.ancestor_id = y.ancestor_id) GROUP BY 1, 2", LINEAGE + ", pr AS (SELECT DISTINCT s.view_id AS a, t.view_id AS b FROM connectors c JOIN placements s ON s.element_id = c.source_element_id JOIN placements t ON t.element_id = c.target_element_id)", True)
 def lca_distance(s, d):
-    closure = graph.lineage(view_parents(s, d))
-    return graph.lca(closure, graph.related_pairs(closure))
+    lift = ancestry.lifting(view_parents(s, d).select(F.col("view_id").alias("id"), F.col("parent_id").alias("parent")))
+    place = lambda end, name: P.placements(s, d).select(F.col("element_id").alias(end), F.col("view_id").alias(name))
+    pairs = P.connectors(s, d).select("source_element_id", "target_element_id").distinct().join(place("source_element_id", "a"), "source_element_id").join(place("target_element_id", "b"), "target_element_id").select("a", "b")
+    return ancestry.common_ancestors(lift, pairs)
+
+
+# Deep graphs from the tables: orders in chains of 750, customers in a heap (the parent of n is n / 2), so that SQL knows depths and ancestors by arithmetic.
+CHAIN = 750
+
+
+def _chains(s, d):
+    k = F.col("o_orderkey")
+    return P.table(s, d, "orders").select(k.alias("id"), F.when(k % CHAIN != 0, k - 1).alias("parent"))
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM orders r WHERE r.o_orderkey = o.o_orderkey - o.o_orderkey % {CHAIN}) THEN o_orderkey % {CHAIN} ELSE o_orderkey - (SELECT min(o_orderkey) FROM orders) END AS depth FROM orders o")
+def chain_depths(s, d):
+    return ancestry.lifting(_chains(s, d)).nodes.select("id", "depth")
+
+
+@query(f"SELECT DISTINCT least(a, b) AS lca, a, b, abs(a - b) AS distance FROM (SELECT o_orderkey AS a, (o_orderkey * 7 + 3) % (SELECT max(o_orderkey) FROM orders) AS b FROM orders) JOIN orders o ON o.o_orderkey = b WHERE a // {CHAIN} = b // {CHAIN}")
+def chain_ancestors(s, d):
+    o = P.table(s, d, "orders").select(F.col("o_orderkey").alias("a"))
+    most = o.agg(F.max("a").alias("most"))
+    pairs = o.crossJoin(F.broadcast(most)).select("a", ((F.col("a") * 7 + 3) % F.col("most")).alias("b"))
+    return ancestry.common_ancestors(ancestry.lifting(_chains(s, d)), pairs)
+
+
+@query("""SELECT a, b, lca, distance FROM (SELECT a, b, x AS lca, (floor(log2(a)) + floor(log2(b)) - 2 * floor(log2(x)))::BIGINT AS distance, row_number() OVER (PARTITION BY a, b ORDER BY x DESC) AS r
+  FROM (SELECT DISTINCT o_custkey AS a, c_custkey AS b FROM orders JOIN customer ON c_custkey = o_orderkey % 997 + 1), (SELECT unnest(range(0, 40)) AS i), LATERAL (SELECT a >> i::INT AS x), (SELECT unnest(range(0, 40)) AS j) WHERE x > 0 AND b >> j::INT = x) WHERE r = 1""")
+def heap_ancestors(s, d):
+    c = P.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    parents = c.select("id", F.when(F.col("id") > 1, F.shiftright("id", 1)).alias("parent"))
+    pairs = P.table(s, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 1).alias("b")).distinct()
+    return ancestry.common_ancestors(ancestry.lifting(parents), pairs)
 
 
 @query("SELECT n AS id, min(m) AS component FROM (SELECT r.n, r.m FROM reach r) GROUP BY 1", """sel AS (SELECT c_custkey AS a, c_custkey // 3 + 1 AS b FROM customer WHERE c_custkey % 4 <> 0),
@@ -367,6 +401,22 @@ def layout_levels(s, d):
     return graph.levels(P.connectors(s, d).select("view_id", F.col("source_element_id").alias("source"), F.col("target_element_id").alias("target")))
 
 
+CYCLIC = """ce AS (SELECT DISTINCT p_size % 25 AS view_id, p_partkey AS source, CASE WHEN p_partkey % 50 < 47 OR p_size % 2 = 0 THEN q ELSE p_partkey END AS target FROM (
+  SELECT p_partkey, p_size, lead(p_partkey) OVER (PARTITION BY p_size % 25 ORDER BY p_partkey) AS up, lag(p_partkey, 3) OVER (PARTITION BY p_size % 25 ORDER BY p_partkey) AS down, CASE WHEN p_partkey % 11 = 0 AND p_size % 25 < 20 THEN down ELSE up END AS q FROM part) WHERE q IS NOT NULL),
+cn AS (SELECT view_id, n AS element_id, count(*) OVER (PARTITION BY view_id) AS n FROM (SELECT view_id, source AS n FROM ce UNION SELECT view_id, target FROM ce)),
+walk AS (SELECT view_id, element_id, 0::BIGINT AS level, n FROM cn UNION SELECT w.view_id, e.target, w.level + 1, w.n FROM walk w JOIN ce e ON e.view_id = w.view_id AND e.source = w.element_id WHERE w.level + 1 < w.n)"""
+
+
+@query("SELECT view_id, element_id, max(level) AS level FROM walk GROUP BY 1, 2", CYCLIC, True)
+def cyclic_levels(s, d):
+    p = P.table(s, d, "part")
+    w = Window.partitionBy("view_id").orderBy("p_partkey")
+    key = F.col("p_partkey")
+    e = p.select((F.col("p_size") % 25).alias("view_id"), key, "p_size").withColumns({"up": F.lead("p_partkey").over(w), "down": F.lag("p_partkey", 3).over(w)})
+    e = e.withColumn("q", F.when((key % 11 == 0) & (F.col("view_id") < 20), F.col("down")).otherwise(F.col("up"))).where("q IS NOT NULL")
+    return graph.levels(e.select("view_id", key.alias("source"), F.when((key % 50 < 47) | (F.col("p_size") % 2 == 0), F.col("q")).otherwise(key).alias("target")))
+
+
 @query("SELECT DISTINCT folder, len(string_split(folder, '/'))::BIGINT AS depth FROM (SELECT type AS folder FROM facts UNION ALL SELECT type || '/' || enricher FROM facts)")
 def folder_closure(s, d):
     return graph.folders(P.facts(s, d).select(F.col("file_path").alias("path")))
@@ -403,30 +453,41 @@ def ignore_rules(s, d):
     return resolve.ignored(P.facts(s, d).select(F.col("file_path").alias("path")), ["src3"], ["es", "!src4/es", "!src3"])
 
 
-IDENT = """sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS file, l_returnflag AS kind, (l_orderkey % 500)::BIGINT AS line, l_partkey AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem),
-idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + 1)::BIGINT AS line, l_partkey AS hash, [l_returnflag, l_linestatus, (l_partkey % 3)::VARCHAR] AS tokens FROM lineitem)"""
+IDENT = """li AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2),
+sy AS (SELECT l_orderkey || ':' || l_linenumber AS key, l_suppkey AS file, l_returnflag AS kind, (l_orderkey % 500)::BIGINT AS line, CASE WHEN l_partkey % 17 > 0 THEN l_partkey::VARCHAR END AS hash,
+  'p' || (l_linenumber % 2) || '.get_' || l_linestatus || '_' || (l_partkey % 3) AS qualified_name, 'p' || (l_linenumber % 2) AS parent, ['get', lower(l_linestatus), (l_partkey % 3)::VARCHAR] AS tokens FROM li),
+idn AS (SELECT 'i' || l_orderkey || ':' || l_linenumber AS identity, CASE WHEN l_linenumber = 3 THEN '' ELSE 'was:' END || l_orderkey || ':' || l_linenumber AS current_key,
+  CASE WHEN l_orderkey % 9 = 0 THEN l_suppkey + 1000000 ELSE l_suppkey END AS file, l_returnflag AS kind, (l_orderkey % 500 + l_linenumber % 3)::BIGINT AS line, CASE WHEN l_partkey % 17 > 0 THEN l_partkey::VARCHAR END AS hash,
+  'p' || (l_orderkey % 2) AS parent, [CASE WHEN l_linenumber % 4 = 1 THEN 'load' ELSE 'get' END, lower(l_returnflag), (l_partkey % 3)::VARCHAR] AS tokens FROM li),
+ex AS (SELECT key, identity FROM sy JOIN idn ON current_key = key),
+sf AS (SELECT * FROM sy WHERE key NOT IN (SELECT key FROM ex)), fi AS (SELECT * FROM idn WHERE identity NOT IN (SELECT identity FROM ex))"""
 
 
 def _identities(s, d):
-    li = P.table(s, d, "lineitem")
-    tok = F.array("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string")).alias("tokens")
-    key = F.concat_ws(":", "l_orderkey", "l_linenumber")
-    sy = li.select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), F.col("l_partkey").alias("hash"), tok)
-    idn = li.select(F.concat(F.lit("i"), key).alias("identity"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + 1).alias("line"), F.col("l_partkey").alias("hash"), tok)
-    return resolve.identity_scores(sy, idn)
-
-
-@query("""SELECT key, identity, round(max(score), 6) AS score FROM (
-  SELECT key, identity, 0.35::DOUBLE + CASE WHEN s.hash = i.hash THEN 0.35::DOUBLE ELSE 0 END + 0.2::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) + 0.1::DOUBLE AS score FROM sy s JOIN idn i ON s.file = i.file AND s.kind = i.kind AND abs(s.line - i.line) <= 3
-  UNION ALL SELECT key, identity, 0.8::DOUBLE + 0.1::DOUBLE * len(list_intersect(s.tokens, i.tokens)) / len(list_distinct(list_concat(s.tokens, i.tokens))) FROM sy s JOIN idn i ON s.kind = i.kind AND s.hash = i.hash WHERE i.file NOT IN (SELECT file FROM sy)) GROUP BY 1, 2 HAVING round(max(score), 6) >= 0.70""", IDENT)
+    # Symbols are unique by key: of lines with one number in an order, the smallest of each value.
+    li = P.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")])
+    key, part, number = F.concat_ws(":", "l_orderkey", "l_linenumber"), F.col("l_partkey"), F.col("l_linenumber")
+    text_of = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    code = F.when(part % 17 > 0, part.cast("string")).alias("hash")
+    symbols = li.select(key.alias("key"), F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500).alias("line"), code, text_of("p", number % 2, ".get_", F.col("l_linestatus"), "_", part % 3).alias("qualified_name"))
+    identities = li.select(F.concat(F.lit("i"), key).alias("identity"), F.concat(F.when(number == 3, "").otherwise("was:"), key).alias("current_key"), F.when(F.col("l_orderkey") % 9 == 0, F.col("l_suppkey") + 1000000).otherwise(F.col("l_suppkey")).alias("file"),
+        F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") % 500 + number % 3).alias("line"), code, text_of("p", F.col("l_orderkey") % 2, F.when(number % 4 == 1, ".load_").otherwise(".get_"), F.col("l_returnflag"), "_", part % 3).alias("qualified_name"))
+    return symbols, identities
+
+
+@query("""SELECT key, identity, round(score, 6) AS score FROM (
+  SELECT key, identity, 0.35::DOUBLE + CASE WHEN s.line = i.line THEN 0.35::DOUBLE ELSE 0.2::DOUBLE END + CASE WHEN coalesce(s.hash, '') = coalesce(i.hash, '') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN s.parent = i.parent THEN 0.1::DOUBLE ELSE 0 END AS score
+  FROM sf s JOIN fi i ON s.file = i.file AND s.kind = i.kind WHERE abs(s.line - i.line) <= 3
+  UNION ALL SELECT key, identity, 0.8::DOUBLE + CASE WHEN s.parent = i.parent THEN 0.1::DOUBLE ELSE 0 END
+    + CASE WHEN 2 * len(list_intersect(s.tokens, i.tokens)) >= len(list_distinct(list_concat(s.tokens, i.tokens))) THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN abs(s.line - i.line) <= 5 THEN 0.05::DOUBLE ELSE 0 END
+  FROM sf s JOIN fi i ON s.kind = i.kind AND s.hash = i.hash WHERE i.file NOT IN (SELECT file FROM sy)) WHERE round(score, 6) >= 0.70""", IDENT)
 def identity_candidates(s, d):
-    return _identities(s, d)
+    return identity.candidates(*_identities(s, d))
 
 
 @query()
 def identity_matches(s, d):
-    c = _identities(s, d)
-    return c.withColumn("file", F.split_part("identity", F.lit(":"), F.lit(1))).groupBy("file").applyInPandas(lambda pdf: resolve.greedy_matches(pdf), "key string, identity string, score double")
+    return identity.matched(*_identities(s, d))
 
 
 @query("""SELECT key, id, score, rank FROM (SELECT *, min(CASE WHEN rank = 1 AND score - nxt <= 0.02 THEN 1 ELSE 2 END) OVER (PARTITION BY key) AS amb FROM (
