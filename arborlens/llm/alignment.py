@@ -32,7 +32,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +44,12 @@ from .core import lists, prepare, stored
 #: Bytes of text that a task gathers before DuckDB counts its pairs.
 UNIT_BYTES = 8 << 20
 #: Parts between spaces, and bytes of stretches, that a worker keeps.
-KEPT_STRETCHES, KEPT_BYTES = 1_000_000, 24 << 20
-#: Stretches that the tokenizers get at once.
-ENCODED = 20_000
-DUCKDB = {"threads": 1, "memory_limit": "600MB"}
+KEPT_STRETCHES, KEPT_BYTES = 400_000, 24 << 20
+#: Texts that the tokenizers get at once, and stretches joined to one text.
+ENCODED, RUN = 4096, 128
+#: Stretches that go through DuckDB at once.
+LEARNED = 40_000
+DUCKDB = {"threads": 1, "memory_limit": "300MB"}
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MARK = re.compile(r"(.*[^\W\d_])([^\w\s].*)", re.S)
 #: Stands before a stretch that does not start with a space when B, which adds one, gets it.
@@ -129,6 +130,7 @@ class Aligner:
             self.a_bytes[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         text = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.joined = {y for p in text for x, y in zip(p, p[1:]) if x.isalnum() and not y.isalnum()}
         self.forget()
@@ -144,37 +146,54 @@ class Aligner:
         self.text: list[str] = []
         self.first, self.pair, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def tokens(self, stretches: list[str]) -> tuple[list, list]:
-        """Of stretches: A's ids, B's ids."""
+    def runs(self, stretches: list[str]) -> list[str]:
+        """Stretches joined to texts of RUN of them: each starts with a space behind a visible character, so tokens do not cross."""
+        return ["".join(stretches[at : at + RUN]) for at in range(0, len(stretches), RUN)]
+
+    def tokens(self, stretches: list[str], joined: bool) -> tuple[list, list]:
+        """A's ids and B's ids, one list for each stretch, or for each run of them."""
+        texts = self.runs(stretches) if joined else stretches
         a, b = [], []
-        for at in range(0, len(stretches), ENCODED):
-            part = stretches[at : at + ENCODED]
+        for at in range(0, len(texts), ENCODED):
+            part = texts[at : at + ENCODED]
             a += [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
             b += [x if y[0] == " " else x[1:] for x, y in zip(self.b.encode([x[1:] if x[0] == " " else _LETTER + x for x in part], num_threads=1), part)]
         return a, b
 
+    def token_table(self, ids: list, entry: list[bytes], length: np.ndarray, raw: list[bytes], end: np.ndarray, joined: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(ids, ends on the axis of all stretches' bytes, stretches that do not join to their bytes); None if runs have to be taken apart."""
+        if joined:
+            flat = np.fromiter(chain.from_iterable(ids), np.int32)
+            at = np.cumsum(length[flat])
+            whole = len(at) and at[-1] == end[-1] and np.isin(end, at).all() and b"".join(map(entry.__getitem__, flat.tolist())) == b"".join(raw)
+            return (flat, at, np.zeros(0, np.int64)) if whole else None
+        bad = np.array([k for k, (x, y) in enumerate(zip(ids, raw)) if b"".join(map(entry.__getitem__, x)) != y], np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), bad
+
     def intervals(self, con, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Register the interval tables a and b of the stretches whose tokens join to them; (A's and B's number of tokens, good)."""
         raw = [s.encode() for s in stretches]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        base, good, counts = np.concatenate([[0], np.cumsum(size)])[:-1], np.ones(len(raw), bool), []
-        both = list(zip(("a", "b"), self.tokens(stretches), (self.a_bytes, self.b_bytes)))
-        for _, ids, entry in both:
-            if b"".join(map(entry.__getitem__, chain.from_iterable(ids))) == b"".join(raw) and all(map(eq, (sum(map(len, map(entry.__getitem__, x))) for x in ids), size.tolist())):
-                continue
-            good &= np.fromiter((b"".join(map(entry.__getitem__, x)) == y for x, y in zip(ids, raw)), bool, len(raw))
-        for name, ids, entry in both:
-            if not good.all():
+        end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        lengths, entries, good, tables = (self.a_length, self.b_length), (self.a_bytes, self.b_bytes), np.ones(len(raw), bool), [None, None]
+        # Runs, unless a stretch starts or ends in another way, or one of them does not come back.
+        if all(x[0] == " " and is_regular(x[1:]) for x in stretches):
+            tables = [self.token_table(ids, entry, length, raw, end, True) for ids, entry, length in zip(self.tokens(stretches, True), entries, lengths)]
+        if None in tables:
+            both, tables = self.tokens(stretches, False), []
+            for ids, entry, length in zip(both, entries, lengths):
+                good[self.token_table(ids, entry, length, raw, end, False)[2]] = False
+            for ids, length in zip(both, lengths):
                 ids = [x if ok else [] for x, ok in zip(ids, good)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
-            length = np.fromiter(map(len, entry), np.int64, len(entry))[flat]
-            stretch = np.repeat(np.arange(len(ids), dtype=np.int32), n)
-            before = np.concatenate([[0], np.cumsum(length)])
-            opened = before[np.concatenate([[0], np.cumsum(n)])[:-1]]
-            end = before[1:] - np.repeat(opened, n) + np.repeat(base, n)
-            con.register(name, pa.table({"stretch": stretch, "s": end - length, "e": end, "id": flat}))
-            counts.append(n)
+                n, flat = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
+                size = np.cumsum(length[flat])
+                # Ends within the stretch, moved to where it starts.
+                first = np.concatenate([[0], size])[np.concatenate([[0], np.cumsum(n)])[:-1]]
+                tables.append((flat, size + np.repeat(np.concatenate([[0], end])[:-1] - first, n), None))
+        counts = []
+        for name, (flat, at, _), length in zip(("a", "b"), tables, lengths):
+            stretch = np.searchsorted(end, at - 1, "right").astype(np.int32)
+            con.register(name, pa.table({"stretch": stretch, "s": at - length[flat], "e": at, "id": flat}))
+            counts.append(np.bincount(stretch, minlength=len(raw)))
         con.execute(GROUPS_SQL)
         return counts[0], counts[1], good
 
@@ -221,8 +240,12 @@ class Aligner:
                 unknown = [k for k in keys if k not in self.parts]
             new.update((k, self.cut(k)) for k in unknown)
             cut.append(keys)
-        if fresh := [s for s in dict.fromkeys(chain.from_iterable(new.values())) if s not in self.place]:
-            self.learn(fresh)
+        fresh = [s for s in dict.fromkeys(chain.from_iterable(new.values())) if s not in self.place]
+        # Regular stretches go in runs; the few others by themselves.
+        plain = [s[0] == " " and is_regular(s[1:]) for s in fresh]
+        for some in ([s for s, p in zip(fresh, plain) if p], [s for s, p in zip(fresh, plain) if not p]):
+            for at in range(0, len(some), LEARNED):
+                self.learn(some[at : at + LEARNED])
         if new:
             self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new))))
             self.halves = np.concatenate([self.halves, np.array([(self.place[x[0]], self.place[x[1]] if len(x) > 1 else -1) for x in new.values()])])
