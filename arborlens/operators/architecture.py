@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlens.functions.naming import architecture_slug, component_of_path, endpoint_name
+from arborlens.functions.naming import ROLE_WORDS, architecture_slug, component_of_path, dependency_family, endpoint_name, name_tokens, service_root
+from arborlens.operators.graph import checkpointed
 from arborlens.operators.graph import components as connected
 
 
@@ -105,31 +106,103 @@ def runtime_edges(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return j.select("type", "source_id", "target_id", F.when(F.col("type") == "runtime.volume", "mounts").when(F.col("type") == "runtime.endpoint", "exposes").otherwise("uses").alias("label")).distinct()
 
 
-def canonical(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """components(key, name, kind, root, family, strong, generic) -> key, canonical: the components that are one thing.
+#: Kinds of evidence that make a service's name its own.
+STRONG_EVIDENCE = ["deployable", "endpoint", "runtime-component", "source-service", "grpc.server", "grpc-client", "grpc.contract", "service-contract"]
+
+
+def _key_rank(key: Column) -> Column:
+    """Order in which keys stand for their set: components, stores and queues, externals, contracts, others; then the key."""
+    kind = F.split_part(key, F.lit(":"), F.lit(1))
+    return F.struct(F.when(kind == "component", 0).when(kind.isin("datastore", "queue"), 1).when(kind == "external", 2).when(kind == "contract", 3).otherwise(4).alias("r"), key.alias("key"))
+
+
+def _alias_rank(name: Column, kind: Column, evidence: Column, root: Column) -> Column:
+    """Which of the names of one service root is the service's own; smaller is better."""
+    held = lambda e: F.array_contains(F.coalesce(evidence, F.array().cast("array<string>")), e)
+    service, slugged = kind == "service", architecture_slug(name)
+    return F.when(slugged == F.concat(F.coalesce(root, F.lit("")), F.lit("service")), 0).when(service & held("deployable"), 1).when(service & held("runtime-component"), 2).when(service & (slugged == F.coalesce(root, F.lit(""))), 3).when(kind == "interface", 4).otherwise(5)
+
 
-    Phase 1: equal slugs, interfaces only with interfaces. Phase 2: services and interfaces of one service root that an edge joins,
-    or that all have strong evidence. Phase 3: a generic dependency is the one concrete dependency of its family, where
-    there is just one. Then connected components; the name is the member of the best kind and smallest key.
+def contracted(sets: DataFrame, links: DataFrame, order: DataFrame) -> DataFrame:
+    """One phase: sets(key, rep), links(a, b) between reps, order(rep, rank: the smallest stands for the joined sets) -> sets with new reps.
+
+    Only reps that a link names take part; the others keep their set. Edges of later phases are read through the new reps.
+    """
+    ids = lambda c: F.xxhash64(c)
+    ends = checkpointed(links.where("a <> b").select("a", "b").distinct())
+    named = checkpointed(ends.select(F.explode(F.array("a", "b")).alias("rep")).distinct().select("rep", ids("rep").alias("id")))
+    if named.isEmpty():
+        return sets
+    label = connected(ends.select(ids("a").alias("a"), ids("b").alias("b")), named.select("id"))
+    group = named.join(label, "id").join(order, "rep")
+    best = group.groupBy("component").agg(F.min_by("rep", "rank").alias("new"))
+    moved = group.join(best, "component").select("rep", "new")
+    return checkpointed(sets.join(moved, "rep", "left").select("key", F.coalesce("new", "rep").alias("rep")))
+
+
+def inferred_roots(services: DataFrame) -> DataFrame:
+    """services(key, name) -> key, inferred: a known root of several words that spells the same without dashes, else the own root if it is known, long enough, or the name has a role word.
+
+    Known are roots of several words, and those of names with a role word.
+    """
+    tokens = name_tokens(F.col("name"))
+    s = services.select("key", service_root(F.col("name"), 1).alias("root"), F.exists(tokens, lambda t: t.isin(ROLE_WORDS)).alias("role")).where("root IS NOT NULL")
+    s = s.withColumn("compact", F.replace("root", F.lit("-"), F.lit("")))
+    known = s.where(F.contains("root", F.lit("-")) | F.col("role")).select("root", "compact").distinct()
+    dashed = known.where(F.contains("root", F.lit("-"))).groupBy("compact").agg(F.min("root").alias("dashed"))
+    one = s.join(dashed, "compact", "left").join(known.select("root", F.lit(True).alias("known")), "root", "left")
+    return one.select("key", "role", F.coalesce("dashed", F.when(F.col("known") | (F.length("root") >= 3) | F.col("role"), F.col("root"))).alias("inferred")).where("inferred IS NOT NULL")
+
+
+def _service_links(sets: DataFrame, services: DataFrame, edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a: the set of a root's best name, b: the set of another of its names), and the order in which sets stand for joined ones."""
+    place = F.struct("alias", "key")
+    hub = services.groupBy(root).agg(F.min_by(F.struct("key", "strong", "role"), place).alias("hub"), F.min("alias").alias("alias"))
+    pair = services.select("key", "strong", "role", root).join(hub, root).where(F.col("key") != F.col("hub.key"))
+    joined = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).union(edges.select("target", "source")).distinct().withColumn("joined", F.lit(True))
+    pair = pair.join(joined, (F.col("hub.key") == F.col("x")) & (F.col("key") == F.col("y")), "left")
+    strong = F.col("strong") & F.col("hub.strong")
+    fits = F.when(F.length(root) < 3, strong & (F.col("role") | F.col("hub.role"))).otherwise(F.col("joined").isNotNull() | strong)
+    kept = pair.where(fits).select(F.col("hub.key").alias("p"), "key", "alias")
+    links = kept.join(sets.select(F.col("key").alias("p"), F.col("rep").alias("a")), "p").join(sets.select("key", F.col("rep").alias("b")), "key")
+    # The set of a best name stands for what it takes in; of several, the best one's.
+    parents = links.where("a <> b").groupBy(F.col("a").alias("rep")).agg(F.min(F.struct("alias", "p")).alias("as"))
+    order = sets.select("rep").distinct().join(parents, "rep", "left").select("rep", F.struct(F.col("as").isNull().alias("child"), F.col("as.alias").alias("alias"), F.coalesce("as.p", "rep").alias("key")).alias("rank"))
+    return checkpointed(links.select("a", "b")), checkpointed(order)
+
+
+def canonical(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """components(key, name, kind, technology, tags, evidence: its kinds), edges(source, target) -> key, canonical: the component each one is.
+
+    Four phases, each over the sets that the one before left: its links join sets, and edges are read through the sets' present names.
+    1. Equal slugs join the smallest key of the slug; interfaces only if that is one, others only if it is none.
+    2. Names of one service root (at least three characters) join its best name, where an edge joins the two or both have strong evidence.
+    3. The same for inferred roots; roots of one or two characters need strong evidence on both sides and a role word.
+    4. Of what one source uses of one family, the generic dependencies (named as the family) are the concrete one, if that is just one.
+    In phases 1 and 4 the best kind and smallest key stand for a set, in 2 and 3 the set of the best name.
     """
-    side = F.col("kind") == "interface"
-    c = components.withColumn("slug", architecture_slug(F.col("name"))).withColumn("interface", side)
-    rank = F.struct(F.when(F.col("key").startswith("component:"), 0).when(F.col("key").rlike("^(datastore|queue):"), 1).when(F.col("key").startswith("external:"), 2).when(F.col("key").startswith("contract:"), 3).otherwise(4).alias("r"), F.col("key"))
-    first = c.groupBy("slug", "interface").agg(F.min("key").alias("a"))
-    links = c.join(first, ["slug", "interface"]).select("a", F.col("key").alias("b"))
-    services = c.where(F.col("kind").isin("service", "interface") & F.col("root").isNotNull()).select("key", "root", "strong")
-    joined = edges.select(F.col("source").alias("key"), "target").join(services.select("key", "root"), "key").join(services.select(F.col("key").alias("target"), F.col("root").alias("root2")), "target").where("root = root2").select(F.col("key").alias("a"), F.col("target").alias("b"))
-    hub = services.where("strong").groupBy("root").agg(F.min("key").alias("a"))
-    strong = services.where("strong").join(hub, "root").select("a", F.col("key").alias("b"))
-    concrete = c.where("family is not null and not generic").groupBy("family").agg(F.count("*").alias("n"), F.min("key").alias("a")).where("n = 1").select("family", "a")
-    folded = c.where("family is not null and generic").join(concrete, "family").select("a", F.col("key").alias("b"))
-    links = links.union(joined).union(strong).union(folded).where("a <> b").distinct()
-    # Components of numbers: the hash of a key stands for it.
-    ids = c.select("key", F.xxhash64("key").alias("id"), rank.alias("rank"))
-    label = connected(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")), ids.select("id"))
-    group = ids.join(label, "id")
-    best = group.groupBy("component").agg(F.min("rank").alias("best")).select("component", F.col("best.key").alias("canonical"))
-    return group.join(best, "component").select("key", "canonical")
+    c = components.select("key", "name", "kind", "technology", "tags", "evidence", architecture_slug(F.col("name")).alias("slug"), (F.col("kind") == "interface").alias("interface"))
+    c, edges = checkpointed(c), checkpointed(edges.select("source", "target").distinct())
+    by_rank = lambda sets: sets.select("rep").distinct().select("rep", _key_rank(F.col("rep")).alias("rank"))
+    hub = c.groupBy("slug").agg(F.min("key").alias("a"), F.min_by("interface", "key").alias("of_interface"))
+    same = c.join(hub, "slug").where("interface = of_interface").select("a", F.col("key").alias("b"))
+    sets = checkpointed(c.select("key", F.col("key").alias("rep")))
+    sets = contracted(sets, same, by_rank(sets))
+
+    strong = F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: e.isin(STRONG_EVIDENCE))
+    services = c.where(F.col("kind").isin("service", "interface")).withColumn("root", service_root(F.col("name")))
+    services = services.select("key", "name", "root", strong.alias("strong"), _alias_rank(F.col("name"), F.col("kind"), F.col("evidence"), F.col("root")).alias("alias"))
+    inferred = checkpointed(services.join(inferred_roots(services), "key", "left").withColumn("role", F.coalesce("role", F.lit(False))))
+    for root in ("root", "inferred"):
+        links, order = _service_links(sets, inferred.where(F.col(root).isNotNull()), edges, root)
+        sets = contracted(sets, links, order)
+
+    family = dependency_family(F.col("kind"), F.col("name"), F.col("technology"), F.col("tags"))
+    of = c.select(F.col("key").alias("t"), family.alias("family"), (F.col("slug") == family).alias("generic")).where("family <> ''")
+    used = edges.join(sets.select(F.col("key").alias("source"), F.col("rep").alias("s")), "source").join(sets.select(F.col("key").alias("target"), F.col("rep").alias("t")), "target").select("s", "t").distinct().join(of, "t")
+    one = used.where("NOT generic").groupBy("s", "family").agg(F.min("t").alias("a"), F.max("t").alias("last")).where("a = last").select("s", "family", "a")
+    folded = used.where("generic").join(one, ["s", "family"]).select("a", F.col("t").alias("b"))
+    return contracted(sets, folded, by_rank(sets)).select("key", F.col("rep").alias("canonical"))
 
 
 def repository_of(values: DataFrame, repositories: DataFrame) -> DataFrame:

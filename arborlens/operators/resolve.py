@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,48 +58,6 @@ def ignored(paths: DataFrame, implicit: list[str], patterns: list[str]) -> DataF
     return paths.withColumn("ignored", out)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """Exact nearest by cosine of all vectors to each of the stated queries; ties by id. Both have columns id, vector.
-
-    Queries are packed in blocks of `block` rows, and vectors in blocks of the same size; every block of vectors meets every
-    block of queries once, as one matrix product, and keeps k rows for each query. So the join is over blocks, nothing is
-    broadcast, and what goes on to the final ranking is k rows for each query and block.
-    """
-    import numpy as np
-
-    def packed(df, number, name):
-        each = df.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("b"))
-        return each.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name))
-
-    n_v, n_q = (max(1, -(-df.count() // block)) for df in (vectors, queries))
-
-    def best(batches):
-        for batch in batches:
-            out = []
-            for vs, qs in zip(batch["vs"], batch["qs"]):
-                ids, query = np.array([r["id"] for r in vs]), np.array([r["id"] for r in qs])
-                widths = {len(r["v"]) for r in [*vs, *qs]}
-                for width in widths:
-                    i, j = np.array([len(r["v"]) == width for r in vs]), np.array([len(r["v"]) == width for r in qs])
-                    if not i.any() or not j.any():
-                        continue
-                    x, y = (np.array([r["v"] for r in rows if len(r["v"]) == width], float) for rows in (vs, qs))
-                    norm = np.outer(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1))
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        sim = np.where(norm > 0, (y @ x.T) / norm, 0.0).round(6)
-                    for q, row in zip(query[j], sim):
-                        keep = ids[i] != q
-                        order = np.lexsort((ids[i][keep], -row[keep]))[:k]
-                        out += [(int(q), int(a), float(c)) for a, c in zip(ids[i][keep][order], row[keep][order])]
-            yield pd.DataFrame(out, columns=["query", "id", "similarity"])
-
-    v = packed(vectors, n_v, "vs").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    blocks = v.join(packed(queries, n_q, "qs").withColumnRenamed("b", "qb"), "qb").select("vs", "qs")
-    found = blocks.mapInPandas(best, "query long, id long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
 def linked_entities(components: DataFrame, targets: DataFrame, least: float = 0.72) -> DataFrame:
     """Score components(key, repo, name, tokens) against targets(id, repo, name, tokens) without evidence (architecture.bindings has it all).
 

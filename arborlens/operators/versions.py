@@ -126,12 +126,6 @@ def locations(diffs: DataFrame, placements: DataFrame, connectors: DataFrame) ->
     return j.groupBy("resource_type", "resource_id", "view_id").agg(first.alias("d")).select("resource_type", "resource_id", "view_id", "d.change_type", "d.added", "d.removed")
 
 
-def file_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Lines of two texts per file (file, line): how often each line was taken out or put in; equal counts show nothing."""
-    n = before.select("file", "line", F.lit(-1).alias("n")).union(after.select("file", "line", F.lit(1))).groupBy("file", "line").agg(F.sum("n").alias("n")).where("n <> 0")
-    return n.select("file", F.when(F.col("n") > 0, "+").otherwise("-").alias("sign"), "line", F.abs("n").alias("n"))
-
-
 def new_versions(heads: DataFrame, order: list) -> DataFrame:
     """heads(repository_id, head, hash, ...) in order: a version wherever the head or the representation differs from the one before."""
     w = Window.partitionBy("repository_id").orderBy(*order)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import embedding, enrich
-from arborlens.operators import architecture, crossview, graph, layout, resolve, versions, workspace
+from arborlens.operators import architecture, crossview, graph, layout, linediff, resolve, versions, workspace
 from arborlens.plans import projection as P
 from arborlens.plans.registry import LINEAGE, query, view_parents
 from arborlens.streaming import changes
@@ -78,27 +79,41 @@ def hit_index(s, d):
 # -- cross view --------------------------------------------------------------
 
 
-@query("""SELECT key, canonical FROM (SELECT n.key, min(CASE WHEN m.key LIKE 'component:%' THEN '0' WHEN m.key LIKE 'datastore:%' THEN '1' WHEN m.key LIKE 'external:%' THEN '2' ELSE '3' END || m.key) AS c, substr(c, 2) AS canonical FROM (SELECT DISTINCT key FROM cc) n JOIN reach r ON r.a = n.key JOIN cc m ON m.key = r.b GROUP BY 1)""", """
-cc AS (SELECT ['component', 'datastore', 'external', 'contract'][s_suppkey % 4 + 1] || ':k' || s_suppkey AS key, 'Name ' || CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey // 3) || 'a' ELSE s_suppkey || 'b' END AS name, CASE s_suppkey % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'datastore' WHEN 2 THEN 'external' ELSE 'interface' END AS kind,
-  CASE WHEN s_suppkey % 4 IN (0, 3) AND s_suppkey % 5 < 3 THEN 'root' || (s_suppkey % 9) END AS root, CASE WHEN s_suppkey % 4 = 1 THEN 'fam' || (s_suppkey % 6) END AS family, s_suppkey % 11 = 0 AS strong, s_suppkey % 13 <> 0 AS generic FROM supplier),
-cn AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, kind = 'interface' AS itf FROM cc),
-sv AS (SELECT key, root, strong FROM cn WHERE kind IN ('service', 'interface') AND root IS NOT NULL),
-ce AS (SELECT DISTINCT a.key AS source, b.key AS target FROM (SELECT s_suppkey AS x, s_suppkey // 2 AS y FROM supplier) p JOIN cc a ON a.key LIKE '%:k' || p.x JOIN cc b ON b.key LIKE '%:k' || p.y WHERE p.x <> p.y),
-lk AS (SELECT f.a, c.key AS b FROM cn c JOIN (SELECT slug, itf, min(key) AS a FROM cn GROUP BY 1, 2) f USING (slug, itf)
-  UNION SELECT source, target FROM ce JOIN sv a ON a.key = source JOIN sv b ON b.key = target WHERE a.root = b.root
-  UNION SELECT h.a, s.key FROM sv s JOIN (SELECT root, min(key) AS a FROM sv WHERE strong GROUP BY 1) h USING (root) WHERE s.strong
-  UNION SELECT o.a, c.key FROM cn c JOIN (SELECT family, min(key) AS a FROM cn WHERE family IS NOT NULL AND NOT generic GROUP BY 1 HAVING count(*) = 1) o USING (family) WHERE c.generic),
-reach AS (SELECT key AS a, key AS b FROM cc UNION SELECT x.a, r.b FROM (SELECT a, b FROM lk UNION SELECT b, a FROM lk) x JOIN reach r ON r.a = x.b)""", True)
+# Eight names for each n: a service, its deployable, its interface name, its contract, a generic and a concrete store, and two of a root with two letters.
+CANON = """cb AS (SELECT c_custkey // 8 AS n, c_custkey % 8 AS v, 'qu' || chr((97 + c_custkey // 8 % 26)::INT) || chr((97 + c_custkey // 208 % 26)::INT) || 'm' AS w, 'x' || chr((97 + c_custkey // 8 % 26)::INT) AS x, ['redis', 'kafka', 'mysql'][(c_custkey // 8 % 3 + 1)::INT] AS f FROM customer),
+cc AS (SELECT n, v, CASE v WHEN 0 THEN 'component:' || w WHEN 1 THEN 'component:' || w || 'service' WHEN 2 THEN 'component:' || w || '-api' WHEN 3 THEN 'contract:' || w || 'service' WHEN 4 THEN 'datastore:' || f || n WHEN 5 THEN 'component:' || f || '-' || w WHEN 6 THEN 'component:' || x || n ELSE 'component:' || x || n || 'service' END AS key,
+  CASE v WHEN 0 THEN w WHEN 1 THEN w || 'service' WHEN 2 THEN w || 'API' WHEN 3 THEN w || 'Service' WHEN 4 THEN f WHEN 5 THEN f || '-' || w WHEN 6 THEN x ELSE x || 'service' END AS name,
+  CASE v WHEN 3 THEN 'interface' WHEN 4 THEN 'datastore' ELSE 'service' END AS kind, CASE v WHEN 0 THEN w WHEN 1 THEN w WHEN 2 THEN w WHEN 3 THEN w WHEN 5 THEN f || '-' || w WHEN 6 THEN x WHEN 7 THEN x END AS root, v IN (0, 1, 3, 6, 7) AND n % 5 > 0 AS strong, v IN (1, 2, 3, 7) AS role,
+  CASE WHEN v IN (4, 5) THEN f END AS family, v = 4 AS generic, CASE v WHEN 1 THEN 0 WHEN 3 THEN 0 WHEN 0 THEN 3 WHEN 7 THEN 1 WHEN 6 THEN 1 ELSE 5 END AS alias0 FROM cb),
+c1 AS (SELECT *, lower(name) AS slug, kind = 'interface' AS itf,
+  CASE WHEN length(root) >= 3 THEN CASE WHEN v = 5 THEN 5 WHEN v = 2 THEN 5 WHEN v = 0 AND n % 5 > 0 THEN 3 ELSE alias0 END WHEN v IN (6, 7) AND n % 5 > 0 THEN 1 WHEN v IN (6, 7) THEN 5 END AS alias, CASE WHEN key LIKE 'component:%' THEN '0' WHEN key LIKE 'datastore:%' THEN '1' ELSE '3' END || key AS rk FROM cc),
+ce AS (SELECT a.key AS source, b.key AS target FROM c1 a JOIN c1 b ON (a.n = b.n AND a.v = 0 AND b.v IN (4, 5)) OR (a.n = b.n AND a.n % 2 = 0 AND a.v = 2 AND b.v = 1) OR (a.v = 0 AND a.n % 4 = 0 AND b.n = a.n + 3 AND b.v = 5)),
+r1 AS (SELECT key, min_by(key, rk) OVER (PARTITION BY g) AS rep FROM (SELECT key, rk, CASE WHEN itf = hi THEN h ELSE key END AS g FROM c1 JOIN (SELECT slug, min(key) AS h, min_by(itf, key) AS hi FROM c1 GROUP BY 1) USING (slug)))"""
+# Joins of sets by links (p, c), and what stands for a joined set: a parent of the best name.
+STEP = """l{i} AS (SELECT DISTINCT a.rep AS p, b.rep AS c, h.alias, h.key AS hub FROM c1 k JOIN (SELECT root, min_by(key, lpad(alias::VARCHAR, 2, '0') || key) AS key, min(alias) AS alias, min_by(strong, lpad(alias::VARCHAR, 2, '0') || key) AS strong, min_by(role, lpad(alias::VARCHAR, 2, '0') || key) AS role FROM c1 WHERE {which} GROUP BY 1) h ON h.root = k.root AND h.key <> k.key
+  JOIN r{j} a ON a.key = h.key JOIN r{j} b ON b.key = k.key WHERE k.{which} AND a.rep <> b.rep AND CASE WHEN length(k.root) < 3 THEN k.strong AND h.strong AND (k.role OR h.role) ELSE (k.strong AND h.strong) OR EXISTS (SELECT 1 FROM ce WHERE (source = k.key AND target = h.key) OR (source = h.key AND target = k.key)) END),
+t{i} AS (SELECT DISTINCT rep AS a, rep AS b FROM r{j} UNION SELECT t.a, x.d FROM t{i} t JOIN (SELECT p AS s, c AS d FROM l{i} UNION SELECT c, p FROM l{i}) x ON x.s = t.b),
+r{i} AS (SELECT r.key, z.top AS rep FROM r{j} r JOIN (SELECT t.a, min_by(t.b, coalesce(o.o, '9' || t.b)) AS top FROM t{i} t LEFT JOIN (SELECT p, min(lpad(alias::VARCHAR, 2, '0') || hub) AS o FROM l{i} GROUP BY 1) o ON o.p = t.b GROUP BY 1) z ON z.a = r.rep)"""
+CANON_ALL = ",\n".join([CANON, STEP.format(i=2, j=1, which="root IS NOT NULL AND length(root) >= 3").replace("k.root IS NOT NULL AND length(root) >= 3", "length(k.root) >= 3"), STEP.format(i=3, j=2, which="root IS NOT NULL"), """us AS (SELECT DISTINCT a.rep AS s, b.rep AS t, k.family, k.generic FROM ce JOIN r3 a ON a.key = source JOIN r3 b ON b.key = target JOIN c1 k ON k.key = b.rep WHERE k.family IS NOT NULL),
+l4 AS (SELECT DISTINCT o.a, u.t AS b FROM us u JOIN (SELECT s, family, min(t) AS a FROM us WHERE NOT generic GROUP BY 1, 2 HAVING count(DISTINCT t) = 1) o USING (s, family) WHERE u.generic),
+t4 AS (SELECT DISTINCT rep AS a, rep AS b FROM r3 UNION SELECT t.a, x.d FROM t4 t JOIN (SELECT a AS s, b AS d FROM l4 UNION SELECT b, a FROM l4) x ON x.s = t.b)"""])
+
+
+@query("SELECT r.key, z.top AS canonical FROM r3 r JOIN (SELECT t.a, min_by(t.b, c.rk) AS top FROM t4 t JOIN c1 c ON c.key = t.b GROUP BY 1) z ON z.a = r.rep", CANON_ALL, True)
 def canonical_components(s, d):
-    k = F.col("s_suppkey")
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
-    sup = P.table(s, d, "supplier")
-    key = _text(pick(["component", "datastore", "external", "contract"]), ":k", k)
-    c = sup.select(key.alias("key"), _text("Name ", F.when(k % 2 == 0, _text(F.floor(k / 3), "a")).otherwise(_text(k, "b"))).alias("name"), pick(["service", "datastore", "external", "interface"]).alias("kind"),
-                   F.when((k % 4).isin(0, 3) & (k % 5 < 3), _text("root", k % 9)).alias("root"), F.when(k % 4 == 1, _text("fam", k % 6)).alias("family"), (k % 11 == 0).alias("strong"), (k % 13 != 0).alias("generic"))
-    ids = sup.select(k.alias("x"), F.floor(k / 2).alias("y"), key.alias("source"))
-    edges = ids.where("x <> y").join(ids.select(F.col("x").alias("y"), F.col("source").alias("target")), "y").select("source", "target")
-    return architecture.canonical(c, edges)
+    k = F.col("c_custkey")
+    letter = lambda c: F.char((97 + c % 26).cast("int"))
+    b = P.table(s, d, "customer").select(F.floor(k / 8).alias("n"), (k % 8).alias("v"))
+    b = b.withColumns({"w": _text("qu", letter(F.col("n")), letter(F.floor(F.col("n") / 26)), "m"), "x": _text("x", letter(F.col("n"))), "f": F.element_at(F.array(*map(F.lit, ["redis", "kafka", "mysql"])), (F.col("n") % 3 + 1).cast("int"))})
+    w, x, f, n, v = (F.col(c) for c in "wxfnv")
+    each = lambda *texts: F.element_at(F.array(*[t if not isinstance(t, str) else F.lit(t) for t in texts]), (v + 1).cast("int"))
+    c = b.select(n, v, each(_text("component:", w), _text("component:", w, "service"), _text("component:", w, "-api"), _text("contract:", w, "service"), _text("datastore:", f, n), _text("component:", f, "-", w), _text("component:", x, n), _text("component:", x, n, "service")).alias("key"),
+        each(w, _text(w, "service"), _text(w, "API"), _text(w, "Service"), f, _text(f, "-", w), x, _text(x, "service")).alias("name"), F.when(v == 3, "interface").when(v == 4, "datastore").otherwise("service").alias("kind"), F.when(v == 5, f).alias("technology"),
+        F.when(v == 4, F.array(_text("datastore:", f))).otherwise(F.array().cast("array<string>")).alias("tags"), F.when((n % 5 > 0) & v.isin(0, 1, 3, 6, 7), F.array(each("grpc.server", "deployable", "", "service-contract", "", "", "deployable", "deployable"))).alias("evidence"))
+    side = lambda vs, of, key: c.where(F.col("v").isin(vs)).select((F.col("n") + of).alias("n"), F.col("key").alias(key))
+    edges = side([0], 0, "source").join(side([4, 5], 0, "target"), "n").select("source", "target").union(side([2], 0, "source").where("n % 2 = 0").join(side([1], 0, "target"), "n").select("source", "target"))
+    edges = edges.union(side([0], 0, "source").where("n % 4 = 0").join(side([5], -3, "target"), "n").select("source", "target"))
+    return architecture.canonical(c.drop("n", "v"), edges)
 
 
 BIND = """bc AS (SELECT p_partkey AS key, p_brand AS repo, p_name AS name, list_distinct(string_split(p_type || ' ' || p_name, ' ')) AS tokens, ['src/' || p_type || '/' || p_brand || '/a' || (p_size % 5) || '.go'] AS paths FROM part WHERE p_partkey % 20 = 0),
@@ -220,10 +235,20 @@ def diff_locations(s, d):
     return versions.locations(diffs, P.placements(s, d), P.connectors(s, d))
 
 
-@query("SELECT file, CASE WHEN n > 0 THEN '+' ELSE '-' END AS sign, line, abs(n)::BIGINT AS n FROM (SELECT file, line, sum(n) AS n FROM (SELECT p_brand AS file, p_name AS line, -1 AS n FROM part UNION ALL SELECT p_brand, CASE WHEN p_partkey % 10 = 0 THEN p_name || '!' ELSE p_name END, 1 FROM part WHERE p_partkey % 33 <> 0) GROUP BY 1, 2) WHERE n <> 0")
+# Every line is one of its file, so what is kept is the common subsequence, and SQL finds hunks as runs of lines that are not.
+@query("""SELECT file, CASE WHEN old_lines > 0 THEN o ELSE o - 1 END AS old_start, old_lines, CASE WHEN new_lines > 0 THEN n ELSE q END AS new_start, new_lines FROM (
+  SELECT file, run, min(num) AS o, count(*) AS old_lines, count(*) FILTER (state = 'changed') AS new_lines, min(new) FILTER (state = 'changed') AS n, min(new) AS q FROM (
+    SELECT *, sum(CASE WHEN state = 'kept' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY num) AS run, count(*) FILTER (state <> 'gone') OVER (PARTITION BY file ORDER BY num) AS new FROM (
+      SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS num, CASE WHEN p_partkey % 33 < 2 THEN 'gone' WHEN p_partkey % 10 = 0 THEN 'changed' ELSE 'kept' END AS state FROM part))
+  WHERE state <> 'kept' GROUP BY 1, 2)""")
 def file_diff(s, d):
     p, k = P.table(s, d, "part"), F.col("p_partkey")
-    return versions.file_diff(p.select(F.col("p_brand").alias("file"), F.col("p_name").alias("line")), p.where(k % 33 != 0).select(F.col("p_brand").alias("file"), F.when(k % 10 == 0, _text(F.col("p_name"), "!")).otherwise(F.col("p_name")).alias("line")))
+    number = lambda df: df.withColumn("number", F.row_number().over(Window.partitionBy("file").orderBy("p_partkey"))).select("file", "number", "line")
+    line = _text(F.col("p_name"), " ", k)
+    old = p.select(F.col("p_brand").alias("file"), k, line.alias("line"))
+    new = p.where(k % 33 >= 2).select(F.col("p_brand").alias("file"), k, F.when(k % 10 == 0, _text(line, "!")).otherwise(line).alias("line"))
+    # Small files as such would never meet an anchor: from 60 lines on they are cut.
+    return linediff.hunks(number(old), number(new), small=60)
 
 
 @query("SELECT event_id, repository_id FROM (SELECT event_id, user_id AS repository_id, event_type AS h, event_id % 2 AS g, lag(event_type) OVER w AS ph, lag(event_id % 2) OVER w AS pg FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE h IS DISTINCT FROM ph OR g IS DISTINCT FROM pg")

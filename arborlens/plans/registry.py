@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import enrich, text
-from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, versions
+from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, vectors, versions
 from arborlens.plans import projection as P
 from arborlens.streaming import changes
 
@@ -503,7 +503,22 @@ def entity_link_scores(s, d):
   SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id AND q.vec_id % 20 = 0)) WHERE rank <= 10""")
 def knn_cosine(s, d):
     v = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return resolve.knn(v, v.where("id % 20 = 0"), 10)
+    return vectors.similar(vectors.build(v), v.where("id % 20 = 0"), 10)
+
+
+@query()
+def knn_recall(s, d):
+    """Ten neighbours by a number of lists visited, against the exact ones: probes, due, found."""
+    v = P.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = v.where("id % 20 = 0")
+    index = vectors.build(v)
+    exact = graph.checkpointed(vectors.similar(index, q, 10))
+    out = None
+    for share in (4, 2):
+        probes = max(1, len(index.centroids) // share)
+        one = exact.select("query", "id").join(vectors.similar(index, q, 10, probes).select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left").agg(F.lit(probes).alias("probes"), F.count("*").alias("due"), F.count("hit").alias("found"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("""SELECT word, name, distance::INT AS distance FROM (SELECT word, name, levenshtein(lower(word), lower(name)) AS distance, row_number() OVER (PARTITION BY word ORDER BY levenshtein(lower(word), lower(name)), length(name), name) AS r FROM (SELECT DISTINCT p_type AS name FROM part) CROSS JOIN (SELECT DISTINCT replace(p_type, 'E', 'I') || 'x' AS word FROM part) WHERE levenshtein(lower(word), lower(name)) <= 3) WHERE r <= 3""")
