@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder; one under /tmp only with a local master where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder; one under /tmp only with a local master where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         if not shared and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or "file:///tmp/checkpoints/graph")
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

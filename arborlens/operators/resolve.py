@@ -35,20 +35,8 @@ def prefix_lookup(paths: DataFrame, policies: DataFrame) -> DataFrame:
     return j.groupBy("path").agg(F.max_by("action", "depth").alias("action"), F.max("tier").alias("tier"))
 
 
-def last_match(paths: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Owner rules (pattern, owner) in order; the last that matches a path wins. A bare name matches at any depth."""
-    hit = F.lit(None).cast("string")
-    for pattern, owner in rules:
-        p = pattern.strip("/")
-        anchored = "/" in pattern.rstrip("/")
-        regex = glob_regex(p)[1:-1]
-        head = "^" if anchored else "^(?:.*/)?"
-        hit = F.when(F.col("path").rlike(f"{head}{regex}(?:/.*)?$"), F.lit(owner)).otherwise(hit)
-    return paths.withColumn("owner", hit)
-
-
 def ignored(paths: DataFrame, implicit: list[str], patterns: list[str]) -> DataFrame:
-    """Ignore rules: implicit ones cannot be negated; of the others the last match decides, ! negates."""
+    """Ignore rules of a short list, as one expression, for streams (rules.ignored takes a table): implicit ones cannot be negated; of the others the last match decides, ! negates."""
     test = lambda p: F.col("path").rlike(f"^(?:.*/)?{glob_regex(p.strip('/'))[1:-1]}(?:/.*)?$" if "/" not in p.rstrip("/") else f"^{glob_regex(p.strip('/'))[1:-1]}(?:/.*)?$")
     out = F.lit(False)
     for p in patterns:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arborlens.functions import enrich, text
+from arborlens.functions import enrich, specs, text
 from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, vectors, versions
+from arborlens.operators import rules as rules_
 from arborlens.plans import projection as P
-from arborlens.streaming import changes
+from arborlens.streaming import changes, liveness
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -445,12 +448,28 @@ def ancestor_policy_lookup(s, d):
 @query("""SELECT file_path AS path, CASE WHEN type = 'src7' AND enricher = 'en' THEN 'team-e' WHEN file_path LIKE 'src1/%' THEN 'team-d' WHEN enricher = 'fr' THEN 'team-c' WHEN regexp_matches(file_path, '^src[0-9]/de/') THEN 'team-b' ELSE 'all' END AS owner FROM facts""")
 def pattern_owner_last_match(s, d):
     rules = [("*", "all"), ("/src?/de/", "team-b"), ("fr", "team-c"), ("/src1/**", "team-d"), ("src7/en", "team-e")]
-    return resolve.last_match(P.facts(s, d).select(F.col("file_path").alias("path")), rules)
+    return rules_.last_match(P.facts(s, d).select(F.col("file_path").alias("path")), s.createDataFrame([(k, *r) for k, r in enumerate(rules)], "number long, pattern string, owner string"))
+
+
+OWNER_RULES = """ru AS (SELECT p_partkey AS k, 'src' || (p_partkey % 20) AS ty, ['en', 'de', 'fr', 'es'][(p_partkey % 4 + 1)::INT] AS la, p_partkey % 6 AS v FROM part)"""
+
+
+@query("""SELECT f.file_path AS path, 'o' || max(k) AS owner FROM facts f LEFT JOIN ru ON CASE v WHEN 0 THEN type = ty WHEN 1 THEN type = ty AND enricher = la
+  WHEN 2 THEN type LIKE '%' || (k % 100) OR enricher LIKE '%' || (k % 100) OR doc_id::VARCHAR LIKE '%' || (k % 100) WHEN 3 THEN type LIKE 'src_' AND enricher = la
+  WHEN 4 THEN doc_id = k % 3000 ELSE type = ty AND doc_id = k % 50 END GROUP BY 1""", OWNER_RULES)
+def owner_rules(s, d):
+    k = F.col("p_partkey")
+    join = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    top, lang = join("src", k % 20), F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es"])), (k % 4 + 1).cast("int"))
+    pattern = F.when(k % 6 == 0, join("/", top, "/")).when(k % 6 == 1, join(top, "/", lang)).when(k % 6 == 2, join("*", k % 100)).when(k % 6 == 3, join("/src?/", lang, "/")).when(k % 6 == 4, join(k % 3000)).otherwise(join(top, "/**/", k % 50))
+    table = P.table(s, d, "part").select(k.alias("number"), pattern.alias("pattern"), join("o", k).alias("owner"))
+    return rules_.last_match(P.facts(s, d).select(F.col("file_path").alias("path")), table)
 
 
 @query("SELECT file_path AS path, type = 'src3' OR (enricher = 'es' AND type <> 'src4') AS ignored FROM facts")
 def ignore_rules(s, d):
-    return resolve.ignored(P.facts(s, d).select(F.col("file_path").alias("path")), ["src3"], ["es", "!src4/es", "!src3"])
+    table = s.createDataFrame([(0, "src3", True), (1, "es", False), (2, "!src4/es", False), (3, "!src3", False)], "number long, pattern string, implicit boolean")
+    return rules_.ignored(P.facts(s, d).select(F.col("file_path").alias("path")), table)
 
 
 IDENT = """li AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2),
@@ -565,6 +584,24 @@ def pattern_facts(s, d):
     return enrich.pattern_facts(f, [{"id": "markup", "type": "ui.block", "tokens": ["<table", "<ul", "<p"]}]).select(F.col("path").alias("page_id"), "name")
 
 
+SPECIFIED = """tk AS (SELECT p_partkey // 4 AS sid, p_partkey AS place, chr((97 + p_partkey % 26)::INT) || chr((97 + p_partkey // 26 % 26)::INT) || chr((97 + p_partkey * 7 % 26)::INT) AS token FROM part),
+cd AS (SELECT doc_id, lang, source, regexp_replace(regexp_replace(regexp_replace(text, '/\\*.*?\\*/', '', 'gs'), '//[^\\n]*', '', 'g'), '#[^\\n]*', '', 'g') AS code FROM documents)"""
+
+
+@query("""SELECT doc_id::VARCHAR AS path, 'spec' || sid AS enricher, 't' || (sid % 5) AS type, min_by(token, place) AS name FROM cd JOIN tk ON contains(code, token)
+WHERE (sid % 3 > 0 OR lang = 'en') AND (sid % 4 > 0 OR source = 'src' || (sid % 20) OR starts_with(source, 'src' || (sid % 20) || '/')) AND (sid % 5 > 0 OR contains(doc_id::VARCHAR, (sid % 10)::VARCHAR)) GROUP BY 1, 2, 3""", SPECIFIED)
+def specified_facts(s, d):
+    k, sid = F.col("p_partkey"), F.col("sid")
+    letter = lambda c: F.char((97 + c % 26).cast("int"))
+    parts = P.table(s, d, "part").select(F.floor(k / 4).alias("sid"), k.alias("place"), F.concat(letter(k), letter(F.floor(k / 26)), letter(k * 7)).alias("token"))
+    none, text_of = F.array().cast("array<string>"), lambda c: c.cast("string")
+    table = parts.groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens")).select(
+        F.concat(F.lit("spec"), text_of(sid)).alias("id"), F.concat(F.lit("t"), text_of(sid % 5)).alias("type"), "tokens", F.when(sid % 3 == 0, F.array(F.lit("en"))).otherwise(none).alias("languages"),
+        F.when(sid % 4 == 0, F.array(F.concat(F.lit("src"), text_of(sid % 20)))).otherwise(none).alias("triggers"), F.when(sid % 5 == 0, F.array(text_of(sid % 10))).otherwise(none).alias("path_tokens"), none.alias("tags"))
+    files = P.table(s, d, "documents").select(text_of(F.col("doc_id")).alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"), F.array("source").alias("signals"))
+    return specs.facts(files, table).select("path", "enricher", "type", "name")
+
+
 @query("""SELECT doc_id, score, (hs OR dp) AND score >= 1.0 AS visible FROM (SELECT doc_id, type IN ('src0', 'src1') AS hs, enricher = 'de' AS dp, round(CASE WHEN type IN ('src0', 'src1') THEN 1.5::DOUBLE * confidence WHEN enricher = 'de' THEN 0.2::DOUBLE * confidence ELSE 0 END + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END, 6) AS score FROM facts)""")
 def fact_scores(s, d):
     f = P.facts(s, d).withColumn("file_visible", F.col("n_chars") % 2 == 0)
@@ -699,3 +736,35 @@ def view_summary(s, d):
 @query("SELECT kind, count(*) AS elements, count(description) AS described, count(technology) AS with_technology FROM elements GROUP BY 1")
 def resource_counts(s, d):
     return P.elements(s, d).groupBy("kind").agg(F.count("*").alias("elements"), F.count("description").alias("described"), F.count("technology").alias("with_technology"))
+
+
+# -- streams over a replayed table -------------------------------------------
+
+
+def _replayed(s, d, name):
+    """A table as a stream. Files of a stream are found below a folder or by a pattern, and a table may be either a file or a folder."""
+    return s.readStream.schema(P.table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _drained(s, stream, name):
+    folder = f"{graph.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    return liveness.drained(stream, f"{folder}/rows", f"{folder}/state")
+
+
+@query("SELECT event_id, repository_id, path, count(*) OVER (PARTITION BY repository_id, path ORDER BY ts, event_id) AS change FROM (SELECT *, lag(event_type) OVER w AS c, lag(event_id % 2) OVER w AS t, row_number() OVER w AS r FROM (SELECT event_id, ts, user_id AS repository_id, 'p' || (event_id % 3) AS path, event_type FROM events) WINDOW w AS (PARTITION BY repository_id, path ORDER BY ts, event_id)) WHERE r = 1 OR c <> event_type OR t <> event_id % 2")
+def streamed_changes(s, d):
+    e = F.col("event_id")
+    rows = _replayed(s, d, "events").select(e, "ts", F.col("user_id").alias("repository_id"), F.concat(F.lit("p"), (e % 3).cast("string")).alias("path"), F.col("event_type").alias("content"), (e % 2).cast("string").alias("tree"), F.col("value").cast("string").alias("metadata"))
+    return _drained(s, liveness.content_changes(rows), "changes")
+
+
+STALE = 43_200
+
+
+@query(f"""SELECT repository_id, at_us, 'w' || repository_id AS token, status FROM (
+  SELECT repository_id, us AS at_us, 'active' AS status FROM g WHERE gap IS NULL OR gap > {STALE * 1_000_000}
+  UNION ALL SELECT repository_id, us - gap + {STALE * 1_000_000}, 'stale' FROM g WHERE gap > {STALE * 1_000_000}
+  UNION ALL SELECT repository_id, max(us) + {STALE * 1_000_000}, 'stale' FROM g GROUP BY 1 HAVING (max(us) + {STALE * 1_000_000}) // 1000 + 1 <= (SELECT max(us) // 1000 FROM g))""", "g AS (SELECT user_id AS repository_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)")
+def streamed_locks(s, d):
+    rows = _replayed(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("repository_id"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("token"), F.lit("acquire").alias("kind"))
+    return _drained(s, liveness.lock_stream(rows, STALE), "locks")
