@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlens.functions.naming import structural_tokens
-from arborlens.functions.text import char_ngrams, cosine, feature_index, feature_sign, identifier_tokens
+from arborlens.functions.text import approximate_tokens, char_ngrams, cosine, feature_index, feature_sign, identifier_tokens
 
 #: Words of programming languages, and what each kind of feature weighs.
 KEYWORDS = "break case catch class const continue def defer do else enum except finally for func function go if import interface lambda match method package private protected public raise return select static struct switch throw try type var while yield".split()
@@ -75,12 +75,29 @@ def decoded(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-def shrunk(text: Column, most_tokens: int = 8000, marker: str = "\n...\n") -> Column:
-    """Without comment lines; above about most_tokens (4 characters each) the first two thirds and the last third of what fits, around a marker."""
-    body = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike(r"^(//|#|/\*|\*)")), "\n")
+#: Fixed value: stands where the middle of a text was.
+OMITTED = "\n\n/* ... middle omitted for embedding context ... */\n\n"
+
+
+def shrunk(text: Column, most_tokens: int = 8000, marker: str = OMITTED) -> Column:
+    """A text of at most most_tokens tokens (the larger of a quarter of its bytes and its words) as it is, trimmed.
+
+    A longer one goes without blank and comment lines (unless nothing is left), and, if that is still too long and has more than four bytes a token allowed, as its first two thirds and
+    last third of what fits around a marker. Cuts count characters, so none falls inside one.
+    """
     most = most_tokens * 4
-    head = most * 2 // 3
-    return F.when(F.length(body) <= most, body).otherwise(F.concat(F.substring(body, 1, head), F.lit(marker), F.right(body, F.lit(most - head))))
+    edge = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = edge(text)
+    kept = F.filter(F.split(whole, "\n"), lambda x: ~F.trim(edge(x)).rlike(r"^(//|/\*|\*|$)"))
+    body = F.when(F.size(kept) > 0, edge(F.array_join(kept, "\n"))).otherwise(whole)
+    keep = most - len(marker)
+    if keep <= 0:
+        cut = F.substring(body, 1, most)
+    else:
+        head = keep * 2 // 3
+        cut = F.concat(edge(F.substring(body, 1, head)), F.lit(marker), edge(F.right(body, F.lit(keep - head))))
+    fits = lambda c: approximate_tokens(c) <= most_tokens
+    return F.when(fits(whole), whole).when(fits(body) | (F.octet_length(body) <= most), body).otherwise(cut)
 
 
 def cache_misses(inputs: DataFrame, cache: DataFrame, model: str) -> DataFrame:

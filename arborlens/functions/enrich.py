@@ -14,19 +14,6 @@ def without_comments(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?m)//.*$", ""), r"(?m)#.*$", "")
 
 
-def pattern_facts(files: DataFrame, specs: list[dict]) -> DataFrame:
-    """files(path, content); specs(id, type, tokens): the first listed token that occurs makes a fact, confidence .78, hint .6."""
-    rows = None
-    code = files.withColumn("code", without_comments(F.col("content")))
-    for s in specs:
-        token = F.lit(None).cast("string")
-        for t in reversed(s["tokens"]):
-            token = F.when(F.contains(F.col("code"), F.lit(t)), F.lit(t)).otherwise(token)
-        one = code.select("path", F.lit(s["id"]).alias("enricher"), F.lit(s["type"]).alias("type"), token.alias("name"), F.lit(0.78).alias("confidence"), F.lit(0.6).alias("hint")).where("name is not null")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 def route_facts(files: DataFrame, pattern: str, method_group: int | None, path_group: int, method: str = "ANY") -> DataFrame:
     """Every match of a route expression: name 'METHOD path', confidence .90, hint 1."""
     all_ = lambda g: F.regexp_extract_all("content", F.lit(pattern), F.lit(g))
@@ -36,10 +23,29 @@ def route_facts(files: DataFrame, pattern: str, method_group: int | None, path_g
     return rows.select("path", F.col("ordinal").cast("long").alias("ordinal"), F.concat_ws(" ", verb, F.col("r.p")).alias("name"), F.lit(0.90).alias("confidence"), F.lit(1.0).alias("hint"))
 
 
-def fact_scores(facts: DataFrame, high: Column, dependency: Column) -> DataFrame:
-    """Score of a fact: 1.5 x confidence if of high signal, .2 x if a dependency, plus 1 if its file shows."""
-    score = F.when(high, 1.5 * F.col("confidence")).when(dependency, 0.2 * F.col("confidence")).otherwise(0.0) + F.when(F.col("file_visible"), 1.0).otherwise(0.0)
-    return facts.withColumn("score", F.round(score, 6)).withColumn("visible", (high | dependency) & (F.col("score") >= 1.0))
+#: The type of a fact that is no fact of the code, and what each part of a score weighs.
+VERSION_TYPE = "watch.enrichment.version"
+HIGH_SIGNAL, DEPENDENCY, PROXIMITY, SELECTED = 1.5, 0.2, 1.0, 100.0
+
+
+def fact_scores(facts: DataFrame, high: Column, dependency: Column, symbols: DataFrame, files: DataFrame, expansions: DataFrame, threshold: float | None = 1.0) -> DataFrame:
+    """facts(id, type, subject_kind, subject_key, path, confidence, hint), symbols(key) and files(path) that show, expansions(path of a file or folder, tier) -> id, score, tier, visible.
+
+    1.5 x confidence of a high-signal fact, else .2 x of a dependency, 1 if its subject is a symbol that shows, 1 if its file shows, 100 if
+    its file or a folder above it is expanded (tier: the largest), and the enricher's hint. Only high-signal facts and dependencies show: expanded ones, and those
+    that reach the threshold (all, where there is none).
+    """
+    f = facts.where(F.col("type") != VERSION_TYPE).withColumns({"high": F.coalesce(high, F.lit(False)), "dep": F.coalesce(dependency, F.lit(False))})
+    f = f.join(symbols.select(F.col("key").alias("subject_key"), F.lit(PROXIMITY).alias("subject")).distinct(), "subject_key", "left").join(files.select("path", F.lit(PROXIMITY).alias("file")).distinct(), "path", "left")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    tiers = f.select("path").distinct().select("path", F.explode(above).alias("up")).join(expansions.groupBy(F.col("path").alias("up")).agg(F.max("tier").alias("t")), "up").groupBy("path").agg(F.max("t").alias("t"))
+    f = f.join(tiers, "path", "left").withColumn("tier", F.greatest(F.coalesce("t", F.lit(0)), F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    own = F.when(F.col("high"), HIGH_SIGNAL * F.col("confidence")).when(F.col("dep"), DEPENDENCY * F.col("confidence"))
+    score = zero(own) + zero(F.when(F.col("subject_kind") == "symbol", F.col("subject"))) + zero(F.col("file")) + F.when(F.col("tier") > 0, SELECTED).otherwise(0.0) + zero(F.col("hint"))
+    shown = F.lit(True) if threshold is None else (F.col("tier") > 0) | (F.col("score") >= threshold)
+    return f.withColumn("score", F.round(score, 6)).select("id", "score", "tier", ((F.col("high") | F.col("dep")) & shown).alias("visible"))
 
 
 def active(enrichers: DataFrame, signals: DataFrame) -> DataFrame:

@@ -209,38 +209,9 @@ def load_specs(spark: SparkSession, path: str) -> list[dict]:
     return out
 
 
-def specified_facts(files: DataFrame, specs: list[dict]) -> DataFrame:
-    """files(path, language, content, signals) -> path, enricher, type, name, tags, confidence, hint.
-
-    A specification applies to its languages (all if none), where one of its triggers is a signal, its
-    prefix up to a / or a dot, or there is none, and where the path holds one of its path_tokens; the first listed token found makes the fact.
-    """
-    from arborlens.functions.enrich import without_comments
-
-    code = files.withColumn("code", without_comments(F.col("content")))
-    found = []
-    for s in specs:
-        token = F.lit(None).cast("string")
-        for t in reversed(s["tokens"]):
-            token = F.when(F.contains(F.col("code"), F.lit(t)), F.lit(t)).otherwise(token)
-        ok = F.lit(True)
-        if s.get("languages"):
-            ok = ok & F.col("language").isin(s["languages"])
-        if s.get("triggers"):
-            ok = ok & F.exists("signals", _trigger(tuple(s["triggers"])))
-        if s.get("path_tokens"):
-            ok = ok & F.col("path").rlike("|".join(re.escape(t) for t in s["path_tokens"]))
-        tags = F.array(*[F.lit(t) for t in s.get("tags", [])]).cast("array<string>")
-        found.append(F.struct(F.lit(s["id"]).alias("enricher"), F.lit(s["type"]).alias("type"), F.when(ok, token).alias("name"), tags.alias("tags")))
-    rows = code.select("path", F.explode(F.array(*found)).alias("f")).where("f.name is not null")
-    return rows.select("path", "f.enricher", "f.type", "f.name", "f.tags", F.lit(0.78).alias("confidence"), F.lit(0.6).alias("hint"))
-
-
-def _trigger(triggers: tuple[str, ...]):
-    def test(signal: Column) -> Column:
-        out = F.lit(False)
-        for t in triggers:
-            out = out | (signal == t) | signal.startswith(t + "/") | signal.startswith(t + ".")
-        return out
-
-    return test
+def specified_facts(files: DataFrame, found: list[dict]) -> DataFrame:
+    """files(path, language, content, signals) -> what specs.facts makes of specifications as load_specs returns them."""
+    from arborlens.functions import specs
+
+    names = [c.split()[0] for c in specs.SPECS.split(", ")]
+    return specs.facts(files, files.sparkSession.createDataFrame([tuple(x.get(c) for c in names) for x in found], specs.SPECS))

@@ -75,6 +75,14 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     return g.select(F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.when(F.col("evidence") == 1, F.col("label")).otherwise("").alias("label"), F.when(F.col("r0") == F.col("r1"), F.col("r0")).otherwise("").alias("relationship"), way.alias("direction"), "confidence", "evidence")
 
 
+def merged_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """evidence(key, ...) of edges as merged_edges() merges them: source and target of the merged edge, and each piece as a row of its own, so that an edge of any number of pieces is no single row."""
+    pair = edges.withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target")).where("a <> b")
+    ends = pair.groupBy("a", "b").agg(F.min_by(F.struct("source", "target"), "key").alias("e"))
+    kept = pair.select("key", "a", "b").join(ends, ["a", "b"]).select("key", F.col("e.source").alias("source"), F.col("e.target").alias("target"))
+    return evidence.join(kept, "key").drop("key")
+
+
 def pruned(components: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without loops and dangling edges, and without components that are left with none."""
     a = components.select(F.col("key").alias("source"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlens.operators.graph import checkpointed
+
 
 def lifted(placements: DataFrame, closure: DataFrame, views: DataFrame) -> DataFrame:
     """element_id, view_id, proxy: in each view above an element, the placed owner that stands for it."""
@@ -100,3 +102,46 @@ def context_proxies(connectors: DataFrame, placements: DataFrame, closure: DataF
     shared = off.select("owner", "y").distinct().groupBy("owner").agg(F.count("*").alias("k")).where("owner is not null and k > 1").select("owner", F.lit(True).alias("collapsed"))
     rows = off.join(shared, "owner", "left").withColumn("collapsed", F.coalesce("collapsed", F.lit(False)))
     return rows.groupBy("inside", F.when(F.col("collapsed"), F.col("owner")).otherwise(F.col("y")).alias("outside"), "collapsed").agg(F.sum("c").alias("n")).select("inside", "outside", "n", "collapsed")
+
+
+#: What a proxy's distance from the middle of the viewport counts, in the nearest-first and the inward order.
+NEAR, FAR, INSIDE, BOTH_INSIDE = 1000.0, 320.0, 300.0, 160.0
+INNER_FAR, INNER_INSIDE = 400.0, 250.0
+
+
+def viewport_proxies(connectors: DataFrame, placements: DataFrame, closure: DataFrame, views: DataFrame, boxes: DataFrame, viewports: DataFrame, budget: int = 50, inward: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Proxies of all views in the order of their viewport: ((view_id, source, target, n, source_depth, target_depth, score, rank), (view_id, shown, omitted)).
+
+    boxes(view_id, element_id, x, y, w, h), viewports(view_id, min_x, min_y, max_x, max_y). A proxy whose ends' boxes both have their middle outside the viewport is left out. The others are
+    ordered by score (distances over the viewport's diagonal), then by connectors, depths and ends, and the first `budget` of a view are kept; `omitted` counts the
+    different connectors that stand behind the others, each once, however many of these pairs it is in.
+    """
+    ends = connectors.groupBy(F.least("source_element_id", "target_element_id").alias("x"), F.greatest("source_element_id", "target_element_id").alias("y")).agg(F.count("*").alias("n"))
+    owner = views.select(F.col("id").alias("ancestor_id"), F.col("owner_element_id").alias("proxy")).where("proxy IS NOT NULL")
+    up = placements.select("element_id", F.col("view_id").alias("v")).join(closure.select(F.col("view_id").alias("v"), "ancestor_id", "depth"), "v").join(owner, "ancestor_id")
+    up = up.join(placements.select(F.col("element_id").alias("proxy"), "view_id"), "proxy").select("element_id", "view_id", "proxy", F.col("depth") + 1)
+    own = placements.select("element_id", "view_id", F.col("element_id").alias("proxy"), F.lit(0).alias("depth"))
+    lift = own.union(up).groupBy("element_id", "view_id", "proxy").agg(F.min("depth").alias("depth"))
+    side = lambda e, p, q: lift.select(F.col("element_id").alias(e), "view_id", F.col("proxy").alias(p), F.col("depth").alias(q))
+    leaves = ends.join(side("x", "px", "dx"), "x").join(side("y", "py", "dy"), ["y", "view_id"]).where("px <> py AND NOT (px = x AND py = y)")
+    first = F.col("px") < F.col("py")
+    leaves = leaves.select("view_id", "x", "y", "n", F.least("px", "py").alias("source"), F.greatest("px", "py").alias("target"), F.when(first, F.col("dx")).otherwise(F.col("dy")).alias("ds"), F.when(first, F.col("dy")).otherwise(F.col("dx")).alias("dt"))
+    pairs = leaves.groupBy("view_id", "source", "target").agg(F.sum("n").alias("n"), F.min("ds").alias("source_depth"), F.min("dt").alias("target_depth"))
+    middle = lambda e, p: boxes.select("view_id", F.col("element_id").alias(e), (F.col("x") + F.col("w") / 2).alias(f"{p}x"), (F.col("y") + F.col("h") / 2).alias(f"{p}y"))
+    at = pairs.join(viewports, "view_id").join(middle("source", "s"), ["view_id", "source"]).join(middle("target", "t"), ["view_id", "target"])
+    diagonal = F.greatest(F.lit(1.0), F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))
+    away = lambda p: F.hypot(F.col(f"{p}x") - (F.col("min_x") + F.col("max_x")) / 2, F.col(f"{p}y") - (F.col("min_y") + F.col("max_y")) / 2) / diagonal
+    inside = lambda p: (F.col(f"{p}x").between(F.col("min_x"), F.col("max_x")) & F.col(f"{p}y").between(F.col("min_y"), F.col("max_y"))).cast("int")
+    at = at.withColumns({"a": F.least(away("s"), away("t")), "b": F.greatest(away("s"), away("t")), "inside": inside("s") + inside("t")}).where("inside > 0")
+    if inward:
+        score = (F.col("a") + F.col("b")) * NEAR + F.col("b") * INNER_FAR - F.col("inside") * INNER_INSIDE
+    else:
+        score = F.col("a") * NEAR - F.col("b") * FAR - INSIDE + F.when(F.col("inside") == 2, BOTH_INSIDE).otherwise(0.0)
+    deep = F.greatest("source_depth", "target_depth")
+    w = Window.partitionBy("view_id").orderBy("score", F.col("n").desc(), deep, F.col("source_depth") + F.col("target_depth"), "source", "target")
+    ranked = checkpointed(at.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w).cast("long")).select("view_id", "source", "target", "n", "source_depth", "target_depth", "score", "rank"))
+    beyond = leaves.join(ranked.where(F.col("rank") > budget).select("view_id", "source", "target"), ["view_id", "source", "target"], "left_semi")
+    # A pair of ends stands for its connectors, so different pairs of ends count each connector once.
+    omitted = beyond.select("view_id", "x", "y", "n").distinct().groupBy("view_id").agg(F.sum("n").alias("omitted"))
+    shown = ranked.groupBy("view_id").agg(F.count_if(F.col("rank") <= budget).alias("shown"))
+    return ranked.where(F.col("rank") <= budget), shown.join(omitted, "view_id", "left").select("view_id", "shown", F.coalesce("omitted", F.lit(0)).alias("omitted"))

@@ -204,14 +204,14 @@ def architecture_edges(s, d):
     return architecture.model_of_facts(_arch_facts(s, d))[1]
 
 
-EDGES = """ae AS (SELECT o_orderkey AS key, 'c' || (o_custkey % 60) AS source, 'c' || (o_orderkey % 60) AS target, CASE WHEN o_orderkey % 2 = 0 THEN 'uses' ELSE 'calls' END AS label, o_orderstatus AS relationship, ['forward', 'backward', 'both', 'none'][o_orderkey % 4 + 1] AS direction, (o_orderkey % 100) / 100.0::DOUBLE AS confidence FROM orders WHERE o_orderpriority = '5-LOW'),
+EDGES = """ae AS (SELECT o_orderkey AS key, 'c' || (o_custkey % 60) AS source, 'c' || (o_orderkey % 60) AS target, CASE WHEN o_orderkey % 2 = 0 THEN 'uses' ELSE 'calls' END AS label, o_orderstatus AS relationship, ['forward', 'backward', 'both', 'none'][o_orderkey % 4 + 1] AS direction, (o_orderkey % 100) / 100.0::DOUBLE AS confidence FROM orders),
 ab AS (SELECT *, least(source, target) AS a, greatest(source, target) AS b, CASE WHEN direction = 'both' THEN 3 WHEN direction = 'none' THEN 0 WHEN (direction = 'backward') <> (source > target) THEN 2 ELSE 1 END AS bits FROM ae WHERE source <> target),
 g AS (SELECT a, b, min_by(source, key) AS source, min_by(target, key) AS target, min_by(label, key) AS l, min(relationship) AS r0, max(relationship) AS r1, bit_or(bits) AS bits, max(confidence) AS confidence, count(*) AS evidence FROM ab GROUP BY 1, 2)"""
 
 
 def _arch_edges(s, d):
     k = F.col("o_orderkey")
-    return P.table(s, d, "orders").where("o_orderpriority = '5-LOW'").select(k.alias("key"), F.concat(F.lit("c"), (F.col("o_custkey") % 60).cast("string")).alias("source"), F.concat(F.lit("c"), (k % 60).cast("string")).alias("target"), F.when(k % 2 == 0, "uses").otherwise("calls").alias("label"), F.col("o_orderstatus").alias("relationship"), F.element_at(F.array(*map(F.lit, ["forward", "backward", "both", "none"])), (k % 4 + 1).cast("int")).alias("direction"), ((k % 100) / F.lit(100.0)).alias("confidence"))
+    return P.table(s, d, "orders").select(k.alias("key"), F.concat(F.lit("c"), (F.col("o_custkey") % 60).cast("string")).alias("source"), F.concat(F.lit("c"), (k % 60).cast("string")).alias("target"), F.when(k % 2 == 0, "uses").otherwise("calls").alias("label"), F.col("o_orderstatus").alias("relationship"), F.element_at(F.array(*map(F.lit, ["forward", "backward", "both", "none"])), (k % 4 + 1).cast("int")).alias("direction"), ((k % 100) / F.lit(100.0)).alias("confidence"))
 
 
 @query("SELECT source, target, CASE WHEN evidence = 1 THEN l ELSE '' END AS label, CASE WHEN r0 = r1 THEN r0 ELSE '' END AS relationship, CASE WHEN bits = 3 THEN 'both' WHEN bits = 0 THEN 'none' WHEN (bits = 2) <> (source <> a) THEN 'backward' ELSE 'forward' END AS direction, confidence, evidence FROM g", EDGES)
@@ -219,6 +219,12 @@ def merged_architecture_edges(s, d):
     return architecture.merged_edges(_arch_edges(s, d))
 
 
+@query("SELECT g.source, g.target, 'edge ' || ab.key AS evidence FROM ab JOIN g USING (a, b)", EDGES)
+def merged_edge_evidence(s, d):
+    e = _arch_edges(s, d)
+    return architecture.merged_evidence(e, e.select("key", F.concat(F.lit("edge "), F.col("key").cast("string")).alias("evidence")))
+
+
 @query("SELECT key, degree FROM (SELECT k AS key, count(*) AS degree FROM (SELECT source AS k FROM ae WHERE source <> target AND source <> 'c7' AND target <> 'c7' UNION ALL SELECT target FROM ae WHERE source <> target AND source <> 'c7' AND target <> 'c7') GROUP BY 1)", EDGES)
 def pruned_components(s, d):
     c = P.table(s, d, "orders").select(F.concat(F.lit("c"), (F.col("o_orderkey") % 70).cast("string")).alias("key")).where("key <> 'c7'").distinct()

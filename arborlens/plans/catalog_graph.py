@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import embedding, enrich
-from arborlens.operators import architecture, crossview, graph, layout, linediff, resolve, versions, workspace
+from arborlens.operators import architecture, crossview, graph, layout, linediff, resolve, sections, versions, workspace
 from arborlens.plans import projection as P
-from arborlens.plans.registry import LINEAGE, query, view_parents
+from arborlens.plans.registry import LINEAGE, PROXIES, query, view_parents
 from arborlens.streaming import changes
 
 
@@ -201,10 +201,10 @@ def folder_line_counts(s, d):
 
 
 @query("""SELECT s.key, coalesce(count(*) FILTER (WHERE l.kind = 'added' AND l.line BETWEEN s.a AND s.b), 0)::BIGINT AS added, coalesce(count(*) FILTER (WHERE l.kind = 'removed' AND l.line BETWEEN coalesce(s.oa, s.a) AND coalesce(s.ob, s.b)), 0)::BIGINT AS removed
-FROM sy2 s LEFT JOIN (SELECT 'p' || (event_id % 20) AS path, (event_id % 523)::BIGINT AS line, CASE WHEN event_id % 2 = 0 THEN 'added' ELSE 'removed' END AS kind FROM events WHERE event_type = 'click') l ON l.path = s.path GROUP BY 1""", LINES)
+FROM sy2 s LEFT JOIN (SELECT 'p' || (event_id % 20) AS path, (event_id % 523)::BIGINT AS line, CASE WHEN event_id % 2 = 0 THEN 'added' ELSE 'removed' END AS kind FROM events) l ON l.path = s.path GROUP BY 1""", LINES)
 def attributed_lines(s, d):
     e = F.col("event_id")
-    lines = P.table(s, d, "events").where("event_type = 'click'").select(_text("p", e % 20).alias("path"), (e % 523).alias("line"), F.when(e % 2 == 0, "added").otherwise("removed").alias("kind"))
+    lines = P.table(s, d, "events").select(_text("p", e % 20).alias("path"), (e % 523).alias("line"), F.when(e % 2 == 0, "added").otherwise("removed").alias("kind"))
     return versions.attributed_lines(_ranges(s, d), lines)
 
 
@@ -443,9 +443,15 @@ def seeded_vectors(s, d):
     return P.table(s, d, "part").select("p_partkey", F.round(v[0], 6).alias("x0"), F.round(v[1], 6).alias("x1"))
 
 
-@query("SELECT conv_id, turn, length(body)::INT AS length, left(body, 10) AS head, right(body, 5) AS tail FROM (SELECT conv_id, turn, CASE WHEN length(b) <= 120 THEN b ELSE left(b, 80) || chr(10) || '...' || chr(10) || right(b, 40) END AS body FROM (SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^(//|#|/\\*|\\*)')), chr(10)) AS b FROM conversations))")
+SHRUNK = r"""tx AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS w FROM conversations),
+ln AS (SELECT *, list_filter(string_split(w, chr(10)), lambda x: NOT regexp_matches(regexp_replace(x, '^\s+', ''), '^(//|/\*|\*|$)')) AS kept FROM tx),
+bd AS (SELECT *, CASE WHEN len(kept) > 0 THEN regexp_replace(array_to_string(kept, chr(10)), '^\s+|\s+$', '', 'g') ELSE w END AS b FROM ln),
+tk AS (SELECT *, greatest(ceil(strlen(w) / 4), len(regexp_extract_all(w, '\S+'))) AS tw, greatest(ceil(strlen(b) / 4), len(regexp_extract_all(b, '\S+'))) AS tb FROM bd)"""
+
+
+@query(r"SELECT conv_id, turn, length(body)::INT AS length, left(body, 10) AS head, right(body, 5) AS tail FROM (SELECT conv_id, turn, CASE WHEN tw <= 30 THEN w WHEN tb <= 30 OR strlen(b) <= 120 THEN b ELSE regexp_replace(left(b, 78), '^\s+|\s+$', '', 'g') || '...' || regexp_replace(right(b, 39), '^\s+|\s+$', '', 'g') END AS body FROM tk)", SHRUNK)
 def shrunk_texts(s, d):
-    t = P.table(s, d, "conversations").select("conv_id", "turn", embedding.shrunk(F.col("text"), 30).alias("body"))
+    t = P.table(s, d, "conversations").select("conv_id", "turn", embedding.shrunk(F.col("text"), 30, "...").alias("body"))
     return t.select("conv_id", "turn", F.length("body").alias("length"), F.left("body", F.lit(10)).alias("head"), F.right("body", F.lit(5)).alias("tail"))
 
 
@@ -485,3 +491,62 @@ def suppressed_events(s, d):
 
     e = P.table(s, d, "events").select("event_id", F.col("user_id").alias("repository_id"), "event_type")
     return diff.suppressed(e, "repository_id", ["event_id"], "event_type").select("event_id", "repository_id")
+
+
+# -- nested sections ----------------------------------------------------------
+
+SECTIONS = """ac AS (SELECT p_partkey AS key, ['merged', 'server', 'kept', 'added', 'deleted'][p_partkey % 5 + 1] AS action FROM part),
+lo AS (SELECT p_partkey AS key, 'v' || (p_partkey % 7) AS parent, p_partkey % 100 AS x, CASE WHEN p_partkey % 3 > 0 THEN 'n' || (p_partkey % 4) END AS label FROM part UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'w' || (p_partkey % 3) END, 5, 'only here' FROM part),
+se AS (SELECT p_partkey AS key, 'v' || (p_partkey % 7) AS parent, p_partkey % 90 AS x, CASE WHEN p_partkey % 8 > 0 THEN 'n' || (p_partkey % 6) ELSE '' END AS label FROM part UNION ALL SELECT p_partkey, 'u' || (p_partkey % 3), 7, 'only there' FROM part WHERE p_partkey % 4 < 2),
+j AS (SELECT coalesce(l.key, s.key) AS key, coalesce(l.parent, s.parent) AS parent, coalesce(s.x, l.x) AS x, trim(coalesce(l.label, '')) AS a, trim(coalesce(s.label, '')) AS b, l.key IS NOT NULL AS inl, s.key IS NOT NULL AS ins, l.label AS la, s.label AS sb
+  FROM (SELECT lo.* FROM lo JOIN ac USING (key) WHERE action = 'merged') l FULL JOIN (SELECT se.* FROM se JOIN ac USING (key) WHERE action = 'merged') s ON l.key = s.key AND l.parent = s.parent)"""
+
+
+def _sections(s, d):
+    p, k = P.table(s, d, "part"), F.col("p_partkey")
+    actions = p.select(k.alias("key"), F.element_at(F.array(*map(F.lit, ["merged", "server", "kept", "added", "deleted"])), (k % 5 + 1).cast("int")).alias("action"))
+    row = lambda parent, place, x, label: (k.alias("key"), parent.alias("parent"), F.lit(place).alias("place"), x.cast("long").alias("x"), label.alias("label"))
+    local = p.select(*row(_text("v", k % 7), 0, k % 100, F.when(k % 3 > 0, _text("n", k % 4)))).union(p.select(*row(F.when(k % 2 == 0, _text("w", k % 3)), 1, F.lit(5), F.lit("only here"))))
+    server = p.select(*row(_text("v", k % 7), 0, k % 90, F.when(k % 8 > 0, _text("n", k % 6)).otherwise(""))).union(p.where(k % 4 < 2).select(*row(_text("u", k % 3), 1, F.lit(7), F.lit("only there"))))
+    return sections.merge_sections(actions, local, server, ["x"], ["label"])
+
+
+@query("""SELECT key, parent, x, CASE WHEN inl AND ins THEN CASE WHEN a <> b AND a <> '' AND b <> '' THEN '<<< LOCAL' || chr(10) || a || chr(10) || '===' || chr(10) || b || chr(10) || '>>> SERVER' WHEN a = '' THEN sb ELSE la END ELSE coalesce(la, sb) END AS label, CASE WHEN inl AND ins THEN 'both' WHEN inl THEN 'local' ELSE 'server' END AS side FROM j
+UNION ALL SELECT key, parent, x, label, 'local' FROM lo JOIN ac USING (key) WHERE action = 'kept' UNION ALL SELECT key, parent, x, label, 'server' FROM se JOIN ac USING (key) WHERE action IN ('server', 'added')""", SECTIONS)
+def merged_sections(s, d):
+    return _sections(s, d)[0]
+
+
+@query("SELECT key, parent, 'label' AS field, a AS local, b AS server FROM j WHERE inl AND ins AND a <> b AND a <> '' AND b <> ''", SECTIONS)
+def section_conflicts(s, d):
+    return _sections(s, d)[1]
+
+
+# -- proxies in the order of a viewport ------------------------------------------
+
+VIEWPORT = """,
+geo AS (SELECT view_id, element_id, element_id % 7 * 260 + 100.0::DOUBLE AS cx, element_id % 11 * 160 + 50.0::DOUBLE AS cy FROM placements),
+vp AS (SELECT id AS view_id, (id % 3) * 100.0::DOUBLE AS x0, (id % 3) * 100.0::DOUBLE + 900 AS x1, 0.0::DOUBLE AS y0, 700.0::DOUBLE AS y1 FROM views),
+ud AS (SELECT element_id, view_id, proxy, min(depth) AS depth FROM (SELECT element_id, view_id, element_id AS proxy, 0 AS depth FROM placements UNION ALL SELECT p.element_id, q.view_id, v.owner_element_id, cl.depth + 1 FROM placements p JOIN cl ON cl.view_id = p.view_id JOIN views v ON v.id = cl.ancestor_id JOIN placements q ON q.element_id = v.owner_element_id) GROUP BY 1, 2, 3),
+lf AS (SELECT a.view_id, x, y, n, least(a.proxy, b.proxy) AS source, greatest(a.proxy, b.proxy) AS target, CASE WHEN a.proxy < b.proxy THEN a.depth ELSE b.depth END AS ds, CASE WHEN a.proxy < b.proxy THEN b.depth ELSE a.depth END AS dt FROM pe JOIN ud a ON a.element_id = x JOIN ud b ON b.element_id = y AND b.view_id = a.view_id WHERE a.proxy <> b.proxy AND NOT (a.proxy = x AND b.proxy = y)),
+pr AS (SELECT view_id, source, target, sum(n)::BIGINT AS n, min(ds) AS ds, min(dt) AS dt FROM lf GROUP BY 1, 2, 3),
+ps AS (SELECT pr.*, sqrt((s.cx - (x0 + x1) / 2) ** 2 + (s.cy - (y0 + y1) / 2) ** 2) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS sd, sqrt((t.cx - (x0 + x1) / 2) ** 2 + (t.cy - (y0 + y1) / 2) ** 2) / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS td,
+  (s.cx BETWEEN x0 AND x1 AND s.cy BETWEEN y0 AND y1)::INT + (t.cx BETWEEN x0 AND x1 AND t.cy BETWEEN y0 AND y1)::INT AS ins FROM pr JOIN vp USING (view_id) JOIN geo s ON s.view_id = pr.view_id AND s.element_id = source JOIN geo t ON t.view_id = pr.view_id AND t.element_id = target),
+rk AS (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY round(least(sd, td) * 1000 - greatest(sd, td) * 320 - CASE WHEN ins > 0 THEN 300 ELSE 0 END + CASE WHEN ins = 2 THEN 160 ELSE 0 END, 6), n DESC, greatest(ds, dt), ds + dt, source, target) AS rank FROM ps WHERE ins > 0)"""
+
+
+def _viewport(s, d, budget):
+    e, v = F.col("element_id"), F.col("id")
+    boxes = P.placements(s, d).select("view_id", e, (e % 7 * 260).alias("x"), (e % 11 * 160).alias("y"), F.lit(200).alias("w"), F.lit(100).alias("h"))
+    ports = P.views(s, d).select(v.alias("view_id"), (v % 3 * 100).alias("min_x"), F.lit(0).alias("min_y"), (v % 3 * 100 + 900).alias("max_x"), F.lit(700).alias("max_y"))
+    return crossview.viewport_proxies(P.connectors(s, d), P.placements(s, d), graph.lineage(view_parents(s, d)), P.views(s, d), boxes, ports, budget)
+
+
+@query("SELECT view_id, source, target, n, rank FROM rk WHERE rank <= 20", PROXIES + VIEWPORT, True)
+def viewport_proxies(s, d):
+    return _viewport(s, d, 20)[0].select("view_id", "source", "target", "n", "rank")
+
+
+@query("SELECT r.view_id, count(*) FILTER (WHERE rank <= 20) AS shown, coalesce(any_value(o.n), 0)::BIGINT AS omitted FROM rk r LEFT JOIN (SELECT view_id, sum(n) AS n FROM (SELECT DISTINCT lf.view_id, x, y, lf.n FROM lf JOIN rk USING (view_id, source, target) WHERE rank > 20) GROUP BY 1) o ON o.view_id = r.view_id GROUP BY 1", PROXIES + VIEWPORT, True)
+def viewport_omissions(s, d):
+    return _viewport(s, d, 20)[1]

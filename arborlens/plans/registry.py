@@ -392,11 +392,12 @@ def heap_ancestors(s, d):
     return ancestry.common_ancestors(ancestry.lifting(parents), pairs)
 
 
-@query("SELECT n AS id, min(m) AS component FROM (SELECT r.n, r.m FROM reach r) GROUP BY 1", """sel AS (SELECT c_custkey AS a, c_custkey // 3 + 1 AS b FROM customer WHERE c_custkey % 4 <> 0),
+@query("SELECT n AS id, min(m) AS component FROM (SELECT r.n, r.m FROM reach r) GROUP BY 1", """sel AS (SELECT c_custkey AS a, CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE c_custkey // 3 + 1 END AS b FROM customer),
 reach AS (SELECT c_custkey AS n, c_custkey AS m FROM customer UNION SELECT x.a, r.m FROM (SELECT a, b FROM sel UNION SELECT b, a FROM sel) x JOIN reach r ON r.n = x.b)""", True)
 def connected_components(s, d):
     c = P.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
-    return graph.components(c.where("id % 4 <> 0").select(F.col("id").alias("a"), (F.floor(F.col("id") / 3) + 1).cast("long").alias("b")), c)
+    # Every customer has an edge; that of each fourth goes to itself.
+    return graph.components(c.select(F.col("id").alias("a"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(F.floor(F.col("id") / 3) + 1).cast("long").alias("b")), c)
 
 
 @query("SELECT view_id, element_id, max(level)::BIGINT AS level FROM (SELECT view_id, source_element_id AS element_id, 0 AS level FROM connectors UNION ALL SELECT view_id, target_element_id, 1 FROM connectors) GROUP BY 1, 2")
@@ -580,8 +581,9 @@ def route_facts(s, d):
 
 @query("SELECT page_id, CASE WHEN contains(html, '<table') THEN '<table' WHEN contains(html, '<ul') THEN '<ul' ELSE '<p' END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '/\\*.*?\\*/', '', 'gs'), '//[^\\n]*', '', 'g'), '#[^\\n]*', '', 'g') AS html FROM pages) WHERE contains(html, '<table') OR contains(html, '<ul') OR contains(html, '<p')")
 def pattern_facts(s, d):
-    f = P.table(s, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
-    return enrich.pattern_facts(f, [{"id": "markup", "type": "ui.block", "tokens": ["<table", "<ul", "<p"]}]).select(F.col("path").alias("page_id"), "name")
+    f = P.table(s, d, "pages").select(F.col("page_id").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"), F.array().cast("array<string>").alias("signals"))
+    one = s.createDataFrame([("markup", "ui.block", ["<table", "<ul", "<p"], None, None, None, None)], specs.SPECS)
+    return specs.facts(f, one).select(F.col("path").alias("page_id"), "name")
 
 
 SPECIFIED = """tk AS (SELECT p_partkey // 4 AS sid, p_partkey AS place, chr((97 + p_partkey % 26)::INT) || chr((97 + p_partkey // 26 % 26)::INT) || chr((97 + p_partkey * 7 % 26)::INT) AS token FROM part),
@@ -602,10 +604,17 @@ def specified_facts(s, d):
     return specs.facts(files, table).select("path", "enricher", "type", "name")
 
 
-@query("""SELECT doc_id, score, (hs OR dp) AND score >= 1.0 AS visible FROM (SELECT doc_id, type IN ('src0', 'src1') AS hs, enricher = 'de' AS dp, round(CASE WHEN type IN ('src0', 'src1') THEN 1.5::DOUBLE * confidence WHEN enricher = 'de' THEN 0.2::DOUBLE * confidence ELSE 0 END + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END, 6) AS score FROM facts)""")
+SCORED_FACTS = """fx AS (SELECT *, type IN ('src0', 'src1') OR doc_id % 6 = 5 AS hs, enricher = 'de' AS dp, CASE WHEN doc_id % 3 = 0 THEN 'symbol' ELSE 'file' END AS subject_kind, doc_id % 40 AS subject_key, CASE WHEN doc_id % 7 = 0 THEN 0.6::DOUBLE WHEN doc_id % 11 = 0 THEN -0.5::DOUBLE END AS hint FROM facts)"""
+
+
+@query("""SELECT doc_id AS id, score, tier, (hs OR dp) AND (tier > 0 OR score >= 1.0) AS visible FROM (SELECT *, round(CASE WHEN hs THEN 1.5::DOUBLE * confidence WHEN dp THEN 0.2::DOUBLE * confidence ELSE 0 END + CASE WHEN subject_kind = 'symbol' AND subject_key < 25 THEN 1 ELSE 0 END
+  + CASE WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN tier > 0 THEN 100 ELSE 0 END + coalesce(hint, 0), 6) AS score FROM (
+  SELECT *, greatest(CASE WHEN type = 'src3' THEN 1 ELSE 0 END, CASE WHEN type = 'src3' AND enricher = 'fr' THEN 4 ELSE 0 END, CASE WHEN doc_id % 50 = 0 THEN 2 ELSE 0 END)::INT AS tier FROM fx WHERE type <> 'src9'))""", SCORED_FACTS)
 def fact_scores(s, d):
-    f = P.facts(s, d).withColumn("file_visible", F.col("n_chars") % 2 == 0)
-    return enrich.fact_scores(f, F.col("type").isin("src0", "src1"), F.col("enricher") == "de").select("doc_id", "score", "visible")
+    k = F.col("doc_id")
+    f = P.facts(s, d).select(k.alias("id"), F.when(F.col("type") == "src9", enrich.VERSION_TYPE).otherwise(F.col("type")).alias("type"), "enricher", F.when(k % 3 == 0, "symbol").otherwise("file").alias("subject_kind"), (k % 40).alias("subject_key"), F.col("file_path").alias("path"), "confidence", F.when(k % 7 == 0, 0.6).when(k % 11 == 0, -0.5).alias("hint"), "n_chars")
+    expansions = f.where("id % 50 = 0").select("path", F.lit(2).alias("tier")).union(s.createDataFrame([("src3", 1), ("src3/fr", 4)], "path string, tier int"))
+    return enrich.fact_scores(f, F.col("type").isin("src0", "src1") | (F.col("id") % 6 == 5), F.col("enricher") == "de", f.where("subject_key < 25").select(F.col("subject_key").alias("key")), f.where("n_chars % 2 = 0").select("path"), expansions)
 
 
 @query("""SELECT type, id, name, rank::INT AS rank FROM (
