@@ -26,12 +26,12 @@ def filled(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.size(name) > 0 if kind == "array" else F.trim(F.col(name).cast("string")) != "", F.lit(False))
 
 
-def worth(degree: Column, has_view: Column, described: Column, tagged: Column, located: Column, place: Column, delta: Column) -> Column:
+def worth(degree: Column, has_view: Column, described: Column, tagged: Column, located: Column, place: Column, delta: Column, digits: int = 6) -> Column:
     """12 x degree, 30 x filter score, 5 x (10 - tier), 20 x confidence, 20 for an own view, 4 described, 3 tagged, 2 with a file, 100 x delta."""
     score = 12 * degree + 30 * F.coalesce("filter_score", F.lit(0.0)) + F.when(F.col("tier").isNotNull(), 5 * F.greatest(F.lit(0), 10 - F.col("tier"))).otherwise(0)
     points = lambda test, n: F.when(test, n).otherwise(0)
     score = score + 20 * F.coalesce("confidence", F.lit(0.0)) + points(has_view, 20) + points(described, 4) + points(tagged, 3) + points(located, 2)
-    return F.round(score - 0.001 * F.log1p(F.greatest(F.lit(0), place).cast("double")) + 100 * delta, 6)
+    return F.round(score - 0.001 * F.log1p(F.greatest(F.lit(0), place).cast("double")) + 100 * delta, digits)
 
 
 def soft_cap(df: DataFrame, view: str, score: str, tie: str, cap: int | None, full: bool) -> DataFrame:
@@ -41,13 +41,13 @@ def soft_cap(df: DataFrame, view: str, score: str, tie: str, cap: int | None, fu
     return rows if cap is None else rows.where((F.col("rank") <= cap) | (F.col("delta") > 0))
 
 
-def view_elements(placements: DataFrame, elements: DataFrame, views: DataFrame, connectors: DataFrame, signal: DataFrame, overrides: DataFrame, level: int) -> DataFrame:
-    """The elements shown in each view at a density level: view_id, element_id, name, score, rank."""
+def view_elements(placements: DataFrame, elements: DataFrame, views: DataFrame, connectors: DataFrame, signal: DataFrame, overrides: DataFrame, level: int, digits: int = 6) -> DataFrame:
+    """The elements shown in each view at a density level: view_id, element_id, name, score, rank. The id that counts in the score is the placement's (placement_id), where placements have one."""
     ends = connectors.select("view_id", F.explode(F.array("source_element_id", "target_element_id")).alias("element_id")).groupBy("view_id", "element_id").agg(F.count("*").alias("degree"))
     owners = views.where("owner_element_id is not null").select(F.col("owner_element_id").alias("element_id"), F.lit(True).alias("has_view")).distinct()
     rows = placements.join(elements, F.col("element_id") == F.col("id")).join(ends, ["view_id", "element_id"], "left").join(owners, "element_id", "left").join(signal, "element_id", "left").join(overrides, ["view_id", "element_id"], "left")
     rows = rows.withColumn("delta", F.coalesce("delta", F.lit(0)))
-    score = worth(F.coalesce("degree", F.lit(0)), F.coalesce("has_view", F.lit(False)), filled(elements, "description"), filled(elements, "tags"), filled(elements, "file_path"), F.col("element_id"), F.col("delta"))
+    score = worth(F.coalesce("degree", F.lit(0)), F.coalesce("has_view", F.lit(False)), filled(elements, "description"), filled(elements, "tags"), filled(elements, "file_path"), F.col("placement_id" if "placement_id" in placements.columns else "element_id"), F.col("delta"), digits)
     return soft_cap(rows.withColumn("score", score), "view_id", "score", "element_id", CAPS[level][0], level == 2).select("view_id", "element_id", "name", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborlens.functions import naming, text
-from arborlens.operators import crossview, graph, layout, lint, relational, resolve, versions
+from arborlens.operators import crossview, graph, layout, lint, materialise, relational, resolve, versions
 from arborlens.plans import projection as P
 from arborlens.plans.catalog_code import SYMBOLS, _symbols
 from arborlens.plans.registry import LINEAGE, query, view_parents
@@ -210,3 +210,52 @@ def jump_targets(s, d):
     e = P.elements(s, d).select(F.col("id").alias("element_id"), "name", "kind", "technology", F.when(F.col("id") % 30 == 7, "src/Asia.go").alias("path"), F.when(F.col("id") % 60 == 7, F.array(F.lit("x"), F.lit("inASIA"))).alias("tags"))
     placed = P.placements(s, d).join(e, "element_id")
     return relational.jump_targets(P.views(s, d), placed.union(placed.where("element_id % 2 = 0")), " Asia ")
+
+
+# -- a repository as a workspace ----------------------------------------------
+
+REPOSITORY = """ms AS (SELECT 's' || lpad(p_partkey::VARCHAR, 8, '0') AS key, p_name AS name, 'src/b' || (p_size % 5) || '/' || CASE WHEN p_size % 2 = 0 THEN 'in/' ELSE '' END || 'f' || (p_partkey % 7) || '.go' AS path, (p_partkey * 31 % 1000)::BIGINT AS line FROM part),
+mc AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY path) > 3 THEN (row_number() OVER (PARTITION BY path ORDER BY line, key) - 1) // 3 END AS chunk FROM ms),
+mh AS (SELECT path, chunk, 'cluster:' || sha256(path || chr(10) || string_agg(key, chr(10) ORDER BY key)) AS ck FROM mc WHERE chunk IS NOT NULL GROUP BY 1, 2),
+ml AS (SELECT mc.*, ck, list_concat(['repository:1'], list_transform(range(1, len(string_split(mc.path, '/'))), lambda k: 'folder:' || array_to_string(string_split(mc.path, '/')[:k], '/')), ['file:' || mc.path], CASE WHEN ck IS NOT NULL THEN [ck] ELSE [] END, ['symbol:' || key]) AS chain FROM mc LEFT JOIN mh USING (path, chunk)),
+mo AS (SELECT DISTINCT chain[k] AS owner_key, chain[k - 1] AS parent FROM ml, LATERAL (SELECT unnest(range(1, len(chain) + 1)) AS k)),
+kn AS (SELECT 'symbol:' || key AS owner_key, (substr(key, 2)::BIGINT + 7) AS id, 'mine ' || key AS name, substr(key, 2)::BIGINT % 10 = 0 AS edited FROM ms WHERE substr(key, 2)::BIGINT % 2 = 0),
+mn AS (SELECT owner_key, parent, split_part(owner_key, ':', 1) AS kind, CASE split_part(owner_key, ':', 1) WHEN 'repository' THEN 0 WHEN 'folder' THEN 1 WHEN 'file' THEN 2 WHEN 'cluster' THEN 3 ELSE 4 END AS level FROM mo),
+md AS (SELECT mn.*, coalesce(y.line, h.chunk, 0) AS line, CASE WHEN kn.edited THEN kn.name WHEN kind = 'repository' THEN 'shop' WHEN kind = 'symbol' THEN y.name WHEN kind = 'cluster' THEN regexp_extract(h.path, '([^/:]*)$', 1) || ' cluster ' || (h.chunk + 1) ELSE regexp_extract(mn.owner_key, '([^/:]*)$', 1) END AS name, coalesce(kn.edited, false) AS dirty, kn.id AS kid
+  FROM mn LEFT JOIN ms y ON mn.owner_key = 'symbol:' || y.key LEFT JOIN mh h ON h.ck = mn.owner_key LEFT JOIN kn ON kn.owner_key = mn.owner_key),
+me AS (SELECT *, coalesce(kid, (SELECT max(id) FROM kn) + row_number() OVER (PARTITION BY kid IS NULL ORDER BY level, owner_key)) AS id FROM md),
+mv AS (SELECT row_number() OVER (ORDER BY level, owner_key) AS id, owner_key, id AS element_id, name FROM me WHERE kind <> 'symbol')"""
+
+
+def _repository(s, d):
+    p, k = P.table(s, d, "part"), F.col("p_partkey")
+    text_of = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    key = lambda c: text_of("s", F.lpad(c.cast("string"), 8, "0"))
+    symbols = p.select(key(k).alias("key"), F.col("p_name").alias("name"), text_of("src/b", F.col("p_size") % 5, F.when(F.col("p_size") % 2 == 0, "/in/").otherwise("/"), "f", k % 7, ".go").alias("path"), (k * 31 % 1000).alias("line"))
+    li = P.table(s, d, "lineitem")
+    references = li.select(key(F.col("l_partkey")).alias("source"), key(F.col("l_orderkey") % 1000).alias("target"), F.col("l_returnflag").alias("kind"))
+    known = p.where(k % 2 == 0).select(text_of("symbol:", key(k)).alias("owner_key"), (k + 7).alias("id"), text_of("mine ", key(k)).alias("name"), F.when(k % 10 == 0, "b").otherwise("a").alias("hash"), F.lit("a").alias("last_hash"))
+    return materialise.materialised("shop", symbols, references, known, known.where("false").select("owner_key", "id"), 3)
+
+
+@query("SELECT id, owner_key, kind, name, parent, dirty FROM me", REPOSITORY)
+def repository_elements(s, d):
+    return _repository(s, d).elements
+
+
+@query("SELECT id, owner_key, element_id, name FROM mv", REPOSITORY)
+def repository_views(s, d):
+    return _repository(s, d).views
+
+
+@query("SELECT view_id, element_id, pos % 4 * 260 AS x, pos // 4 * 160 AS y FROM (SELECT v.id AS view_id, e.id AS element_id, row_number() OVER (PARTITION BY v.id ORDER BY level, line, e.owner_key) - 1 AS pos FROM me e JOIN mv v ON v.owner_key = e.parent) UNION ALL SELECT 0, id, 0, 0 FROM me WHERE kind = 'repository'", REPOSITORY)
+def repository_placements(s, d):
+    return _repository(s, d).placements
+
+
+@query("""SELECT v.id AS view_id, a.id AS source_id, b.id AS target_id, count(*) AS n, string_agg(DISTINCT r.kind, ',' ORDER BY r.kind) AS kinds FROM (
+  SELECT l_returnflag AS kind, x.chain AS a, y.chain AS b, len(list_filter(list_zip(x.chain, y.chain), lambda z: z[1] IS NOT NULL AND z[1] IS NOT DISTINCT FROM z[2])) AS k FROM lineitem JOIN ml x ON x.key = 's' || lpad(l_partkey::VARCHAR, 8, '0') JOIN ml y ON y.key = 's' || lpad((l_orderkey % 1000)::VARCHAR, 8, '0') WHERE x.key <> y.key) r
+JOIN mv v ON v.owner_key = r.a[k] JOIN me a ON a.owner_key = r.a[k + 1] JOIN me b ON b.owner_key = r.b[k + 1] GROUP BY 1, 2, 3""", REPOSITORY)
+def repository_connectors(s, d):
+    c = _repository(s, d).connectors
+    return c.withColumn("kinds", F.array_join("kinds", ","))

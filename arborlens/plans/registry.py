@@ -56,11 +56,34 @@ def view_content_full(s, d):
     return _content(s, d, 2)
 
 
+CONNECTOR_TERMS = """,
+cg AS (SELECT id, CASE WHEN id % 4 = 0 THEN (id % 50) / 50.0::DOUBLE END AS filter_score, CASE WHEN id % 4 = 0 THEN (id % 12)::INT END AS tier, CASE WHEN id % 6 = 0 THEN (id % 30) / 30.0::DOUBLE END AS confidence FROM connectors),
+cv AS (SELECT view_id, id, (id % 9 - 4)::INT AS delta FROM connectors WHERE id % 7 = 0)"""
+
+
 @query("""SELECT view_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT c.view_id, c.id, round(CASE WHEN relationship IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN label IS NOT NULL THEN 6 ELSE 0 END - 0.001::DOUBLE * ln(1 + c.id::DOUBLE), 6) AS score
-  FROM connectors c SEMI JOIN scored a ON a.view_id = c.view_id AND a.element_id = c.source_element_id AND a.delta >= 0 SEMI JOIN scored b ON b.view_id = c.view_id AND b.element_id = c.target_element_id AND b.delta >= 0)) WHERE rank <= 24""", SCORED)
+  SELECT c.view_id, c.id, coalesce(cv.delta, 0) AS delta, round(30 * coalesce(filter_score, 0.0::DOUBLE) + coalesce(cg.tier, 0) + 20 * coalesce(confidence, 0.0::DOUBLE) + CASE WHEN relationship IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN label IS NOT NULL THEN 6 ELSE 0 END
+    + CASE WHEN c.id % 5 = 0 THEN 3 ELSE 0 END - 0.001::DOUBLE * ln(1 + c.id::DOUBLE) + 100 * coalesce(cv.delta, 0), 6) AS score
+  FROM connectors c LEFT JOIN cg ON cg.id = c.id LEFT JOIN cv ON cv.view_id = c.view_id AND cv.id = c.id SEMI JOIN scored a ON a.view_id = c.view_id AND a.element_id = c.source_element_id AND a.delta >= 0 SEMI JOIN scored b ON b.view_id = c.view_id AND b.element_id = c.target_element_id AND b.delta >= 0) WHERE delta > -4) WHERE rank <= 24 OR delta > 0""", SCORED + CONNECTOR_TERMS)
 def connector_projection(s, d):
-    return density.view_connectors(P.connectors(s, d), _content(s, d, 2), 0)
+    k = F.col("id")
+    c = P.connectors(s, d).withColumn("description", F.when(k % 5 == 0, "told"))
+    signal = c.select(k, F.when(k % 4 == 0, (k % 50) / 50.0).alias("filter_score"), F.when(k % 4 == 0, k % 12).cast("int").alias("tier"), F.when(k % 6 == 0, (k % 30) / 30.0).alias("confidence"))
+    overrides = c.where(k % 7 == 0).select("view_id", k, (k % 9 - 4).cast("int").alias("delta"))
+    return density.view_connectors(c, _content(s, d, 2), 0, signal, overrides)
+
+
+TERMS = """,
+pl AS (SELECT view_id, element_id, element_id * 3 + view_id AS placement_id FROM placements),
+worth AS (SELECT s.view_id, s.element_id, s.name, s.delta, round(s.score + 0.001::DOUBLE * ln(1 + s.element_id::DOUBLE) - 0.001::DOUBLE * ln(1 + placement_id::DOUBLE) + CASE WHEN s.element_id % 4 = 0 THEN 3 ELSE 0 END + CASE WHEN s.element_id % 6 = 0 THEN 2 ELSE 0 END, 5) AS score FROM scored s JOIN pl USING (view_id, element_id))"""
+
+
+@query("SELECT view_id, element_id, name, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, element_id) AS rank FROM worth WHERE delta > -4) WHERE rank <= 12 OR delta > 0", SCORED + TERMS)
+def view_content_terms(s, d):
+    """Placements with ids of their own, elements with tags and files."""
+    e = P.elements(s, d).withColumns({"tags": F.when(F.col("id") % 4 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")), "file_path": F.when(F.col("id") % 6 == 0, "a.go").otherwise(" ")})
+    p = P.placements(s, d).withColumn("placement_id", F.col("element_id") * 3 + F.col("view_id"))
+    return density.view_elements(p, e, P.views(s, d), P.connectors(s, d), _signals(s, d), P.overrides(s, d), 0, digits=5)
 
 
 @query("""SELECT view_id, id FROM (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY score DESC, id) AS rank FROM (SELECT c.view_id, c.id, c.score, c.delta FROM ca c LEFT JOIN (SELECT view_id, element_id FROM sh) x ON x.view_id = c.view_id AND x.element_id = c.s LEFT JOIN br f ON f.view_id = c.view_id AND f.e = c.s
@@ -269,10 +292,13 @@ def diff_summary(s, d):
     return diff.diff_summary(e)
 
 
-@query("SELECT path, CASE WHEN bool_or(change_type = 'error') THEN 'deleted' ELSE min_by(change_type, event_id) END AS change_type FROM ev GROUP BY 1")
+@query("""SELECT path, CASE WHEN bool_or(t = 'deleted') THEN 'deleted' ELSE min_by(t, CASE WHEN l = '' THEN 1000000000 ELSE 0 END + event_id) END AS change_type,
+  CASE WHEN bool_or(t = 'deleted') THEN min_by(l, CASE WHEN l = '' THEN 1000000000 ELSE 0 END + event_id) FILTER (WHERE t = 'deleted') ELSE min_by(l, CASE WHEN l = '' THEN 1000000000 ELSE 0 END + event_id) END AS language
+FROM (SELECT event_id, path || '/' || (event_id % 40) AS path, CASE WHEN change_type = 'error' THEN 'deleted' ELSE change_type END AS t, CASE event_id % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'ts' ELSE '' END AS l FROM ev) GROUP BY 1""")
 def merged_changes(s, d):
-    e = P.events(s, d).select(F.col("event_id").alias("grp"), "path", F.when(F.col("change_type") == "error", "deleted").otherwise(F.col("change_type")).alias("change_type"), F.lit("x").alias("language"))
-    return diff.merged_changes(e).select("path", "change_type")
+    k = F.col("event_id")
+    e = P.events(s, d).select(k.alias("grp"), F.concat("path", F.lit("/"), (k % 40).cast("string")).alias("path"), F.when(F.col("change_type") == "error", "deleted").otherwise(F.col("change_type")).alias("change_type"), F.when(k % 3 == 0, "go").when(k % 3 == 1, "ts").otherwise("").alias("language"))
+    return diff.merged_changes(e)
 
 
 @query("""SELECT k AS key, name, x, action, conflicts FROM (
@@ -333,6 +359,16 @@ def visibility_fixpoint(s, d):
     return graph.visibility(seeds, refs)
 
 
+# A chain of orders in which each is referred to by the one before: what shows runs down it until a base is too low.
+@query("""SELECT id, id IN (SELECT id FROM shown) AS visible, round(base + CASE WHEN forced OR base >= 1 THEN 0 WHEN id - 1 IN (SELECT id FROM shown) AND id % 60 <> 0 THEN 1 ELSE 0 END, 6) AS score FROM vs""", """vs AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 60 = 41 THEN -0.5::DOUBLE ELSE (o_orderkey % 7) / 10.0::DOUBLE END AS base, o_orderkey % 60 IN (2, 50) AS forced FROM orders),
+shown AS (SELECT id FROM vs WHERE forced OR base >= 1 UNION SELECT v.id FROM shown s JOIN vs v ON v.id = s.id + 1 WHERE v.id % 60 <> 0 AND v.base + 1 >= 1)""", True)
+def visibility_chains(s, d):
+    k = F.col("o_orderkey")
+    o = P.table(s, d, "orders")
+    seeds = o.select(k.alias("id"), F.when(k % 60 == 41, -0.5).otherwise((k % 7) / 10).alias("base"), (k % 60).isin(2, 50).alias("forced"))
+    return graph.visibility(seeds, o.where(k % 60 != 0).select((k - 1).alias("source"), k.alias("target")))
+
+
 @query("SELECT view_id, parent_id FROM (SELECT v.id AS view_id, min(p.view_id) AS parent_id FROM views v LEFT JOIN placements p ON p.element_id = v.owner_element_id AND p.view_id <> v.id GROUP BY 1)")
 def view_parents(s, d):
     return graph.view_parents(P.views(s, d), P.placements(s, d))
