@@ -113,16 +113,29 @@ def owner_keys(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     return symbols.join(identities, "id", "left").withColumn("owner_key", F.coalesce("identity_key", "stable_key"))
 
 
-def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls(id, file, name, line, anywhere), symbols(id, file, name, start_line, end_line) -> id, source_id, target_id.
+def _around(points: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    """points(file, line) -> file, line, and the innermost symbol there."""
+    found = enclosing(points.select("file", "line").distinct(), symbols.select("file", F.col("id").alias("name"), F.col("start_line").alias("start"), F.col("end_line").alias("end")))
+    return found.select("file", "line", F.col("name").alias(name))
 
-    The target has the one name of its kind among all symbols and stands in the same file, or the call's language allows any;
-    the source is the innermost symbol around the call. Calls to the own symbol are none.
+
+def resolved_calls(calls: DataFrame, symbols: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
+    """calls(id, file, name, line, anywhere, kind where given), symbols(id, file, name, start_line, end_line), definitions(id of the call, place, file, line) -> id, source_id, target_id.
+
+    The target is the innermost symbol at the first of the call's definitions that has one; else it has the one name of its kind among all
+    symbols and stands in the same file, or the call's language allows any. The source is the innermost symbol around the call. Calls to the own
+    symbol are none, and only references of kind call (or none) are calls.
     """
+    if "kind" in calls.columns:
+        calls = calls.where("coalesce(kind, '') IN ('', 'call')")
+    if definitions is not None:
+        at = definitions.join(_around(definitions, symbols, "target_id"), ["file", "line"]).groupBy("id").agg(F.min_by("target_id", "place").alias("target_id"))
+        told = calls.join(at, "id").select("id", "file", "line", "target_id")
+        rest = resolved_calls(calls.join(at.select("id"), "id", "left_anti"), symbols)
+        return told.join(_around(told, symbols, "source_id"), ["file", "line"]).where("source_id <> target_id").select("id", "source_id", "target_id").unionByName(rest)
     only = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target_id"), F.min("file").alias("target_file")).where("n = 1")
     hit = calls.join(only, "name").where("anywhere or file = target_file").select("id", "file", "line", "target_id")
-    around = enclosing(hit.select("file", "line").distinct(), symbols.select("file", F.col("id").alias("name"), F.col("start_line").alias("start"), F.col("end_line").alias("end")))
-    return hit.join(around.select("file", "line", F.col("name").alias("source_id")), ["file", "line"]).where("source_id <> target_id").select("id", "source_id", "target_id")
+    return hit.join(_around(hit, symbols, "source_id"), ["file", "line"]).where("source_id <> target_id").select("id", "source_id", "target_id")
 
 
 def identified(symbols: DataFrame, identities: DataFrame) -> DataFrame:

@@ -163,6 +163,31 @@ def reference_resolution(s, d):
     return resolve.resolved_calls(calls, syms)
 
 
+DEFINED = RESOLVE + """,
+kc AS (SELECT id, min(file) AS file, min(name) AS name, min(line) AS line, bool_or(go) AS go FROM calls WHERE id % 7 <> 0 GROUP BY 1),
+dl AS (SELECT id, 0 AS place, (file * 3) % 10 AS file, line + 2000 AS line FROM kc WHERE id % 3 = 0 UNION ALL SELECT id, 1, (file * 3) % 10, line FROM kc WHERE id % 3 = 0 UNION ALL SELECT id, 2, file, line + 5 FROM kc WHERE id % 6 = 0),
+dp AS (SELECT DISTINCT file, line FROM dl),
+dt AS (SELECT p.file, p.line, min_by(s.id, -s.start_line * 10000000000 + s.id) AS id FROM dp p JOIN syms s ON s.file = p.file AND s.start_line <= p.line AND p.line <= coalesce(s.end_line, p.line) GROUP BY 1, 2),
+ds AS (SELECT dl.id, min_by(dt.id, place) AS target_id FROM dl JOIN dt USING (file, line) GROUP BY 1),
+ks AS (SELECT c.file, c.line, min_by(s.id, -s.start_line * 10000000000 + s.id) AS id FROM (SELECT DISTINCT file, line FROM kc) c JOIN syms s ON s.file = c.file AND s.start_line <= c.line AND c.line <= coalesce(s.end_line, c.line) GROUP BY 1, 2)"""
+
+
+@query("SELECT c.id, ks.id AS source_id, coalesce(ds.target_id, u.id) AS target_id FROM kc c LEFT JOIN ds ON ds.id = c.id LEFT JOIN uniq u ON u.name = c.name AND (u.file = c.file OR c.go) JOIN ks ON ks.file = c.file AND ks.line = c.line WHERE ks.id <> coalesce(ds.target_id, u.id)", DEFINED)
+def defined_references(s, d):
+    """Calls with the locations that a definition server gave for some of them, and other kinds of references between them."""
+    li = P.table(s, d, "lineitem")
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id")
+    name = lambda n: F.concat(F.lit("f"), (F.col("l_partkey") * 8 + n).cast("string")).alias("name")
+    start = F.col("l_orderkey") % 1000
+    syms = li.select(key, F.col("l_suppkey").alias("file"), name(F.col("l_linenumber")), start.alias("start_line"), F.when(F.col("l_linenumber") != 3, (start + F.col("l_quantity")).cast("long")).alias("end_line"))
+    calls = li.select(key, F.col("l_suppkey").alias("file"), name(F.col("l_linenumber") % 3), (F.col("l_partkey") % 1100).alias("line"), (F.col("l_returnflag") == "A").alias("anywhere"))
+    calls = calls.groupBy("id").agg(F.min("file").alias("file"), F.min("name").alias("name"), F.min("line").alias("line"), F.bool_or("anywhere").alias("anywhere")).withColumn("kind", F.when(F.col("id") % 7 == 0, "type").when(F.col("id") % 2 == 0, "call"))
+    where = lambda test, place, file, line: calls.where(f"id % 7 <> 0 AND {test}").select("id", F.lit(place).alias("place"), file.alias("file"), line.alias("line"))
+    f, n = F.col("file"), F.col("line")
+    definitions = where("id % 3 = 0", 0, f * 3 % 10, n + 2000).union(where("id % 3 = 0", 1, f * 3 % 10, n)).union(where("id % 6 = 0", 2, f, n + 5))
+    return resolve.resolved_calls(calls, syms, definitions)
+
+
 ARCH = """af AS (SELECT o_orderkey AS id, ['runtime.component', 'runtime.connection', 'runtime.endpoint_ref', 'grpc.server', 'grpc.contract', 'grpc.client', 'http.client', 'datastore.dependency', 'external.dependency', 'runtime.volume'][o_orderkey % 10 + 1] AS type,
   CASE WHEN o_orderkey % 4 = 0 THEN 'apps/n' || c_nationkey || '/src/main.go' WHEN o_orderkey % 4 = 1 THEN 'services/Pay' || (c_nationkey % 3) || '/cmd/x.py' ELSE 'main.go' END AS path,
   CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Part ' || (o_custkey % 40) END AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'unit-' || (o_orderkey % 20) END AS source,

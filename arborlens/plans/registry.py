@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions import enrich, specs, text
-from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, vectors, versions
+from arborlens.operators import ancestry, crossview, density, diff, graph, identity, lint, relational, resolve, vectors, versionlog, versions
 from arborlens.operators import rules as rules_
 from arborlens.plans import projection as P
 from arborlens.streaming import changes, liveness
@@ -274,10 +274,10 @@ def snapshot_diff(s, d):
     return diff.snapshot_diff(*_snapshots(s, d), "o_orderkey")
 
 
-@query("SELECT a.o_orderkey FROM a LEFT JOIN b USING (o_orderkey) WHERE b.hash IS DISTINCT FROM a.hash", SNAP)
+@query("SELECT type, key, state FROM (SELECT CASE WHEN coalesce(a.o_orderkey, b.o_orderkey) % 3 = 0 THEN 'file' ELSE 'symbol' END AS type, coalesce(a.o_orderkey, b.o_orderkey) AS key, CASE WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN CASE WHEN b.o_orderkey % 3 = 0 THEN 'deleted' END WHEN a.hash <> b.hash THEN 'updated' END AS state FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey) WHERE state IS NOT NULL", SNAP)
 def changed_resources(s, d):
-    before, after = _snapshots(s, d)
-    return after.join(before, ["o_orderkey", "hash"], "left_anti").select("o_orderkey")
+    before, after = (x.select(F.when(F.col("o_orderkey") % 3 == 0, "file").otherwise("symbol").alias("type"), F.col("o_orderkey").alias("key"), "hash") for x in _snapshots(s, d))
+    return versionlog.changed_raw(before, after)
 
 
 @query("SELECT b.o_orderkey FROM b ANTI JOIN a USING (o_orderkey)", SNAP)
@@ -783,6 +783,52 @@ def resource_counts(s, d):
     return P.elements(s, d).groupBy("kind").agg(F.count("*").alias("elements"), F.count("description").alias("described"), F.count("technology").alias("with_technology"))
 
 
+# -- versions ------------------------------------------------------------------
+
+VERSION_LOG = """sn AS (SELECT user_id % 8 AS repository_id, event_id % 12 AS place, event_type || ':' || (event_id % 5) || ':' || (user_id % 3) AS key, (max(event_id) % 3)::VARCHAR AS hash FROM events WHERE (event_id // 12) % 3 < 2 GROUP BY ALL),
+rn AS (SELECT repository_id, place, 'h' || (place // 2) AS head, (sum(hash::BIGINT) % 2)::VARCHAR AS hash, place % 3 = 0 AS clean FROM sn GROUP BY 1, 2),
+vn AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY place) AS version FROM (SELECT *, lag(head) OVER w AS h, lag(hash) OVER w AS r FROM rn WINDOW w AS (PARTITION BY repository_id ORDER BY place)) WHERE h IS NULL OR h <> head OR r <> hash),
+vr AS (SELECT repository_id, version, key, sn.hash FROM sn JOIN vn USING (repository_id, place)),
+vd AS (SELECT repository_id, version, key, b.hash AS before_hash, a.hash AS after_hash, CASE WHEN version = 1 THEN 'initialized' WHEN b.hash IS NULL THEN 'added' WHEN a.hash IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'updated' END AS change_type
+  FROM (SELECT repository_id, version + 1 AS version, key, hash FROM vr WHERE (repository_id, version + 1) IN (SELECT repository_id, version FROM vn)) b FULL JOIN vr a USING (repository_id, version, key))"""
+
+
+def _version_log(s, d):
+    e = P.table(s, d, "events").where("(event_id DIV 12) % 3 < 2")
+    k, u = F.col("event_id"), F.col("user_id")
+    key = F.concat_ws(":", "event_type", (k % 5).cast("string"), (u % 3).cast("string"))
+    snapshots = e.groupBy((u % 8).alias("repository_id"), (k % 12).alias("place"), key.alias("key")).agg((F.max("event_id") % 3).cast("string").alias("hash"))
+    runs = snapshots.groupBy("repository_id", "place").agg((F.sum(F.col("hash").cast("long")) % 2).cast("string").alias("hash")).select("repository_id", "place", F.concat(F.lit("h"), F.floor(F.col("place") / 2).cast("string")).alias("head"), "hash", (F.col("place") % 3 == 0).alias("clean"))
+    versions_ = versionlog.versions_of(runs)
+    return versions_, versionlog.stored_diffs(versions_, snapshots)
+
+
+@query("SELECT * FROM vd WHERE change_type IS NOT NULL", VERSION_LOG)
+def stored_diffs(s, d):
+    return _version_log(s, d)[1]
+
+
+@query("""SELECT repository_id, key, since, least(cleaned, back) AS until FROM (SELECT g.repository_id, g.key, g.version AS since, (SELECT min(version) FROM vn c WHERE c.repository_id = g.repository_id AND c.clean AND c.version >= g.version) AS cleaned,
+  (SELECT min(version) FROM vd x WHERE x.repository_id = g.repository_id AND x.key = g.key AND x.change_type = 'added' AND x.version > g.version) AS back FROM vd g WHERE change_type = 'deleted') WHERE least(cleaned, back) IS NULL OR least(cleaned, back) > since""", VERSION_LOG)
+def version_tombstones(s, d):
+    return versionlog.tombstones(*_version_log(s, d))
+
+
+SUMMARIES = """fb AS (SELECT 'fact-summary:f' || (p_partkey % 60) || '.go:t' || (p_partkey % 4) || ':' || lpad(p_partkey::VARCHAR, 16, '0') AS key, 'f' || (p_partkey % 60) || '.go' AS f, 't' || (p_partkey % 4) AS t, (p_size % 3)::VARCHAR AS hash FROM part WHERE p_partkey % 11 < 6),
+fa AS (SELECT 'fact-summary:f' || (p_partkey % 60) || '.go:t' || (p_partkey % 4) || ':' || lpad(p_partkey::VARCHAR, 16, '0') AS key, 'f' || (p_partkey % 60) || '.go' AS f, 't' || (p_partkey % 4) AS t, ((p_size + p_partkey % 2) % 3)::VARCHAR AS hash FROM part WHERE p_partkey % 7 < 4),
+fn AS (SELECT a.*, o.bk, o.bh, o.bk IS NOT NULL AND o.bh <> a.hash AS moved FROM fa a LEFT JOIN (SELECT f, t, min(key) AS bk, min_by(hash, key) AS bh FROM fb GROUP BY 1, 2) o USING (f, t) WHERE a.key NOT IN (SELECT key FROM fb))"""
+
+
+@query("""SELECT key, key AS before_key, fb.hash AS before_hash, fa.hash AS after_hash, 'updated' AS change_type FROM fb JOIN fa USING (key) WHERE fb.hash <> fa.hash
+UNION ALL SELECT key, CASE WHEN moved THEN bk END, CASE WHEN moved THEN bh END, hash, CASE WHEN moved THEN 'updated' ELSE 'added' END FROM fn
+UNION ALL SELECT key, key, hash, NULL, 'deleted' FROM fb WHERE key NOT IN (SELECT key FROM fa) AND key NOT IN (SELECT bk FROM fn WHERE moved)""", SUMMARIES)
+def promoted_summaries(s, d):
+    p, k = P.table(s, d, "part"), F.col("p_partkey")
+    key = F.concat(F.lit("fact-summary:f"), (k % 60).cast("string"), F.lit(".go:t"), (k % 4).cast("string"), F.lit(":"), F.lpad(k.cast("string"), 16, "0"))
+    side = lambda test, h: p.where(test).select(key.alias("key"), (h % 3).cast("string").alias("hash"))
+    return versionlog.promoted_summaries(side(k % 11 < 6, F.col("p_size")), side(k % 7 < 4, F.col("p_size") + k % 2))
+
+
 # -- streams over a replayed table -------------------------------------------
 
 
