@@ -84,7 +84,23 @@ VERBS = "get|post|put|delete|patch|head|options"
 # Families by language; what they look for follows from each framework's public interface.
 for _name in ("express", "hono"):
     routes(f"ts.{_name}", "typescript javascript", (_name,), (rf"\b(?:app|router|server|api)\.({VERBS})\(\s*{QUOTED}", 1, 2))
-routes("ts.fastify", "typescript javascript", ("fastify",), (rf"\b\w+\.({VERBS})\(\s*{QUOTED}", 1, 2), (rf"\.route\(\s*\{{[^}}]*method:\s*{QUOTED}[^}}]*url:\s*{QUOTED}", 1, 2))
+# Shorthand calls; and route(options), whose keys come in any order, with one method or a list of them.
+_OPTIONS = re.compile(r"\.route\(\s*\{(.*?)\}\s*\)", re.S)
+_OPTION_METHODS = re.compile(r"""\bmethod\s*:\s*(\[[^\]]*\]|["'`]\w+["'`])""")
+_OPTION_URL = re.compile(rf"\b(?:url|path)\s*:\s*{QUOTED}")
+
+
+@register("ts.fastify", "typescript javascript", "fastify")
+def fastify_routes(path: str, text: str) -> Iterator[dict]:
+    found = [(m.start(), m[1], m[2]) for m in re.finditer(rf"\b\w+\.({VERBS})\(\s*{QUOTED}", text)]
+    for options in _OPTIONS.finditer(text):
+        methods, url = _OPTION_METHODS.search(options[1]), _OPTION_URL.search(options[1])
+        if methods and url:
+            found += [(options.start(), verb, url[1]) for verb in re.findall(r"\w+", methods[1])]
+    for at, verb, url in sorted(found):
+        yield {"type": "http.route", "name": f"{verb.upper()} {url}", "line": _line(text, at), "confidence": 0.9, "hint": 1.0}
+
+
 routes("ts.nestjs", "typescript javascript", ("@nestjs/common",), (r"@(Get|Post|Put|Delete|Patch|Head|Options)\(\s*(?:[\"'`]([^\"'`]*)[\"'`])?\s*\)", 1, 2), (rf"@Controller\(\s*{QUOTED}", "ANY", 1))
 routes("go.nethttp", "go", ("net/http",), (r"""\bHandle(?:Func)?\(\s*"(?:([A-Z]+) )?(/[^"]*)\"""", "ANY", 2))
 for _name, _module in (("gin", "github.com/gin-gonic/gin"), ("echo", "github.com/labstack/echo"), ("gorilla_mux", "github.com/gorilla/mux")):

@@ -94,25 +94,28 @@ def graph_tags(name: Column, incoming: Column, outgoing: Column) -> Column:
     return F.array_compact(F.array(F.when(exported(name), "graph:entrypoint"), F.when(incoming >= 3, "graph:fan-in"), F.when(outgoing >= 3, "graph:fan-out")))
 
 
+#: How much a file tells about an architecture, by what its name and its path hold (lower case); the first that fits counts.
+PATH_SCORES = [
+    (100, r"^dockerfile($|\.)", ""),
+    (100, r"^docker-compose.*\.ya?ml$", ""),
+    (95, r"^(kustomization\.yaml|kustomization\.yml|chart\.yaml|values\.yaml)$", ""),
+    (90, "", r"\.github/workflows/"),
+    (90, r"^codeowners$", ""),
+    (85, r"^(package\.json|package-lock\.json|pnpm-lock\.yaml|yarn\.lock|go\.mod|go\.sum|pom\.xml|build\.gradle|settings\.gradle|requirements\.txt|requirements\.in|pyproject\.toml|poetry\.lock|cargo\.toml)$", ""),
+    (80, r"\.(tf|proto)$", ""),
+    (70, r"^readme", ""),
+    (88, r"\.ya?ml$", r"k8s|kubernetes|deploy|manifest"),
+    (40, r"\.ya?ml$", ""),
+    (60, r"^(main\.go|server\.go|app\.ts|app\.tsx|index\.ts|index\.tsx)$", ""),
+]
+
+
 def path_score(path: Column) -> Column:
-    """How much a file tells about an architecture, 0 to 100, by its name."""
+    """How much a file tells about an architecture, 0 to 100."""
     base, low = F.lower(base_name(path)), F.lower(path)
-    yaml = base.rlike(r"\.ya?ml$")
-    named = lambda *names: base.isin(*names)
-    rules = [
-        (base.rlike(r"^dockerfile($|\.)") | (base.startswith("docker-compose") & yaml), 100),
-        (named("kustomization.yaml", "kustomization.yml", "chart.yaml", "values.yaml"), 95),
-        (F.contains(low, F.lit(".github/workflows/")) | named("codeowners"), 90),
-        (named("package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "go.mod", "go.sum", "pom.xml", "build.gradle", "settings.gradle", "requirements.txt", "requirements.in", "pyproject.toml", "poetry.lock", "cargo.toml"), 85),
-        (base.rlike(r"\.(tf|proto)$"), 80),
-        (base.startswith("readme"), 70),
-        (yaml & low.rlike("k8s|kubernetes|deploy|manifest"), 88),
-        (yaml, 40),
-        (named("main.go", "server.go", "app.ts", "app.tsx", "index.ts", "index.tsx"), 60),
-    ]
     out = F.lit(0)
-    for test, score in reversed(rules):
-        out = F.when(test, score).otherwise(out)
+    for score, name, place in reversed(PATH_SCORES):
+        out = F.when(base.rlike(name) & low.rlike(place), score).otherwise(out)
     return out
 
 

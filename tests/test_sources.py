@@ -303,3 +303,10 @@ def test_change_source(spark, tmp_path):
     out = changes.source(spark, f"file://{tmp_path}/in").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     out.awaitTermination()
     assert [r["path"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a/m.py"]
+
+
+def test_route_options_in_any_order(spark):
+    text = "app.get('/a', h)\napp.route({ url: '/b', schema, method: ['GET', 'HEAD'], handler: h })\napp.route({\n  method: \"POST\",\n  url: `/c`\n})\napp.route({ handler: h })"
+    files = spark.createDataFrame([("x.ts", "typescript", "import f from 'fastify'\n" + text)], "path string, language string, content string")
+    got = {(r["name"], r["line"]) for r in enrichers.facts_of(files, None, ["ts.fastify"]).collect()}
+    assert got == {("GET /a", 2), ("GET /b", 3), ("HEAD /b", 3), ("POST /c", 4)}
