@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from .core import lists, prepare, stored
 
 #: Bytes of text that a task gathers before DuckDB counts its pairs.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 #: Parts between spaces, and bytes of stretches, that a worker keeps.
-KEPT_STRETCHES, KEPT_BYTES = 400_000, 24 << 20
+KEPT_STRETCHES, KEPT_BYTES = 500_000, 24 << 20
 #: Texts that the tokenizers get at once, and stretches joined to one text.
 ENCODED, RUN = 4096, 128
 #: Stretches that go through DuckDB at once.
@@ -170,13 +170,13 @@ class Aligner:
         bad = np.array([k for k, (x, y) in enumerate(zip(ids, raw)) if b"".join(map(entry.__getitem__, x)) != y], np.int64)
         return np.zeros(0, np.int32), np.zeros(0, np.int64), bad
 
-    def intervals(self, con, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def intervals(self, con, stretches: list[str], in_runs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Register the interval tables a and b of the stretches whose tokens join to them; (A's and B's number of tokens, good)."""
         raw = [s.encode() for s in stretches]
         end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         lengths, entries, good, tables = (self.a_length, self.b_length), (self.a_bytes, self.b_bytes), np.ones(len(raw), bool), [None, None]
-        # Runs, unless a stretch starts or ends in another way, or one of them does not come back.
-        if all(x[0] == " " and is_regular(x[1:]) for x in stretches):
+        # Runs of stretches that start with a space and end visibly, unless one of them does not come back.
+        if in_runs:
             tables = [self.token_table(ids, entry, length, raw, end, True) for ids, entry, length in zip(self.tokens(stretches, True), entries, lengths)]
         if None in tables:
             both, tables = self.tokens(stretches, False), []
@@ -197,12 +197,12 @@ class Aligner:
         con.execute(GROUPS_SQL)
         return counts[0], counts[1], good
 
-    def learn(self, stretches: list[str]) -> None:
+    def learn(self, stretches: list[str], in_runs: bool) -> None:
         """Align stretches that are not yet kept, and keep what comes of it."""
         import duckdb
 
         with duckdb.connect(config=DUCKDB) as con:
-            n_a, n_b, good = self.intervals(con, stretches)
+            n_a, n_b, good = self.intervals(con, stretches, in_runs)
             links = con.sql(LINKS_SQL).to_arrow_table()
             tokens = con.sql(ORDERED_SQL).to_arrow_table()
         n, stretch, times = len(stretches), links["stretch"].to_numpy(), links["links"].to_numpy()
@@ -230,36 +230,34 @@ class Aligner:
 
         if len(self.parts) > KEPT_STRETCHES or self.bytes > KEPT_BYTES:
             self.forget()
-        cut, new = [], {}
-        for t in texts:
-            keys = t.split(" ") if t else []
-            unknown = [k for k in dict.fromkeys(keys) if k not in self.parts and k not in new]
-            if not all(map(is_regular, unknown)):
-                # A part between two spaces starts with none, so these keys are no parts.
-                keys = _CUT.split(" " + t)
-                unknown = [k for k in keys if k not in self.parts]
-            new.update((k, self.cut(k)) for k in unknown)
-            cut.append(keys)
-        fresh = [s for s in dict.fromkeys(chain.from_iterable(new.values())) if s not in self.place]
-        # Regular stretches go in runs; the few others by themselves.
-        plain = [s[0] == " " and is_regular(s[1:]) for s in fresh]
-        for some in ([s for s, p in zip(fresh, plain) if p], [s for s, p in zip(fresh, plain) if not p]):
+        cut = [t.split(" ") if t else [] for t in texts]
+        fresh = set(chain.from_iterable(cut)).difference(self.parts)
+        if odd := {k for k in fresh if not is_regular(k)}:
+            # A part between two spaces starts with none, so what starts with one is no part.
+            cut = [keys if odd.isdisjoint(keys) else _CUT.split(" " + t) for keys, t in zip(cut, texts)]
+            fresh = set(chain.from_iterable(cut)).difference(self.parts)
+        new = {k: self.cut(k) for k in sorted(fresh)}
+        # Regular stretches go in runs; marks and what starts with a space by themselves.
+        heads = dict.fromkeys(x[0] for k, x in new.items() if k[0] != " ")
+        others = dict.fromkeys(x[-1] for k, x in new.items() if k[0] == " " or len(x) > 1)
+        for kind, in_runs in ((heads, True), (others, False)):
+            some = [s for s in kind if s not in self.place]
             for at in range(0, len(some), LEARNED):
-                self.learn(some[at : at + LEARNED])
+                self.learn(some[at : at + LEARNED], in_runs)
         if new:
             self.parts.update(zip(new, range(len(self.parts), len(self.parts) + len(new))))
             self.halves = np.concatenate([self.halves, np.array([(self.place[x[0]], self.place[x[1]] if len(x) > 1 else -1) for x in new.values()])])
-        rows, good = [], []
-        for x in cut:
-            at = self.halves[np.fromiter(map(self.parts.__getitem__, x), np.int64, len(x))].ravel()
-            at = at[at >= 0]
-            good.append(bool(len(at)) and bool(self.good[at].all()))
-            rows.append(at if good[-1] else at[:0])
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = self.halves[np.fromiter(map(self.parts.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))].ravel()
+        doc = np.repeat(np.arange(len(cut)), 2 * n)[flat >= 0]
+        flat = flat[flat >= 0]
+        # A document with a stretch that does not come back has no tokens.
+        good = (n > 0) & (np.bincount(doc, ~self.good[flat], len(cut)) == 0)
+        flat, doc = flat[good[doc]], doc[good[doc]]
+        end = np.cumsum(np.bincount(doc, minlength=len(cut)))
         # Stretches of the unit, numbered from 0.
-        used, flat = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
-        n = np.fromiter(map(len, rows), np.int64, len(rows))
-        doc = np.repeat(np.arange(len(rows)), n)
-        both, times = np.unique(doc * (len(used) + 1) + flat, return_counts=True)
+        used, local = np.unique(flat, return_inverse=True)
+        both, times = np.unique(doc * (len(used) + 1) + local, return_counts=True)
         held_doc, held = both // (len(used) + 1), both % (len(used) + 1)
         size = (self.first[1:] - self.first[:-1])[used]
         start = np.concatenate([[0], np.cumsum(size)])
@@ -270,13 +268,14 @@ class Aligner:
             con.register("linked", pa.table({"stretch": np.repeat(np.arange(len(used), dtype=np.int32), size), "pair": pair}))
             counts = con.sql(COUNT_SQL).to_arrow_table()
         names = counts["pair"].to_numpy()
-        sums = {c: np.bincount(doc, getattr(self, c)[used][flat], len(rows)).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-        shas = [hashlib.sha256(";".join(map(self.text.__getitem__, x.tolist())).encode()).hexdigest() if ok else "" for x, ok in zip(rows, good)]
-        per_doc = np.bincount(held_doc, minlength=len(rows))
-        none = np.zeros(len(rows), np.int64)
+        sums = {c: np.bincount(doc, getattr(self, c)[flat], len(cut)).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        order, text = flat.tolist(), self.text.__getitem__
+        shas = [hashlib.sha256(";".join(map(text, order[a:b])).encode()).hexdigest() if ok else "" for a, b, ok in zip([0, *end.tolist()], end.tolist(), good.tolist())]
+        per_doc = np.bincount(held_doc, minlength=len(cut))
+        none = np.zeros(len(cut), np.int64)
         empty = np.zeros(0, np.int32)
         yield pa.record_batch({
-            "unit": pa.array(np.full(len(rows), number)), "doc_id": pa.array(ids, pa.int64()), **{c: pa.array(v) for c, v in sums.items()},
+            "unit": pa.array(np.full(len(cut), number)), "doc_id": pa.array(ids, pa.int64()), **{c: pa.array(v) for c, v in sums.items()},
             "groups_sha256": pa.array(shas, pa.string()), "stretch": lists(held.astype(np.int32), per_doc), "times": lists(times.astype(np.int32), per_doc),
             "pair": lists(np.zeros(0, np.int64), none), "documents": lists(empty, none), "first": lists(empty, none), "linked": lists(empty, none), "links": lists(empty, none),
         })
@@ -398,7 +397,7 @@ def spans(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ids = pa.array([i for i, t in zip(ids, texts) if t], pa.int64())
             base = np.cumsum([0, *(len(t.encode()) for t in whole)])
             with duckdb.connect(config=DUCKDB) as con:
-                aligner.intervals(con, whole)
+                aligner.intervals(con, whole, False)
                 found = con.sql(SPANS_SQL).to_arrow_table()
             at = found["stretch"].to_numpy()
             out = pa.table({"doc_id": ids.take(pa.array(at)), "start": found["s"].to_numpy() - base[at], "end": found["e"].to_numpy() - base[at], "a": found["a"].cast(pa.list_(pa.int32())), "b": found["b"].cast(pa.list_(pa.int32()))})
