@@ -60,7 +60,8 @@ def cascade(gone: DataFrame, placements: DataFrame, connectors: DataFrame, views
     """Rows that go with deleted elements: their placements, connectors and owned views, and what stands in those views. (kind, id)."""
     e = gone.select(F.col("id").alias("element_id")).distinct()
     dead = views.join(e, views.owner_element_id == e.element_id, "left_semi").select(F.col("id").alias("view_id"))
-    p = placements.join(e, "element_id", "left_semi").union(placements.join(dead, "view_id", "left_semi").select(*placements.columns)).distinct()
+    # By name: a join puts its key first, so the columns of the two parts stand in different order.
+    p = placements.join(e, "element_id", "left_semi").unionByName(placements.join(dead, "view_id", "left_semi")).select("view_id", "element_id").distinct()
     c = connectors.join(e.withColumnRenamed("element_id", "source_element_id"), "source_element_id", "left_semi").select("id").union(connectors.join(e.withColumnRenamed("element_id", "target_element_id"), "target_element_id", "left_semi").select("id")).union(connectors.join(dead, "view_id", "left_semi").select("id")).distinct()
     rows = e.select(F.lit("element").alias("kind"), F.col("element_id").cast("string").alias("id"))
     return rows.union(dead.select(F.lit("view"), F.col("view_id").cast("string"))).union(p.select(F.lit("placement"), F.concat_ws(":", "view_id", "element_id"))).union(c.select(F.lit("connector"), F.col("id").cast("string")))
