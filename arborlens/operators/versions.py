@@ -158,11 +158,19 @@ def control_states(requests: DataFrame, order: list) -> DataFrame:
 
 
 def poll_ticks(events: DataFrame, every: int, quiet: float) -> DataFrame:
-    """events(repository_id, second): per repository, polls due each `every` seconds from its first event to its last, and those skipped as an event was less than `quiet` seconds before."""
-    span = events.groupBy("repository_id").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    ticks = span.select("repository_id", F.explode(F.sequence(F.col("a"), F.col("b"), F.lit(every))).alias("tick"))
-    busy = events.select("repository_id", F.explode(F.sequence(F.col("second"), F.col("second") + int(quiet) - 1)).alias("tick")).distinct().withColumn("busy", F.lit(1))
-    return ticks.join(busy, ["repository_id", "tick"], "left").groupBy("repository_id").agg(F.count("*").alias("due"), F.count("busy").alias("skipped"))
+    """events(repository_id, second): per repository, polls due each `every` seconds from its first event to its last, and those skipped as an event was less than `quiet` seconds before.
+
+    Polls are counted by their numbers, without a row for each: an event skips those of a range of numbers, and of ranges in order each adds what lies behind the largest end so far.
+    """
+    span = events.groupBy("repository_id").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a is not null")
+    span = span.select("repository_id", "a", F.floor((F.col("b") - F.col("a")) / every).alias("last"))
+    after = F.col("second") - F.col("a")
+    ranges = events.where("second is not null").join(span, "repository_id").select("repository_id", F.ceil(after / every).alias("x"), F.least(F.floor((after + int(quiet) - 1) / every), "last").alias("y"))
+    ranges = ranges.where("x <= y").groupBy("repository_id", "x").agg(F.max("y").alias("y"))
+    w = Window.partitionBy("repository_id").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = ranges.withColumn("seen", F.coalesce(F.max("y").over(w), F.lit(-1))).where("y > seen")
+    skipped = fresh.groupBy("repository_id").agg(F.sum(F.col("y") - F.greatest("x", F.col("seen") + 1) + 1).alias("skipped"))
+    return span.join(skipped, "repository_id", "left").select("repository_id", (F.col("last") + 1).alias("due"), F.coalesce("skipped", F.lit(0)).cast("long").alias("skipped"))
 
 
 def graph_lines(symbols: DataFrame, references: DataFrame, facts: DataFrame) -> DataFrame:
