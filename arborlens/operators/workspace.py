@@ -92,10 +92,12 @@ def view_owners(views: DataFrame, elements: DataFrame, navigations: DataFrame) -
     sure = own.union(nav.join(own.select("view_id"), "view_id", "left_anti").select("view_id", "ref", "by"))
     free = e.join(sure.select("ref"), "ref", "left_anti")
     open_ = views.join(sure.select(F.col("view_id").alias("id")), "id", "left_anti")
-    both = open_.join(free, (F.col("name") == F.col("ename")) & (F.col("label") == F.col("elabel"))).groupBy(F.col("id").alias("view_id")).agg(F.count("*").alias("n"), F.min("ref").alias("ref")).where("n = 1").select("view_id", "ref", F.lit(3).alias("by"))
+    # Elements are counted by name before the join, so that a name of many views and many elements makes no pairs.
+    one = lambda found, by: found.groupBy(F.col("id").alias("view_id")).agg(F.sum("n").alias("n"), F.min("ref").alias("ref")).where("n = 1").select("view_id", "ref", F.lit(by).alias("by"))
+    counted = lambda *names: free.groupBy(*names).agg(F.count("*").alias("n"), F.min("ref").alias("ref"))
+    both = one(open_.join(counted("ename", "elabel"), (F.col("name") == F.col("ename")) & (F.col("label") == F.col("elabel"))), 3)
     rest = open_.join(both.select(F.col("view_id").alias("id")), "id", "left_anti")
-    name = rest.join(free, F.col("name") == F.col("ename")).groupBy(F.col("id").alias("view_id")).agg(F.count("*").alias("n"), F.min("ref").alias("ref")).where("n = 1").select("view_id", "ref", F.lit(4).alias("by"))
-    return sure.union(both).union(name)
+    return sure.union(both).union(one(rest.join(counted("ename"), F.col("name") == F.col("ename")), 4))
 
 
 def plan(elements: DataFrame, connectors: DataFrame, scope: Column) -> DataFrame:
