@@ -81,17 +81,25 @@ def under_folders(files: DataFrame, *sums: str) -> DataFrame:
     return files.withColumn("folder", up).groupBy("folder").agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def attributed_lines(symbols: DataFrame, lines: DataFrame, bucket: int = 64) -> DataFrame:
+def attributed_lines(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """symbols(key, path, start_line, end_line, old_start, old_end), lines(path, line, kind added or removed) -> key, added, removed.
 
-    Added lines count in the new range, removed ones in the old range (the new one where there is none). Ranges are dealt to buckets of lines.
+    Added lines count in the new range, removed ones in the old range (the new one where there is none). A range's number is the lines up to its end less those before its start, so no line
+    meets a range: running sums over the numbers of a file's lines and ranges' ends, each number once, are looked up.
     """
-    ranges = F.explode(F.array(F.struct(F.lit("added").alias("kind"), F.col("start_line").alias("a"), F.col("end_line").alias("b")), F.struct(F.lit("removed").alias("kind"), F.coalesce("old_start", "start_line").alias("a"), F.coalesce("old_end", "end_line").alias("b"))))
-    r = symbols.select("key", "path", ranges.alias("r")).select("key", "path", "r.kind", "r.a", "r.b").where("a > 0 and b >= a")
-    spread = r.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor(F.col("b") / bucket))))
-    hit = spread.join(lines.withColumn("bucket", F.floor(F.col("line") / bucket)), ["path", "kind", "bucket"]).where("line between a and b")
-    n = hit.groupBy("key").agg(F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"))
-    return symbols.select("key").distinct().join(n, "key", "left").select("key", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("added", "removed")])
+    start, end = F.coalesce("old_start", "start_line"), F.coalesce("old_end", "end_line")
+    r = symbols.select("key", "path", (F.col("start_line") - 1).alias("a0"), F.col("end_line").alias("b0"), (start - 1).alias("a1"), end.alias("b1"))
+    r = r.withColumns({c: F.when((F.col(f"a{c[1]}") >= 0) & (F.col(f"b{c[1]}") > F.col(f"a{c[1]}")), F.col(c)) for c in ("a0", "b0", "a1", "b1")})
+    counts = lines.groupBy("path", "line").agg(F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"))
+    zero = F.lit(0).cast("long")
+    points = r.select("path", F.explode(F.array("a0", "b0", "a1", "b1")).alias("line")).where("line is not null").distinct().select("path", "line", zero.alias("added"), zero.alias("removed"))
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    each = counts.unionByName(points).groupBy("path", "line").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    total = each.select("path", "line", F.sum("added").over(w).alias("added"), F.sum("removed").over(w).alias("removed"))
+    for c, kind in (("a0", "added"), ("b0", "added"), ("a1", "removed"), ("b1", "removed")):
+        r = r.join(total.select("path", F.col("line").alias(c), F.col(kind).alias(f"n_{c}")), ["path", c], "left")
+    within = lambda k: F.coalesce(F.sum(F.col(f"n_b{k}") - F.col(f"n_a{k}")), zero)
+    return r.groupBy("key").agg(within(0).alias("added"), within(1).alias("removed"))
 
 
 def chunked_hash(rows: DataFrame, group: str, order: list, line: Column, size: int = 1000) -> DataFrame:
