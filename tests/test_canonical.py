@@ -56,3 +56,13 @@ def test_an_edge_joins_names_without_evidence_and_interfaces_stay_apart(spark):
     c = [service("component:cart", "cart"), service("component:cart-api", "cart api"), service("component:mail", "mail"), service("component:mail-api", "mail api"), service("component:x", "same"), service("contract:x", "Same", kind="interface"), service("external:x", "same", kind="external")]
     # An interface of another's slug shares its root too, but nothing joins them.
     assert changed(canonical(spark, c, [("component:cart-api", "component:cart")])) == {"component:cart-api": "component:cart", "external:x": "component:x"}
+
+
+def test_rows_of_one_key_do_not_meet_each_other(spark):
+    from pyspark.sql import functions as F
+
+    two = [service("component:cart", "cart"), service("component:cart", "cart", "grpc.server"), service("component:cartservice", "cartservice"), service("component:cartservice", "cartservice", "deployable")]
+    c = spark.createDataFrame([(k, name, kind, tech, tags, ev) for k, name, kind, tech, tags, ev in two], COMPONENTS).crossJoin(spark.range(2000)).drop("id")
+    e = spark.createDataFrame([("component:x", "component:cart")], "source string, target string")
+    got = architecture.canonical(c, e).groupBy("key", "canonical").agg(F.count("*").alias("n")).collect()
+    assert sorted(tuple(r) for r in got) == [("component:cart", "component:cartservice", 4000), ("component:cartservice", "component:cartservice", 4000)]
