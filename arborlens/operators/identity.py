@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions.text import identifier_tokens, token_jaccard
-from arborlens.operators.graph import checkpointed
+from arborlens.operators.graph import dropped, stored
 
 #: What a candidate's parts score, and the least total that counts.
 SAME_PLACE, SAME_LINE, NEAR_LINE, SAME_HASH, SAME_PARENT = 0.35, 0.35, 0.2, 0.2, 0.1
@@ -68,18 +68,32 @@ def one_to_one(found: DataFrame, order: DataFrame) -> DataFrame:
     """found(key, identity, score), order(key, place: any orderable value, unique) -> key, identity, score: what a serial walk over the keys by place gives, each taking its best free identity.
 
     By rounds of proposals: every key proposes to the best identity that is left to it (by score, then identity); an identity keeps the
-    first proposer by place, and is no longer left to any later key. As every identity ranks keys alike, that ends in the serial walk's result. A
-    round moves candidates, not groups; the number of rounds is that of the longest chain of keys that turn each other away.
+    first proposer by place, and is no longer left to any later key. As every identity ranks keys alike, that ends in the serial walk's result. Where no earlier key has an
+    identity left at all, its match is settled, and no candidate of its key or of the identity goes into the next round. A
+    round moves candidates, not groups, and drops those of the round before; the number of rounds is that of the longest chain of keys that turn each other away.
     """
-    left = checkpointed(found.join(order, "key").select("key", "place", "identity", "score"))
+    spark = found.sparkSession
+    left, folder = stored(found.join(order, "key").select("key", "place", "identity", "score"))
+    settled = []
     while True:
         best = F.min(F.struct((-F.col("score")).alias("s"), "identity")).alias("b")
         proposed = left.groupBy("key", "place").agg(best).select("key", "place", F.col("b.identity").alias("identity"), (-F.col("b.s")).alias("score"))
-        kept = checkpointed(proposed.groupBy("identity").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min_by("key", "place").alias("key"), F.min_by("score", "place").alias("score")))
+        kept = proposed.groupBy("identity").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min_by("key", "place").alias("key"), F.min_by("score", "place").alias("score"))
+        lowest = left.groupBy("identity").agg(F.min("place").alias("lowest"))
+        kept, kept_in = stored(kept.join(lowest, "identity").withColumn("sure", F.col("first") == F.col("lowest")).drop("lowest"))
         if kept.where("n > 1").isEmpty():
             break
-        left = checkpointed(left.join(kept.select("identity", "first"), "identity", "left").where("first IS NULL OR place <= first").select("key", "place", "identity", "score"))
-    return kept.select("key", "identity", "score")
+        sure = kept.where("sure")
+        settled.append(stored(sure.select("key", "identity", "score"))[0])
+        rest = left.join(kept.select("identity", "first", "sure"), "identity", "left").where("first IS NULL OR (NOT sure AND place <= first)")
+        before, (left, folder) = folder, stored(rest.join(sure.select("key"), "key", "left_anti").select("key", "place", "identity", "score"))
+        dropped(spark, before)
+        dropped(spark, kept_in)
+    dropped(spark, folder)
+    out = kept.select("key", "identity", "score")
+    for part in settled:
+        out = out.unionByName(part)
+    return out
 
 
 def matched(symbols: DataFrame, identities: DataFrame) -> DataFrame:

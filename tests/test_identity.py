@@ -55,6 +55,20 @@ def test_a_chain_of_refusals(spark):
     assert identity.one_to_one(t.where("false"), order).collect() == []
 
 
+def test_rounds_leave_no_candidates_on_disk(spark):
+    from pathlib import Path
+
+    from arborlens.operators.graph import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    t = spark.createDataFrame([(f"k{i}", f"i{j}", 0.9) for i in range(6) for j in range(6)], "key string, identity string, score double")
+    got = identity.one_to_one(t, t.select("key", t.key.alias("place")).distinct())
+    assert {r["key"]: r["identity"] for r in got.collect()} == {f"k{i}": f"i{i}" for i in range(6)}
+    made = set(folder.iterdir()) - before
+    assert made and all("place" not in spark.read.parquet(str(m)).columns for m in made)
+
+
 def test_rename_in_place_and_move_keep_the_identity(spark):
     symbols = [("main.Main", "main.go", "func", 3, "m2", "main.Main"), ("main.LoadUser", "main.go", "func", 7, "l", "main.LoadUser"), ("users.LoadAccount", "pkg/users.go", "func", 7, "body", "users.LoadAccount"), ("x.Far", "main.go", "func", 40, "f", "x.Far"), ("x.Near", "main.go", "func", 20, "n", "x.Near")]
     known = [("i1", "main.Main", "main.go", "func", 3, "m1", "main.Main"), ("i2", "main.FetchUser", "main.go", "func", 7, "x", "main.FetchUser"), ("i3", "users.FetchUser", "gone.go", "func", 5, "body", "users.FetchUser"), ("i4", "y.Far", "main.go", "func", 44, "f", "y.Far"), ("i5", "x.Was", "main.go", "func", 22, "other", "x.Was"), ("i6", "g.E", "gone.go", "func", 7, "", "g.E")]
