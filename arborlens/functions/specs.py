@@ -1,20 +1,25 @@
 """Token specifications as a relation (U2, U4): every token of every specification is looked for in one pass of each text.
 
 The distinct tokens go into an Aho-Corasick automaton that each task builds for itself; its cost for a text does not depend on how many specifications there are. Tokens of more than
-TOKEN_BYTES in all are dealt over several automata, each a pass. A text yields the tokens that it holds, and joins by token lead to specifications; the first listed one makes the fact.
+TOKEN_BYTES in all are dealt over several automata, each a pass. A text yields one row with the tokens that it holds. Specifications are dealt into cells of about CELL_TOKENS listed tokens;
+a task holds a cell and the texts pass by it, so facts, of which every pair of a text and a specification may be one, leave as they are found and are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlens.functions.enrich import without_comments
 
 TOKEN_BYTES = 8 << 20
+CELL_TOKENS = 1 << 16
+#: Facts in an output batch, about.
+FACTS = 1 << 15
 #: Confidence and visibility hint of such a fact.
 CONFIDENCE, HINT = 0.78, 0.6
 
@@ -22,16 +27,18 @@ SPECS = "id string, type string, tokens array<string>, languages array<string>,
 
 
 def held_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """texts(path, code), tokens(token) -> path, token: the different tokens that each text holds; overlaps count."""
+    """texts(code, ...), tokens(token) -> the other columns of texts, and tokens: the different ones that the text holds; overlaps count. No row for a text without any; one for each pass that finds some."""
     distinct = tokens.where("token <> ''").select("token").distinct()
     size = distinct.agg(F.sum(F.octet_length("token") + 8)).first()[0] or 0
     passes = -(-size // TOKEN_BYTES)
+    rest = texts.drop("code")
+    shape, kept = rest.withColumn("tokens", F.array(F.lit(""))).schema, rest.columns
     out = None
     for k in range(passes):
         # Bounded: TOKEN_BYTES in each pass on average.
         words = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64("token"), F.lit(passes)) == k).collect())
 
-        def run(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], words=words, kept=tuple(kept)) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
             automaton = ahocorasick.Automaton()
@@ -39,13 +46,120 @@ def held_tokens(texts: DataFrame, tokens: DataFrame) -> DataFrame:
                 automaton.add_word(w, w)
             automaton.make_automaton()
             for b in batches:
-                found = [(p, w) for p, text in zip(b["path"], b["code"]) if text for w in sorted({w for _, w in automaton.iter(text)})]
-                yield pd.DataFrame(found, columns=["path", "token"])
+                found = [sorted({w for _, w in automaton.iter(text)}) if text else [] for text in b.column("code").to_pylist()]
+                take = pa.array([i for i, ws in enumerate(found) if ws], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in kept), pa.array([ws for ws in found if ws], pa.list_(pa.string()))], [*kept, "tokens"])
 
         if words:
-            one = texts.select("path", "code").mapInPandas(run, texts.select("path", F.lit("").alias("token")).schema)
+            one = texts.select(*kept, "code").mapInArrow(run, shape)
             out = one if out is None else out.unionByName(one)
-    return out if out is not None else texts.select("path", F.lit("").alias("token")).where("false")
+    return out if out is not None else rest.withColumn("tokens", F.array(F.lit(""))).where("false")
+
+
+class _Cell:
+    """The specifications of a cell, from rows (enricher, type, tokens, languages, triggers, path_tokens, tags)."""
+
+    def __init__(self, rows: pa.Table):
+        listed = lambda name: [[x for x in v or [] if x is not None] for v in rows.column(name).to_pylist()]
+        self.rows, n = rows, rows.num_rows
+        tokens = rows.column("tokens").to_pylist()
+        sizes = np.fromiter((len(x or []) for x in tokens), np.int64, n)
+        self.words = pa.array([w for x in tokens for w in x or []], pa.string())
+        self.owner = np.repeat(np.arange(n), sizes)
+        by: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words.to_pylist()):
+            by.setdefault(w, []).append(i)
+        self.at = {w: np.array(i) for w, i in by.items()}
+        self.by_language, self.any_language = self._named(rows.column("languages").to_pylist(), listed("languages"))
+        self.by_trigger, self.any_trigger = self._named(rows.column("triggers").to_pylist(), listed("triggers"))
+        kinds: dict[tuple, int] = {}
+        whole = rows.column("path_tokens").to_pylist()
+        self.kind = np.array([kinds.setdefault(tuple(v) if v else (), len(kinds)) for v in whole], np.int64)
+        self.kinds = list(kinds)
+
+    @staticmethod
+    def _named(whole: list, listed: list) -> tuple[dict, np.ndarray]:
+        by: dict[str, list[int]] = {}
+        for i, names in enumerate(listed):
+            for x in set(names):
+                by.setdefault(x, []).append(i)
+        return {x: np.array(i) for x, i in by.items()}, np.array([not v for v in whole], bool)
+
+    def hits(self, path, language, signals, tokens) -> np.ndarray:
+        """Places (in words) of the tokens that the text holds, of specifications that apply to it."""
+        found = [self.at[w] for w in tokens if w in self.at]
+        if not found:
+            return np.zeros(0, np.int64)
+        at = np.concatenate(found)
+        ok = self.any_language.copy()
+        if language in self.by_language:
+            ok[self.by_language[language]] = True
+        told = self.any_trigger.copy()
+        for s in signals or []:
+            for t in [s, *(s[:i] for i, c in enumerate(s) if c in "/.")] if s is not None else []:
+                if t in self.by_trigger:
+                    told[self.by_trigger[t]] = True
+        at = at[(ok & told)[self.owner[at]]]
+        kind = self.kind[self.owner[at]]
+        fits = np.zeros(len(self.kinds), bool)
+        for k in np.unique(kind).tolist():
+            fits[k] = not self.kinds[k] or (path is not None and any(t is not None and t in str(path) for t in self.kinds[k]))
+        return at[fits[kind]]
+
+
+PARTS = ["enricher", "type", "tokens", "languages", "triggers", "path_tokens", "tags"]
+FACT = ["path", "enricher", "type", "name", "tags", "confidence", "hint"]
+
+
+def _facts_of(cell: _Cell, found: list[tuple], path_type: pa.DataType) -> pa.RecordBatch:
+    """found: (path, places of the first listed tokens) -> facts."""
+    places = np.concatenate([x[1] for x in found])
+    path = pa.array([x[0] for x in found], path_type).take(pa.array(np.repeat(np.arange(len(found)), [len(x[1]) for x in found])))
+    spec = pa.array(cell.owner[places])
+    enricher, kind, tags = (cell.rows.column(c).combine_chunks().take(spec) for c in ("enricher", "type", "tags"))
+    return pa.RecordBatch.from_arrays([path, enricher, kind, cell.words.take(pa.array(places)), tags, pa.array(np.full(len(places), CONFIDENCE)), pa.array(np.full(len(places), HINT))], FACT)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, role, path, ...) sorted by cell, role and path: a cell's specifications, then the texts -> facts. Rows of one path make one fact of a specification."""
+    number, parts, cell, path, path_type, at, found = None, [], None, None, None, [], []
+
+    def closed() -> int:
+        if at:
+            places = np.unique(np.concatenate(at))
+            # Words stand by specification and place, so the first of each is the first listed.
+            found.append((path, places[np.unique(cell.owner[places], return_index=True)[1]]))
+            at.clear()
+        return sum(len(x[1]) for x in found)
+
+    for b in batches:
+        on, role, path_type = b.column("cell").to_numpy(), b.column("role").to_numpy(), b.schema.field("path").type
+        cuts = np.flatnonzero(np.concatenate([[True], (on[1:] != on[:-1]) | (role[1:] != role[:-1]), [True]])) if len(on) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if on[lo] != number:
+                closed()
+                if found:
+                    yield _facts_of(cell, found, path_type)
+                number, parts, cell, found[:] = on[lo], [], None, []
+            part = b.slice(lo, hi - lo)
+            if role[lo] == 0:
+                parts.append(part.select(PARTS))
+                continue
+            if not parts:
+                continue
+            if cell is None:
+                cell = _Cell(pa.Table.from_batches(parts))
+            for p, language, signals, tokens in zip(*(part.column(c).to_pylist() for c in ("path", "language", "signals", "tokens"))):
+                if p != path:
+                    if closed() >= FACTS:
+                        yield _facts_of(cell, found, path_type)
+                        found.clear()
+                    path = p
+                if len(hit := cell.hits(p, language, signals, tokens)):
+                    at.append(hit)
+    closed()
+    if found:
+        yield _facts_of(cell, found, path_type)
 
 
 def facts(files: DataFrame, specs: DataFrame) -> DataFrame:
@@ -53,16 +167,20 @@ def facts(files: DataFrame, specs: DataFrame) -> DataFrame:
 
     A specification applies to its languages (to all if it has none), where one of its triggers is a signal, or begins one up to a / or a dot,
     or it has none, and where the path holds one of its path_tokens. The first listed of the tokens that the text, without
-    comments, holds makes the fact.
+    comments, holds makes the fact. Files of one path make one fact together.
     """
-    code = files.withColumn("code", without_comments(F.col("content")))
-    listed = specs.select(F.col("id").alias("enricher"), F.posexplode("tokens").alias("place", "token"))
-    hits = held_tokens(code, listed.select("token")).join(listed, "token").groupBy("path", "enricher").agg(F.min_by("token", "place").alias("name"))
-    rest = specs.select(F.col("id").alias("enricher"), "type", "languages", "triggers", "path_tokens", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    j = hits.join(rest, "enricher").join(files.select("path", "language", "signals"), "path")
-    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    begins = lambda s, t: (s == t) | s.startswith(F.concat(t, F.lit("/"))) | s.startswith(F.concat(t, F.lit(".")))
-    ok = none("languages") | F.array_contains("languages", F.col("language"))
-    ok = ok & (none("triggers") | F.exists("triggers", lambda t: F.exists(F.coalesce("signals", F.array().cast("array<string>")), lambda s: begins(s, t))))
-    ok = ok & (none("path_tokens") | F.exists("path_tokens", lambda t: F.contains(F.col("path"), t)))
-    return j.where(ok).select("path", "enricher", "type", "name", "tags", F.lit(CONFIDENCE).alias("confidence"), F.lit(HINT).alias("hint"))
+    texts = held_tokens(files.select("path", "language", "signals", without_comments(F.col("content")).alias("code")), listed := specs.select(F.explode("tokens").alias("token")))
+    cells = max(1, -(-listed.count() // CELL_TOKENS))
+    # Few cells are each held by several tasks, and a text passes by one of them.
+    parts = -(-int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) // cells)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none, path_type = F.array().cast("array<string>"), files.schema["path"].dataType
+    blank = lambda *names: [F.lit(None).cast("array<string>").alias(c) for c in names]
+    one = specs.withColumn("part", every(parts)).select(
+        (F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int") * parts + F.col("part")).alias("cell"), F.lit(0).alias("role"), F.lit(None).cast(path_type).alias("path"), F.lit(None).cast("string").alias("language"), *blank("signals"),
+        F.col("id").alias("enricher"), "type", "tokens", "languages", "triggers", "path_tokens", F.coalesce("tags", none).alias("tags"))
+    two = texts.withColumn("at", every(cells)).select(
+        (F.col("at") * parts + F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).alias("cell"), F.lit(1).alias("role"), "path", "language", "signals",
+        F.lit(None).cast("string").alias("enricher"), F.lit(None).cast("string").alias("type"), "tokens", *blank("languages", "triggers", "path_tokens", "tags"))
+    met = one.unionByName(two).repartitionById(cells * parts, "cell").sortWithinPartitions("cell", "role", "path")
+    return met.mapInArrow(_met, f"path {path_type.simpleString()}, enricher string, type string, name string, tags array<string>, confidence double, hint double")
