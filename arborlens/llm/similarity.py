@@ -8,6 +8,9 @@ the full sets. Where a candidate still crosses two components, the member of the
 is held against all members of the other, in blocks of BLOCK sets. No candidate
 that could join two components is left out; the first step costs a group of n copies
 about n confirmations, and the second only the members not linked to it.
+In the first step a large node's members are dealt into shares, each member into one, and
+dealt anew in every node; only the second, which knows the components, holds all blocks of a large
+node that still has several against each other. So the pairs of a group grow with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -174,6 +177,13 @@ def sized(nodes: DataFrame) -> DataFrame:
     return nodes.join(one, "node")
 
 
+def node_shares(level: DataFrame, limit: int) -> DataFrame:
+    """level(node, n, item), as sized() gives it -> (node, item, share): members of a node in shares of about half of `limit`, each member in one; a smaller node is one share, of its own name."""
+    shares = F.ceil(2 * F.col("n") / limit)
+    mine = F.pmod(F.xxhash64("node", "item"), shares)
+    return level.select("node", "item", F.when(F.col("n") <= limit, F.col("node")).otherwise(F.xxhash64("node", F.lit(11), mine)).alias("share"))
+
+
 def node_members(level: DataFrame, sigs: DataFrame, max_levels: int = 0, limit: int = NODE_LIMIT) -> DataFrame:
     """level(node, n, item), as sized() gives it -> (node, item) of the nodes to compare, of about `limit` members at most: larger ones as all pairs of their blocks.
 
@@ -281,18 +291,21 @@ def clusters(nodes: DataFrame, sigs: DataFrame, full_sets: Callable[[DataFrame],
     """(node, root) of items linked, directly or through others, by confirmed similarities."""
     prepare(nodes.sparkSession)
     level = stored(sized(nodes), "nodes")
-    members = node_members(level, sigs)
-    rows = candidates(members.withColumn("label", F.col("item")), sigs, BEST)
+    shares = node_shares(level, NODE_LIMIT)
+    rows = candidates(shares.select(F.col("share").alias("node"), "item", F.col("item").alias("label")), sigs, BEST)
     links = stored(confirm(rows.where("b is not null"), full_sets), "links")
     roots = stored(components(links), "roots")
-    more = rows.where("b is null").select(F.col("a").alias("node"))
+    named = roots.select(F.col("node").alias("item"), F.col("root").alias("label"))
+    # Small nodes with candidates left, and the large ones, whose shares have not met, where their members are of several components.
+    more = level.join(rows.where("b is null").select(F.col("a").alias("node")), "node", "left_semi").where(F.col("n") <= NODE_LIMIT).unionByName(level.where(F.col("n") > NODE_LIMIT))
     if more.isEmpty():
         drop_stored(level, rows, links)
         return roots
-    named = roots.select(F.col("node").alias("item"), F.col("root").alias("label"))
-    left = members.join(more, "node", "left_semi").join(named, "item", "left").select("node", "item", F.coalesce("label", "item").alias("label"))
+    label = F.coalesce("label", "item")
+    open_ = stored(more.join(named, "item", "left").groupBy("node").agg(F.min(label).alias("x"), F.max(label).alias("y")).where("x <> y").select("node"), "open")
+    left = node_members(level.join(open_, "node", "left_semi"), sigs).join(named, "item", "left").select("node", "item", label.alias("label"))
     left = stored(left, "left")
-    drop_stored(level, rows)
+    drop_stored(level, rows, open_)
     mixed = left.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
     across = candidates(left.join(mixed, "node"), sigs, ACROSS)
     queries = across.where("b is not null").select("a", F.col("b").alias("label"))

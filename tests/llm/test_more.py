@@ -332,3 +332,26 @@ def test_word_chunks_of_any_size():
     column = pa.array(["a b", None, "", "x" * 5000 + " y", "ü ö"])
     got = [core.words(d, o)[0] for _, d, o in core.chunks(*core.text_buffers(column))]
     assert len(np.concatenate(got)) == 6
+
+
+def test_pairs_of_a_large_group_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    from arborlens.llm import similarity
+
+    rng = np.random.default_rng(6)
+    base = np.arange(1000, 1400, dtype=np.uint64)
+    # 120 near copies and one apart, in three nodes of all of them.
+    sets = {i: np.unique(np.concatenate([base[rng.random(400) > 0.02], np.array([i], np.uint64)])) for i in range(120)} | {120: base + np.uint64(5000)}
+    low = similarity.minwise(np.concatenate(list(sets.values())), np.array([len(x) for x in sets.values()])).astype(np.uint8)
+    sigs = spark.createDataFrame([(i, bytearray(low[i].tobytes())) for i in sets], "item long, sig binary")
+    content = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "item long, content binary")
+    # One member differs, so that the nodes are told apart.
+    nodes = spark.createDataFrame([(n, i) for n in range(3) for i in sets if i != n], "node long, item long")
+    monkeypatch.setattr(similarity, "NODE_LIMIT", 20)
+    monkeypatch.setattr(similarity.node_members, "__defaults__", (0, 20))
+    met, made = [], similarity.candidates
+    monkeypatch.setattr(similarity, "candidates", lambda members, *rest: met.append(members.count()) or made(members, *rest))
+    roots = similarity.clusters(nodes, sigs, lambda items: content.join(items, "item", "left_semi"))
+    got = {r["node"]: r["root"] for r in roots.collect()}
+    assert got == {i: 0 for i in range(120)}
+    # Each of the 360 members is compared in one share of its node.
+    assert met[0] == 360
