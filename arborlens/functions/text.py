@@ -20,7 +20,8 @@ def slug(c: Column) -> Column:
 def identifier_tokens(c: Column) -> Column:
     """Parts at _ - . and before capitals, lower case, distinct, sorted."""
     spaced = F.regexp_replace(F.regexp_replace(c, "([A-Z])", " $1"), r"[_\-.\s]+", " ")
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda x: x != "")))
+    # No function is called for each part: those with a lambda, as array_sort, are interpreted.
+    return F.sort_array(F.array_remove(F.array_distinct(F.split(F.lower(spaced), " ")), ""))
 
 
 def lexical_tokens(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlens.functions.text import identifier_tokens, token_jaccard
@@ -44,11 +44,18 @@ def candidates(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     the line, the hash and the parent of the name; apart from each other it reaches the least score with the same hash only. So the pairs come from two equal joins: on the line, or on
     the hash. An identity whose file has no symbol any more is a candidate for symbols of its kind and (not empty) hash.
     """
-    exact = exact_matches(symbols, identities)
-    open_symbols = symbols.join(exact.select("key"), "key", "left_anti")
-    open_identities = identities.join(exact.select("identity").distinct(), "identity", "left_anti")
-    s, i = _described(open_symbols, "key"), _described(open_identities, "identity", "i_")
-    gone = i.join(symbols.select(F.col("file").alias("i_file")).distinct(), "i_file", "left_anti")
+    # An identity has one row. Each is looked up by its current key once, and of those that a symbol has the smallest is taken.
+    live = identities.join(symbols.select(F.col("key").alias("current_key"), F.lit(True).alias("live")).distinct(), "current_key", "left")
+    first = F.min(F.when(F.col("live"), F.col("identity"))).over(Window.partitionBy("current_key"))
+    looked = live.withColumn("taken", F.coalesce(F.col("identity") == first, F.lit(False)))
+    here = symbols.select(F.col("file").alias("i_file"), F.lit(True).alias("here")).distinct()
+    # What is open is stored once, as the joins below would each find it again; its compressed files look small enough to be broadcast, which the hints forbid.
+    looked = stored(looked.select("identity", "current_key", "file", "kind", "line", "hash", "qualified_name", "taken"))[0]
+    open_symbols = symbols.join(looked.where("taken").select(F.col("current_key").alias("key")).hint("merge"), "key", "left_anti")
+    s = stored(_described(open_symbols, "key"))[0].hint("merge")
+    i = _described(looked.where("NOT taken"), "identity", "i_").join(here, "i_file", "left").hint("merge")
+    gone = i.where("here IS NULL").drop("here")
+    i = i.drop("here")
     apart = F.abs(F.col("line") - F.col("i_line"))
     parent = (F.col("parent") != "") & (F.col("parent") == F.col("i_parent"))
     points = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0.0))
