@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlens.operators.graph import checkpointed
+from arborlens.operators.graph import chain_heads, checkpointed, stored
 
 
 @dataclass
@@ -52,17 +52,30 @@ def without_cycles(parents: DataFrame) -> DataFrame:
     return parents.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"))
 
 
-def lifting(parents: DataFrame) -> Lifting:
-    """parents(id, parent or null); parents that are no nodes themselves count as none, and the smallest of several holds."""
+def rooted(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parents(id, parent or null; parents that are no nodes themselves count as none, and the smallest of several holds) -> (the forest, with cycles cut; its nodes: id, depth, root).
+
+    Each node jumps as far as the one it jumps to has come, and is done at a root, so a round moves only those that are not and no table of ancestors is made.
+    """
     one = parents.groupBy("id").agg(F.min("parent").alias("parent"))
     known = one.join(one.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
-    forest = checkpointed(without_cycles(checkpointed(one.select("id").join(known, "id", "left"))))
+    forest = checkpointed(one.select("id").join(known, "id", "left"))
+    climb = lambda f: chain_heads(f.where("parent IS NOT NULL").select(F.lit(0).cast("long").alias("view_id"), F.col("id").alias("element_id"), F.col("parent").alias("head")))
+    hops = climb(forest)
+    if not hops.where("open").isEmpty():
+        # Only what is on a cycle or behind one is looked at again.
+        lost = checkpointed(forest.join(hops.where("open").select(F.col("element_id").alias("id")), "id", "left_semi"))
+        cut = without_cycles(lost).where("parent IS NULL").select("id", F.lit(True).alias("cut"))
+        forest = checkpointed(forest.join(cut, "id", "left").select("id", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent")))
+        hops = climb(forest)
+    nodes = forest.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    return forest, nodes.unionByName(hops.select(F.col("element_id").alias("id"), F.col("head").alias("root"), F.col("steps").alias("depth")))
+
+
+def lifting(parents: DataFrame) -> Lifting:
+    """The ancestors of what rooted() gives."""
+    forest, nodes = rooted(parents)
     tables = _doubled(forest)
-    # Depths from the top bit down: a node of depth d has a 2^k-th ancestor for each 2^k up to d.
-    nodes = forest.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
-    for k in reversed(range(len(tables))):
-        step = tables[k].select(F.col("id").alias("root"), "ancestor")
-        nodes = checkpointed(nodes.join(step, "root", "left").select("id", F.coalesce("ancestor", "root").alias("root"), F.when(F.col("ancestor").isNotNull(), F.col("depth") + (1 << k)).otherwise(F.col("depth")).alias("depth")))
     up = None
     for k, table in enumerate(tables):
         one = table.select("id", F.lit(k).alias("k"), "ancestor")
@@ -79,23 +92,28 @@ def _stepped(pairs: DataFrame, lift: Lifting, k: int, *sides: str) -> DataFrame:
     return pairs
 
 
+def _kept(pairs: DataFrame) -> DataFrame:
+    """Pairs between rounds, in files whose size is known: few pairs are sent to the tables of ancestors, which then stay where they are."""
+    return stored(pairs)[0]
+
+
 def common_ancestors(lift: Lifting, pairs: DataFrame) -> DataFrame:
     """pairs(a, b) -> a, b, lca, distance, for pairs of one tree: the deeper end is lifted to the other's depth, then both as far as they stay apart."""
     side = lambda p: lift.nodes.select(F.col("id").alias(p), F.col("depth").alias(f"d_{p}"), F.col("root").alias(f"r_{p}"))
     at = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where("r_a = r_b")
     # "at_a" is the deeper end.
     deeper = F.col("d_a") >= F.col("d_b")
-    at = checkpointed(at.select("a", "b", F.when(deeper, F.col("a")).otherwise(F.col("b")).alias("at_a"), F.when(deeper, F.col("b")).otherwise(F.col("a")).alias("at_b"), F.abs(F.col("d_a") - F.col("d_b")).alias("ahead"), (F.col("d_a") + F.col("d_b")).alias("depths")))
+    at = _kept(at.select("a", "b", F.when(deeper, F.col("a")).otherwise(F.col("b")).alias("at_a"), F.when(deeper, F.col("b")).otherwise(F.col("a")).alias("at_b"), F.abs(F.col("d_a") - F.col("d_b")).alias("ahead"), (F.col("d_a") + F.col("d_b")).alias("depths")))
     kept = ["a", "b", "at_b", "depths"]
     for k in range(lift.powers):
         lifted = _stepped(at, lift, k, "a")
         now = F.col("ahead").bitwiseAND(F.lit(1 << k)) > 0
-        at = checkpointed(lifted.select(*kept, "ahead", F.when(now, F.col("up_a")).otherwise(F.col("at_a")).alias("at_a")))
+        at = _kept(lifted.select(*kept, "ahead", F.when(now, F.col("up_a")).otherwise(F.col("at_a")).alias("at_a")))
     for k in reversed(range(lift.powers)):
         lifted = _stepped(at, lift, k, "a", "b")
         apart = (F.col("at_a") != F.col("at_b")) & (F.col("up_a") != F.col("up_b"))
         move = lambda s, apart=apart: F.when(apart, F.col(f"up_{s}")).otherwise(F.col(f"at_{s}")).alias(f"at_{s}")
-        at = checkpointed(lifted.select("a", "b", "depths", move("a"), move("b")))
+        at = _kept(lifted.select("a", "b", "depths", move("a"), move("b")))
     above = _stepped(at, lift, 0, "a").withColumn("lca", F.when(F.col("at_a") == F.col("at_b"), F.col("at_a")).otherwise(F.col("up_a")))
     named = above.join(lift.nodes.select(F.col("id").alias("lca"), F.col("depth").alias("d")), "lca")
     return named.select("a", "b", "lca", (F.col("depths") - 2 * F.col("d")).alias("distance"))
