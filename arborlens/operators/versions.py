@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlens.operators import relational
+
 #: Tags that follow the state of the working tree.
 MANAGED_TAGS = ["git:staged", "git:unstaged", "git:untracked", "watch:deleted"]
 
@@ -104,8 +106,11 @@ def attributed_lines(symbols: DataFrame, lines: DataFrame) -> DataFrame:
 
 def chunked_hash(rows: DataFrame, group: str, order: list, line: Column, size: int = 1000) -> DataFrame:
     """SHA-256 of a group's lines in order, through hashes of chunks of `size` lines: no task holds more lines than a chunk, and hashes of one group a thousandth of them."""
-    w = Window.partitionBy(group).orderBy(*order)
-    each = rows.select(group, line.alias("line"), F.row_number().over(w).alias("at"))
+    # Lines are numbered by ranges of the order, so a group of many lines is many tasks; each group begins at its smallest number.
+    by = [(c if isinstance(c, Column) else F.col(c)).alias(f"_{k}") for k, c in enumerate(order)]
+    every = relational.numbered(rows.select(group, line.alias("line"), *by), [group, *[f"_{k}" for k in range(len(order))]], "_all")
+    first = every.groupBy(F.col(group).alias("_group")).agg(F.min("_all").alias("_first"))
+    each = every.join(first, F.col(group).eqNullSafe(F.col("_group"))).select(group, "line", (F.col("_all") - F.col("_first") + 1).alias("at"))
     part = each.groupBy(group, F.floor((F.col("at") - 1) / size).alias("chunk")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"))
     return part.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "h"))), lambda x: x["h"]), "\n"), 256).alias("hash"))
 
