@@ -8,6 +8,8 @@ the full sets. Where a candidate still crosses two components, the member of the
 is held against all members of the other, in blocks of BLOCK sets. No candidate
 that could join two components is left out; the first step costs a group of n copies
 about n confirmations, and the second only the members not linked to it.
+A node whose sets are of HELD_BYTES together at most does this in one task, which tells a link
+for each two components that it joins; so of many components that are nearly similar no pair is ever a row.
 In the first step a large node's members are dealt into shares, each member into one, and
 dealt anew in every node; only the second, which knows the components, holds all blocks of a large
 node that still has several against each other. So the pairs of a group grow with its size, not with its square.
@@ -63,6 +65,10 @@ BEST, ACROSS = range(2)
 #: Sets of a component that one task compares with.
 BLOCK = 256
 GOOD = 0.9
+#: Bytes of a node's full sets that one task may hold.
+HELD_BYTES = 16 << 20
+#: Equal hashes of one set and those of a node that are looked at together.
+HELD_SHARED = 1 << 20
 
 
 def node_pairs(sigs: np.ndarray, labels: np.ndarray, mode: int) -> tuple[list, list, bool]:
@@ -287,6 +293,72 @@ def held_against(queries: DataFrame, members: DataFrame, full_sets: Callable[[Da
     return one.union(two).repartition("label", "block").sortWithinPartitions("label", "block", "role", "item").mapInArrow(_hold, "a long, b long")
 
 
+def joined_labels(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links (places) between sets of a similarity of 0.8 or more that join different labels, one for each join: all that any pair of these sets can join."""
+    names, labels = np.unique(labels, return_inverse=True)
+    size = np.bincount(labels)
+    rank = np.empty(len(names), int)
+    rank[np.lexsort((np.arange(len(names)), size))] = np.arange(len(names))
+    rank, root, links = rank[labels], np.arange(len(names)), []
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    values, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    for x in np.argsort(rank, kind="stable").tolist():
+        # Each pair of labels is looked at from the members of the smaller one.
+        open_ = (rank > rank[x]) & (root[labels] != root[labels[x]])
+        if not open_.any():
+            continue
+        own, shared = sets[x], np.zeros(len(sets), np.int64)
+        low = np.searchsorted(values, own)
+        n = np.searchsorted(values, own, "right") - low
+        step = np.cumsum(n) // HELD_SHARED
+        for k in np.unique(step).tolist():
+            at, m = low[step == k], n[step == k]
+            at = np.repeat(at - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
+            shared += np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero(open_ & (100 * shared >= 80 * (sizes + len(own) - shared))).tolist():
+            mine, other = root[labels[x]], root[labels[y]]
+            if mine != other:
+                root[root == other] = mine
+                links.append((x, y))
+    return links
+
+
+def _join(batches):
+    """Rows (node, item, label, content) sorted by node -> links (a, b) of items."""
+    node, items, labels, sets = None, [], [], []
+
+    def done():
+        found = joined_labels(sets, np.array(labels, np.int64)) if len(set(labels)) > 1 else []
+        return [items[x] for x, _ in found], [items[y] for _, y in found]
+
+    for batch in batches:
+        a_out, b_out = [], []
+        for k, i, label, content in zip(*(batch.column(c).to_pylist() for c in ("node", "item", "label", "content"))):
+            if k != node:
+                a, b = done()
+                a_out += a
+                b_out += b
+                node, items, labels, sets = k, [], [], []
+            items.append(i), labels.append(label), sets.append(np.frombuffer(content, np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    a, b = done()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def joined(left: DataFrame, full_sets: Callable[[DataFrame], DataFrame], limit: int = HELD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """left(node, item, label) of nodes with several labels -> their links (a, b), and the rows of nodes whose sets are beyond `limit` bytes, which are not looked at."""
+    sets = stored(full_sets(left.select("item").distinct()), "sets")
+    sizes = left.join(sets.select("item", F.octet_length("content").alias("bytes")), "item").groupBy("node").agg(F.sum("bytes").alias("bytes"))
+    sizes = stored(sizes, "sizes")
+    rows = left.join(sizes.where(F.col("bytes") <= limit), "node").join(sets, "item").select("node", "item", "label", "content")
+    links = stored(rows.repartition("node").sortWithinPartitions("node", "item").mapInArrow(_join, "a long, b long"), "links")
+    beyond = stored(left.join(sizes.where(F.col("bytes") > limit).select("node"), "node", "left_semi"), "left")
+    drop_stored(sets, sizes)
+    return links, beyond
+
+
 def clusters(nodes: DataFrame, sigs: DataFrame, full_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of items linked, directly or through others, by confirmed similarities."""
     prepare(nodes.sparkSession)
@@ -307,13 +379,15 @@ def clusters(nodes: DataFrame, sigs: DataFrame, full_sets: Callable[[DataFrame],
     left = stored(left, "left")
     drop_stored(level, rows, open_)
     mixed = left.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-    across = candidates(left.join(mixed, "node"), sigs, ACROSS)
+    found, beyond = joined(left.join(mixed, "node").select("node", "item", "label"), full_sets)
+    if beyond.isEmpty():
+        whole = stored(components(links.union(found)), "roots")
+        drop_stored(left, links, found, beyond, roots)
+        return whole
+    across = candidates(beyond, sigs, ACROSS)
     queries = across.where("b is not null").select("a", F.col("b").alias("label"))
-    if queries.isEmpty():
-        drop_stored(left, links, across)
-        return roots
     everyone = named.union(left.select("item", "label")).distinct()
     held = stored(held_against(queries, everyone, full_sets), "links")
-    found = stored(components(links.union(held)), "roots")
-    drop_stored(left, links, across, held, roots)
-    return found
+    whole = stored(components(links.union(found).union(held)), "roots")
+    drop_stored(left, links, found, beyond, across, held, roots)
+    return whole

@@ -355,3 +355,37 @@ def test_pairs_of_a_large_group_of_near_copies_grow_with_its_size(spark, monkeyp
     assert got == {i: 0 for i in range(120)}
     # Each of the 360 members is compared in one share of its node.
     assert met[0] == 360
+
+
+def test_many_components_that_are_nearly_similar_make_no_pairs(spark, monkeypatch):
+    from arborlens.llm import similarity
+
+    # Any two share 300 of 410, a candidate that does not hold, but for 200 and 77, which are like 3 and 8.
+    common, own = np.arange(1000, 1300, dtype=np.uint64), np.arange(55, dtype=np.uint64)
+    sets = {i: np.concatenate([common, own + np.uint64(10_000 * (i + 1))]) for i in range(200)}
+    sets[200] = np.concatenate([sets[3][:-20], own[:20] + np.uint64(5_000_000)])
+    sets[77] = np.concatenate([sets[8][:-10], own[:10] + np.uint64(6_000_000)])
+    low = similarity.minwise(np.concatenate(list(sets.values())), np.array([len(x) for x in sets.values()])).astype(np.uint8)
+    sigs = spark.createDataFrame([(i, bytearray(low[i].tobytes())) for i in range(201)], "item long, sig binary")
+    content = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "item long, content binary")
+    nodes = spark.createDataFrame([(1, i) for i in sets], "node long, item long")
+    full = lambda items: content.join(items, "item", "left_semi")
+    want = {i: {200: 3, 77: 8}.get(i, i) for i in sets}
+    rows, made = [], similarity.candidates
+
+    def counted(*args):
+        out = made(*args)
+        rows.append(out.count())
+        return out
+
+    for held in (similarity.HELD_BYTES, 0):
+        rows.clear()
+        monkeypatch.setattr(similarity.joined, "__defaults__", (held,))
+        monkeypatch.setattr(similarity, "candidates", counted)
+        got = {r["node"]: r["root"] for r in similarity.clusters(nodes, sigs, full).collect()}
+        assert {k: got.get(k, k) for k in sets} == want
+        if held:
+            # One row for each member at most, and one for the node.
+            assert sum(rows) <= len(sets) + 1
+    # What is beyond the bytes of a task is still compared, as rows.
+    assert len(rows) == 2 and rows[1] > len(sets)
