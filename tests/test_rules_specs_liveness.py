@@ -134,3 +134,18 @@ def test_metadata_only_changes_are_silent_across_batches(spark, tmp_path):
     rows = liveness.drained(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     assert sorted((r["event_id"], r["path"], r["change"]) for r in rows.collect()) == [(1, "p", 1), (2, "q", 1), (5, "q", 2), (6, "p", 2), (7, "p", 3)]
     assert rows.where(F.col("change") > 3).count() == 0
+
+
+def test_paths_of_one_share_keep_their_own_state_over_batches(spark, tmp_path):
+    schema = "event_id long, ts timestamp, repository_id long, path string, content string, tree string, metadata string"
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    # 3,000 paths, more than shares, and a repository and a path that are null; the second batch changes the odd ones, the third none.
+    at = lambda k, n, c: (3 * k + n, day + dt.timedelta(seconds=n), None if k == 7 else (1 << 60) + k % 10, None if k == 8 else f"p{k}", c, None, "m")
+    parts = [[at(k, 0, "a") for k in range(3000)], [at(k, 1, "b" if k % 2 else "a") for k in range(3000)], [at(k, 2, "b" if k % 2 else "a") for k in range(3000)]]
+    stream = liveness.content_changes(batches(spark, tmp_path, schema, *parts))
+    rows = liveness.drained(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state").collect()
+    want = [(3 * k, None if k == 7 else (1 << 60) + k % 10, None if k == 8 else f"p{k}", 1) for k in range(3000)]
+    want += [(3 * k + 1, r, p, 2) for k, (_, r, p, _) in enumerate(want) if k % 2]
+    assert sorted(map(tuple, rows), key=lambda r: r[0]) == sorted(want)
+    # A path has no group of its own, whose table would cost more than its rows.
+    assert liveness.SHARES < 3000
