@@ -72,9 +72,12 @@ def duplicate_name(e, v, p, c, strict=False):
 @rule("dangling_connector")
 def dangling(e, v, p, c, strict=False):
     ids = e.select("id")
-    a = c.join(ids.withColumnRenamed("id", "source_element_id"), "source_element_id", "left_anti").select("id")
-    b = c.join(ids.withColumnRenamed("id", "target_element_id"), "target_element_id", "left_anti").select("id")
-    return a.union(b).distinct().select(F.col("id").alias("location"))
+    # An end that many connectors have is looked up once; only connectors with an unknown end, a null one too, are rows.
+    ends = c.select(F.explode(F.array("source_element_id", "target_element_id")).alias("id")).distinct()
+    lost = ends.join(ids, "id", "left_anti").select(F.col("id").alias("end"), F.lit(True).alias("lost"))
+    rows = c.select("id", F.explode(F.array("source_element_id", "target_element_id")).alias("end"))
+    known = rows.where("end is not null").join(lost, "end").select("id")
+    return known.union(rows.where("end is null").select("id")).distinct().select(F.col("id").alias("location"))
 
 
 @rule("flat_hierarchy")
@@ -88,7 +91,9 @@ def flat(e, v, p, c, strict=False):
 
 @rule("empty_view")
 def empty_view(e, v, p, c, strict=False):
-    return v.where("owner_element_id is not null").join(p.select(F.col("view_id").alias("id")), "id", "left_anti").join(c.select(F.col("view_id").alias("id")), "id", "left_anti").select(F.col("owner_element_id").alias("location"))
+    # Views are few, so what stands in one is made one row before it is dealt by view.
+    used = p.select("view_id").distinct().union(c.select("view_id").distinct()).select(F.col("view_id").alias("id"))
+    return v.where("owner_element_id is not null").join(used, "id", "left_anti").select(F.col("owner_element_id").alias("location"))
 
 
 @rule("abstraction_leak")
