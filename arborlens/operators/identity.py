@@ -90,36 +90,39 @@ def _scored(looked: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def one_to_one(found: DataFrame, order: DataFrame) -> DataFrame:
     """found(key, identity, score), order(key, place: any orderable value, unique) -> key, identity, score: what a serial walk over the keys by place gives, each taking its best free identity."""
-    return _walked(found.join(order, "key").select(F.struct("place", "key").alias("place"), "identity", "score"))
+    return _walked(found.join(order, "key"), "place", "key")
 
 
-def _walked(found: DataFrame) -> DataFrame:
-    """found(place: orderable, unique by key, with the field key; identity, score) -> key, identity, score, as one_to_one says.
+def _walked(found: DataFrame, *place: str) -> DataFrame:
+    """found(key, identity, score, and the columns that keys go by, in order, key last) -> key, identity, score, as one_to_one says.
 
     By rounds of proposals: every key proposes to the best identity that is left to it (by score, then identity); an identity keeps the
     first proposer by place, and is no longer left to any later key. As every identity ranks keys alike, that ends in the serial walk's result. Where no earlier key has an
     identity left at all, its match is settled, and no candidate of its key or of the identity goes into the next round. A
-    round deals candidates by key and by identity once each, without their keys beside their places, and drops those of the round before; the number of rounds is that of the longest chain of keys that turn each other away.
+    round deals candidates by key and by identity once each, and drops those of the round before; the number of rounds is that of the longest chain of keys that turn each other away.
     """
     spark = found.sparkSession
-    by_key, by_identity = Window.partitionBy("place"), Window.partitionBy("identity")
-    left, before, settled = found, None, []
+    # Columns instead of a struct, which Spark sorts without prefixes. Rows are dealt before a window, which would deal what it compares beside what that is made of.
+    by_key, by_identity, at = Window.partitionBy(*place), Window.partitionBy("identity"), F.struct(*place)
+    left, before, settled = found.select(*place, "identity", "score").repartition(*place), None, []
     while True:
         best = F.min(F.struct((-F.col("score")).alias("s"), "identity")).over(by_key)
-        asks = left.withColumn("asks", best["identity"] == F.col("identity"))
-        asked = asks.withColumns({"first": F.min(F.when(F.col("asks"), F.col("place"))).over(by_identity), "lowest": F.min("place").over(by_identity), "several": F.sum(F.col("asks").cast("long")).over(by_identity) > 1})
-        wins, sure = F.col("asks") & (F.col("place") == F.col("first")), F.col("first") == F.col("lowest")
+        asks = left.withColumn("asks", best["identity"] == F.col("identity")).repartition("identity")
+        asked = asks.withColumns({"first": F.min(F.when(F.col("asks"), at)).over(by_identity), "lowest": F.min(at).over(by_identity), "several": F.sum(F.col("asks").cast("long")).over(by_identity) > 1})
+        wins, sure = F.col("asks") & (at == F.col("first")), F.col("first") == F.col("lowest")
         # Of an identity with a sure match that match stays, to tell its key; of another, what stands before its first proposer, and that.
-        kept = asked.where(F.col("first").isNull() | (F.col("place") <= F.col("first"))).select("place", "identity", "score", wins.alias("wins"), (wins & sure).alias("sure"), (wins & F.col("several")).alias("turned"))
+        kept = asked.where(F.col("first").isNull() | (at <= F.col("first"))).select(*place, "identity", "score", wins.alias("wins"), (wins & sure).alias("sure"), (wins & F.col("several")).alias("turned"))
         judged, folder = stored(kept)
         last = judged.where("turned").isEmpty()
-        settled.append(stored(judged.where("wins" if last else "sure").select("place.key", "identity", "score"))[0])
+        settled.append(stored(judged.where("wins" if last else "sure").select("key", "identity", "score"))[0])
         if before:
             dropped(spark, before)
         if last:
             dropped(spark, folder)
             break
-        left, before = judged.withColumn("done", F.max("sure").over(by_key)).where("NOT done").select("place", "identity", "score"), folder
+        # A sure match tells its key no more than that it is done.
+        told = judged.select(*place, *[F.when(~F.col("sure"), F.col(c)).alias(c) for c in ("identity", "score")], "sure")
+        left, before = told.withColumn("done", F.max("sure").over(by_key)).where("NOT done").select(*place, "identity", "score"), folder
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
@@ -130,7 +133,7 @@ def matched(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     """Every symbol's identity: key, identity, score, state (kept: its current key; renamed: by score; new: its own key). Symbols go by file, line and key."""
     looked = _looked(symbols, identities)
     exact = looked.where(F.col("role") == TAKEN).select("key", "identity", F.lit(1.0).alias("score"), F.lit("kept").alias("state"))
-    found = _walked(_scored(looked, symbols).where("key IS NOT NULL").select(F.struct("file", "line", "key").alias("place"), "identity", "score"))
+    found = _walked(_scored(looked, symbols).where("key IS NOT NULL"), "file", "line", "key")
     open_ = looked.where(F.col("role") == SYMBOL).select("key").hint("merge")
     new = open_.join(found.select("key"), "key", "left_anti").select("key", F.col("key").alias("identity"), F.lit(None).cast("double").alias("score"), F.lit("new").alias("state"))
     return exact.unionByName(found.withColumn("state", F.lit("renamed"))).unionByName(new)

@@ -69,6 +69,27 @@ def test_rounds_leave_no_candidates_on_disk(spark):
     assert made and all("place" not in spark.read.parquet(str(m)).columns for m in made)
 
 
+def test_a_round_deals_candidates_by_key_and_by_identity_once_each(spark, monkeypatch):
+    plans = []
+
+    def kept(df, stored=identity.stored):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(identity, "stored", kept)
+    n = 6
+    # Every symbol has the hash of every identity, whose file is gone, so that keys turn each other away; two keys are known, one of them by two identities.
+    symbols = [(f"k{i}", "f", "func", i, "h", f"p.k{i}") for i in range(n)] + [("same", "f", "func", 50, "s", "p.same"), ("twice", "f", "func", 60, "t", "p.twice")]
+    known = [(f"i{j}", "old", "gone", "func", 100, "h", "q.x") for j in range(n - 1)] + [("j1", "same", "f", "func", 50, "s", "p.same"), ("j3", "twice", "f", "func", 60, "t", "p.twice"), ("j2", "twice", "f", "func", 90, "t", "p.twice"), ("j4", None, "f", "func", 99, "z", "p.z")]
+    got = identity.matched(spark.createDataFrame(symbols, SYMBOLS), spark.createDataFrame(known, IDENTITIES))
+    assert sorted((r["key"], r["identity"], r["state"]) for r in got.collect()) == [*((f"k{i}", f"i{i}", "renamed") for i in range(n - 1)), ("k5", "k5", "new"), ("same", "j1", "kept"), ("twice", "j2", "kept")]
+    # Both tables meet once by key; of the rounds the first one reads the joins that find candidates, and no other joins anything.
+    assert "Join" not in plans[0] and "Join" not in plans[1]
+    rounds = [p for p in plans[2:] if "Window" in p]
+    assert len(rounds) > 2 and not any("Join" in p for p in rounds[1:])
+    assert all(p.count("RepartitionByExpression") == 1 for p in rounds[1:])
+
+
 def test_rename_in_place_and_move_keep_the_identity(spark):
     symbols = [("main.Main", "main.go", "func", 3, "m2", "main.Main"), ("main.LoadUser", "main.go", "func", 7, "l", "main.LoadUser"), ("users.LoadAccount", "pkg/users.go", "func", 7, "body", "users.LoadAccount"), ("x.Far", "main.go", "func", 40, "f", "x.Far"), ("x.Near", "main.go", "func", 20, "n", "x.Near")]
     known = [("i1", "main.Main", "main.go", "func", 3, "m1", "main.Main"), ("i2", "main.FetchUser", "main.go", "func", 7, "x", "main.FetchUser"), ("i3", "users.FetchUser", "gone.go", "func", 5, "body", "users.FetchUser"), ("i4", "y.Far", "main.go", "func", 44, "f", "y.Far"), ("i5", "x.Was", "main.go", "func", 22, "other", "x.Was"), ("i6", "g.E", "gone.go", "func", 7, "", "g.E")]
