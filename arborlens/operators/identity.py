@@ -50,11 +50,6 @@ def _looked(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     return stored(kept.select("role", F.when(F.col("role") != IDENTITY, F.col("key")).alias("key"), "identity", *[F.when(F.col("role") != TAKEN, F.col(c)).alias(c) for c in rest]))[0]
 
 
-def exact_matches(symbols: DataFrame, identities: DataFrame) -> DataFrame:
-    """key, identity: the identity whose current key a symbol has; the smallest of several."""
-    return symbols.join(identities.select(F.col("current_key").alias("key"), "identity"), "key").groupBy("key").agg(F.min("identity").alias("identity"))
-
-
 def candidates(symbols: DataFrame, identities: DataFrame) -> DataFrame:
     """symbols(key, file, kind, line, hash, qualified_name), identities(identity, current_key, the same) -> key, identity, score.
 
